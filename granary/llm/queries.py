@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from granary.llm import bpe, exact_dedup, lm_score, simhash
+from granary.llm import bpe, exact_dedup, line_dedup, lm_score, simhash
 from granary.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +25,13 @@ def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(documents(spark, sf_dir))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, lines_removed, n_chars and text_sha256 of what is left of each text."""
+    cleaned = line_dedup.line_dedup(documents(spark, sf_dir).select("doc_id", "text"))
+    text = F.coalesce("text", F.lit(""))
+    return cleaned.select("doc_id", F.col("__lines_removed").alias("lines_removed"), F.length(text).cast("long").alias("n_chars"), F.sha2(text.cast("binary"), 256).alias("text_sha256"))
+
+
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score_documents(documents(spark, sf_dir))
 
@@ -37,15 +45,39 @@ WITH t AS (
 SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, t.text_sha256 FROM t JOIN g USING (text_sha256)
 """
 
+OP5_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, text FROM documents
+), l AS (
+  SELECT rid, doc_id, pos, line, ('0x' || substr(md5(line), 1, 8))::BIGINT AS h
+  FROM (SELECT rid, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d WHERE text IS NOT NULL)
+), r AS (
+  SELECT *, ((coalesce(lag(h) OVER w, 0) % 2147483647) * 31 + h) % 2147483647 AS roll FROM l WINDOW w AS (PARTITION BY rid ORDER BY pos)
+), b AS (
+  SELECT *, roll < coalesce(lag(roll) OVER w, 2147483647) AND roll < coalesce(lead(roll) OVER w, -1) AS cut FROM r WINDOW w AS (PARTITION BY rid ORDER BY pos)
+), n AS (
+  SELECT *, coalesce(sum(cut::INT) OVER (PARTITION BY rid ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk_no FROM b
+), c AS (
+  SELECT rid, doc_id, chunk_no, count(*) AS lines, string_agg(line, chr(10) ORDER BY pos) AS chunk FROM n GROUP BY rid, doc_id, chunk_no
+), k AS (
+  SELECT *, lines > 1 AND row_number() OVER (PARTITION BY chunk, lines > 1 ORDER BY doc_id, rid, chunk_no) > 1 AS gone FROM c
+), t AS (
+  SELECT rid, coalesce(string_agg(chunk, chr(10) ORDER BY chunk_no) FILTER (WHERE NOT gone), '') AS text, sum(CASE WHEN gone THEN lines ELSE 0 END) AS lines_removed FROM k GROUP BY rid
+)
+SELECT d.doc_id, coalesce(t.lines_removed, 0)::BIGINT AS lines_removed, length(coalesce(t.text, '')) AS n_chars, sha256(coalesce(t.text, '')) AS text_sha256
+FROM d LEFT JOIN t USING (rid)
+"""
+
 
 def queries() -> dict[str, Query]:
     return {
         "op2_simhash": op2_simhash,
         "op3_exact_dedup": op3_exact_dedup,
         "op4_bpe_codec": op4_bpe_codec,
+        "op5_line_dedup": op5_line_dedup,
         "op8_lm_score": op8_lm_score,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3_SQL}
+    return {"op3_exact_dedup": OP3_SQL, "op5_line_dedup": OP5_SQL}
