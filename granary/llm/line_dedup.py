@@ -57,7 +57,8 @@ def _broadcast_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def repeated_chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(__id, __text_hash, __at): the places of chunks that an earlier equal chunk makes redundant."""
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("__id"), F.xxhash64(F.col(text_col)).alias("__text_hash"), F.col(text_col).alias("__text"))
-    chunks = with_chunks(texts, F.col("__text")).select("__id", "__text_hash", F.posexplode("__chunks").alias("__at", "__chunk"))
+    # The outer form: the other one gets a filter on the array's size, which would evaluate every step again.
+    chunks = with_chunks(texts, F.col("__text")).select("__id", "__text_hash", F.posexplode_outer("__chunks").alias("__at", "__chunk"))
     several = chunks.where(F.instr("__chunk", "\n") > 0).withColumn("__hash", F.xxhash64("__chunk"))
     hashes = materialize(several.groupBy("__hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("__hash").alias("__shared")), "line-hashes")
     maybe = materialize(several.join(_broadcast_small(hashes), F.col("__hash") == F.col("__shared"), "left_semi"), "line-chunks")
