@@ -44,3 +44,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fold(doc_id: Column, k: int) -> Column:
     """crc32 of the id as text, modulo ``k``; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(k))
+
+
+#: Rows of ids or hashes up to which a table is broadcast (some 10 MB); larger ones are joined by a shuffle.
+BROADCAST_ROWS = 100_000
+
+
+def broadcast_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, marked for broadcast if its counted rows stay within the bound. ``df`` should be cheap to count."""
+    return F.broadcast(df) if df.count() <= rows else df

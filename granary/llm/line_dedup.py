@@ -20,12 +20,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import materialize
+from granary.llm.common import broadcast_small, materialize
 
 #: Modulus and base of the rolling hash; line hashes are the first 32 bits of an MD5.
 PRIME, BASE = 2147483647, 31
-#: Rows up to which a table of hashes, or of documents to change, is broadcast (some 10 MB).
-BROADCAST_ROWS = 100_000
 
 
 def with_chunks(docs: DataFrame, text: Column) -> DataFrame:
@@ -50,10 +48,6 @@ def with_chunks(docs: DataFrame, text: Column) -> DataFrame:
     return docs.drop(*list(steps)[:-1])
 
 
-def _broadcast_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    return F.broadcast(df) if df.count() <= rows else df
-
-
 def repeated_chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(__id, __text_hash, __at): the places of chunks that an earlier equal chunk makes redundant."""
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("__id"), F.xxhash64(F.col(text_col)).alias("__text_hash"), F.col(text_col).alias("__text"))
@@ -61,7 +55,7 @@ def repeated_chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     chunks = with_chunks(texts, F.col("__text")).select("__id", "__text_hash", F.posexplode_outer("__chunks").alias("__at", "__chunk"))
     several = chunks.where(F.instr("__chunk", "\n") > 0).withColumn("__hash", F.xxhash64("__chunk"))
     hashes = materialize(several.groupBy("__hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("__hash").alias("__shared")), "line-hashes")
-    maybe = materialize(several.join(_broadcast_small(hashes), F.col("__hash") == F.col("__shared"), "left_semi"), "line-chunks")
+    maybe = materialize(several.join(broadcast_small(hashes), F.col("__hash") == F.col("__shared"), "left_semi"), "line-chunks")
     place = F.struct(F.col("__id").isNull().alias("no_id"), F.col("__id").alias("id"), F.col("__text_hash").alias("text_hash"), F.col("__at").alias("at"))
     first = maybe.groupBy("__hash", "__chunk").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     first = materialize(first.select(F.col("__hash").alias("__h"), F.col("__chunk").alias("__c"), "first"), "line-first")
@@ -72,7 +66,7 @@ def repeated_chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the repeated chunks taken out of their texts, and ``__lines_removed`` in each row."""
     gone = repeated_chunks(docs, id_col, text_col).groupBy("__id", "__text_hash").agg(F.collect_set("__at").alias("__gone"))
-    gone = _broadcast_small(materialize(gone.withColumnsRenamed({"__id": "__gid", "__text_hash": "__ghash"}), "line-gone"))
+    gone = broadcast_small(materialize(gone.withColumnsRenamed({"__id": "__gid", "__text_hash": "__ghash"}), "line-gone"))
     key = F.xxhash64(F.col(text_col))
     joined = docs.join(gone, F.col(id_col).eqNullSafe(F.col("__gid")) & (key == F.col("__ghash")), "left")
     changed = with_chunks(joined, F.when(F.col("__gone").isNotNull(), F.col(text_col)))

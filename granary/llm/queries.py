@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import bpe, exact_dedup, line_dedup, lm_score, simhash
+from granary.llm import bpe, decontam, exact_dedup, line_dedup, lm_score, simhash
 from granary.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,10 @@ def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score_documents(documents(spark, sf_dir))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 OP3_SQL = r"""
 WITH t AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents
@@ -76,6 +80,7 @@ def queries() -> dict[str, Query]:
         "op4_bpe_codec": op4_bpe_codec,
         "op5_line_dedup": op5_line_dedup,
         "op8_lm_score": op8_lm_score,
+        "op9_decontamination": op9_decontamination,
     }
 
 

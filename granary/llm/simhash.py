@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import materialize
+from granary.llm.common import broadcast_small, materialize
 from granary.llm.components import connected_components
 
 BITS, SEGMENTS, RADIUS = 64, 16, 2
@@ -129,4 +129,4 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     total, distinct = docs.agg(F.count(F.lit(1)), F.count_distinct(F.coalesce(F.col(id_col).cast("string"), F.lit("")))).first()
     if total != distinct:
         docs = docs.dropDuplicates([id_col, text_col])
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("gone_id")), "left_anti")
+    return docs.join(broadcast_small(gone), F.col(id_col).eqNullSafe(F.col("gone_id")), "left_anti")
