@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import bpe, decontam, exact_dedup, line_dedup, lm_score, simhash
+from granary.llm import bpe, decontam, exact_dedup, importance, langid, line_dedup, lm_score, simhash
 from granary.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", F.col("__lines_removed").alias("lines_removed"), F.length(text).cast("long").alias("n_chars"), F.sha2(text.cast("binary"), 256).alias("text_sha256"))
 
 
+def op6_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.importance(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("text_hash")
+
+
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score_documents(documents(spark, sf_dir))
 
@@ -40,6 +44,10 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(documents(spark, sf_dir))
+
+
 OP3_SQL = r"""
 WITH t AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents
@@ -79,8 +87,10 @@ def queries() -> dict[str, Query]:
         "op3_exact_dedup": op3_exact_dedup,
         "op4_bpe_codec": op4_bpe_codec,
         "op5_line_dedup": op5_line_dedup,
+        "op6_importance_resampling": op6_importance_resampling,
         "op8_lm_score": op8_lm_score,
         "op9_decontamination": op9_decontamination,
+        "op10_language_id": op10_language_id,
     }
 
 
