@@ -162,9 +162,10 @@ class BytePairCodec:
             self._cache[word] = ids
         return ids
 
-    def encode(self, text: str) -> np.ndarray:
-        """The ids of a whole text."""
-        pieces = [text] if self._special_split is None or not any(s in text for s in self.special) else self._special_split.split(text)
+    def encode(self, text: str, specials: bool = True) -> np.ndarray:
+        """The ids of a whole text; without ``specials``, special tokens that it spells are ordinary text."""
+        plain = not specials or self._special_split is None or not any(s in text for s in self.special)
+        pieces = [text] if plain else self._special_split.split(text)
         found: list[bytes] = []
         for piece in pieces:
             if len(pieces) > 1 and piece in self.special:

@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import bpe, decontam, exact_dedup, importance, langid, line_dedup, lm_score, simhash
+from granary.llm import bpe, decontam, exact_dedup, importance, langid, line_dedup, lm_score, simhash, token_scan
 from granary.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_scan.token_counts(documents(spark, sf_dir))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(documents(spark, sf_dir))
 
@@ -83,6 +87,7 @@ FROM d LEFT JOIN t USING (rid)
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_token_counts": op1_token_counts,
         "op2_simhash": op2_simhash,
         "op3_exact_dedup": op3_exact_dedup,
         "op4_bpe_codec": op4_bpe_codec,
