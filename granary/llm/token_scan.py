@@ -42,7 +42,7 @@ def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, manifest, at = bpe.codec(path), [], 0
+        own, manifest, at = bpe.quick_codec(path), [], 0
         name = f"{folder}/tokens-{TaskContext.get().partitionId():06d}.bin"
         end = np.array([separator], own.dtype).tobytes()
 
