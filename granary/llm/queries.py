@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import bpe, decontam, exact_dedup, importance, langid, line_dedup, lm_score, simhash, token_scan
+from granary.llm import bpe, decontam, exact_dedup, importance, langid, line_dedup, lm_score, simhash, token_scan, training_order
 from granary.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,10 @@ def op6_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.importance(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("text_hash")
 
 
+def op7_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_order.training_order(documents(spark, sf_dir))
+
+
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score_documents(documents(spark, sf_dir))
 
@@ -93,6 +97,7 @@ def queries() -> dict[str, Query]:
         "op4_bpe_codec": op4_bpe_codec,
         "op5_line_dedup": op5_line_dedup,
         "op6_importance_resampling": op6_importance_resampling,
+        "op7_training_order": op7_training_order,
         "op8_lm_score": op8_lm_score,
         "op9_decontamination": op9_decontamination,
         "op10_language_id": op10_language_id,
