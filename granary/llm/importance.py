@@ -29,6 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from granary.functions.select import kth_largest
 from granary.llm.common import broadcast_small, materialize
 
 BUCKETS = 1 << 14
@@ -104,26 +105,6 @@ def log_ratio(raw: np.ndarray, target: np.ndarray, smoothing: float = SMOOTHING)
     return np.log(p) - np.log(q)
 
 
-def _rank_key(keyed: DataFrame, k: int, rounds: int = 8, bins: int = 2048) -> float:
-    """The k-th largest ``key``, by counting in ever finer ranges; ends on one value or a range of floats that can't be split."""
-    low, high = keyed.agg(F.min("key"), F.max("key")).first()
-    above = 0
-    for _ in range(rounds):
-        if low == high:
-            break
-        width = (high - low) / bins
-        if width <= 0:
-            break
-        at = F.least(F.floor((F.col("key") - low) / width), F.lit(bins - 1))
-        inside = keyed.where(F.col("key").between(low, high)).groupBy(at.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("low"), F.max("key").alias("high"))
-        for row in inside.orderBy(F.desc("bin")).collect():  # one row for each bin
-            if above + row["n"] >= k:
-                low, high = row["low"], row["high"]
-                break
-            above += row["n"]
-    return low
-
-
 def best_cut(weights: np.ndarray, good: np.ndarray) -> float:
     """The cut that maximises the sum of the shares of good at or above it and of bad below it; midway in the gap."""
     if good.all() or not good.any():
@@ -178,7 +159,7 @@ def importance(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     if k in (0, total):
         selected = F.lit(k == total)
     else:
-        threshold = _rank_key(keyed, k)
+        threshold = kth_largest(keyed, "key", k)
         tied = F.col("key") == threshold
         spare = k - keyed.where(F.col("key") > threshold).count()
         ties = None
