@@ -65,8 +65,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     alone = tested.where(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
 
     # Copies under one id collapse before they shuffle; explode gives each its row back.
-    maybe = tested.where("maybe").groupBy("text_sha256", "doc_id").agg(F.count(F.lit(1)).alias("copies"))
-    groups = tested.where("maybe").groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    joined = maybe.join(groups, "text_sha256").select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
+    # Both sides are written first, so that the join reads them alone and Spark can split a group that is large.
+    maybe = materialize(tested.where("maybe").groupBy("text_sha256", "doc_id").agg(F.count(F.lit(1)).alias("copies")), "exact-maybe")
+    groups = maybe.groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
+    groups = materialize(groups, "exact-groups").withColumnRenamed("text_sha256", "group_sha256")
+    joined = maybe.join(groups, F.col("text_sha256") == F.col("group_sha256")).select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
     shared = joined.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), "text_sha256")
     return alone.unionByName(shared)
