@@ -82,7 +82,7 @@ def encoded_runs(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, s
     id_arrow = {"bigint": pa.int64(), "int": pa.int32()}.get(id_type.simpleString(), pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, press = bpe.quick_codec(vocabulary), zstandard.ZstdCompressor(level=5)
+        own, press = bpe.quick_codec(vocabulary), zstandard.ZstdCompressor(level=7)
         part, first, room = TaskContext.get().partitionId(), 0, stride * RUN_SEQUENCES
         closing = np.array([end], own.dtype)
         held: list[np.ndarray] = []
@@ -140,7 +140,7 @@ def materialise_order(docs: DataFrame, folder: str, id_col: str = "doc_id", text
     moved_schema = pa.schema([("shard", pa.int64()), ("places", pa.list_(pa.int64())), ("used", pa.list_(pa.int64())), ("owners", pa.list_(owner_type)), ("run", pa.binary())])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press, unpress = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+        press, unpress = zstandard.ZstdCompressor(level=7), zstandard.ZstdDecompressor()
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
