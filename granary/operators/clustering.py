@@ -103,7 +103,7 @@ def distances(points: DataFrame, vector: str, label: str) -> DataFrame:
 
 def assign_nearest(points: DataFrame, vector: str, label: str, key: str) -> DataFrame:
     """(key, label, nearest, distance): the group whose center is nearest; the least label of equal ones."""
-    near = F.array_min(F.transform("d", lambda g: F.struct(F.round(g["to_center"], 6).alias("distance"), g["label"].alias("nearest"))))
+    near = F.array_min(F.transform("d", lambda g: F.struct(F.round(g["to_center"], 6).alias("near"), g["label"].alias("nearest"), g["to_center"].alias("distance"))))
     return distances(points, vector, label).select(key, label, near.alias("m")).select(key, label, "m.nearest", "m.distance")
 
 
