@@ -53,3 +53,12 @@ BROADCAST_ROWS = 100_000
 def broadcast_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df``, marked for broadcast if its counted rows stay within the bound. ``df`` should be cheap to count."""
     return F.broadcast(df) if df.count() <= rows else df
+
+
+def packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(row, doc_id, text): the whole row as one struct beside its id and text, so that its other columns' names cannot clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+
+
+def unpacked(df: DataFrame) -> DataFrame:
+    return df.select("row.*")

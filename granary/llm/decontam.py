@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import broadcast_small, materialize
+from granary.llm.common import broadcast_small, materialize, packed, unpacked
 
 SHINGLE, SIMILARITY = 5, 0.8
 BITS, RADIUS, SEED = 64, 20, 42
@@ -210,5 +210,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without the documents that leak an item."""
-    gone = materialize(leaks(docs, benchmark, id_col, text_col, **options).select(F.col("doc_id").alias("__gone")).distinct(), "leaks-gone")
-    return docs.join(broadcast_small(gone), F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti")
+    gone = materialize(leaks(docs, benchmark, id_col, text_col, **options).select(F.col("doc_id").alias("gone_id")).distinct(), "leaks-gone")
+    return unpacked(packed(docs, id_col, text_col).join(broadcast_small(gone), F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti"))

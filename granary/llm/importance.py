@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions.select import kth_largest
-from granary.llm.common import broadcast_small, materialize
+from granary.llm.common import broadcast_small, materialize, packed, unpacked
 
 BUCKETS = 1 << 14
 #: Labelled documents that are used at most, chosen by a hash of their ids.
@@ -171,6 +171,6 @@ def importance(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
 
 def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without the documents that were not drawn."""
-    gone = importance(docs, labels, id_col, text_col, **options).where("NOT selected").select(F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__hash")).distinct()
-    same = F.col(id_col).eqNullSafe(F.col("__gone")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("__hash"))
-    return docs.join(broadcast_small(materialize(gone, "importance-gone")), same, "left_anti")
+    gone = importance(docs, labels, id_col, text_col, **options).where("NOT selected").select(F.col("doc_id").alias("gone_id"), "text_hash").distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("text_hash"))
+    return unpacked(packed(docs, id_col, text_col).join(broadcast_small(materialize(gone, "importance-gone")), same, "left_anti"))

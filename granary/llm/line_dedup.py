@@ -11,8 +11,8 @@ breaks. Single lines are never removed. Only chunks with a repeated hash shuffle
 
 Edge cases: a null text stays null and has no chunk; an empty text is one line. A text that is
 removed as a whole becomes empty; its row stays. Rows that agree in id and text count as one document: they
-get the same text. Null ids come last in the order. Working columns start with two underscores; other columns of the
-input are kept as they are, whatever their names. Empty tables give empty results.
+get the same text. Null ids come last in the order. Other columns of the input are kept as they are, whatever their names. Empty
+tables give empty results.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import broadcast_small, materialize
+from granary.llm.common import broadcast_small, materialize, packed
 
 #: Modulus and base of the rolling hash; line hashes are the first 32 bits of an MD5.
 PRIME, BASE = 2147483647, 31
@@ -48,31 +48,31 @@ def with_chunks(docs: DataFrame, text: Column) -> DataFrame:
     return docs.drop(*list(steps)[:-1])
 
 
-def repeated_chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(__id, __text_hash, __at): the places of chunks that an earlier equal chunk makes redundant."""
-    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("__id"), F.xxhash64(F.col(text_col)).alias("__text_hash"), F.col(text_col).alias("__text"))
+def repeated_chunks(rows: DataFrame) -> DataFrame:
+    """(id, text_hash, at): the places of chunks, in rows of (doc_id, text), that an earlier equal chunk makes redundant."""
+    texts = rows.where("text IS NOT NULL").select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("text_hash"), "text")
     # The outer form: the other one gets a filter on the array's size, which would evaluate every step again.
-    chunks = with_chunks(texts, F.col("__text")).select("__id", "__text_hash", F.posexplode_outer("__chunks").alias("__at", "__chunk"))
-    several = chunks.where(F.instr("__chunk", "\n") > 0).withColumn("__hash", F.xxhash64("__chunk"))
-    hashes = materialize(several.groupBy("__hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("__hash").alias("__shared")), "line-hashes")
-    maybe = materialize(several.join(broadcast_small(hashes), F.col("__hash") == F.col("__shared"), "left_semi"), "line-chunks")
-    place = F.struct(F.col("__id").isNull().alias("no_id"), F.col("__id").alias("id"), F.col("__text_hash").alias("text_hash"), F.col("__at").alias("at"))
-    first = maybe.groupBy("__hash", "__chunk").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    first = materialize(first.select(F.col("__hash").alias("__h"), F.col("__chunk").alias("__c"), "first"), "line-first")
-    same = (F.col("__hash") == F.col("__h")) & (F.col("__chunk") == F.col("__c"))
-    return maybe.join(first, same).where(place != F.col("first")).select("__id", "__text_hash", "__at").distinct()
+    chunks = with_chunks(texts, F.col("text")).select("id", "text_hash", F.posexplode_outer("__chunks").alias("at", "chunk"))
+    several = chunks.where(F.instr("chunk", "\n") > 0).withColumn("hash", F.xxhash64("chunk"))
+    hashes = materialize(several.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("hash").alias("shared")), "line-hashes")
+    maybe = materialize(several.join(broadcast_small(hashes), F.col("hash") == F.col("shared"), "left_semi"), "line-chunks")
+    place = F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash", "at")
+    first = maybe.groupBy("hash", "chunk").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = materialize(first.select(F.col("hash").alias("h"), F.col("chunk").alias("c"), "first"), "line-first")
+    same = (F.col("hash") == F.col("h")) & (F.col("chunk") == F.col("c"))
+    return maybe.join(first, same).where(place != F.col("first")).select("id", "text_hash", "at").distinct()
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the repeated chunks taken out of their texts, and ``__lines_removed`` in each row."""
-    gone = repeated_chunks(docs, id_col, text_col).groupBy("__id", "__text_hash").agg(F.collect_set("__at").alias("__gone"))
-    gone = broadcast_small(materialize(gone.withColumnsRenamed({"__id": "__gid", "__text_hash": "__ghash"}), "line-gone"))
-    key = F.xxhash64(F.col(text_col))
-    joined = docs.join(gone, F.col(id_col).eqNullSafe(F.col("__gid")) & (key == F.col("__ghash")), "left")
-    changed = with_chunks(joined, F.when(F.col("__gone").isNotNull(), F.col(text_col)))
-    kept = F.array_join(F.filter("__chunks", lambda x, i: ~F.array_contains("__gone", i)), "\n")
-    taken = F.array_join(F.filter("__chunks", lambda x, i: F.array_contains("__gone", i)), "\n")
-    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(kept)
-    removed = F.when(F.col("__gone").isNull(), 0).otherwise(F.length(taken) - F.length(F.replace(taken, F.lit("\n"), F.lit(""))) + 1)
-    columns = [text.alias(c) if c == text_col else docs[c] for c in docs.columns]
-    return changed.select(*columns, removed.cast("long").alias("__lines_removed"))
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", removed_col: str | None = None) -> DataFrame:
+    """``docs`` with the repeated chunks taken out of their texts; with ``removed_col``, also how many lines each row lost."""
+    rows = packed(docs, id_col, text_col)
+    gone = repeated_chunks(rows).groupBy("id", "text_hash").agg(F.collect_set("at").alias("gone"))
+    gone = broadcast_small(materialize(gone, "line-gone"))
+    joined = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("text_hash")), "left")
+    changed = with_chunks(joined, F.when(F.col("gone").isNotNull(), F.col("text")))
+    kept = F.array_join(F.filter("__chunks", lambda x, i: ~F.array_contains("gone", i)), "\n")
+    taken = F.array_join(F.filter("__chunks", lambda x, i: F.array_contains("gone", i)), "\n")
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept)
+    removed = F.when(F.col("gone").isNull(), 0).otherwise(F.length(taken) - F.length(F.replace(taken, F.lit("\n"), F.lit(""))) + 1)
+    columns = [text.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns]
+    return changed.select(*columns, *([removed.cast("long").alias(removed_col)] if removed_col else []))

@@ -31,9 +31,9 @@ def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, lines_removed, n_chars and text_sha256 of what is left of each text."""
-    cleaned = line_dedup.line_dedup(documents(spark, sf_dir).select("doc_id", "text"))
+    cleaned = line_dedup.line_dedup(documents(spark, sf_dir).select("doc_id", "text"), removed_col="lines_removed")
     text = F.coalesce("text", F.lit(""))
-    return cleaned.select("doc_id", F.col("__lines_removed").alias("lines_removed"), F.length(text).cast("long").alias("n_chars"), F.sha2(text.cast("binary"), 256).alias("text_sha256"))
+    return cleaned.select("doc_id", "lines_removed", F.length(text).cast("long").alias("n_chars"), F.sha2(text.cast("binary"), 256).alias("text_sha256"))
 
 
 def op6_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import broadcast_small, materialize
+from granary.llm.common import broadcast_small, materialize, packed, unpacked
 from granary.llm.components import connected_components
 
 BITS, SEGMENTS, RADIUS = 64, 16, 2
@@ -126,7 +126,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     groups = simhash_groups(docs, id_col, text_col, shingle)
     gone = materialize(groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone_id")).distinct(), "near-gone")
-    total, distinct = docs.agg(F.count(F.lit(1)), F.count_distinct(F.coalesce(F.col(id_col).cast("string"), F.lit("")))).first()
+    rows = packed(docs, id_col, text_col)
+    total, distinct = rows.agg(F.count(F.lit(1)), F.count_distinct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).first()
     if total != distinct:
-        docs = docs.dropDuplicates([id_col, text_col])
-    return docs.join(broadcast_small(gone), F.col(id_col).eqNullSafe(F.col("gone_id")), "left_anti")
+        rows = rows.dropDuplicates(["doc_id", "text"])
+    return unpacked(rows.join(broadcast_small(gone), F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti"))
