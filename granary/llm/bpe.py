@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 VOCABULARY = "byte_bpe_50k.json"
 
 #: Words that a worker remembers; the older half goes when it is full, so its memory stays bounded.
-CACHED_WORDS = 800_000
+CACHED_WORDS = 500_000
 CACHED_WORD_CHARS = 48
 
 # Unicode white space as the tokenizers library sees it: Python's own \s also has U+001C to U+001F.
@@ -250,8 +250,8 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         own = codec(path)
         for batch in batches:
             counts, digests, decoded, raw = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                ids = own.encode(text)
+            for text in batch.column(1):
+                ids = own.encode(text.as_py())
                 counts.append(len(ids))
                 digests.append(hashlib.sha256(own.decimal(ids)).hexdigest())
                 decoded.append(hashlib.sha256(own.decode(ids).encode()).hexdigest())

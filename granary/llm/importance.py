@@ -21,6 +21,7 @@ tables give empty results.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +33,7 @@ from pyspark.sql import functions as F
 from granary.functions.select import kth_largest
 from granary.llm.common import broadcast_small, materialize, packed, unpacked
 
+#: A power of two.
 BUCKETS = 1 << 14
 #: Labelled documents that are used at most, chosen by a hash of their ids.
 LABELLED_ROWS = 20_000
@@ -40,23 +42,20 @@ SMOOTHING = 0.01
 PRIOR = 20
 TEMPERATURE = 0.002
 SEED = 42
-_CACHED = 400_000
+_CACHED = 200_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_cache: dict[bytes, tuple[int, int]] = {}
+_cache: dict[bytes, bytes] = {}
+_KINDS = bytes(65 if 65 <= b < 91 else 97 if 97 <= b < 123 or b >= 128 else 48 if 48 <= b < 58 else b for b in range(256))
+_run = re.compile(rb"(.)\1+", re.DOTALL).sub
 
 
 def shape(word: bytes) -> bytes:
-    """The kinds of characters in a word, runs taken together: ``Abc!!`` gives ``Aa!``."""
-    kinds = ("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word.decode())
-    out: list[str] = []
-    for kind in kinds:
-        if not out or out[-1] != kind:
-            out.append(kind)
-    return "".join(out[:16]).encode()
+    """The kinds of characters in a word, runs taken together: ``Abc!!`` gives ``Aa!``; beyond ASCII all count as small letters."""
+    return _run(rb"\1", word.translate(_KINDS))
 
 
-def _hashes(word: bytes) -> tuple[int, int]:
-    found = xxhash.xxh64_intdigest(word, SEED), xxhash.xxh64_intdigest(shape(word), SEED + 1)
+def _hashes(word: bytes) -> bytes:
+    found = xxhash.xxh64_digest(word, SEED) + xxhash.xxh64_digest(shape(word), SEED + 1)
     if len(word) <= 48:
         if len(_cache) >= _CACHED:
             _cache.clear()
@@ -70,14 +69,14 @@ def features(text: str, buckets: int = BUCKETS) -> np.ndarray:
     if not words:
         return np.zeros(0, np.int64)
     known = _cache.get
-    pairs = np.array([known(w) or _hashes(w) for w in words], np.uint64)
-    one, form = pairs[:, 0], pairs[:, 1]
+    hashes = np.frombuffer(b"".join([known(w) or _hashes(w) for w in words]), ">u8").astype(np.uint64)
+    one, form = hashes[::2], hashes[1::2]
     with np.errstate(over="ignore"):
         two = (one[:-1] * _MIX) ^ one[1:]
         forms = (form[:-1] * _MIX) ^ form[1:] ^ (one[:-1] == one[1:]).astype(np.uint64)
         both = np.concatenate([one, two, form, forms])
         both = (both ^ (both >> np.uint64(31))) * _MIX
-    return ((both >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+    return (both >> np.uint64(65 - buckets.bit_length())).astype(np.int64)
 
 
 def _model_counts(source: DataFrame, buckets: int) -> DataFrame:
@@ -85,12 +84,26 @@ def _model_counts(source: DataFrame, buckets: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
+        held: dict[bool, list[np.ndarray]] = {False: [], True: []}
+
+        def add() -> None:
+            for chosen, parts in held.items():
+                if parts:
+                    counts = np.bincount(np.concatenate(parts), minlength=buckets)
+                    raw[:] += counts
+                    target[:] += counts * chosen
+                    parts.clear()
+
         for batch in batches:
-            found = [features(text.as_py(), buckets) for text in batch.column(0)]
-            chosen = [f for f, c in zip(found, batch.column(1).to_pylist(), strict=True) if c]
-            for counts, own in ((raw, found), (target, chosen)):
-                if own:
-                    counts += np.bincount(np.concatenate(own), minlength=buckets)
+            size = 0
+            for text, chosen in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                found = features(text.as_py(), buckets)
+                held[chosen].append(found)
+                size += len(found)
+                if size > 500_000:
+                    add()
+                    size = 0
+            add()
         seen = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(raw[seen]), pa.array(target[seen])], ["bucket", "raw", "target"])
 

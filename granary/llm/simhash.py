@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = [fingerprint(text, shingle) for text in batch.column(1).to_pylist()]
+            raw = [fingerprint(text.as_py(), shingle) for text in batch.column(1)]
             longs = np.frombuffer(b"".join(raw), ">i8").astype(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(longs), pa.array([x.hex() for x in raw], pa.string())], ["doc_id", "fp", "fingerprint"])
 
