@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.llm.common import broadcast_small, materialize, packed, unpacked
@@ -34,27 +34,40 @@ BITS, SEGMENTS, RADIUS = 64, 16, 2
 SEED = 42
 #: Fingerprints in a bucket up to which its pairs are compared; larger buckets link by one-bit neighbours.
 PAIRED = 24
-#: Shingles that are hashed at a time, which bounds memory for very long texts.
+#: Of near-dedup: classes of shingles with an anchor each, bits by which fingerprints may differ, neighbours that are looked at under
+#: an anchor that many share, and members from which these are dealt over 16 groups.
+ANCHORS, WIDE_RADIUS, NEIGHBOURS, CROWD = 8, 20, 3, 5_000
+#: Hashes that are counted at a time, which bounds memory for very long texts.
 _BLOCK = 1 << 17
 
 
-def fingerprint(text: str, shingle: int = 3) -> bytes:
-    """The 64-bit SimHash of a text, big-endian."""
+def shingle_hashes(text: str, shingle: int = 3) -> np.ndarray:
+    """XXH64 of each shingle of a text, repeats included; none for a text without words."""
     words = text.encode().lower().split()
     if not words:
-        return bytes(8)
+        return np.zeros(0, ">u8")
+    joined = b" ".join(words)
     if len(words) < shingle:
-        starts, ends, joined = [0], [len(b" ".join(words))], b" ".join(words)
+        starts, ends = [0], [len(joined)]
     else:
-        joined = b" ".join(words)
         size = np.fromiter(map(len, words), np.int64, len(words))
         end = np.cumsum(size) + np.arange(len(words))
         starts, ends = (end - size)[: len(words) - shingle + 1].tolist(), end[shingle - 1 :].tolist()
-    digest, ones, n = xxhash.xxh64_digest, np.zeros(BITS, np.int64), len(starts)
-    for at in range(0, n, _BLOCK):
-        raw = b"".join([digest(joined[a:b], SEED) for a, b in zip(starts[at : at + _BLOCK], ends[at : at + _BLOCK], strict=True)])
-        ones += np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.uint32)
-    return np.packbits(2 * ones > n).tobytes()
+    digest = xxhash.xxh64_digest
+    return np.frombuffer(b"".join([digest(joined[a:b], SEED) for a, b in zip(starts, ends, strict=True)]), ">u8")
+
+
+def fingerprint_of(hashes: np.ndarray) -> bytes:
+    """The 64-bit SimHash of shingle hashes, big-endian."""
+    ones, raw = np.zeros(BITS, np.int64), hashes.view(np.uint8).reshape(-1, 8)
+    for at in range(0, len(raw), _BLOCK):
+        ones += np.unpackbits(raw[at : at + _BLOCK], axis=1).sum(axis=0, dtype=np.uint32)
+    return np.packbits(2 * ones > len(raw)).tobytes()
+
+
+def fingerprint(text: str, shingle: int = 3) -> bytes:
+    """The 64-bit SimHash of a text, big-endian."""
+    return fingerprint_of(shingle_hashes(text, shingle))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
@@ -119,14 +132,99 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return rows.join(found, rows["fp"] == found["k"]).select("doc_id", "fingerprint", "component_id")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """``docs`` without all but one document of each group: the one with the least id stays.
+def sketches(rows: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, body, fp, size, anchors): SimHash, number of different shingles, and least shingle hash of each of ``ANCHORS`` classes."""
+    id_type = rows.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints, sizes, anchors = [], [], []
+            for text in batch.column(2):
+                hashes = shingle_hashes(text.as_py(), shingle)
+                prints.append(fingerprint_of(hashes))
+                own = np.unique(hashes.astype(np.uint64)) if len(hashes) else np.zeros(1, np.uint64)
+                sizes.append(len(own))
+                # By ascending hash: the first of each class is its least.
+                kinds, first = np.unique(own % np.uint64(ANCHORS), return_index=True)
+                of = dict(zip(kinds.tolist(), own[first].astype(np.int64).tolist(), strict=True))
+                anchors.append([of.get(k) for k in range(ANCHORS)])
+            columns = [batch.column(0), batch.column(1), pa.array(np.frombuffer(b"".join(prints), ">i8").astype(np.int64)), pa.array(sizes, pa.int32()), pa.array(anchors, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "body", "fp", "size", "anchors"])
+
+    source = rows.select("doc_id", F.xxhash64("text").alias("body"), F.coalesce("text", F.lit("")).alias("text"))
+    return source.mapInArrow(run, f"doc_id {id_type}, body bigint, fp bigint, size int, anchors array<bigint>")
+
+
+def likely_pairs(nodes: DataFrame, similarity: float, radius: int = WIDE_RADIUS, paired: int | None = None) -> DataFrame:
+    """Candidates (a, b) among nodes (body, fp, size, anchors): an anchor in common, sizes and fingerprints that allow the similarity.
+
+    Within an anchor that few nodes have, all pairs are looked at. Where many have it, nodes stand in the order of their next anchors,
+    so that near-duplicates are neighbours, and each looks at the next ``NEIGHBOURS``; it stands in another order under each of its anchors.
+    """
+    paired = PAIRED if paired is None else paired
+    following = lambda k: F.element_at("anchors", (F.col("kind") + k) % ANCHORS + 1)
+    standing = nodes.select("body", "fp", "size", "anchors", F.posexplode("anchors").alias("kind", "anchor")).where("anchor IS NOT NULL")
+    standing = standing.select("kind", "anchor", "body", "fp", "size", following(1).alias("next1"), following(2).alias("next2"))
+    sizes = standing.groupBy("kind", "anchor").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    shared = materialize(standing.join(sizes, ["kind", "anchor"]), "near-anchors")
+
+    near = (F.bit_count(F.col("fp").bitwiseXOR(F.col("other_fp"))) <= radius) & (F.least("size", "other_size") >= similarity * F.greatest("size", "other_size"))
+    small = shared.where(F.col("members") <= paired)
+    other = small.select("kind", "anchor", F.col("body").alias("other"), F.col("fp").alias("other_fp"), F.col("size").alias("other_size"))
+    pairs = small.join(other, ["kind", "anchor"]).where("body < other").where(near).select(F.col("body").alias("a"), F.col("other").alias("b"))
+
+    salt = F.when(F.col("members") > CROWD, F.pmod(F.shiftrightunsigned("fp", 1) + F.col("kind") * 7, F.lit(16))).otherwise(F.lit(0))
+    crowded = shared.where(F.col("members") > paired).withColumn("salt", salt)
+    order = Window.partitionBy("kind", "anchor", "salt").orderBy("next1", "next2", "size", "fp", "body")
+    looked = crowded.withColumn("others", F.array(*[F.lead(F.struct(F.col("body").alias("other"), F.col("fp").alias("other_fp"), F.col("size").alias("other_size")), k).over(order) for k in range(1, NEIGHBOURS + 1)]))
+    neighbours = looked.select("body", "fp", "size", F.inline("others")).where("other IS NOT NULL").where(near)
+    return pairs.unionByName(neighbours.select(F.least("body", "other").alias("a"), F.greatest("body", "other").alias("b"))).distinct()
+
+
+def alike(rows: DataFrame, candidates: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The candidates (a, b) whose sets of shingles have a Jaccard similarity of at least ``similarity``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(text.as_py(), shingle).astype(np.uint64).astype(np.uint32)).astype(np.int32) for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x if len(x) else np.zeros(1, np.int32) for x in sets], pa.list_(pa.int32()))], ["body", "shingles"])
+
+    asked = materialize(candidates.select(F.explode(F.array("a", "b")).alias("asked")).distinct(), "near-asked")
+    texts = rows.select(F.xxhash64("text").alias("body"), F.coalesce("text", F.lit("")).alias("text")).join(broadcast_small(asked), F.col("body") == F.col("asked"), "left_semi")
+    sets = materialize(texts.groupBy("body").agg(F.min("text").alias("text")).mapInArrow(run, "body bigint, shingles array<int>"), "near-shingles")
+    left = sets.select(F.col("body").alias("a"), F.col("shingles").alias("x"))
+    right = sets.select(F.col("body").alias("b"), F.col("shingles").alias("y"))
+    both = F.size(F.array_intersect("x", "y"))
+    return candidates.join(left, "a").join(right, "b").where(both >= similarity * (F.size("x") + F.size("y") - both)).select("a", "b")
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` without all but one document of each group of near-duplicates: the one with the least id stays.
+
+    Documents are near-duplicates if their sets of shingles have a Jaccard similarity of at least ``similarity``, and groups are what such
+    pairs connect. At that similarity fingerprints may differ in a dozen bits, too many for an index on the fingerprint alone, so candidates
+    come from the pigeonring (two bits) and from shared anchors, least shingle hashes, of which the pair has one in common but for a chance of
+    (1 - similarity) to the power of ``ANCHORS``. Fingerprints prune them, and the shingles themselves decide.
 
     Of rows that agree in id and text one stays. A document with a null id stays only if its whole group has none.
     """
-    groups = simhash_groups(docs, id_col, text_col, shingle)
-    gone = materialize(groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone_id")).distinct(), "near-gone")
     rows = packed(docs, id_col, text_col)
+    known = materialize(sketches(rows, shingle), "near-sketches")
+    nodes = known.groupBy("body").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.min("size").alias("size"), F.min("anchors").alias("anchors"))
+    nodes = materialize(nodes, "near-nodes")
+    # Equal fingerprints are one point of the ring; its texts are chained, and the chain is as good as all their pairs.
+    chain = nodes.select(F.col("body").alias("a"), F.lead("body").over(Window.partitionBy("fp").orderBy("body")).alias("b")).where("b IS NOT NULL")
+    points = nodes.groupBy("fp").agg(F.min("body").alias("body"))
+    ring = pigeonring_links(points.select("fp"))
+    ring = ring.join(points.select(F.col("fp").alias("a"), F.col("body").alias("x")), "a").join(points.select(F.col("fp").alias("b"), F.col("body").alias("y")), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    candidates = likely_pairs(nodes, similarity).unionByName(ring).unionByName(chain.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+    links = alike(rows, materialize(candidates, "near-candidates"), shingle, similarity)
+    roots = connected_components(links)
+    rooted = nodes.join(roots, nodes["body"] == roots["node"], "left").select("body", "least", F.coalesce("root", "body").alias("root"))
+    reach = rooted.groupBy("root").agg(F.min("least").alias("stays"))
+    found = materialize(rooted.join(reach, "root").select(F.col("body").alias("k"), "stays"), "near-groups")
+    gone = known.join(found, known["body"] == found["k"]).where(~F.col("doc_id").eqNullSafe(F.col("stays"))).select(F.col("doc_id").alias("gone_id")).distinct()
+    gone = materialize(gone, "near-gone")
     total, distinct = rows.agg(F.count(F.lit(1)), F.count_distinct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).first()
     if total != distinct:
         rows = rows.dropDuplicates(["doc_id", "text"])

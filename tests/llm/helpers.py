@@ -86,3 +86,15 @@ def line_dedup(rows):
             kept.append(chunk)
         out[i] = "\n".join(kept)
     return out
+
+
+def shingle_set(text, n=5):
+    w = words(text)
+    return frozenset(b" ".join(w[i : i + n]) for i in range(len(w) - n + 1)) or frozenset([b" ".join(w)])
+
+
+def near_groups(texts, similarity=0.8):
+    """{id: least id of its group} by the similarity of all pairs that share a shingle."""
+    sets = {i: shingle_set(t) for i, t in texts.items()}
+    alike = lambda a, b: bool(sets[a] & sets[b]) and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b])
+    return components(sorted(sets), alike)

@@ -4,7 +4,7 @@ import random
 
 import pytest
 from compare import same_rows
-from helpers import ODD, SCHEMA, components, docs_of, line_dedup, rows_of, simhash
+from helpers import ODD, SCHEMA, components, docs_of, line_dedup, near_groups, rows_of, simhash
 from pyspark.sql import functions as F
 
 from granary.llm import decontam, exact_dedup
@@ -93,6 +93,28 @@ def test_op2_on_odd_rows(spark):
     assert near.near_dedup(docs_of(spark, ["a", "a"], [3, 3])).count() == 1
 
 
+def edited(rng, text, edits):
+    w = text.split()
+    for _ in range(edits):
+        w[rng.randrange(len(w))] = f"new{rng.randrange(10**6)}"
+    return " ".join(w)
+
+
+@pytest.mark.parametrize("paired", [2, 24])
+def test_near_dedup_finds_what_all_pairs_find(spark, monkeypatch, paired):
+    """Copies with few and with many edits, groups small and large, and a line that all documents share."""
+    monkeypatch.setattr(near, "PAIRED", paired)
+    rng = random.Random(7)
+    base = [" ".join(f"w{rng.randrange(3000)}" for _ in range(120)) for _ in range(40)]
+    texts = [f"a line that all of the documents share among them {t}" for t in base]
+    texts += [edited(rng, base[0], 1) for _ in range(90)] + [edited(rng, t, k) for t in base for k in (1, 2, 3, 6, 12, 40)] + [t.upper() for t in base[:5]] + ODD
+    ids = list(range(len(texts)))
+    rng.shuffle(ids)
+    docs = docs_of(spark, texts, ids)
+    kept = {r["doc_id"] for r in near.near_dedup(docs).collect()}
+    assert kept == {i for i, least in near_groups(dict(zip(ids, texts, strict=True))).items() if i == least}
+
+
 @pytest.mark.parametrize("paired", [2, 24])
 def test_pigeonring_links_connect_all_within_two_bits(spark, paired):
     rng = random.Random(paired)

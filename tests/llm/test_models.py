@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from helpers import ODD, components, docs_of, line_dedup, simhash, words
+from helpers import ODD, docs_of, line_dedup, near_groups, words
 from pyspark.sql import functions as F
 
 from granary.llm import decontam, importance, langid, lm_score
@@ -154,8 +154,7 @@ def test_pipeline_stages_equal_plain_versions(spark, sf_dir, documents, texts):
         elif name == "line_dedup":
             expected = line_dedup(list(now.items()))
         elif name == "simhash_near_dedup":
-            prints = {i: simhash(t, 5) for i, t in now.items()}
-            least = components(sorted(now), lambda a, b, prints=prints: (prints[a] ^ prints[b]).bit_count() <= 2)
+            least = near_groups(now)
             expected = {i: t for i, t in now.items() if least[i] == i}
         else:
             leaked = {r["doc_id"] for r in decontam.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).collect()}
