@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 VOCABULARY = "byte_bpe_50k.json"
 
 #: Words that a worker remembers; the older half goes when it is full, so its memory stays bounded.
-CACHED_WORDS = 500_000
+CACHED_WORDS = 250_000
 CACHED_WORD_CHARS = 48
 
 # Unicode white space as the tokenizers library sees it: Python's own \s also has U+001C to U+001F.
@@ -127,7 +127,7 @@ class BytePairCodec:
                 left_until, left = rank[left], parts[left][1]
             else:
                 right_until, right = rank[right], parts[right][0]
-        if len(self._fits) > 4_000_000:
+        if len(self._fits) > 300_000:
             self._fits.clear()
         self._fits[key] = fits
         return fits

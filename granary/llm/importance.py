@@ -42,7 +42,7 @@ SMOOTHING = 0.01
 PRIOR = 20
 TEMPERATURE = 0.002
 SEED = 42
-_CACHED = 200_000
+_CACHED = 150_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _cache: dict[bytes, bytes] = {}
 _KINDS = bytes(65 if 65 <= b < 91 else 97 if 97 <= b < 123 or b >= 128 else 48 if 48 <= b < 58 else b for b in range(256))
