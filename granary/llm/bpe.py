@@ -27,6 +27,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from granary.llm.common import ship_package
+
 #: The tokenizer file that the contract names.
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -243,6 +245,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ``token_ids`` holds the ids as little-endian integers of two bytes (four from 65,537 entries on).
     Runs map-side: no shuffle, one Arrow batch at a time; ``vocabulary`` is a path that every executor has.
     """
+    ship_package(docs.sparkSession)
     path = vocabulary or default_vocabulary()
     id_type = docs.schema[id_col].dataType.simpleString()
 

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import broadcast_small, materialize, packed, unpacked
+from granary.llm.common import broadcast_small, materialize, packed, ship_package, unpacked
 
 SHINGLE, SIMILARITY = 5, 0.8
 BITS, RADIUS, SEED = 64, 20, 42
@@ -191,6 +191,7 @@ def _ddl(t: pa.DataType) -> str:
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, item_block: int = ITEM_BLOCK) -> DataFrame:
     """(doc_id, item_id, similarity, start_word, n_words): the best window of each document for each item that it leaks."""
     spark = docs.sparkSession
+    ship_package(spark)
     source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     id_type = docs.schema[id_col].dataType.simpleString()
     kind = {"bigint": pa.int64(), "int": pa.int32()}.get(benchmark.schema[item_id_col].dataType.simpleString(), pa.string())

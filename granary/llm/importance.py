@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions.select import kth_largest
-from granary.llm.common import broadcast_small, materialize, packed, unpacked
+from granary.llm.common import broadcast_small, materialize, packed, ship_package, unpacked
 
 #: A power of two.
 BUCKETS = 1 << 14
@@ -138,6 +138,7 @@ def importance(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     ``labels`` has doc_id, quality and toxic.
     """
     spark = docs.sparkSession
+    ship_package(spark)
     source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
     order = F.xxhash64("doc_id", F.lit(SEED))

@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.llm.common import fold, materialize
+from granary.llm.common import fold, materialize, ship_package
 
 #: Families of languages, by ISO 639-1 code.
 FAMILIES = {
@@ -143,6 +143,7 @@ def training_sample(source: DataFrame, per_language: int) -> DataFrame:
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, held_fold: int = 2, per_language: int = PER_LANGUAGE) -> DataFrame:
     """One row for each document: doc_id, held_out, lang_pred, score."""
     spark = docs.sparkSession
+    ship_package(spark)
     held = fold(F.col(id_col), folds) == held_fold
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), held.alias("held_out"))
     sample = training_sample(source, per_language).toArrow()

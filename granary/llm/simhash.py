@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.llm.common import broadcast_small, materialize, packed, unpacked
+from granary.llm.common import broadcast_small, materialize, packed, ship_package, unpacked
 from granary.llm.components import connected_components
 
 BITS, SEGMENTS, RADIUS = 64, 16, 2
@@ -72,6 +72,7 @@ def fingerprint(text: str, shingle: int = 3) -> bytes:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """(doc_id, fp, fingerprint): the SimHash as a signed long and as 16 hexadecimal digits."""
+    ship_package(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,6 +135,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def sketches(rows: DataFrame, shingle: int) -> DataFrame:
     """(doc_id, body, fp, size, anchors): SimHash, number of different shingles, and least shingle hash of each of ``ANCHORS`` classes."""
+    ship_package(rows.sparkSession)
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

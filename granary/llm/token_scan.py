@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granary.llm import bpe, corpus_files
-from granary.llm.common import materialize, scratch_path
+from granary.llm.common import materialize, scratch_path, ship_package
 
 #: Tokens in a block; a task holds one block.
 BLOCK_TOKENS = 4 << 20
@@ -37,6 +37,7 @@ def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text
     Returns the manifest (file, ordinal, doc_id), which tells which document stands where. It is not needed for the scan.
     Text that spells the separator is encoded as ordinary text, so that the id stays unique to document ends.
     """
+    ship_package(docs.sparkSession)
     path = vocabulary or bpe.default_vocabulary()
     corpus_files.make_folder(folder)
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -75,6 +76,7 @@ def blocks_of(spark: SparkSession, folder: str, block_tokens: int = BLOCK_TOKENS
 
 def scan_token_files(spark: SparkSession, folder: str, separator: int = SEPARATOR, block_tokens: int = BLOCK_TOKENS, dtype: str = "<u2") -> DataFrame:
     """(file, ordinal, n_tokens): one row for each document in the folder's token files."""
+    ship_package(spark)
     width = np.dtype(dtype).itemsize
     blocks = blocks_of(spark, folder, block_tokens, width)
     n = blocks.count()

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm import bpe, corpus_files
-from granary.llm.common import materialize, scratch_path
+from granary.llm.common import materialize, scratch_path, ship_package
 
 #: Ids in a sequence, sequences in a shard (32 MB), and sequences in a compressed run.
 STRIDE, SHARD_SEQUENCES, RUN_SEQUENCES = 1024, 1 << 14, 1024
@@ -125,6 +125,7 @@ def encoded_runs(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, s
 def materialise_order(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", key: int = KEY, stride: int = STRIDE, shard_sequences: int = SHARD_SEQUENCES, vocabulary: str | None = None, end: int = END) -> DataFrame:
     """Write the shards into ``folder``; returns (slot, shard, byte_offset, n_tokens, first_doc_id, ids_crc32) of every sequence."""
     spark = docs.sparkSession
+    ship_package(spark)
     path = vocabulary or bpe.default_vocabulary()
     corpus_files.make_folder(folder)
     runs = materialize(encoded_runs(docs, id_col, text_col, path, stride, end), "order-runs")
