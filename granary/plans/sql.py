@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from granary.operators.profiling import PLACEHOLDERS
+from granary.operators.rules import NON_PRODUCT_CODES
+
 RAW = """
 base AS (
   SELECT 7 * l_orderkey + 13 * l_partkey + 31 * l_suppkey + 3 * l_linenumber + CAST(l_quantity AS BIGINT) AS h,
@@ -30,7 +33,7 @@ _TYPED = """
 
 TYPED = RAW + f", typed AS (SELECT {_TYPED} FROM raw)"
 
-CODES = "'POST','DOT','C2','M','m','D','S','B','BANK CHARGES','AMAZONFEE','ADJUST','ADJUST2','CRUK','TEST001','TEST002','GIFT','gift_0001_10','gift_0001_20','gift_0001_30','gift_0001_40','gift_0001_50','gift_0001_60','gift_0001_70','gift_0001_80','gift_0001_90'"
+CODES = ", ".join(f"'{c}'" for c in NON_PRODUCT_CODES)
 
 _PARSING = {"invalid_invoice_date": "InvoiceDate IS NULL", "invalid_values": "(InvoiceNo IS NULL OR StockCode IS NULL OR Quantity IS NULL OR UnitPrice IS NULL)"}
 _SALE = {
@@ -83,7 +86,7 @@ DOUBLES = "InvoiceNo, StockCode, Description, Quantity, InvoiceDate, CAST(UnitPr
 HALVES = "WITH " + RAW + ", a AS (SELECT * FROM raw WHERE InvoiceDate <= '1998-12-31'), b AS (SELECT * FROM raw WHERE InvoiceDate >= '1998-01-01')"
 QUOTED = ["Invoice", "StockCode", "Description", "Quantity", "InvoiceDate", "Price", '"Customer ID"', "Country"]
 _NAMES = ", ".join(QUOTED)
-_PLACEHOLDERS = "'nan','NaN','None','NULL','null','N/A'"
+_PLACEHOLDERS = ", ".join(f"'{p}'" for p in PLACEHOLDERS)
 
 MISSING = "WITH " + RAW + " " + " UNION ALL ".join(
     f"""SELECT '{c.strip('"')}' AS "column", count(*) FILTER (WHERE {c} IS NULL) AS nulls, count(*) FILTER (WHERE trim({c}) = '') AS blanks, count(*) FILTER (WHERE {c} IN ({_PLACEHOLDERS})) AS placeholders, {near_big(f"100.0 * count(*) FILTER (WHERE {c} IS NULL) / count(*)", 2)} AS pct_null FROM raw"""
