@@ -3,11 +3,12 @@
 A text is cut into chunks of consecutive lines at places that its content chooses: each line has a hash, a
 rolling hash runs over the hashes of a line and the one before it, and a chunk ends after a line whose rolling
 hash is a strict local minimum. Such places depend on four lines only, so an insertion elsewhere
-doesn't shift them, and a cut is at least two lines from the next.
+doesn't shift them, and such a cut is at least two lines from the next. A line that is a passage by itself, with ``LONG`` spaces
+or more, is cut off on both sides, whatever stands around it.
 
-Chunks of two or more lines whose hash occurs more than once are compared byte by byte (grouped by their very text);
+Chunks of two or more lines, and such passages, whose hash occurs more than once are compared byte by byte (grouped by their very text);
 of equal chunks the first, by document id and place, stays, and the others are removed with their line
-breaks. Single lines are never removed. Only chunks with a repeated hash shuffle with their text.
+breaks. Other single lines are never removed. Only chunks with a repeated hash shuffle with their text.
 
 Edge cases: a null text stays null and has no chunk; an empty text is one line. A text that is
 removed as a whole becomes empty; its row stays. Rows that agree in id and text count as one document: they
@@ -24,6 +25,12 @@ from granary.llm.common import broadcast_small, materialize, packed
 
 #: Modulus and base of the rolling hash; line hashes are the first 32 bits of an MD5.
 PRIME, BASE = 2147483647, 31
+#: Spaces from which a line is a passage by itself: over 40 words.
+LONG = 40
+
+
+def is_long(line: Column) -> Column:
+    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) >= LONG
 
 
 def with_chunks(docs: DataFrame, text: Column) -> DataFrame:
@@ -39,8 +46,10 @@ def with_chunks(docs: DataFrame, text: Column) -> DataFrame:
         "__rolled": F.zip_with(before("__hashes", 0), "__hashes", lambda p, h: F.pmod(F.pmod(p, F.lit(PRIME)) * BASE + h, F.lit(PRIME))),
         "__falls": F.zip_with(before("__rolled", PRIME), "__rolled", lambda p, r: F.when(r < p, r)),
         "__cuts": F.zip_with("__falls", F.slice(F.concat("__rolled", F.array(F.lit(-1).cast("bigint"))), F.lit(2), F.size("__rolled")), lambda r, n: F.coalesce(r < n, F.lit(False))),
+        "__long": F.transform("__lines", is_long),
+        "__parted": F.zip_with(F.zip_with("__cuts", "__long", lambda a, b: a | b), F.slice(F.concat("__long", F.array(F.lit(False))), F.lit(2), F.size("__long")), lambda a, b: a | b),
         # Lines hold no line break, so a break and a mark tell cuts from other breaks.
-        "__marked": F.array_join(F.zip_with("__lines", "__cuts", lambda line, cut: F.concat(line, F.when(cut, "\n-").otherwise("\n+"))), ""),
+        "__marked": F.array_join(F.zip_with("__lines", "__parted", lambda line, cut: F.concat(line, F.when(cut, "\n-").otherwise("\n+"))), ""),
         "__chunks": F.transform(F.split(F.substring("__marked", F.lit(1), F.length("__marked") - 2), "\n-", -1), lambda x: F.replace(x, F.lit("\n+"), F.lit("\n"))),
     }
     for name, step in steps.items():
@@ -53,7 +62,7 @@ def repeated_chunks(rows: DataFrame) -> DataFrame:
     texts = rows.where("text IS NOT NULL").select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("text_hash"), "text")
     # The outer form: the other one gets a filter on the array's size, which would evaluate every step again.
     chunks = with_chunks(texts, F.col("text")).select("id", "text_hash", F.posexplode_outer("__chunks").alias("at", "chunk"))
-    several = chunks.where(F.instr("chunk", "\n") > 0).withColumn("hash", F.xxhash64("chunk"))
+    several = chunks.where((F.instr("chunk", "\n") > 0) | is_long(F.col("chunk"))).withColumn("hash", F.xxhash64("chunk"))
     hashes = materialize(several.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("hash").alias("shared")), "line-hashes")
     maybe = materialize(several.join(broadcast_small(hashes), F.col("hash") == F.col("shared"), "left_semi"), "line-chunks")
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash", "at")

@@ -73,14 +73,16 @@ WITH d AS (
   FROM (SELECT rid, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d WHERE text IS NOT NULL)
 ), r AS (
   SELECT *, ((coalesce(lag(h) OVER w, 0) % 2147483647) * 31 + h) % 2147483647 AS roll FROM l WINDOW w AS (PARTITION BY rid ORDER BY pos)
+), s AS (
+  SELECT *, length(line) - length(replace(line, ' ', '')) >= 40 AS long FROM r
 ), b AS (
-  SELECT *, roll < coalesce(lag(roll) OVER w, 2147483647) AND roll < coalesce(lead(roll) OVER w, -1) AS cut FROM r WINDOW w AS (PARTITION BY rid ORDER BY pos)
+  SELECT *, (roll < coalesce(lag(roll) OVER w, 2147483647) AND roll < coalesce(lead(roll) OVER w, -1)) OR long OR coalesce(lead(long) OVER w, false) AS cut FROM s WINDOW w AS (PARTITION BY rid ORDER BY pos)
 ), n AS (
   SELECT *, coalesce(sum(cut::INT) OVER (PARTITION BY rid ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk_no FROM b
 ), c AS (
-  SELECT rid, doc_id, chunk_no, count(*) AS lines, string_agg(line, chr(10) ORDER BY pos) AS chunk FROM n GROUP BY rid, doc_id, chunk_no
+  SELECT rid, doc_id, chunk_no, count(*) AS lines, count(*) > 1 OR bool_or(long) AS whole, string_agg(line, chr(10) ORDER BY pos) AS chunk FROM n GROUP BY rid, doc_id, chunk_no
 ), k AS (
-  SELECT *, lines > 1 AND row_number() OVER (PARTITION BY chunk, lines > 1 ORDER BY doc_id, rid, chunk_no) > 1 AS gone FROM c
+  SELECT *, whole AND row_number() OVER (PARTITION BY chunk, whole ORDER BY doc_id, rid, chunk_no) > 1 AS gone FROM c
 ), t AS (
   SELECT rid, coalesce(string_agg(chunk, chr(10) ORDER BY chunk_no) FILTER (WHERE NOT gone), '') AS text, sum(CASE WHEN gone THEN lines ELSE 0 END) AS lines_removed FROM k GROUP BY rid
 )

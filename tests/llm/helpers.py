@@ -65,7 +65,7 @@ def chunks(text):
         held.append(line)
         before = rolled[i - 1] if i else p
         after = rolled[i + 1] if i + 1 < len(rolled) else -1
-        if rolled[i] < before and rolled[i] < after:
+        if (rolled[i] < before and rolled[i] < after) or line.count(" ") >= 40 or (i + 1 < len(lines) and lines[i + 1].count(" ") >= 40):
             out.append(held)
             held = []
     return ["\n".join(c) for c in ([*out, held] if held else out)]
@@ -80,7 +80,7 @@ def line_dedup(rows):
             continue
         kept = []
         for chunk in chunks(text):
-            if "\n" in chunk and chunk in seen:
+            if ("\n" in chunk or chunk.count(" ") >= 40) and chunk in seen:
                 continue
             seen.add(chunk)
             kept.append(chunk)

@@ -54,10 +54,12 @@ def test_op5_equals_the_plain_version(spark, documents, texts):
 
 def test_op5_on_odd_rows(spark):
     shared = "\n".join(f"line {i} of a shared passage" for i in range(12))
-    texts = [*ODD, f"head\n{shared}\ntail", f"other\nhead\n{shared}", shared, "\n".join(["same"] * 50)]
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts = [*ODD, f"x\n{passage}\ny", f"z\n{passage}\nx", f"head\n{shared}\ntail", f"other\nhead\n{shared}", shared, "\n".join(["same"] * 50)]
     found = dict(rows_of(lines.line_dedup(docs_of(spark, texts)), "doc_id", "text"))
     assert found == line_dedup(list(enumerate(texts)))
-    assert any(len(found[k]) < len(texts[k]) for k in (len(ODD) + 1, len(ODD) + 2))
+    assert any(len(found[k]) < len(texts[k]) for k in (len(ODD) + 3, len(ODD) + 4))
+    assert found[len(ODD) + 1] == "z\nx"
     assert lines.line_dedup(docs_of(spark, [])).count() == 0
     nulls = lines.line_dedup(docs_of(spark, [shared, shared, shared], [None, 5, 5])).collect()
     assert sorted((str(r["doc_id"]), r["text"] == shared) for r in nulls) == [("5", True), ("5", True), ("None", False)]
