@@ -44,11 +44,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows in an Arrow batch: texts are long, and a worker holds a batch at a time.
+BATCH_ROWS = 1_000
 _shipped: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package's code to the executors, once for each application, as they may not have it."""
+    """Send this package's code to the executors, once for each application, as they may not have it.
+
+    Also bounds the session's Arrow batches, whose default of ten thousand rows is meant for short ones.
+    """
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     context = spark.sparkContext
     if context.applicationId not in _shipped:
         root = Path(__file__).resolve().parents[2]

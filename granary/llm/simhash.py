@@ -35,8 +35,8 @@ SEED = 42
 #: Fingerprints in a bucket up to which its pairs are compared; larger buckets link by one-bit neighbours.
 PAIRED = 24
 #: Of near-dedup: classes of shingles with an anchor each, bits by which fingerprints may differ, neighbours that are looked at under
-#: an anchor that many share, and members from which these are dealt over 16 groups.
-ANCHORS, WIDE_RADIUS, NEIGHBOURS, CROWD = 8, 20, 3, 5_000
+#: an anchor that many share, and members from which these are dealt over 16 groups, by other bits of the fingerprint for each class.
+ANCHORS, WIDE_RADIUS, NEIGHBOURS, CROWD = 8, 20, 3, 1_000
 #: Hashes that are counted at a time, which bounds memory for very long texts.
 _BLOCK = 1 << 17
 
@@ -175,7 +175,7 @@ def likely_pairs(nodes: DataFrame, similarity: float, radius: int = WIDE_RADIUS,
     other = small.select("kind", "anchor", F.col("body").alias("other"), F.col("fp").alias("other_fp"), F.col("size").alias("other_size"))
     pairs = small.join(other, ["kind", "anchor"]).where("body < other").where(near).select(F.col("body").alias("a"), F.col("other").alias("b"))
 
-    salt = F.when(F.col("members") > CROWD, F.pmod(F.shiftrightunsigned("fp", 1) + F.col("kind") * 7, F.lit(16))).otherwise(F.lit(0))
+    salt = F.when(F.col("members") > CROWD, F.expr("shiftrightunsigned(fp, kind * 7) & 15")).otherwise(F.lit(0))
     crowded = shared.where(F.col("members") > paired).withColumn("salt", salt)
     order = Window.partitionBy("kind", "anchor", "salt").orderBy("next1", "next2", "size", "fp", "body")
     looked = crowded.withColumn("others", F.array(*[F.lead(F.struct(F.col("body").alias("other"), F.col("fp").alias("other_fp"), F.col("size").alias("other_size")), k).over(order) for k in range(1, NEIGHBOURS + 1)]))

@@ -102,10 +102,11 @@ def edited(rng, text, edits):
     return " ".join(w)
 
 
-@pytest.mark.parametrize("paired", [2, 24])
-def test_near_dedup_finds_what_all_pairs_find(spark, monkeypatch, paired):
+@pytest.mark.parametrize(("paired", "crowd"), [(2, 1000), (24, 1000), (2, 30)])
+def test_near_dedup_finds_what_all_pairs_find(spark, monkeypatch, paired, crowd):
     """Copies with few and with many edits, groups small and large, and a line that all documents share."""
     monkeypatch.setattr(near, "PAIRED", paired)
+    monkeypatch.setattr(near, "CROWD", crowd)
     rng = random.Random(7)
     base = [" ".join(f"w{rng.randrange(3000)}" for _ in range(120)) for _ in range(40)]
     texts = [f"a line that all of the documents share among them {t}" for t in base]
