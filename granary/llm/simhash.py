@@ -19,6 +19,7 @@ text are ignored, so their names cannot clash.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +38,8 @@ PAIRED = 24
 #: Of near-dedup: classes of shingles with an anchor each, bits by which fingerprints may differ, neighbours that are looked at under
 #: an anchor that many share, and members from which these are dealt over 16 groups, by other bits of the fingerprint for each class.
 ANCHORS, WIDE_RADIUS, NEIGHBOURS, CROWD = 8, 20, 3, 1_000
+#: Of its complete join: rows from which frequent shingles are guessed, frequent shingles at most, and members of a block of a shingle's pairs.
+SAMPLED, FREQUENT, BLOCK = 10_000, 200_000, 1_000
 #: Hashes that are counted at a time, which bounds memory for very long texts.
 _BLOCK = 1 << 17
 
@@ -133,28 +136,62 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return rows.join(found, rows["fp"] == found["k"]).select("doc_id", "fingerprint", "component_id")
 
 
-def sketches(rows: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, body, fp, size, anchors): SimHash, number of different shingles, and least shingle hash of each of ``ANCHORS`` classes."""
+def shingle_set(hashes: np.ndarray) -> np.ndarray:
+    """The different shingles of a text in 32 bits, ascending; a text without words has one, zero."""
+    return np.unique(hashes.astype(np.uint64).astype(np.uint32)) if len(hashes) else np.zeros(1, np.uint32)
+
+
+def frequent_shingles(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several of a sample of rows have, ascending, and how many do. They set an order only, which any guess serves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, n = np.unique(np.concatenate([shingle_set(shingle_hashes(text.as_py(), shingle)) for text in batch.column(0)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(n)], ["key", "n"])
+
+    step = max(1, rows.count() // SAMPLED)
+    sample = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(step)) == 0).select(F.coalesce("text", F.lit("")).alias("text"))
+    counted = sample.mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).where("n > 2")
+    table = counted.orderBy(F.desc("n"), "key").limit(FREQUENT).toArrow().sort_by("key")
+    return table.column("key").to_numpy().astype(np.uint32), table.column("n").to_numpy()
+
+
+def prefix_of(own: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The first of a set's shingles, rare ones first: so many that a set as similar as ``similarity`` has one of them among its own first."""
+    keys, counts = frequent
+    often = np.zeros(len(own), np.int64)
+    if len(keys):
+        at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+        often = np.where(keys[at] == own, counts[at], 0)
+    return own[np.argsort(often, kind="stable")[: len(own) - math.ceil(similarity * len(own) - 1e-9) + 1]]
+
+
+def sketches(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(doc_id, body, fp, size, anchors, prefix): SimHash, number of different shingles, least shingle hash of each of ``ANCHORS`` classes,
+    and the shingles by which the complete join meets."""
     ship_package(rows.sparkSession)
     id_type = rows.schema["doc_id"].dataType.simpleString()
+    frequent = rows.sparkSession.sparkContext.broadcast(frequent_shingles(rows, shingle))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, sizes, anchors = [], [], []
+            prints, sizes, anchors, prefixes = [], [], [], []
             for text in batch.column(2):
                 hashes = shingle_hashes(text.as_py(), shingle)
                 prints.append(fingerprint_of(hashes))
                 own = np.unique(hashes.astype(np.uint64)) if len(hashes) else np.zeros(1, np.uint64)
-                sizes.append(len(own))
+                short = shingle_set(hashes)
+                sizes.append(len(short))
+                prefixes.append(prefix_of(short, frequent.value, similarity).astype(np.int32))
                 # By ascending hash: the first of each class is its least.
                 kinds, first = np.unique(own % np.uint64(ANCHORS), return_index=True)
                 of = dict(zip(kinds.tolist(), own[first].astype(np.int64).tolist(), strict=True))
                 anchors.append([of.get(k) for k in range(ANCHORS)])
-            columns = [batch.column(0), batch.column(1), pa.array(np.frombuffer(b"".join(prints), ">i8").astype(np.int64)), pa.array(sizes, pa.int32()), pa.array(anchors, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "body", "fp", "size", "anchors"])
+            columns = [batch.column(0), batch.column(1), pa.array(np.frombuffer(b"".join(prints), ">i8").astype(np.int64)), pa.array(sizes, pa.int32()), pa.array(anchors, pa.list_(pa.int64())), pa.array(prefixes, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "body", "fp", "size", "anchors", "prefix"])
 
     source = rows.select("doc_id", F.xxhash64("text").alias("body"), F.coalesce("text", F.lit("")).alias("text"))
-    return source.mapInArrow(run, f"doc_id {id_type}, body bigint, fp bigint, size int, anchors array<bigint>")
+    return source.mapInArrow(run, f"doc_id {id_type}, body bigint, fp bigint, size int, anchors array<bigint>, prefix array<int>")
 
 
 def likely_pairs(nodes: DataFrame, similarity: float, radius: int = WIDE_RADIUS, paired: int | None = None) -> DataFrame:
@@ -183,13 +220,31 @@ def likely_pairs(nodes: DataFrame, similarity: float, radius: int = WIDE_RADIUS,
     return pairs.unionByName(neighbours.select(F.least("body", "other").alias("a"), F.greatest("body", "other").alias("b"))).distinct()
 
 
+def remaining_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
+    """All pairs (a, b) of nodes (body, root, size, prefix) under different roots that can reach the similarity, and the roots (x, y).
+
+    Two sets that reach it share a shingle of their prefixes, and from the first that they share on, each has as many left as they must
+    have in common. A shingle whose nodes are all under one root is left out before any pair is made; the pairs of the others are made in blocks.
+    """
+    tokens = nodes.select("body", "root", "size", F.posexplode("prefix").alias("at", "token"))
+    mixed = tokens.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("members")).where("low < high")
+    shared = materialize(tokens.join(mixed.select("token", "members"), "token"), "near-tokens")
+    blocks = F.ceil(F.col("members") / BLOCK)
+    shared = shared.select("token", "body", "root", "size", (F.col("size") - F.col("at")).alias("left"), blocks.alias("blocks"), F.pmod(F.xxhash64("body"), blocks).alias("own"))
+    one = shared.select("token", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"), F.col("body").alias("a"), F.col("root").alias("x"), F.col("size").alias("size_a"), F.col("left").alias("left_a"))
+    two = shared.select("token", F.explode(F.sequence(F.lit(0).cast("bigint"), "own")).alias("i"), F.col("own").alias("j"), F.col("body").alias("b"), F.col("root").alias("y"), F.col("size").alias("size_b"), F.col("left").alias("left_b"))
+    enough = F.least("left_a", "left_b") >= F.lit(similarity / (1 + similarity)) * (F.col("size_a") + F.col("size_b")) - 1e-6
+    sized = F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b") - 1e-6
+    return one.join(two, ["token", "i", "j"]).where("x != y AND (i < j OR a < b)").where(enough & sized).select("a", "b", "x", "y").distinct()
+
+
 def alike(rows: DataFrame, candidates: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The candidates (a, b) whose sets of shingles have a Jaccard similarity of at least ``similarity``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(shingle_hashes(text.as_py(), shingle).astype(np.uint64).astype(np.uint32)).astype(np.int32) for text in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x if len(x) else np.zeros(1, np.int32) for x in sets], pa.list_(pa.int32()))], ["body", "shingles"])
+            sets = [shingle_set(shingle_hashes(text.as_py(), shingle)).astype(np.int32) for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int32()))], ["body", "shingles"])
 
     asked = materialize(candidates.select(F.explode(F.array("a", "b")).alias("asked")).distinct(), "near-asked")
     texts = rows.select(F.xxhash64("text").alias("body"), F.coalesce("text", F.lit("")).alias("text")).join(broadcast_small(asked), F.col("body") == F.col("asked"), "left_semi")
@@ -204,15 +259,16 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` without all but one document of each group of near-duplicates: the one with the least id stays.
 
     Documents are near-duplicates if their sets of shingles have a Jaccard similarity of at least ``similarity``, and groups are what such
-    pairs connect. At that similarity fingerprints may differ in a dozen bits, too many for an index on the fingerprint alone, so candidates
-    come from the pigeonring (two bits) and from shared anchors, least shingle hashes, of which the pair has one in common but for a chance of
-    (1 - similarity) to the power of ``ANCHORS``. Fingerprints prune them, and the shingles themselves decide.
+    pairs connect. At that similarity fingerprints may differ in a dozen bits, too many for an index on the fingerprint alone. So links are
+    sought twice, and the shingles themselves decide each time. First come cheap candidates, from the pigeonring (two bits) and from shared
+    anchors, least shingle hashes, pruned by fingerprints; they connect most groups, but not all. Then a join on prefixes of the sets of shingles
+    meets every pair that can reach the similarity and that isn't connected yet, so nothing is lost by the size of a group.
 
     Of rows that agree in id and text one stays. A document with a null id stays only if its whole group has none.
     """
     rows = packed(docs, id_col, text_col)
-    known = materialize(sketches(rows, shingle), "near-sketches")
-    nodes = known.groupBy("body").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.min("size").alias("size"), F.min("anchors").alias("anchors"))
+    known = materialize(sketches(rows, shingle, similarity), "near-sketches")
+    nodes = known.groupBy("body").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.min("size").alias("size"), F.min("anchors").alias("anchors"), F.min("prefix").alias("prefix"))
     nodes = materialize(nodes, "near-nodes")
     # Equal fingerprints are one point of the ring; its texts are chained, and the chain is as good as all their pairs.
     chain = nodes.select(F.col("body").alias("a"), F.lead("body").over(Window.partitionBy("fp").orderBy("body")).alias("b")).where("b IS NOT NULL")
@@ -222,7 +278,12 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     candidates = likely_pairs(nodes, similarity).unionByName(ring).unionByName(chain.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
     links = alike(rows, materialize(candidates, "near-candidates"), shingle, similarity)
     roots = connected_components(links)
-    rooted = nodes.join(roots, nodes["body"] == roots["node"], "left").select("body", "least", F.coalesce("root", "body").alias("root"))
+    rooted = nodes.join(roots, nodes["body"] == roots["node"], "left").select("body", "least", "size", "prefix", F.coalesce("root", "body").alias("root"))
+    rooted = materialize(rooted, "near-rooted")
+    others = materialize(remaining_pairs(rooted, similarity), "near-remaining")
+    more = alike(rows, others.select("a", "b"), shingle, similarity).join(others, ["a", "b"]).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    last = connected_components(more)
+    rooted = rooted.select("body", "least", "root").join(last.select("node", F.col("root").alias("last")), F.col("root") == F.col("node"), "left").select("body", "least", F.coalesce("last", "root").alias("root"))
     reach = rooted.groupBy("root").agg(F.min("least").alias("stays"))
     found = materialize(rooted.join(reach, "root").select(F.col("body").alias("k"), "stays"), "near-groups")
     gone = known.join(found, known["body"] == found["k"]).where(~F.col("doc_id").eqNullSafe(F.col("stays"))).select(F.col("doc_id").alias("gone_id")).distinct()

@@ -118,6 +118,26 @@ def test_near_dedup_finds_what_all_pairs_find(spark, monkeypatch, paired, crowd)
     assert kept == {i for i, least in near_groups(dict(zip(ids, texts, strict=True))).items() if i == least}
 
 
+def test_near_dedup_finds_stars_of_copies(spark):
+    """Copies that were edited each on its own reach the similarity with the original only."""
+    rng = random.Random(11)
+    stars = [" ".join(f"w{rng.randrange(9000)}" for _ in range(200)) for _ in range(2)]
+    texts = [edited(rng, t, 3) for t, copies in zip(stars, (400, 60), strict=True) for _ in range(copies)] + stars + ODD
+    ids = list(range(len(texts)))
+    rng.shuffle(ids)
+    kept = {r["doc_id"] for r in near.near_dedup(docs_of(spark, texts, ids)).collect()}
+    least = near_groups(dict(zip(ids, texts, strict=True)))
+    assert kept == {i for i in ids if least[i] == i}
+    assert len({least[i] for i in ids[:460]}) == 2
+
+
+def test_near_dedup_blocks_meet_every_pair(spark, monkeypatch):
+    monkeypatch.setattr(near, "BLOCK", 3)
+    nodes = [(k, k, 10, [5, 100 + k]) for k in range(20)] + [(50, 50, 40, [5]), (60, 60, 10, [7]), (61, 60, 10, [7])]
+    found = near.remaining_pairs(spark.createDataFrame(nodes, "body long, root long, size int, prefix array<int>"), 0.8).collect()
+    assert sorted(tuple(sorted((r["a"], r["b"]))) for r in found) == [(a, b) for a in range(20) for b in range(a + 1, 20)]
+
+
 @pytest.mark.parametrize("paired", [2, 24])
 def test_pigeonring_links_connect_all_within_two_bits(spark, paired):
     rng = random.Random(paired)
