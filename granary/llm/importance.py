@@ -4,7 +4,8 @@ Two generative models of hashed n-grams (words, their shapes, and pairs of eithe
 one of the target texts (labelled good and not toxic), one of the raw texts (all documents). A document's log importance
 weight is the mean over its n-grams of log target probability less log raw probability; the mean, with ``PRIOR`` n-grams of
 weight zero added, keeps long texts from outweighing short ones. Adding independent Gumbel noise (times ``TEMPERATURE``) to
-the log weights and taking the k largest draws k documents without replacement, in proportion to their weights.
+the log weights and taking the k largest draws k documents without replacement, in proportion to their weights to the power 1 / ``TEMPERATURE``.
+At 0.002 (power 500) that is in effect the plain cut: only documents very near to it can change sides.
 
 ``k`` is the number of documents whose weight reaches the cut that best tells good from bad labels in a half of
 the labelled sample that the target model has not seen. The noise is drawn from a hash of the id, so a run can be repeated. The k-th
