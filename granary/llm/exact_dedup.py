@@ -8,7 +8,7 @@ anywhere and passes straight through; the others, the possibly repeated ones, sh
 (id, digest) pairs, never with their texts. The texts are read once.
 
 The filter is broadcast when its counted rows stay within ``BROADCAST_ROWS``; beyond that the same test
-runs as a shuffled join, which Spark splits where it is skewed.
+runs as a shuffled join, which Spark splits where it is skewed; there every row shuffles, those that pass straight through too.
 
 Texts are equal when they agree after each run of white space is replaced by one space; equality is
 decided by the SHA-256 of that form.
