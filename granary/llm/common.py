@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import shutil
 import tempfile
 import uuid
@@ -18,10 +19,12 @@ _own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, else a local one of this application (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, in local mode a folder of this application; a cluster without it is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         own = spark.sparkContext.applicationId
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if own not in _own_dirs:
             _own_dirs[own] = "file://" + tempfile.mkdtemp(prefix="granary-")
         path = _own_dirs[own]
@@ -83,10 +86,63 @@ def broadcast_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def text_digest(text: str | Column = "text") -> Column:
+    """128 bits of a text, null as empty: with the id, what tells rows apart, also those with null or repeated ids."""
+    return F.unhex(F.md5(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")).cast("binary")))
+
+
 def packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(row, doc_id, text): the whole row as one struct beside its id and text, so that its other columns' names cannot clash."""
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    """(row, doc_id, digest): the whole row as one struct, so that its other columns' names cannot clash, beside its id and its text's digest.
+
+    A join on the two carries each text once, in its row.
+    """
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("doc_id"), text_digest(F.col(f"`{text_col}`")).alias("digest"))
 
 
 def unpacked(df: DataFrame) -> DataFrame:
     return df.select("row.*")
+
+
+#: Bits of a filter for each key that it holds, and bits of a filter at most (32 MB).
+KEY_BITS, MOST_BITS = 16, 1 << 28
+_WORD = 1 << 15  # bits of one bitmap of Spark's
+
+
+def with_maybe(rows: DataFrame, hash_of: Column, keys: DataFrame, key_hash: Column, n: int) -> DataFrame:
+    """Add ``maybe``: false only for rows whose hash none of the ``n`` keys has. A Bloom filter of bounded size is broadcast; no row shuffles."""
+    bits = min(MOST_BITS, max(_WORD, n * KEY_BITS))
+    place = lambda h: F.pmod(h, F.lit(bits))
+    at = keys.select(place(key_hash).alias("p")).select(F.expr(f"p div {_WORD}").alias("filter_word"), (F.col("p") % _WORD).alias("bit"))
+    words = at.groupBy("filter_word").agg(F.bitmap_construct_agg("bit").alias("filter_bits"))
+    own = rows.withColumn("filter_place", place(hash_of))
+    tested = own.join(F.broadcast(words), F.expr(f"filter_place div {_WORD}") == F.col("filter_word"), "left")
+    octet = F.conv(F.hex(F.expr(f"substring(filter_bits, cast((filter_place % {_WORD}) div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    maybe = F.coalesce(octet.bitwiseAND(F.expr("shiftleft(1, cast(filter_place % 8 as int))")) != 0, F.lit(False))
+    return tested.withColumn("maybe", maybe).drop("filter_place", "filter_word", "filter_bits")
+
+
+def without(rows: DataFrame, gone: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``rows`` (row, doc_id, digest) without those in ``gone`` (gone_id, gone_digest), which should be cheap to read.
+
+    Small tables are broadcast. Of larger ones a filter is, and only rows that it lets through shuffle.
+    """
+    same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("digest") == F.col("gone_digest"))
+    n = gone.count()
+    if n <= broadcast_rows:
+        return rows.join(F.broadcast(gone), same, "left_anti")
+    tested = with_maybe(rows, F.xxhash64("doc_id", "digest"), gone, F.xxhash64("gone_id", "gone_digest"), n)
+    return tested.where("NOT maybe").drop("maybe").unionByName(tested.where("maybe").drop("maybe").join(gone, same, "left_anti"))
+
+
+def marked(rows: DataFrame, keys: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``rows`` (doc_id, digest, ...) with the columns of ``keys`` (key_id, key_digest, ...) where they agree, else nulls; ``keys`` should be cheap to read.
+
+    As with :func:`without`, only rows that a filter lets through shuffle if the table is too large for a broadcast.
+    """
+    same = F.col("doc_id").eqNullSafe(F.col("key_id")) & (F.col("digest") == F.col("key_digest"))
+    n = keys.count()
+    if n <= broadcast_rows:
+        return rows.join(F.broadcast(keys), same, "left").drop("key_id", "key_digest")
+    tested = with_maybe(rows, F.xxhash64("doc_id", "digest"), keys, F.xxhash64("key_id", "key_digest"), n)
+    met = tested.where("maybe").join(keys, same, "left").drop("maybe", "key_id", "key_digest")
+    return met.unionByName(tested.where("NOT maybe").drop("maybe"), allowMissingColumns=True)

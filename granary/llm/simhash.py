@@ -25,21 +25,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.llm.common import broadcast_small, materialize, packed, ship_package, unpacked
+from granary.llm.common import BROADCAST_ROWS, materialize, packed, ship_package, text_digest, unpacked, with_maybe, without
 from granary.llm.components import connected_components
 
 BITS, SEGMENTS, RADIUS = 64, 16, 2
 SEED = 42
 #: Fingerprints in a bucket up to which its pairs are compared; larger buckets link by one-bit neighbours.
 PAIRED = 24
-#: Of near-dedup: classes of shingles with an anchor each, bits by which fingerprints may differ, neighbours that are looked at under
-#: an anchor that many share, and members from which these are dealt over 16 groups, by other bits of the fingerprint for each class.
-ANCHORS, WIDE_RADIUS, NEIGHBOURS, CROWD = 8, 20, 3, 1_000
-#: Of its complete join: rows from which frequent shingles are guessed, frequent shingles at most, and members of a block of a shingle's pairs.
-SAMPLED, FREQUENT, BLOCK = 10_000, 200_000, 1_000
+#: Of near-dedup: rows from which frequent shingles are guessed, frequent shingles at most, tokens by which a node looks for a leader, and
+#: members of a block of a shingle's pairs.
+SAMPLED, FREQUENT, LED, BLOCK = 4_000, 200_000, 8, 1_000
 #: Hashes that are counted at a time, which bounds memory for very long texts.
 _BLOCK = 1 << 17
 
@@ -137,8 +136,8 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def shingle_set(hashes: np.ndarray) -> np.ndarray:
-    """The different shingles of a text in 32 bits, ascending; a text without words has one, zero."""
-    return np.unique(hashes.astype(np.uint64).astype(np.uint32)) if len(hashes) else np.zeros(1, np.uint32)
+    """The different shingles of a text as signed longs, ascending; a text without words has one, zero."""
+    return np.unique(hashes.astype(np.uint64).view(np.int64)) if len(hashes) else np.zeros(1, np.int64)
 
 
 def frequent_shingles(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -147,112 +146,204 @@ def frequent_shingles(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.nda
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             key, n = np.unique(np.concatenate([shingle_set(shingle_hashes(text.as_py(), shingle)) for text in batch.column(0)]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(n)], ["key", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
 
     step = max(1, rows.count() // SAMPLED)
-    sample = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(step)) == 0).select(F.coalesce("text", F.lit("")).alias("text"))
+    sample = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(step)) == 0).select("text")
     counted = sample.mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).where("n > 2")
-    table = counted.orderBy(F.desc("n"), "key").limit(FREQUENT).toArrow().sort_by("key")
-    return table.column("key").to_numpy().astype(np.uint32), table.column("n").to_numpy()
+    table = counted.orderBy(F.desc("n"), "key").limit(FREQUENT).toArrow()
+    keys, n = table.column("key").to_numpy(), table.column("n").to_numpy()
+    order = np.argsort(keys)
+    return keys[order], n[order]
 
 
-def prefix_of(own: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
-    """The first of a set's shingles, rare ones first: so many that a set as similar as ``similarity`` has one of them among its own first."""
+def prefix_of(own: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """The first of a set's shingles, rare ones first: so many that a set as similar as ``similarity`` has one of them among its own first.
+
+    Also how often each of these is in the sample, zero if it isn't known as frequent. The order is the same for all sets.
+    """
     keys, counts = frequent
     often = np.zeros(len(own), np.int64)
     if len(keys):
         at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
         often = np.where(keys[at] == own, counts[at], 0)
-    return own[np.argsort(often, kind="stable")[: len(own) - math.ceil(similarity * len(own) - 1e-9) + 1]]
+    first = np.argsort(often, kind="stable")[: len(own) - math.ceil(similarity * len(own) - 1e-9) + 1]
+    return own[first], often[first]
 
 
 def sketches(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(doc_id, body, fp, size, anchors, prefix): SimHash, number of different shingles, least shingle hash of each of ``ANCHORS`` classes,
-    and the shingles by which the complete join meets."""
+    """(rid, doc_id, digest, fp, size, rare, last, prefix) of rows (doc_id, text, digest).
+
+    A number for each row, SimHash, number of different shingles, and the shingles by which the complete join meets, the ``rare`` ones first;
+    ``last`` is how often the last one is in the sample.
+    """
     ship_package(rows.sparkSession)
     id_type = rows.schema["doc_id"].dataType.simpleString()
     frequent = rows.sparkSession.sparkContext.broadcast(frequent_shingles(rows, shingle))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            prints, sizes, anchors, prefixes = [], [], [], []
-            for text in batch.column(2):
+            prints, sizes, rare, last, prefixes = [], [], [], [], []
+            for text in batch.column(1):
                 hashes = shingle_hashes(text.as_py(), shingle)
+                own = shingle_set(hashes)
+                first, often = prefix_of(own, frequent.value, similarity)
                 prints.append(fingerprint_of(hashes))
-                own = np.unique(hashes.astype(np.uint64)) if len(hashes) else np.zeros(1, np.uint64)
-                short = shingle_set(hashes)
-                sizes.append(len(short))
-                prefixes.append(prefix_of(short, frequent.value, similarity).astype(np.int32))
-                # By ascending hash: the first of each class is its least.
-                kinds, first = np.unique(own % np.uint64(ANCHORS), return_index=True)
-                of = dict(zip(kinds.tolist(), own[first].astype(np.int64).tolist(), strict=True))
-                anchors.append([of.get(k) for k in range(ANCHORS)])
-            columns = [batch.column(0), batch.column(1), pa.array(np.frombuffer(b"".join(prints), ">i8").astype(np.int64)), pa.array(sizes, pa.int32()), pa.array(anchors, pa.list_(pa.int64())), pa.array(prefixes, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "body", "fp", "size", "anchors", "prefix"])
-
-    source = rows.select("doc_id", F.xxhash64("text").alias("body"), F.coalesce("text", F.lit("")).alias("text"))
-    return source.mapInArrow(run, f"doc_id {id_type}, body bigint, fp bigint, size int, anchors array<bigint>, prefix array<int>")
-
-
-def likely_pairs(nodes: DataFrame, similarity: float, radius: int = WIDE_RADIUS, paired: int | None = None) -> DataFrame:
-    """Candidates (a, b) among nodes (body, fp, size, anchors): an anchor in common, sizes and fingerprints that allow the similarity.
-
-    Within an anchor that few nodes have, all pairs are looked at. Where many have it, nodes stand in the order of their next anchors,
-    so that near-duplicates are neighbours, and each looks at the next ``NEIGHBOURS``; it stands in another order under each of its anchors.
+                sizes.append(len(own))
+                rare.append(int((often == 0).sum()))
+                last.append(int(often[-1]))
+                prefixes.append(first)
+            fp = pa.array(np.frombuffer(b"".join(prints), ">i8").astype(np.int64))
+            more = [fp, pa.array(sizes, pa.int32()), pa.array(rare, pa.int32()), pa.array(last, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))]
+            numbers = pa.array(np.arange(row, row + batch.num_rows))
+            row += batch.num_rows
+            yield pa.RecordBatch.from_arrays([numbers, batch.column(0), batch.column(2), *more], ["rid", "doc_id", "digest", "fp", "size", "rare", "last", "prefix"])
+
+    return rows.select("doc_id", "text", "digest").mapInArrow(run, f"rid bigint, doc_id {id_type}, digest binary, fp bigint, size int, rare int, last bigint, prefix array<bigint>")
+
+
+def shared_tokens(nodes: DataFrame, similarity: float) -> DataFrame:
+    """(node, size, end, tokens) of nodes (node, size, rare, last, prefix) that share a token of their prefixes with others: these tokens.
+
+    Of two sets that reach the similarity, the smaller has a shared token so early (``lead``) that it has as many left as the two must
+    share. Tokens known as frequent are not looked up, so no key is hot. Only two longs travel for a token, as these rows are most of what shuffles.
     """
-    paired = PAIRED if paired is None else paired
-    following = lambda k: F.element_at("anchors", (F.col("kind") + k) % ANCHORS + 1)
-    standing = nodes.select("body", "fp", "size", "anchors", F.posexplode("anchors").alias("kind", "anchor")).where("anchor IS NOT NULL")
-    standing = standing.select("kind", "anchor", "body", "fp", "size", following(1).alias("next1"), following(2).alias("next2"))
-    sizes = standing.groupBy("kind", "anchor").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    shared = materialize(standing.join(sizes, ["kind", "anchor"]), "near-anchors")
-
-    near = (F.bit_count(F.col("fp").bitwiseXOR(F.col("other_fp"))) <= radius) & (F.least("size", "other_size") >= similarity * F.greatest("size", "other_size"))
-    small = shared.where(F.col("members") <= paired)
-    other = small.select("kind", "anchor", F.col("body").alias("other"), F.col("fp").alias("other_fp"), F.col("size").alias("other_size"))
-    pairs = small.join(other, ["kind", "anchor"]).where("body < other").where(near).select(F.col("body").alias("a"), F.col("other").alias("b"))
+    key = F.shiftright("token", 16)  # 48 bits: enough to meet by
+    lead = F.col("at") < F.col("size") - F.ceil(F.lit(2 * similarity / (1 + similarity)) * F.col("size") - 1e-9) + 1
+    tokens = nodes.select("node", "size", "rare", F.posexplode("prefix").alias("at", "token"))
+    slim = lambda rows: rows.select(key.alias("token"), (F.col("node") * 2 + lead.cast("int")).alias("mark"))
+    met = slim(tokens.where("at < rare")).withColumn("members", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("members > 1").drop("members")
+    marked = met.unionByName(slim(tokens.where("at >= rare"))).select(F.expr("mark div 2").alias("node"), F.struct((F.col("mark") % 2 == 1).alias("lead"), "token").alias("held"))
+    held = marked.groupBy("node").agg(F.collect_list("held").alias("tokens"))  # a part of one text's prefix
+    facts = nodes.select(F.col("node").alias("k"), "size", F.struct("last", F.element_at("prefix", -1).alias("token")).alias("end"))
+    return held.join(facts, F.col("node") == F.col("k")).select("node", "size", "end", "tokens")
 
-    salt = F.when(F.col("members") > CROWD, F.expr("shiftrightunsigned(fp, kind * 7) & 15")).otherwise(F.lit(0))
-    crowded = shared.where(F.col("members") > paired).withColumn("salt", salt)
-    order = Window.partitionBy("kind", "anchor", "salt").orderBy("next1", "next2", "size", "fp", "body")
-    looked = crowded.withColumn("others", F.array(*[F.lead(F.struct(F.col("body").alias("other"), F.col("fp").alias("other_fp"), F.col("size").alias("other_size")), k).over(order) for k in range(1, NEIGHBOURS + 1)]))
-    neighbours = looked.select("body", "fp", "size", F.inline("others")).where("other IS NOT NULL").where(near)
-    return pairs.unionByName(neighbours.select(F.least("body", "other").alias("a"), F.greatest("body", "other").alias("b"))).distinct()
 
+def fits(a: str, b: str, similarity: float):
+    """Whether two sizes allow the similarity."""
+    return F.least(a, b) >= similarity * F.greatest(a, b) - 1e-6
 
-def remaining_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
-    """All pairs (a, b) of nodes (body, root, size, prefix) under different roots that can reach the similarity, and the roots (x, y).
 
-    Two sets that reach it share a shingle of their prefixes, and from the first that they share on, each has as many left as they must
-    have in common. A shingle whose nodes are all under one root is left out before any pair is made; the pairs of the others are made in blocks.
+def leader_pairs(held: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): each node and, of the leaders of its ``LED`` least tokens, the one that it shares most of them with.
+
+    A token's leader is the node with the largest share of tokens that others have, too: copies have tokens of their own where they
+    were edited, and their original has none. So this is linear, and connects most of a group, even where its copies are like the original only.
     """
-    tokens = nodes.select("body", "root", "size", F.posexplode("prefix").alias("at", "token"))
-    mixed = tokens.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("members")).where("low < high")
-    shared = materialize(tokens.join(mixed.select("token", "members"), "token"), "near-tokens")
-    blocks = F.ceil(F.col("members") / BLOCK)
-    shared = shared.select("token", "body", "root", "size", (F.col("size") - F.col("at")).alias("left"), blocks.alias("blocks"), F.pmod(F.xxhash64("body"), blocks).alias("own"))
-    one = shared.select("token", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"), F.col("body").alias("a"), F.col("root").alias("x"), F.col("size").alias("size_a"), F.col("left").alias("left_a"))
-    two = shared.select("token", F.explode(F.sequence(F.lit(0).cast("bigint"), "own")).alias("i"), F.col("own").alias("j"), F.col("body").alias("b"), F.col("root").alias("y"), F.col("size").alias("size_b"), F.col("left").alias("left_b"))
-    enough = F.least("left_a", "left_b") >= F.lit(similarity / (1 + similarity)) * (F.col("size_a") + F.col("size_b")) - 1e-6
-    sized = F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b") - 1e-6
-    return one.join(two, ["token", "i", "j"]).where("x != y AND (i < j OR a < b)").where(enough & sized).select("a", "b", "x", "y").distinct()
+    support = (F.size("tokens") / F.col("size")).alias("support")
+    few = F.slice(F.array_sort("tokens.token"), 1, LED)
+    backed = held.select("node", "size", support, F.explode(few).alias("token"))
+    rank = F.struct("support", (-F.col("node")).alias("order"), "size")
+    leaders = backed.groupBy("token").agg(F.max(rank).alias("leader")).select("token", (-F.col("leader.order")).alias("leader"), F.col("leader.size").alias("leader_size"))
+    led = backed.select("token", "node", "size").join(leaders, "token").where(F.col("node") != F.col("leader")).where(fits("size", "leader_size", similarity))
+    met = led.groupBy("node", "leader").agg(F.count(F.lit(1)).alias("n"))
+    best = met.groupBy("node").agg(F.max(F.struct("n", (-F.col("leader")).alias("order"))).alias("best"))
+    return best.select(F.col("node").alias("a"), (-F.col("best.order")).alias("b"))
 
 
-def alike(rows: DataFrame, candidates: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The candidates (a, b) whose sets of shingles have a Jaccard similarity of at least ``similarity``."""
+def remaining_pairs(held: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, x, y): pairs of nodes under different roots x and y, among them all that reach the similarity.
+
+    A token whose nodes are all under one root is left out before any pair is made; the pairs of the others are made in blocks.
+    """
+    rooted = held.select("node", "size", "tokens").join(roots.select(F.col("node").alias("k"), "root"), F.col("node") == F.col("k"), "left")
+    tokens = rooted.select("node", "size", F.coalesce("root", "node").alias("root"), F.inline("tokens"))
+    mixed = tokens.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("members"), F.count_if("lead").alias("leads"))
+    mixed = mixed.where("low < high AND leads > 0").select("token", F.ceil(F.col("members") / BLOCK).alias("across"), F.ceil(F.col("leads") / BLOCK).alias("down"))
+    dealt = tokens.join(mixed, "token")
+    number = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+    named = lambda k, root, size: [F.col("node").alias(k), F.col("root").alias(root), F.col("size").alias(size)]
+    one = dealt.where("lead").select("token", number("down").alias("i"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("across") - 1)).alias("j"), *named("a", "x", "size_a"))
+    two = dealt.select("token", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("down") - 1)).alias("i"), number("across").alias("j"), *named("b", "y", "size_b"))
+    smaller = (F.col("size_a") < F.col("size_b")) | ((F.col("size_a") == F.col("size_b")) & (F.col("a") < F.col("b")))
+    met = one.join(two, ["token", "i", "j"]).where("x != y").where(smaller & fits("size_a", "size_b", similarity))
+    return met.select("a", "b", "x", "y").distinct()
+
+
+def hopeful(pairs: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) that can reach the similarity, with ``n``, the number of tokens that their prefixes share.
+
+    Of the two prefixes one ends first in the common order; beyond its end two sets share no more than what its set has left.
+    """
+    named = lambda side: [F.col("tokens.token").alias(f"tokens_{side}"), *[F.col(c).alias(f"{c}_{side}") for c in ("size", "end")]]
+    both = pairs.join(held.select(F.col("node").alias("a"), *named("a")), "a").join(held.select(F.col("node").alias("b"), *named("b")), "b")
+    counted = both.withColumn("n", F.size(F.array_intersect("tokens_a", "tokens_b")))
+    rest = F.ceil(F.lit(similarity) * F.when(F.col("end_a") < F.col("end_b"), F.col("size_a")).otherwise(F.col("size_b")) - 1e-9) - 1
+    enough = F.col("n") + rest >= F.lit(similarity / (1 + similarity)) * (F.col("size_a") + F.col("size_b")) - 1e-6
+    return counted.where(enough & fits("size_a", "size_b", similarity)).select(*pairs.columns, "n")
+
+
+def alike(source: DataFrame, copies: DataFrame, candidates: DataFrame, shingle: int, similarity: float, repeated: bool) -> DataFrame:
+    """The candidates (a, b) whose sets of shingles have a Jaccard similarity of at least ``similarity``.
+
+    Texts come from ``source`` (doc_id, text, digest) by the least id of each node's copies; with ``repeated`` several rows may agree in both.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(shingle_hashes(text.as_py(), shingle)).astype(np.int32) for text in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int32()))], ["body", "shingles"])
-
-    asked = materialize(candidates.select(F.explode(F.array("a", "b")).alias("asked")).distinct(), "near-asked")
-    texts = rows.select(F.xxhash64("text").alias("body"), F.coalesce("text", F.lit("")).alias("text")).join(broadcast_small(asked), F.col("body") == F.col("asked"), "left_semi")
-    sets = materialize(texts.groupBy("body").agg(F.min("text").alias("text")).mapInArrow(run, "body bigint, shingles array<int>"), "near-shingles")
-    left = sets.select(F.col("body").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("body").alias("b"), F.col("shingles").alias("y"))
+            sets = [shingle_set(shingle_hashes(text.as_py(), shingle)).view(np.int64) for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+
+    asked = candidates.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    asked = materialize(copies.join(asked, "node").select("node", F.col("digest").alias("k"), F.col("least.doc_id").alias("k_id")), "near-asked")
+    n = asked.count()
+    same = (F.col("digest") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("k_id"))
+    if n > BROADCAST_ROWS:
+        source = with_maybe(source, F.xxhash64("doc_id", "digest"), asked, F.xxhash64("k_id", "k"), n).where("maybe")
+    texts = source.join(F.broadcast(asked) if n <= BROADCAST_ROWS else asked, same).select("node", "text")
+    sets = texts.mapInArrow(run, "node bigint, shingles array<bigint>")
+    sets = materialize(sets.dropDuplicates(["node"]) if repeated else sets, "near-shingles")
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
-    return candidates.join(left, "a").join(right, "b").where(both >= similarity * (F.size("x") + F.size("y") - both)).select("a", "b")
+    return candidates.select("a", "b").join(left, "a").join(right, "b").where(both >= similarity * (F.size("x") + F.size("y") - both) - 1e-9).select("a", "b")
+
+
+def joined_roots(roots: DataFrame, source: DataFrame, copies: DataFrame, tried: DataFrame, shingle: int, similarity: float, repeated: bool) -> DataFrame:
+    """(node, root) after the alike among the pairs (a, b) have joined their roots x and y."""
+    more = alike(source, copies, tried, shingle, similarity, repeated).join(tried, ["a", "b"])
+    links = more.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    return materialize(connected_components(links), "near-roots")
+
+
+def near_groups(source: DataFrame, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame, bool]:
+    """Groups of rows (doc_id, text, digest): (known, copies, roots, repeated).
+
+    ``known`` has a row for each row, ``copies`` one for each different text with its node, ``roots`` (node, root) of the nodes that
+    are linked to others, and ``repeated`` tells whether rows agree in id and text.
+    """
+    known = materialize(sketches(source, shingle, similarity), "near-sketches")
+    repeated = bool(known.groupBy("doc_id", "digest").count().where("count > 1").head(1))
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id")
+    copies = known.groupBy("digest").agg(F.min("rid").alias("node"), F.min(order).alias("least"), F.count(F.lit(1)).alias("rows"))
+    copies = materialize(copies, "near-copies")
+    several = copies.where("rows > 1").select(F.col("digest").alias("k"))
+    tested = with_maybe(known, F.xxhash64("digest"), several, F.xxhash64("k"), several.count()).withColumnRenamed("rid", "node")
+    nodes = tested.where("NOT maybe").unionByName(tested.where("maybe").join(copies.select("node"), "node", "left_semi"))
+    held = materialize(shared_tokens(nodes, similarity), "near-held")
+
+    # Within two bits: nodes with one fingerprint link to the least of them, and these by the ring. Nodes that share no token can't be alike.
+    prints = materialize(nodes.select("node", "fp").join(held.select("node"), "node", "left_semi"), "near-prints")
+    points = materialize(prints.groupBy("fp").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")), "near-points")
+    stars = prints.join(points.where("n > 1"), "fp").where("node != first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    named = lambda fp, node: points.select(F.col("fp").alias(fp), F.col("first").alias(node))
+    ring = pigeonring_links(points.select("fp")).join(named("a", "x"), "a").join(named("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    pairs = stars.unionByName(ring).unionByName(leader_pairs(held, similarity)).distinct()
+    found = alike(source, copies, materialize(hopeful(pairs, held, similarity), "near-pairs"), shingle, similarity, repeated)
+    roots = materialize(connected_components(found), "near-roots")
+
+    # What is still apart: first the best pair of each two roots, then every other pair of roots that are apart even then.
+    others = materialize(hopeful(remaining_pairs(held, roots, similarity), held, similarity), "near-remaining")
+    if others.head(1):
+        tried = others.groupBy("x", "y").agg(F.max(F.struct("n", "a", "b")).alias("best")).select("best.a", "best.b", "x", "y")
+        roots = joined_roots(roots, source, copies, materialize(tried, "near-pairs"), shingle, similarity, repeated)
+        to = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+        again = others.join(tried.select("a", "b"), ["a", "b"], "left_anti").join(to("x"), "x", "left").join(to("y"), "y", "left")
+        again = materialize(again.select("a", "b", F.coalesce("x_root", "x").alias("x"), F.coalesce("y_root", "y").alias("y")).where("x != y"), "near-remaining")
+        if again.head(1):
+            roots = joined_roots(roots, source, copies, again, shingle, similarity, repeated)
+    return known, copies, roots, repeated
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -260,35 +351,31 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Documents are near-duplicates if their sets of shingles have a Jaccard similarity of at least ``similarity``, and groups are what such
     pairs connect. At that similarity fingerprints may differ in a dozen bits, too many for an index on the fingerprint alone. So links are
-    sought twice, and the shingles themselves decide each time. First come cheap candidates, from the pigeonring (two bits) and from shared
-    anchors, least shingle hashes, pruned by fingerprints; they connect most groups, but not all. Then a join on prefixes of the sets of shingles
+    sought in steps, and the shingles themselves (64-bit hashes) decide each time. First come cheap candidates, from the pigeonring (two bits)
+    and from the leaders of shared shingles; they connect most groups. Then a join on prefixes of the sets of shingles
     meets every pair that can reach the similarity and that isn't connected yet, so nothing is lost by the size of a group.
 
-    Of rows that agree in id and text one stays. A document with a null id stays only if its whole group has none.
+    Rows are told apart by id and text, so null and repeated ids don't pull other documents along. Null ids come last in the order; of several
+    rows of a group that have its least id, or no id, the one with the least digest stays. Of rows that agree in id and text one stays. A null
+    text counts as empty. An empty table gives an empty result; other columns pass, whatever their names.
     """
-    rows = packed(docs, id_col, text_col)
-    known = materialize(sketches(rows, shingle, similarity), "near-sketches")
-    nodes = known.groupBy("body").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.min("size").alias("size"), F.min("anchors").alias("anchors"), F.min("prefix").alias("prefix"))
-    nodes = materialize(nodes, "near-nodes")
-    # Equal fingerprints are one point of the ring; its texts are chained, and the chain is as good as all their pairs.
-    chain = nodes.select(F.col("body").alias("a"), F.lead("body").over(Window.partitionBy("fp").orderBy("body")).alias("b")).where("b IS NOT NULL")
-    points = nodes.groupBy("fp").agg(F.min("body").alias("body"))
-    ring = pigeonring_links(points.select("fp"))
-    ring = ring.join(points.select(F.col("fp").alias("a"), F.col("body").alias("x")), "a").join(points.select(F.col("fp").alias("b"), F.col("body").alias("y")), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    candidates = likely_pairs(nodes, similarity).unionByName(ring).unionByName(chain.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
-    links = alike(rows, materialize(candidates, "near-candidates"), shingle, similarity)
-    roots = connected_components(links)
-    rooted = nodes.join(roots, nodes["body"] == roots["node"], "left").select("body", "least", "size", "prefix", F.coalesce("root", "body").alias("root"))
-    rooted = materialize(rooted, "near-rooted")
-    others = materialize(remaining_pairs(rooted, similarity), "near-remaining")
-    more = alike(rows, others.select("a", "b"), shingle, similarity).join(others, ["a", "b"]).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    last = connected_components(more)
-    rooted = rooted.select("body", "least", "root").join(last.select("node", F.col("root").alias("last")), F.col("root") == F.col("node"), "left").select("body", "least", F.coalesce("last", "root").alias("root"))
-    reach = rooted.groupBy("root").agg(F.min("least").alias("stays"))
-    found = materialize(rooted.join(reach, "root").select(F.col("body").alias("k"), "stays"), "near-groups")
-    gone = known.join(found, known["body"] == found["k"]).where(~F.col("doc_id").eqNullSafe(F.col("stays"))).select(F.col("doc_id").alias("gone_id")).distinct()
-    gone = materialize(gone, "near-gone")
-    total, distinct = rows.agg(F.count(F.lit(1)), F.count_distinct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).first()
-    if total != distinct:
-        rows = rows.dropDuplicates(["doc_id", "text"])
-    return unpacked(rows.join(broadcast_small(gone), F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti"))
+    source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), text_digest(F.col(text_col)).alias("digest"))
+    known, copies, roots, repeated = near_groups(source, shingle, similarity)
+    linked = copies.join(roots.select(F.col("node").alias("k"), "root"), F.col("node") == F.col("k"), "left")
+    order = F.struct("least.no_id", "least.doc_id", "digest")
+    reach = linked.where("root IS NOT NULL").groupBy("root").agg(F.min(order).alias("stays")).withColumnRenamed("root", "r")
+    settled = linked.where("root IS NOT NULL OR rows > 1").join(reach, F.col("root") == F.col("r"), "left").select(F.col("digest").alias("k"), F.coalesce("stays", order).alias("stays"))
+    settled = materialize(settled, "near-settled")
+    own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")
+    gone = known.select("doc_id", "digest").join(settled, F.col("digest") == F.col("k")).where(own != F.col("stays"))
+    gone = materialize(gone.select(F.col("doc_id").alias("gone_id"), F.col("digest").alias("gone_digest")).distinct(), "near-gone")
+    kept = without(packed(docs, id_col, text_col), gone)
+    return unpacked(one_of_each(kept, known) if repeated else kept)
+
+
+def one_of_each(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """``rows`` (row, doc_id, digest) with one of those that agree in id and digest; only these shuffle."""
+    several = known.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("gone_id"), F.col("digest").alias("gone_digest"))
+    several = materialize(several, "near-repeated")
+    tested = with_maybe(rows, F.xxhash64("doc_id", "digest"), several, F.xxhash64("gone_id", "gone_digest"), several.count())
+    return tested.where("NOT maybe").drop("maybe").unionByName(tested.where("maybe").drop("maybe").dropDuplicates(["doc_id", "digest"]))
