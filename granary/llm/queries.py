@@ -37,7 +37,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return importance.importance(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("text_hash")
+    return importance.importance(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("digest")
 
 
 def op7_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,22 +69,26 @@ OP5_SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, text FROM documents
 ), l AS (
-  SELECT rid, doc_id, pos, line, ('0x' || substr(md5(line), 1, 8))::BIGINT AS h
+  SELECT rid, doc_id, pos, line, ('0x' || substr(md5(line), 1, 8))::BIGINT AS h, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words
   FROM (SELECT rid, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d WHERE text IS NOT NULL)
 ), r AS (
-  SELECT *, ((coalesce(lag(h) OVER w, 0) % 2147483647) * 31 + h) % 2147483647 AS roll FROM l WINDOW w AS (PARTITION BY rid ORDER BY pos)
-), s AS (
-  SELECT *, length(line) - length(replace(line, ' ', '')) >= 40 AS long FROM r
+  SELECT *, ((coalesce(lag(h) OVER w, 0) % 2147483647) * 31 + h) % 2147483647 AS roll, sum(words) OVER w AS upto FROM l WINDOW w AS (PARTITION BY rid ORDER BY pos)
 ), b AS (
-  SELECT *, (roll < coalesce(lag(roll) OVER w, 2147483647) AND roll < coalesce(lead(roll) OVER w, -1)) OR long OR coalesce(lead(long) OVER w, false) AS cut FROM s WINDOW w AS (PARTITION BY rid ORDER BY pos)
+  SELECT *, roll < coalesce(lag(roll) OVER w, 2147483647) AND roll < coalesce(lead(roll) OVER w, -1) AS cut FROM r WINDOW w AS (PARTITION BY rid ORDER BY pos)
 ), n AS (
   SELECT *, coalesce(sum(cut::INT) OVER (PARTITION BY rid ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk_no FROM b
 ), c AS (
-  SELECT rid, doc_id, chunk_no, count(*) AS lines, count(*) > 1 OR bool_or(long) AS whole, string_agg(line, chr(10) ORDER BY pos) AS chunk FROM n GROUP BY rid, doc_id, chunk_no
-), k AS (
-  SELECT *, whole AND row_number() OVER (PARTITION BY chunk, whole ORDER BY doc_id, rid, chunk_no) > 1 AS gone FROM c
+  SELECT rid, doc_id, min(pos) AS spot, count(*) AS lines, string_agg(line, chr(10) ORDER BY pos) AS piece FROM n GROUP BY rid, doc_id, chunk_no HAVING count(*) > 1
+), e AS (
+  SELECT x.rid, x.doc_id, x.pos AS spot, min(y.pos) AS stop FROM r x JOIN r y ON x.rid = y.rid AND y.pos BETWEEN x.pos AND x.pos + 63 AND y.upto - x.upto + x.words > 50 GROUP BY x.rid, x.doc_id, x.pos
+), s AS (
+  SELECT e.rid, e.doc_id, e.spot, e.stop - e.spot + 1 AS lines, string_agg(l.line, chr(10) ORDER BY l.pos) AS piece FROM e JOIN l ON l.rid = e.rid AND l.pos BETWEEN e.spot AND e.stop GROUP BY e.rid, e.doc_id, e.spot, e.stop
+), f AS (
+  SELECT *, first_value(rid) OVER w AS first_rid, first_value(spot + lines) OVER w AS first_end FROM (SELECT * FROM c UNION SELECT * FROM s) WINDOW w AS (PARTITION BY piece ORDER BY doc_id, rid, spot, lines)
+), g AS (
+  SELECT DISTINCT l.rid, l.pos FROM f JOIN l ON l.rid = f.rid AND l.pos BETWEEN f.spot AND f.spot + f.lines - 1 WHERE f.first_rid <> f.rid OR f.first_end <= f.spot
 ), t AS (
-  SELECT rid, coalesce(string_agg(chunk, chr(10) ORDER BY chunk_no) FILTER (WHERE NOT gone), '') AS text, sum(CASE WHEN gone THEN lines ELSE 0 END) AS lines_removed FROM k GROUP BY rid
+  SELECT l.rid, coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE g.rid IS NULL), '') AS text, count(g.rid) AS lines_removed FROM l LEFT JOIN g ON l.rid = g.rid AND l.pos = g.pos GROUP BY l.rid
 )
 SELECT d.doc_id, coalesce(t.lines_removed, 0)::BIGINT AS lines_removed, length(coalesce(t.text, '')) AS n_chars, sha256(coalesce(t.text, '')) AS text_sha256
 FROM d LEFT JOIN t USING (rid)
