@@ -1,5 +1,7 @@
 """Small documents and plain Python versions of what the operators compute."""
 
+import re
+
 from pyspark.sql import types as T
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType())])
@@ -52,39 +54,46 @@ def simhash(text, n):
     return sum(1 << bit for bit in range(64) if 2 * sum(h >> bit & 1 for h in hashes) > len(hashes))
 
 
-def chunks(text):
-    """Content-defined chunks of lines, line by line."""
+def pieces(text):
+    """(place, lines) of content-defined chunks of two lines or more, and of the shortest runs of over 50 words, line by line."""
     import hashlib
 
     lines = text.split("\n")
     h = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in lines]
     p = 2147483647
     rolled = [((h[i - 1] if i else 0) % p * 31 + h[i]) % p for i in range(len(h))]
-    out, held = [], []
-    for i, line in enumerate(lines):
-        held.append(line)
+    out, begin = set(), 0
+    for i in range(len(lines)):
         before = rolled[i - 1] if i else p
         after = rolled[i + 1] if i + 1 < len(rolled) else -1
-        if (rolled[i] < before and rolled[i] < after) or line.count(" ") >= 40 or (i + 1 < len(lines) and lines[i + 1].count(" ") >= 40):
-            out.append(held)
-            held = []
-    return ["\n".join(c) for c in ([*out, held] if held else out)]
+        if rolled[i] < before and rolled[i] < after or i + 1 == len(lines):
+            out.add((begin, i + 1 - begin))
+            begin = i + 1
+    out = {(at, n) for at, n in out if n > 1}
+    count = [len(re.findall(r"[^\x20\x09-\x0D]+", x)) for x in lines]
+    for i in range(len(lines)):
+        total = 0
+        for j in range(i, min(len(lines), i + 64)):
+            total += count[j]
+            if total > 50:
+                out.add((i, j + 1 - i))
+                break
+    return sorted(out)
 
 
 def line_dedup(rows):
-    """{id: text} of rows (id, text) with different ids, without redundant chunks."""
-    seen, out = set(), {}
+    """{id: text} of rows (id, text) with different ids, without redundant pieces."""
+    first, out = {}, {}
     for i, text in sorted(rows, key=lambda r: (r[0] is None, r[0])):
         if text is None:
             out[i] = None
             continue
-        kept = []
-        for chunk in chunks(text):
-            if ("\n" in chunk or chunk.count(" ") >= 40) and chunk in seen:
-                continue
-            seen.add(chunk)
-            kept.append(chunk)
-        out[i] = "\n".join(kept)
+        lines, gone = text.split("\n"), set()
+        for at, n in pieces(text):
+            doc, end = first.setdefault("\n".join(lines[at : at + n]), (i, at + n))
+            if doc != i or end <= at:
+                gone |= set(range(at, at + n))
+        out[i] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
     return out
 
 
