@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions.typed import blank, price, quantity, timestamp
@@ -51,13 +51,10 @@ def duplicates_by_month(df: DataFrame) -> DataFrame:
 
 
 def cardinality(df: DataFrame) -> DataFrame:
-    """Distinct values of five columns. One small aggregation for each, as one for all would copy every row five times."""
+    """Distinct values of five columns, from one scan: each task hands on a value once."""
     names = {"customers": "Customer ID", "invoices": "Invoice", "countries": "Country", "stock_codes": "StockCode", "descriptions": "Description"}
-    parts = [df.select(raw(c).alias("value")).where("value IS NOT NULL").distinct().agg(F.lit(n).alias("what"), F.count(F.lit(1)).alias("n")) for n, c in names.items()]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    cells = df.select(F.expr("stack({}, {}) AS (what, value)".format(len(names), ", ".join(f"'{n}', `{c}`" for n, c in names.items()))))
+    return cells.groupBy("what", "value").agg(F.lit(1)).groupBy("what").agg(F.count("value").alias("n"))
 
 
 def numeric_stats(df: DataFrame) -> DataFrame:
@@ -77,35 +74,52 @@ def rows_by_month(df: DataFrame) -> DataFrame:
     return df.groupBy(F.date_format(timestamp(F.col("InvoiceDate")), "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def invoice_kind() -> Column:
+    i = F.col("Invoice")
+    return F.when(i.rlike(r"^\d{6}$"), "normal").when(i.rlike(r"^C\d{6}$"), "cancellation").when(i.rlike(r"^A\d{6}$"), "adjustment").otherwise("other")
+
+
 def invoice_types(df: DataFrame) -> DataFrame:
     """(type, rows, invoices): sales, cancellations, adjustments, others."""
-    i = F.col("Invoice")
-    kind = F.when(i.rlike(r"^\d{6}$"), "normal").when(i.rlike(r"^C\d{6}$"), "cancellation").when(i.rlike(r"^A\d{6}$"), "adjustment").otherwise("other")
-    invoices = df.groupBy(kind.alias("type"), "Invoice").agg(F.count(F.lit(1)).alias("n"))
+    invoices = df.groupBy(invoice_kind().alias("type"), "Invoice").agg(F.count(F.lit(1)).alias("n"))
     return invoices.groupBy("type").agg(F.sum("n").alias("rows"), F.count("Invoice").alias("invoices"))
 
 
+def sign(c: Column) -> Column:
+    return F.when(c < 0, "negative").when(c == 0, "zero").when(c > 0, "positive").otherwise("unparsed")
+
+
+def traits(df: DataFrame) -> DataFrame:
+    """The rows with what their profile depends on: the signs of quantity and price, whether the invoice is a cancellation, whether a customer is known."""
+    known, cancelled = raw("Customer ID").isNotNull(), F.coalesce(F.col("Invoice").startswith("C"), F.lit(False))
+    return df.withColumns({"quantity_sign": sign(quantity(F.col("Quantity"))), "price_sign": sign(price(F.col("Price"))), "cancelled": cancelled, "with_customer": known})
+
+
 def value_issues(df: DataFrame) -> DataFrame:
-    """Eleven counters of odd rows in one aggregation; two more of invoices and customers beside it."""
-    q, p, customer, cancel = quantity(F.col("Quantity")), price(F.col("Price")), raw("Customer ID"), F.col("Invoice").startswith("C")
-    rows = {
-        "quantity_negative": q < 0,
-        "quantity_zero": q == 0,
-        "quantity_negative_cancelled": (q < 0) & cancel,
-        "quantity_negative_not_cancelled": (q < 0) & ~cancel,
-        "cancelled_quantity_not_negative": (q >= 0) & cancel,
-        "price_negative": p < 0,
-        "price_zero": p == 0,
-        "price_zero_with_customer": (p == 0) & customer.isNotNull(),
-        "quantity_negative_not_cancelled_with_customer": (q < 0) & ~cancel & customer.isNotNull(),
-        "customer_missing": customer.isNull(),
-        "customer_not_5_digits": customer.isNotNull() & ~customer.rlike(r"^\d{5}$"),
-    }
-    counts = df.agg(*[F.count_if(c).alias(n) for n, c in rows.items()])
-    tall = counts.select(F.expr("stack({}, {}) AS (issue, n)".format(len(rows), ", ".join(f"'{n}', {n}" for n in rows))))
-    invoices = df.where(customer.isNull()).select("Invoice").distinct().agg(F.lit("invoices_without_customer").alias("issue"), F.count(F.lit(1)).alias("n"))
-    several = df.where(customer.isNotNull()).groupBy(customer.alias("c")).agg((F.min("Country") != F.max("Country")).alias("several"))
-    return tall.unionByName(invoices).unionByName(several.agg(F.lit("customers_in_several_countries").alias("issue"), F.count_if("several").alias("n")))
+    """(measure, sign, cancelled, with_customer, n): rows by the sign of quantity and of price; a null trait stands for either.
+
+    Traits have few combinations, so one aggregation leaves some dozen rows, and all margins are sums of these.
+    """
+    few = traits(df).groupBy("quantity_sign", "price_sign", "cancelled", "with_customer").agg(F.count(F.lit(1)).alias("n"))
+    tall = few.select(F.expr("stack(2, 'quantity', quantity_sign, 'price', price_sign) AS (measure, sign)"), "cancelled", "with_customer", "n")
+    for margin in ("cancelled", "with_customer"):
+        tall = tall.withColumn(margin, F.explode(F.array(F.col(margin), F.lit(None).cast("boolean"))))
+    return tall.groupBy("measure", "sign", "cancelled", "with_customer").agg(F.sum("n").alias("n"))
+
+
+def customer_issues(df: DataFrame) -> DataFrame:
+    """One row about customers and countries, by way of the different (customer, invoice, country)."""
+    customer = raw("Customer ID")
+    few = df.groupBy(customer.alias("customer"), "Invoice", "Country").agg(F.count(F.lit(1)).alias("n"))
+    rows = lambda condition: F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0))
+    known = F.col("customer").isNotNull()
+    counts = few.agg(
+        rows(~known).alias("rows_without_customer"), rows(known & ~F.col("customer").rlike(r"^\d{5}$")).alias("rows_with_malformed_customer"),
+        rows(F.col("Country") == "Unspecified").alias("rows_without_country"),
+    )
+    invoices = few.where(~known).select("Invoice").distinct().agg(F.count("Invoice").alias("invoices_without_customer"))
+    spread = few.where(known).groupBy("customer").agg((F.min("Country") != F.max("Country")).alias("several"))
+    return counts.crossJoin(invoices).crossJoin(spread.agg(F.count_if("several").alias("customers_in_several_countries")))  # one row each
 
 
 def special_codes(df: DataFrame) -> DataFrame:
@@ -118,15 +132,14 @@ def top_countries(df: DataFrame, n: int = 10) -> DataFrame:
 
 
 def samples(df: DataFrame, n: int = 5) -> DataFrame:
-    """The first rows of nine kinds, ordered by all columns (the largest quantities by size)."""
-    q, p, customer, cancel = quantity(F.col("Quantity")), price(F.col("Price")), raw("Customer ID"), F.col("Invoice").startswith("C")
-    kinds = {
-        "first": F.lit(True), "cancelled": cancel, "price_negative": p < 0, "price_zero": p == 0, "quantity_large": q.isNotNull(), "customer_missing": customer.isNull(),
-        "adjustment": F.col("Invoice").startswith("A"), "cancelled_not_negative": cancel & (q >= 0), "negative_not_cancelled": (q < 0) & ~cancel,
-    }
-    out = None
-    for kind, condition in kinds.items():
-        order = [F.desc(F.abs(q))] if kind == "quantity_large" else []
-        part = df.where(condition).orderBy(*order, *[raw(c).asc_nulls_first() for c in RAW_COLUMNS]).limit(n).withColumn("kind", F.lit(kind))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """The first rows, by all columns, of each kind that there is, and the rows with the largest quantities.
+
+    A kind is an invoice type with the row's traits. Each task hands on ``n`` rows of a kind at most.
+    """
+    order = [raw(c).asc_nulls_first() for c in RAW_COLUMNS]
+    customer = F.when(F.col("with_customer"), "customer").otherwise("no customer")
+    kind = F.concat_ws(", ", invoice_kind(), F.concat(F.col("quantity_sign"), F.lit(" quantity")), F.concat(F.col("price_sign"), F.lit(" price")), customer)
+    place = F.row_number().over(Window.partitionBy("kind").orderBy(*order))
+    first = traits(df).withColumn("kind", kind).withColumn("place", place).where(F.col("place") <= n)
+    largest = df.orderBy(F.desc(F.abs(quantity(F.col("Quantity")))), *order).limit(n).withColumn("kind", F.lit("largest quantity"))
+    return first.select(*[raw(c) for c in RAW_COLUMNS], "kind").unionByName(largest)

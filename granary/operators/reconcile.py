@@ -28,6 +28,26 @@ def sheet_overlap(rows: DataFrame, first: str, second: str, sheet: str = "sheet"
     return bag_counts(inside.where(F.col(sheet) == first), inside.where(F.col(sheet) == second))
 
 
+def overlap_report(rows: DataFrame, first: str, second: str, sheet: str = "sheet", at: str = "InvoiceDate") -> DataFrame:
+    """What two sheets have in common, as (metric, value): row counts, and how they agree within the time that both cover.
+
+    Every metric is a sum over different rows of how often each sheet has them, so one aggregation by row gives all; a row's time is part of it.
+    """
+    bounds = rows.agg(F.max(F.when(F.col(sheet) == first, F.col(at))).alias("until"), F.min(F.when(F.col(sheet) == second, F.col(at))).alias("since"))
+    counted = rows.groupBy(*[F.col(f"`{c}`") for c in RAW_COLUMNS]).agg(F.count_if(F.col(sheet) == first).alias("a"), F.count_if(F.col(sheet) == second).alias("b"))
+    inside = F.coalesce(F.col(at).between(F.col("since"), F.col("until")), F.lit(False))
+    own = counted.crossJoin(F.broadcast(bounds)).select("a", "b", inside.alias("inside"), "since", "until")  # one row
+    within, excess = lambda c: F.when(F.col("inside"), c).otherwise(0), lambda c: F.greatest(c - 1, F.lit(0))
+    a, b, both = F.col("a"), F.col("b"), F.least("a", "b")
+    sums = {
+        "first_rows": a, "second_rows": b, "first_within": within(a), "second_within": within(b), "within_both": within(both), "within_first_only": within(a - both),
+        "within_second_only": within(b - both), "first_excess": excess(a), "second_excess": excess(b), "excess_without_first_within": excess(a - within(a) + b),
+    }
+    totals = own.agg(F.min("since").alias("since"), F.max("until").alias("until"), *[F.coalesce(F.sum(c), F.lit(0)).cast("string").alias(n) for n, c in sums.items()])
+    names = ["since", "until", *sums]
+    return totals.select(F.expr("stack({}, {}) AS (metric, value)".format(len(names), ", ".join(f"'{n}', {n}" for n in names))))
+
+
 def keyed_differences(a: DataFrame, b: DataFrame, key: str, columns: list[str], tolerance: float = 0.0) -> DataFrame:
     """(rows, only_left, only_right, different) of two tables with one row for each key; nulls are equal."""
     x, y = a.select(F.col(key).alias("k"), *[F.col(c).alias(f"l_{c}") for c in columns], F.lit(1).alias("l")), b.select(F.col(key).alias("k2"), *[F.col(c).alias(f"r_{c}") for c in columns], F.lit(1).alias("r"))

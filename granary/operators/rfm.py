@@ -25,7 +25,8 @@ def rfm(tx: DataFrame, fixed: str | None = None, offset: int = OFFSET_DAYS) -> D
     """
     invoices = tx.groupBy("CustomerID", "InvoiceNo").agg(F.max("InvoiceDate").alias("last"), F.sum("Amount").alias("amount"))
     customers = invoices.groupBy("CustomerID").agg(F.max("last").alias("last"), F.count("InvoiceNo").alias("Frequency"), F.sum("amount").cast("decimal(28,2)").alias("Monetary"))
-    dated = customers.crossJoin(F.broadcast(analysis_date(tx, fixed, offset)))  # one row
+    latest = invoices.select(F.col("last").alias("InvoiceDate"))  # the same latest day, from the aggregation that is there anyway
+    dated = customers.crossJoin(F.broadcast(analysis_date(latest, fixed, offset)))  # one row
     return dated.select("CustomerID", F.date_diff("AnalysisDate", F.to_date("last")).cast("int").alias("Recency"), "Frequency", F.col("Monetary").cast("double").alias("Monetary"))
 
 

@@ -7,6 +7,7 @@ remaining rules as one CASE. The audit is one aggregation over what each folded
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -93,9 +94,12 @@ def match_cancellations(rows: DataFrame) -> DataFrame:
     return ranked.withColumn("matched", violated(matched)).drop("AbsQuantity", "eligible", "spread", "place")
 
 
-def attributed(raw: DataFrame) -> DataFrame:
-    """Every distinct raw row with ``copies``, ``removed_by`` (null: it stays) and ``matched``."""
-    rows = folded(raw).withColumn("early", first_broken(parsing_rules()))
+def attributed(raw: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+    """Every distinct raw row with ``copies``, ``removed_by`` (null: it stays) and ``matched``.
+
+    The folded rows are read several times: ``keep`` may write them and give them back from there.
+    """
+    rows = keep(folded(raw).withColumn("early", first_broken(parsing_rules())))
     sound = match_cancellations(rows.where("early IS NULL"))
     late = F.coalesce(F.when(is_cancel() | F.col("matched"), F.lit(CANCELLED)), first_broken(sale_rules()))
     broken = rows.where("early IS NOT NULL").withColumns({"cancels": F.lit(None).cast("long"), "last_cancel": F.lit(None).cast("timestamp_ntz"), "matched": F.lit(False), "removed_by": F.col("early")})

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from granary.functions.typed import typed
 from granary.operators import clustering, profiling, reconcile, rfm, rules, segments
 from granary.sources import retail
+from granary.sources.scratch import materialize, scratch_path
 
 Z_FEATURES = rfm.FEATURES
 
@@ -23,7 +24,7 @@ def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def attributed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.attributed(raw(spark, sf_dir))
+    return rules.attributed(raw(spark, sf_dir), lambda rows: materialize(rows, "folded"))
 
 
 def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +72,7 @@ def dedup_rows(spark, sf_dir):
 
 
 def _sound(spark, sf_dir):
-    return rules.folded(raw(spark, sf_dir)).where(rules.first_broken(rules.parsing_rules()).isNull())
+    return materialize(rules.folded(raw(spark, sf_dir)).where(rules.first_broken(rules.parsing_rules()).isNull()), "sound")
 
 
 def cancel_keys(spark, sf_dir):
@@ -148,7 +149,7 @@ def rfm_clean(spark, sf_dir):
 
 def rfm_sql_difference(spark, sf_dir):
     """The RFM table against the same in SQL text, and against itself with nothing changed: no row may differ."""
-    tx = clean(spark, sf_dir)
+    tx = materialize(clean(spark, sf_dir), "clean")
     sql = spark.sql(
         """SELECT CustomerID, CAST(date_diff(max(to_date(max(InvoiceDate))) OVER () + 1, to_date(max(InvoiceDate))) AS INT) AS Recency,
         count(DISTINCT InvoiceNo) AS Frequency, CAST(CAST(sum(Amount) AS DECIMAL(28,2)) AS DOUBLE) AS Monetary FROM {tx} GROUP BY CustomerID""",
@@ -187,6 +188,13 @@ def sheet_overlap(spark, sf_dir):
     return reconcile.sheet_overlap(rows, "first", "second")
 
 
+def overlap_report(spark, sf_dir):
+    """All that two overlapping sheets have in common, as (metric, value)."""
+    a, b = _halves(spark, sf_dir)
+    rows, _ = retail.sheets_union({"first": a, "second": b})
+    return reconcile.overlap_report(rows, "first", "second")
+
+
 # Scaling and clustering
 
 
@@ -226,16 +234,99 @@ def _features(spark, sf_dir, log=True):
 
 def kmeans_fit(spark, sf_dir):
     """Customers with their K-Means cluster (k = 4), numbered by centroid."""
-    points = _features(spark, sf_dir).cache()
-    model = clustering.fit_kmeans(points, 4)
-    return clustering.assign(points, model).select("CustomerID", *rfm.FEATURES, "Cluster")
+    return _clusters(spark, sf_dir)[0]
+
+
+VARIANTS = {"standard_scaler": False, "log1p_standard_scaler": True}
+#: The number of clusters that the evaluation has led to.
+SELECTED_K = 4
+
+
+def _clusters(spark, sf_dir):
+    """(clusters, points, model): customers with their cluster, written and read again; the points that it was fitted on; the model."""
+    points = materialize(_features(spark, sf_dir), "points")
+    model = clustering.fit_kmeans(points, clustering.selected_k(SELECTED_K))
+    assigned = clustering.assign(points, model).select("CustomerID", *rfm.FEATURES, "Cluster")
+    return materialize(assigned, "clusters"), points, model
 
 
 def k_sweep(spark, sf_dir):
-    parts = [clustering.sweep(_features(spark, sf_dir, log), range(2, 7), variant=name) for name, log in (("standard_scaler", False), ("log1p_standard_scaler", True))]
+    parts = [clustering.sweep(materialize(_features(spark, sf_dir, log), "points"), range(2, 7), variant=name) for name, log in VARIANTS.items()]
     return parts[0].unionByName(parts[1])
 
 
+def kmeans_facts(spark, sf_dir):
+    """(fact, value) of the final model: its parameters, sizes, cost and centroids."""
+    return clustering.model_facts(_clusters(spark, sf_dir)[2], spark)
+
+
+def kmeans_checks(spark, sf_dir):
+    """(check, passed): the stored clusters against the RFM table, the model and the evaluation of its k."""
+    clusters, points, model = _clusters(spark, sf_dir)
+    swept = clustering.sweep(points, range(SELECTED_K, SELECTED_K + 1))
+    return clustering.checks(clusters, points, model, swept, reconcile.keyed_differences(order_rfm(spark, sf_dir), clusters, "CustomerID", rfm.FEATURES))
+
+
+def _profiled_clusters(spark, sf_dir):
+    own = segments.with_tenure(_clusters(spark, sf_dir)[0], order_lines(spark, sf_dir))
+    return materialize(own, "profiled")
+
+
+def kmeans_profile(spark, sf_dir):
+    """The profile of the K-Means clusters, each with its name."""
+    profiled = segments.profile(_profiled_clusters(spark, sf_dir))
+    return profiled.join(F.broadcast(segments.labels(profiled)), "Cluster")  # a row for each cluster
+
+
+def kmeans_profile_checks(spark, sf_dir):
+    own = _profiled_clusters(spark, sf_dir)
+    return segments.profile_checks(own, segments.profile(own))
+
+
+# The whole run
+
+
+def run_summary(spark, sf_dir):
+    """One row: from raw rows to customers."""
+    rows = materialize(attributed(spark, sf_dir), "attributed")
+    tx = rules.cleaned(rows)
+    counts = rows.agg(F.sum("copies").alias("raw_rows"), F.count_if(F.col("removed_by").isNull()).alias("clean_rows"))
+    own = tx.agg(F.count_distinct("InvoiceNo").alias("invoices"), F.sum("Amount").cast("double").alias("amount_total"), F.min("InvoiceDate").alias("first"), F.max("InvoiceDate").alias("last"))
+    customers = rfm.rfm(tx).agg(F.count(F.lit(1)).alias("customers"), F.sum("Frequency").alias("customer_invoices"))
+    joined = counts.crossJoin(own).crossJoin(customers)  # one row each
+    return joined.withColumn("pct_kept", F.round(100 * F.col("clean_rows") / F.col("raw_rows"), 2))
+
+
+def summary_checks(spark, sf_dir):
+    """(check, passed): whether the tables of a run agree with one another."""
+    rows = materialize(attributed(spark, sf_dir), "attributed")
+    tx = rules.cleaned(rows)
+    table = materialize(rfm.rfm(tx), "rfm")
+    own = segments.with_tenure(segments.rule_segments(table), tx)
+    profiled = segments.profile(own)
+    steps = rules.audit(rows).agg(F.max("rows_before").alias("audit_raw"), F.min("rows_after").alias("audit_clean"), F.sum("rows_removed").alias("audit_removed"))
+    clean_facts = tx.agg(F.count(F.lit(1)).alias("clean"), F.count_distinct("CustomerID").alias("clean_customers"), F.count_distinct("CustomerID", "InvoiceNo").alias("clean_invoices"), F.sum("Amount").cast("double").alias("clean_amount"))
+    rfm_facts = table.agg(F.count(F.lit(1)).alias("customers"), F.sum("Frequency").alias("invoices"), F.sum(F.col("Monetary").cast("decimal(28,2)")).cast("double").alias("amount"))
+    sizes = profiled.agg(F.sum("CustomerCount").alias("profiled"), F.count(F.lit(1)).alias("k"))
+    named = segments.labels(profiled).agg(F.count("Name").alias("named"))
+    flat = rows.agg(F.sum("copies").alias("raw"))
+    for part in (steps, clean_facts, rfm_facts, sizes, named):
+        flat = flat.crossJoin(part)  # one row each
+    checks = {
+        "raw_rows_match_audit": "raw = audit_raw", "audit_ends_at_clean_rows": "audit_clean = clean", "audit_adds_up": "audit_raw - audit_removed = clean", "customers_match": "customers = clean_customers AND customers = profiled",
+        "invoices_match": "invoices = clean_invoices", "amounts_match": "abs(amount - clean_amount) <= 0.005 * customers", "every_segment_is_named": "named = k",
+    }
+    passed = flat.select(*[F.coalesce(F.expr(c), F.lit(False)).alias(n) for n, c in checks.items()])
+    return passed.select(F.expr("stack({}, {}) AS (check, passed)".format(len(checks), ", ".join(f"'{n}', {n}" for n in checks))))
+
+
+def raw_schema(spark, sf_dir):
+    """(position, column, type, nullable) of the raw relation, as a reader of its files has it."""
+    path = retail_scratch(spark)
+    retail.write_csv(raw(spark, sf_dir), path)
+    return retail.described(retail.read_raw_csv(spark, path))
+
+
 # Segments
 
 
@@ -276,12 +367,7 @@ def csv_roundtrip(spark, sf_dir):
 
 
 def retail_scratch(spark: SparkSession) -> str:
-    """A new path in the shared folder, or in a local one if none is set."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="granary-")
-    return f"{base.rstrip('/')}/retail-{uuid.uuid4().hex}"
+    return scratch_path(spark, "retail")
 
 
 def corrupt_records(spark, sf_dir):
@@ -290,9 +376,7 @@ def corrupt_records(spark, sf_dir):
     short = F.col("Invoice").endswith("00")
     quoted = [F.concat(F.lit('"'), F.replace(F.coalesce(F.col(f"`{c}`"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"')) for c in retail.RAW_COLUMNS]
     raw(spark, sf_dir).select(F.concat_ws(",", *quoted[:-1], F.when(~short, quoted[-1])).alias("value")).write.text(path)
-    options = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": retail.CORRUPT, "columnPruning": "false"}
-    read = spark.read.schema(retail.raw_schema(with_corrupt=True)).options(**options).csv(path)
-    return read.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col(retail.CORRUPT).isNotNull()).alias("corrupt"), F.count_if(F.col("Country").isNull()).alias("no_country"))
+    return retail.read_raw_csv(spark, path, with_corrupt=True, header=False).agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col(retail.CORRUPT).isNotNull()).alias("corrupt"), F.count_if(F.col("Country").isNull()).alias("no_country"))
 
 
 def queries() -> dict:
@@ -301,15 +385,17 @@ def queries() -> dict:
         "clean_transactions": clean_transactions, "clean_audit": clean_audit, "clean_summary": clean_summary, "kept_share": kept_share,
         "rfm_orders": rfm_orders, "rfm_events": rfm_events, "rfm_clean": rfm_clean, "rfm_sql_difference": rfm_sql_difference,
         "overlap_intersect_all": overlap_intersect_all, "overlap_except_all": overlap_except_all, "union_by_name": union_by_name, "sheet_overlap": sheet_overlap,
+        "overlap_report": overlap_report, "run_summary": run_summary, "summary_checks": summary_checks, "raw_schema": raw_schema,
         "scale_zscore": partial(scale_zscore, False), "scale_log1p_zscore": partial(scale_zscore, True), "scaling_summary": scaling_summary,
         "kmeans_assign_fixed": kmeans_assign_fixed, "silhouette": silhouette, "inertia": inertia, "cluster_means": cluster_means, "kmeans_fit": kmeans_fit, "k_sweep": k_sweep,
+        "kmeans_facts": kmeans_facts, "kmeans_checks": kmeans_checks, "kmeans_profile": kmeans_profile, "kmeans_profile_checks": kmeans_profile_checks,
         "tenure": tenure, "cluster_profile": cluster_profile, "profile_checks": profile_checks, "segment_labels": segment_labels,
         "parquet_roundtrip": parquet_roundtrip, "csv_roundtrip": csv_roundtrip, "corrupt_records": corrupt_records,
     }
     profiles = {
         "profile_size": profiling.size, "missingness": profiling.missingness, "unparseable": profiling.unparseable, "duplicate_profile": profiling.duplicates, "duplicate_by_month": profiling.duplicates_by_month,
         "cardinality": profiling.cardinality, "numeric_stats": profiling.numeric_stats, "date_range": profiling.date_range, "rows_by_month": profiling.rows_by_month, "invoice_types": profiling.invoice_types,
-        "value_issues": profiling.value_issues, "special_codes": profiling.special_codes, "top_countries": profiling.top_countries, "profile_samples": profiling.samples,
+        "value_issues": profiling.value_issues, "customer_issues": profiling.customer_issues, "special_codes": profiling.special_codes, "top_countries": profiling.top_countries, "profile_samples": profiling.samples,
     }
     customers = {"rfm_describe": rfm.describe, "rfm_iqr_outliers": rfm.iqr_outliers, "rfm_correlation": rfm.correlations, "rfm_one_time": rfm.one_time_buyers, "rfm_top_share": rfm.top_share, "rfm_top5": rfm.top_customers}
     return own | {n: partial(profiled, f) for n, f in profiles.items()} | {n: partial(over_orders, f) for n, f in customers.items()}

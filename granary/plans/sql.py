@@ -95,23 +95,32 @@ MISSING = "WITH " + RAW + " " + " UNION ALL ".join(
 
 _Q = "CASE WHEN regexp_full_match(trim(Quantity), '[+-]?\\d+') THEN TRY_CAST(Quantity AS INT) END"
 _P = "TRY_CAST(Price AS DECIMAL(18,4))"
-_ISSUES = {
-    "quantity_negative": "q < 0", "quantity_zero": "q = 0", "quantity_negative_cancelled": "q < 0 AND c", "quantity_negative_not_cancelled": "q < 0 AND NOT c", "cancelled_quantity_not_negative": "q >= 0 AND c",
-    "price_negative": "p < 0", "price_zero": "p = 0", "price_zero_with_customer": "p = 0 AND cust IS NOT NULL", "quantity_negative_not_cancelled_with_customer": "q < 0 AND NOT c AND cust IS NOT NULL",
-    "customer_missing": "cust IS NULL", "customer_not_5_digits": "cust IS NOT NULL AND NOT regexp_full_match(cust, '\\d{5}')",
+_SIGN = "CASE WHEN {x} < 0 THEN 'negative' WHEN {x} = 0 THEN 'zero' WHEN {x} > 0 THEN 'positive' ELSE 'unparsed' END"
+_TRAITS = f"""v AS (SELECT *, {_SIGN.format(x=_Q)} AS quantity_sign, {_SIGN.format(x=_P)} AS price_sign, coalesce(starts_with(Invoice, 'C'), false) AS cancelled, "Customer ID" IS NOT NULL AS with_customer FROM raw)"""
+ISSUES = f"""WITH {RAW}, {_TRAITS}, m AS (SELECT 'quantity' AS measure, quantity_sign AS sign, cancelled, with_customer FROM v UNION ALL SELECT 'price', price_sign, cancelled, with_customer FROM v)
+SELECT measure, sign, cancelled, with_customer, count(*) AS n FROM m
+GROUP BY GROUPING SETS ((measure, sign, cancelled, with_customer), (measure, sign, cancelled), (measure, sign, with_customer), (measure, sign))"""
+CUSTOMER_ISSUES = f"""WITH {RAW}, v AS (SELECT Invoice, Country, "Customer ID" AS cust FROM raw) SELECT count(*) FILTER (WHERE cust IS NULL) AS rows_without_customer,
+  count(*) FILTER (WHERE cust IS NOT NULL AND NOT regexp_full_match(cust, '\\d{{5}}')) AS rows_with_malformed_customer, count(*) FILTER (WHERE Country = 'Unspecified') AS rows_without_country,
+  count(DISTINCT Invoice) FILTER (WHERE cust IS NULL) AS invoices_without_customer, (SELECT count(*) FILTER (WHERE m) FROM (SELECT count(DISTINCT Country) > 1 AS m FROM v WHERE cust IS NOT NULL GROUP BY cust)) AS customers_in_several_countries FROM v"""
+_KIND = "CASE WHEN regexp_full_match(Invoice, '\\d{6}') THEN 'normal' WHEN regexp_full_match(Invoice, 'C\\d{6}') THEN 'cancellation' WHEN regexp_full_match(Invoice, 'A\\d{6}') THEN 'adjustment' ELSE 'other' END"
+_FIRST = ", ".join(f"{x} ASC NULLS FIRST" for x in QUOTED)
+SAMPLES = f"""WITH {RAW}, {_TRAITS}, k AS (SELECT {_NAMES}, {_KIND} || ', ' || quantity_sign || ' quantity, ' || price_sign || ' price, ' || CASE WHEN with_customer THEN 'customer' ELSE 'no customer' END AS kind FROM v)
+(SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY kind ORDER BY {_FIRST}) <= 5)
+UNION ALL (SELECT {_NAMES}, 'largest quantity' AS kind FROM raw ORDER BY abs({_Q}) DESC NULLS LAST, {_FIRST} LIMIT 5)"""
+_METRICS = {
+    "first_rows": "a", "second_rows": "b", "first_within": "CASE WHEN w THEN a ELSE 0 END", "second_within": "CASE WHEN w THEN b ELSE 0 END", "within_both": "CASE WHEN w THEN least(a, b) ELSE 0 END",
+    "within_first_only": "CASE WHEN w THEN a - least(a, b) ELSE 0 END", "within_second_only": "CASE WHEN w THEN b - least(a, b) ELSE 0 END", "first_excess": "greatest(a - 1, 0)", "second_excess": "greatest(b - 1, 0)",
+    "excess_without_first_within": "greatest(CASE WHEN w THEN 0 ELSE a END + b - 1, 0)",
 }
-ISSUES = f"""WITH {RAW}, v AS (SELECT *, {_Q} AS q, {_P} AS p, starts_with(Invoice, 'C') AS c, "Customer ID" AS cust FROM raw) """ + " UNION ALL ".join(
-    f"SELECT '{n}' AS issue, count(*) FILTER (WHERE {c}) AS n FROM v" for n, c in _ISSUES.items()
-) + """ UNION ALL SELECT 'invoices_without_customer', count(DISTINCT Invoice) FROM v WHERE cust IS NULL
- UNION ALL SELECT 'customers_in_several_countries', count(*) FILTER (WHERE m) FROM (SELECT cust, count(DISTINCT Country) > 1 AS m FROM v WHERE cust IS NOT NULL GROUP BY cust)"""
-
-_SAMPLES = {
-    "first": "true", "cancelled": "c", "price_negative": "p < 0", "price_zero": "p = 0", "quantity_large": "q IS NOT NULL", "customer_missing": "\"Customer ID\" IS NULL",
-    "adjustment": "starts_with(Invoice, 'A')", "cancelled_not_negative": "c AND q >= 0", "negative_not_cancelled": "q < 0 AND NOT c",
-}
-SAMPLES = f"WITH {RAW}, v AS (SELECT *, {_Q} AS q, {_P} AS p, starts_with(Invoice, 'C') AS c FROM raw) " + " UNION ALL ".join(
-    f"(SELECT {_NAMES}, '{k}' AS kind FROM v WHERE {c} ORDER BY {'abs(q) DESC, ' if k == 'quantity_large' else ''}{', '.join(f'{x} ASC NULLS FIRST' for x in QUOTED)} LIMIT 5)" for k, c in _SAMPLES.items()
-)
+OVERLAP = HALVES + f""", bounds AS (SELECT (SELECT min(InvoiceDate) FROM b) AS since, (SELECT max(InvoiceDate) FROM a) AS until),
+u AS (SELECT *, 1 AS x FROM a UNION ALL SELECT *, 0 FROM b), c AS (SELECT {_NAMES}, sum(x) AS a, sum(1 - x) AS b FROM u GROUP BY {_NAMES}), g AS (SELECT a, b, coalesce(InvoiceDate BETWEEN since AND until, false) AS w FROM c, bounds)
+SELECT 'since' AS metric, since AS value FROM bounds UNION ALL SELECT 'until', until FROM bounds UNION ALL """ + " UNION ALL ".join(f"SELECT '{n}', CAST(coalesce(sum({c}), 0)::BIGINT AS VARCHAR) FROM g" for n, c in _METRICS.items())
+
+
+def all_true(*names: str) -> str:
+    return f"SELECT unnest({list(names)}) AS \"check\", true AS passed"
+
 
 SEGMENTS = RFM + """, med AS (SELECT quantile_disc(Recency, 0.5) AS r, quantile_disc(Monetary, 0.5) AS m FROM rfm),
 seg AS (SELECT rfm.*, CAST((CASE WHEN Recency > r THEN 2 ELSE 0 END) + (CASE WHEN Monetary > m THEN 1 ELSE 0 END) AS INT) AS Cluster FROM rfm, med),
@@ -222,6 +231,15 @@ def oracle_sql() -> dict[str, str]:
         "overlap_except_all": HALVES + " SELECT * FROM a EXCEPT ALL SELECT * FROM b",
         "union_by_name": HALVES + ", u AS (SELECT *, 'first' AS sheet FROM a UNION ALL BY NAME SELECT *, 'second' AS sheet FROM b) SELECT sheet, count(*) AS rows, min(InvoiceDate) AS first, max(InvoiceDate) AS last FROM u GROUP BY sheet",
         "sheet_overlap": bags(True),
+        "overlap_report": OVERLAP,
+        "customer_issues": CUSTOMER_ISSUES,
+        "raw_schema": f"SELECT CAST(unnest(range({len(QUOTED)})) AS INT) AS position, unnest({[c.strip(chr(34)) for c in QUOTED]}) AS \"column\", 'string' AS type, true AS nullable",
+        "run_summary": f"""WITH {CLEAN}, f AS (SELECT CAST(sum(copies) AS BIGINT) AS raw_rows, count(*) FILTER (WHERE removed_by IS NULL) AS clean_rows FROM attributed),
+          g AS (SELECT count(DISTINCT InvoiceNo) AS invoices, CAST(sum(Amount) AS DOUBLE) AS amount_total, min(InvoiceDate) AS first, max(InvoiceDate) AS last, count(DISTINCT CustomerID) AS customers, (SELECT count(*) FROM (SELECT DISTINCT CustomerID, InvoiceNo FROM clean)) AS customer_invoices FROM clean)
+          SELECT f.*, g.*, {near('100.0 * clean_rows / raw_rows', 2)} AS pct_kept FROM f, g""",
+        "summary_checks": all_true("raw_rows_match_audit", "audit_ends_at_clean_rows", "audit_adds_up", "customers_match", "invoices_match", "amounts_match", "every_segment_is_named"),
+        "kmeans_checks": all_true("clusters_are_all_there", "every_customer_has_one_row", "no_value_is_missing", "features_are_unchanged", "sizes_match_the_model", "sizes_match_the_sweep", "silhouette_matches_the_sweep", "silhouette_matches_the_library", "fit_has_converged"),
+        "kmeans_profile_checks": all_true("customer_counts_add_up", "monetary_adds_up", "customer_pct_is_100", "monetary_pct_is_100", "no_tenure_missing", "tenure_reaches_recency", "labels_are_dense"),
         "scale_zscore": zscore(False),
         "scale_log1p_zscore": zscore(True),
         "scaling_summary": scaling(),

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyarrow import fs
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,23 +21,59 @@ def raw_schema(with_corrupt: bool = False) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType(), True) for n in names])
 
 
-def read_raw_csv(spark: SparkSession, path: str, with_corrupt: bool = False) -> DataFrame:
-    """A raw CSV file (RFC 4180 quoting, UTF-8) with the fixed schema; a header that differs is an error.
+@contextmanager
+def _existing(uri: str) -> Iterator[None]:
+    """Turns Spark's error for a path that doesn't exist into the one that Python users expect."""
+    try:
+        yield
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            raise FileNotFoundError(uri) from e
+        raise
+
+
+def raw_uri(base: str, folder: str, name: str) -> str:
+    """Where a raw file stands: ``base`` is a file system such as ``hdfs://host:port``, ``folder`` an absolute path on it."""
+    return "/".join([base.rstrip("/"), folder.strip("/"), name])
+
 
-    With ``with_corrupt``, rows of another number of fields keep their text in ``_corrupt_record``.
+def read_raw_csv(spark: SparkSession, path: str, with_corrupt: bool = False, header: bool = True) -> DataFrame:
+    """A raw CSV file (RFC 4180 quoting, UTF-8) with the fixed schema; a header that differs is an error, and so is a missing path.
+
+    With ``with_corrupt``, rows of another number of fields keep their text in ``_corrupt_record``. Without ``header`` the files have none.
     """
-    options = {"header": "true", "encoding": "UTF-8", "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
-    header = spark.read.options(**options).csv(path).columns
-    if header != RAW_COLUMNS:
-        raise ValueError(f"unexpected header: {header}")
+    options = {"header": str(header).lower(), "encoding": "UTF-8", "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+    with _existing(path):
+        found = spark.read.options(**options).csv(path).columns
+    if header and found != RAW_COLUMNS:
+        raise ValueError(f"unexpected header: {found}")
     if with_corrupt:  # a pruned scan would not look at all fields
         options |= {"columnNameOfCorruptRecord": CORRUPT, "columnPruning": "false"}
     return spark.read.schema(raw_schema(with_corrupt)).options(**options).csv(path)
 
 
 def path_exists(spark: SparkSession, uri: str) -> bool:
-    """Whether Spark finds any file below the path."""
-    return bool(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{uri.rstrip('/')}*").select("path").head(1))
+    """Whether the path is there, as a file or as a folder, which may be empty."""
+    try:
+        with _existing(uri):
+            spark.read.format("binaryFile").load(uri)
+    except FileNotFoundError:
+        return False
+    return True
+
+
+def is_folder(spark: SparkSession, uri: str) -> bool:
+    """Whether the path is there as a folder."""
+    return path_exists(spark, uri) and path_exists(spark, f"{uri.rstrip('/')}/.")
+
+
+def delete(uri: str) -> None:
+    """Remove a file, or a folder with all that is in it; ``uri`` is of a kind that pyarrow knows. A missing path is an error."""
+    system, path = fs.FileSystem.from_uri(uri)
+    kind = system.get_file_info(path).type
+    if kind == fs.FileType.NotFound:
+        raise FileNotFoundError(uri)
+    system.delete_dir(path) if kind == fs.FileType.Directory else system.delete_file(path)
 
 
 def list_files(spark: SparkSession, uri: str) -> DataFrame:
@@ -41,7 +82,20 @@ def list_files(spark: SparkSession, uri: str) -> DataFrame:
 
 
 def read_parquet(spark: SparkSession, uri: str) -> DataFrame:
-    return spark.read.parquet(uri)
+    """A Parquet table; a missing path is a ``FileNotFoundError``."""
+    with _existing(uri):
+        return spark.read.parquet(uri)
+
+
+def described(df: DataFrame) -> DataFrame:
+    """(position, column, type, nullable) of a table's columns."""
+    rows = [(k, f.name, f.dataType.simpleString(), f.nullable) for k, f in enumerate(df.schema.fields)]
+    return df.sparkSession.createDataFrame(rows, "position int, column string, type string, nullable boolean")
+
+
+def partitions(df: DataFrame) -> DataFrame:
+    """(partition, rows) of the partitions that hold rows, as the table would be read now."""
+    return df.groupBy(F.spark_partition_id().alias("partition")).agg(F.count(F.lit(1)).alias("rows"))
 
 
 def write_parquet(df: DataFrame, uri: str, files: int | None = None) -> None:
@@ -99,8 +153,9 @@ def dirty_retail(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("n_name").alias("Country"),
         day(1, " 09:00:00").alias("next_day"),
     )
-    copies = dirty.where(every(23))
-    cancelled = dirty.where(every(17) & ~every(97) & ~every(89) & ~every(101)).withColumns(
-        {"Invoice": F.concat(F.lit("C"), "Invoice"), "Quantity": F.concat(F.lit("-"), "Quantity"), "InvoiceDate": F.col("next_day")}
-    )
-    return dirty.unionByName(copies).unionByName(cancelled).select(*RAW_COLUMNS)
+    changed = {"Invoice": F.concat(F.lit("C"), "Invoice"), "Quantity": F.concat(F.lit("-"), "Quantity"), "InvoiceDate": F.col("next_day")}
+    own = F.struct(*[F.col(f"`{c}`") for c in RAW_COLUMNS])
+    cancelled = F.struct(*[changed.get(c, F.col(f"`{c}`")).alias(c) for c in RAW_COLUMNS])
+    is_cancelled = every(17) & ~every(97) & ~every(89) & ~every(101)
+    rows = dirty.withColumn("rows", F.array_compact(F.array(own, F.when(every(23), own), F.when(is_cancelled, cancelled))))
+    return rows.select(F.inline_outer("rows"))  # outer, as no array is empty and the other form would make each one twice

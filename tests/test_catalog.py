@@ -12,7 +12,7 @@ def test_query_matches_sql(spark, duck, sf_dir, name):
 
 
 def test_every_query_but_the_iterative_ones_has_sql():
-    assert set(catalog.queries()) - set(catalog.oracle_sql()) == {"kmeans_fit", "k_sweep"}
+    assert set(catalog.queries()) - set(catalog.oracle_sql()) == {"kmeans_fit", "k_sweep", "kmeans_facts", "kmeans_profile"}
 
 
 def test_kmeans_clusters_are_dense_and_ordered(spark, sf_dir):
