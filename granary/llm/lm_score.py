@@ -12,9 +12,10 @@ history without its first word. Scoring is one left-to-right traversal. Words to
 n-gram lead to the root; their unigram counts, which grow with the corpus, are not broadcast: each
 document's rare words are joined with the table of counts.
 
-Which n-grams may reach the share is found without counting all of them across the cluster: an n-gram with
-that share of the corpus has it in at least one chunk of it, so each chunk offers its own, and one more
-pass counts the offered ones exactly.
+Which n-grams may reach the share is found without counting all of them across the cluster: each chunk of the corpus reports
+the n-grams with half that share in it, with their counts. What goes unreported of an n-gram is less than half the share of the
+corpus, so only those with the other half reported can reach it. There are at most 2 / SHARE of an order, whatever the size of the corpus,
+and one more pass counts them exactly.
 
 Edge cases: a null or empty text is one end token. Null ids count as the empty text for the fold. Repeated
 rows are scored and counted each. With no training document every probability is one. Other columns are
@@ -26,7 +27,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain, compress
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -40,10 +41,8 @@ from granary.llm.common import fold, materialize, ship_package
 SHARE = 1e-6
 #: Discount of bigram and trigram counts.
 DISCOUNT = 0.75
-#: Tokens after which a task of the counting passes hands on what it has.
-CHUNK_TOKENS = 4_000_000
-#: Offered n-grams that are counted in one pass; more take several passes.
-OFFERED = 2_000_000
+#: Tokens of a chunk of the counting passes, at least; twice that at most. Only the chunk of a task with less text is smaller.
+CHUNK_TOKENS = 2_500_000
 
 
 def words_of(text: str) -> list[bytes]:
@@ -111,32 +110,41 @@ def _ids(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
 
 def _grams(vocabulary: Vocabulary, texts: Iterator[np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Tokens, bigram keys and trigram keys of chunks of encoded texts; n-grams with a rare word are left out."""
-    size, chunk, tokens = vocabulary.size, [], 0
+    size, chunk, tokens, cut = vocabulary.size, [], 0, None
     opening = np.array([-1, vocabulary.start], np.int32)
-    for ids in chain(texts, [None]):
-        if ids is not None:
-            chunk += [opening, ids]
-            tokens += len(ids)
-        if chunk and (ids is None or tokens >= CHUNK_TOKENS):
-            flat = np.concatenate(chunk).astype(np.int64)
-            two = (flat[:-1] >= 0) & (flat[1:] >= 0)
-            three = two[:-1] & two[1:]
-            pairs = flat[:-1] * size + flat[1:]
-            yield tokens, pairs[two], (pairs[:-1] * size + flat[2:])[three]
-            chunk, tokens = [], 0
-
-
-def offered_grams(train: DataFrame, vocabulary, share: float) -> DataFrame:
-    """(n, key): bigrams (n = 2) and trigrams that reach the share in some chunk."""
+
+    def keyed(parts: list[np.ndarray]) -> tuple[int, np.ndarray, np.ndarray]:
+        flat = np.concatenate(parts).astype(np.int64)
+        two = (flat[:-1] >= 0) & (flat[1:] >= 0)
+        three = two[:-1] & two[1:]
+        pairs = flat[:-1] * size + flat[1:]
+        return sum(map(len, parts[1::2])), pairs[two], (pairs[:-1] * size + flat[2:])[three]
+
+    for ids in texts:
+        chunk += [opening, ids]
+        tokens += len(ids)
+        if cut is None and tokens >= CHUNK_TOKENS:
+            cut = len(chunk)
+        if tokens >= 2 * CHUNK_TOKENS:  # what is left must make a chunk, too
+            yield keyed(chunk[:cut])
+            chunk, cut = chunk[cut:], None
+            tokens = sum(map(len, chunk[1::2]))
+    if chunk:
+        yield keyed(chunk)
+
+
+def offered_grams(train: DataFrame, vocabulary, share: float, least: float) -> DataFrame:
+    """(n, key): bigrams (n = 2) and trigrams that may occur ``least`` times, the share of all tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tokens, *keyed in _grams(vocabulary.value, _ids(batches)):
             for n, keys in zip((2, 3), keyed, strict=True):
                 key, count = np.unique(keys, return_counts=True)
-                key = key[count >= share * tokens]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), n, np.int32)), pa.array(key)], ["n", "key"])
+                often = count >= share / 2 * tokens
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(int(often.sum()), n, np.int32)), pa.array(key[often]), pa.array(count[often])], ["n", "key", "count"])
 
-    return train.mapInArrow(run, "n int, key bigint").distinct()
+    reported = train.mapInArrow(run, "n int, key bigint, count bigint").groupBy("n", "key").agg(F.sum("count").alias("count"))
+    return reported.where(F.col("count") >= least / 2).select("n", "key")
 
 
 def counted_grams(train: DataFrame, vocabulary, offered, least: float) -> DataFrame:
@@ -232,7 +240,10 @@ def _columns(df: DataFrame) -> dict[str, np.ndarray]:
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = SHARE, folds: int = 5, held_fold: int = 1) -> DataFrame:
-    """One row for each document; see the README for the columns."""
+    """One row for each document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+
+    ``base_score`` is the sum of log10 of smoothed unigram shares, ``score`` the model's log10 probability of the text with its end.
+    """
     spark: SparkSession = docs.sparkSession
     ship_package(spark)
     source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), (fold(F.col(id_col), folds) == held_fold).alias("held_out"))
@@ -255,16 +266,13 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     train_ids = encoded.where("NOT held_out").select("ids")
     grams: dict[int, dict[int, int]] = {2: {}, 3: {}}
     if texts:
-        offered = materialize(offered_grams(train_ids, vocabulary, share), "lm-offered")
-        blocks = max(1, math.ceil(offered.count() / OFFERED))
-        for block in range(blocks):
-            own = _columns(offered.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == block))
-            known = spark.sparkContext.broadcast({n: np.sort(own["key"][own["n"] == n]) for n in (2, 3)})
-            kept = _columns(counted_grams(train_ids, vocabulary, known, least))
-            for n in (2, 3):
-                of = kept["n"] == n
-                grams[n].update(zip(kept["key"][of].tolist(), kept["count"][of].tolist(), strict=True))
-            known.unpersist()
+        own = _columns(offered_grams(train_ids, vocabulary, share, least))
+        known = spark.sparkContext.broadcast({n: np.sort(own["key"][own["n"] == n]) for n in (2, 3)})
+        kept = _columns(counted_grams(train_ids, vocabulary, known, least))
+        for n in (2, 3):
+            of = kept["n"] == n
+            grams[n].update(zip(kept["key"][of].tolist(), kept["count"][of].tolist(), strict=True))
+        known.unpersist()
 
     discount = unigram_discount(facts["n1"], facts["n2"])
     unknown = math.log10(discount * types / tokens) if tokens else 0.0
