@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.llm.common import fold, materialize, ship_package
+from granary.llm.common import broadcast_small, fold, materialize, ship_package
 
 #: Families of languages, by ISO 639-1 code.
 FAMILIES = {
@@ -36,6 +36,8 @@ FAMILIES = {
     "turkic": ["tr", "az", "kk", "uz"],
 }
 PER_LANGUAGE = 400
+#: Documents that are ranked for each one that is learnt from. A language with fewer ids than that is ranked whole.
+SPARE = 3
 BUCKETS = 1 << 12
 #: Strength of the L2 penalty on a machine's weights, and gradient steps.
 PENALTY, STEPS = 1e-3, 150
@@ -125,10 +127,16 @@ class LanguageModel:
 
 
 def training_sample(source: DataFrame, per_language: int) -> DataFrame:
-    """(lang, x): the hashed trigrams of at most ``per_language`` training documents of each language."""
+    """(lang, x): the hashed trigrams of at most ``per_language`` training documents of each language.
+
+    Only the documents whose hash is low enough to be among them, some ``SPARE`` times as many, are ranked, so no language gathers in one task.
+    """
     narrow = source.where("NOT held_out AND lang IS NOT NULL AND doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang")
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = narrow.withColumn("place", place).where(F.col("place") <= per_language).select(F.col("doc_id").alias("chosen"), F.col("lang").alias("chosen_lang"))
+    ids = materialize(narrow.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("ids")), "langid-languages").withColumnRenamed("lang", "l")
+    lot = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(1 << 53))
+    likely = narrow.withColumn("lot", lot).join(broadcast_small(ids), F.col("lang") == F.col("l")).where(F.col("lot") * F.col("ids") <= SPARE * per_language)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("lot", "doc_id"))
+    chosen = likely.withColumn("place", place).where(F.col("place") <= per_language).select(F.col("doc_id").alias("chosen"), F.col("lang").alias("chosen_lang"))
     chosen = F.broadcast(materialize(chosen.distinct(), "langid-sample"))
     rows = source.join(chosen, (F.col("doc_id") == F.col("chosen")) & (F.col("lang") == F.col("chosen_lang"))).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
 
