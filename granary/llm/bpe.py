@@ -227,6 +227,11 @@ def codec(path: str) -> BytePairCodec:
     return BytePairCodec(path)
 
 
+def id_type(path: str) -> np.dtype:
+    """Little-endian integers that hold every id of a vocabulary."""
+    return np.dtype(codec(path).dtype).newbyteorder("<")
+
+
 @lru_cache(maxsize=2)
 def quick_codec(path: str) -> BytePairCodec:
     """The same ids, with new words merged by a compiled library; for stages whose subject is not the encoder."""

@@ -40,6 +40,12 @@ def read_range(uri: str, offset: int, length: int) -> bytes:
         return file.read_at(length, offset)
 
 
+def read_file(uri: str) -> bytes:
+    system, path = resolve(uri)
+    with system.open_input_file(path) as file:
+        return file.read()
+
+
 def file_sizes(uri: str, suffix: str = ".bin") -> list[tuple[str, int]]:
     """(URI, bytes) of the finished files in a folder, by name."""
     system, path = resolve(uri)

@@ -3,18 +3,20 @@
 Texts are encoded and joined, each followed by the end-of-document id, and cut into sequences of ``STRIDE`` ids; only
 the last sequence of an input partition is filled up with end ids. With N sequences in all, a keyed Feistel permutation of the
 numbers below the next power of four, walked along its cycle until it falls below N, gives each sequence's number its global
-slot. Slot s stands in shard s // ``SHARD_SEQUENCES``, at byte (s % ``SHARD_SEQUENCES``) * stride. So each shard is one range of slots, one task
-writes it, and a reader that knows only N and a slot can start anywhere and read on sequentially.
+slot. Slot s stands in shard s // ``SHARD_SEQUENCES``, at byte (s % ``SHARD_SEQUENCES``) * stride. So each shard is one range of slots. Sequences are
+partitioned by ranges of shards, and a task writes its shards one after another. A manifest, written last, holds N, stride, key, id width and
+vocabulary: with the folder alone a reader can start at any slot and read on sequentially.
 
 Each text is encoded once. Sequences travel in compressed runs, grouped by shard before they shuffle. No permutation table exists
 anywhere; a slot is a few multiplications.
 
 Edge cases: a null or empty text is one end id. An empty table gives no shard. Null ids are kept. Repeated rows are materialised each. Text
-that spells the end token is encoded as ordinary text. Other columns are ignored. A long text is many sequences.
+that spells the end token is encoded as ordinary text. Ids are as wide as the vocabulary needs; an end id that doesn't fit is an error. Other columns are ignored. A long text is many sequences.
 """
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -30,6 +32,9 @@ from granary.llm.common import materialize, scratch_path, ship_package
 
 #: Ids in a sequence, sequences in a shard (32 MB), and sequences in a compressed run.
 STRIDE, SHARD_SEQUENCES, RUN_SEQUENCES = 1024, 1 << 14, 1024
+#: Partitions that shards are written from at most.
+PARTITIONS = 10_000
+MANIFEST = "manifest.json"
 END = 50256
 KEY = 0x5EED_2026
 ROUNDS = 6
@@ -123,11 +128,14 @@ def encoded_runs(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, s
 
 
 def materialise_order(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", key: int = KEY, stride: int = STRIDE, shard_sequences: int = SHARD_SEQUENCES, vocabulary: str | None = None, end: int = END) -> DataFrame:
-    """Write the shards into ``folder``; returns (slot, shard, byte_offset, n_tokens, first_doc_id, ids_crc32) of every sequence."""
+    """Write the shards and the manifest into ``folder``; returns (slot, shard, byte_offset, n_tokens, first_doc_id, ids_crc32) of every sequence."""
     spark = docs.sparkSession
     ship_package(spark)
     path = vocabulary or bpe.default_vocabulary()
     corpus_files.make_folder(folder)
+    dtype = bpe.id_type(path)
+    if end > np.iinfo(dtype).max:
+        raise ValueError(f"the end id {end} doesn't fit the vocabulary's ids")
     runs = materialize(encoded_runs(docs, id_col, text_col, path, stride, end), "order-runs")
     kind = runs.schema["owners"].dataType.elementType.simpleString()
     owner_type = {"bigint": pa.int64(), "int": pa.int32()}.get(kind, pa.string())
@@ -137,7 +145,6 @@ def materialise_order(docs: DataFrame, folder: str, id_col: str = "doc_id", text
     total = sum(n for _, n in parts)
     order = Permutation(total, key)
     start = spark.sparkContext.broadcast(begins)
-    dtype = np.dtype("<u2")
     moved_schema = pa.schema([("shard", pa.int64()), ("places", pa.list_(pa.int64())), ("used", pa.list_(pa.int64())), ("owners", pa.list_(owner_type)), ("run", pa.binary())])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,32 +162,63 @@ def materialise_order(docs: DataFrame, folder: str, id_col: str = "doc_id", text
                     record = {"shard": int(shard[group[0]]), "places": slots[group] % shard_sequences, "used": used[group], "owners": owners[group].tolist(), "run": press.compress(sequences[group].tobytes())}
                     yield pa.RecordBatch.from_pylist([record], moved_schema)
 
-    def write(table: pa.Table) -> pa.Table:
-        unpress, shard = zstandard.ZstdDecompressor(), table.column("shard")[0].as_py()
-        rows = min(shard_sequences, total - shard * shard_sequences)
-        filled, used, owners = np.full((rows, stride), end, dtype), np.zeros(rows, np.int64), np.empty(rows, object)
-        for k in range(table.num_rows):
-            places = np.array(table.column("places")[k].as_py())
-            filled[places] = np.frombuffer(unpress.decompress(table.column("run")[k].as_py()), dtype).reshape(len(places), stride)
-            used[places] = table.column("used")[k].as_py()
-            owners[places] = table.column("owners")[k].as_py()
-        corpus_files.write_file(f"{folder}/shard-{shard:08d}.bin", [filled.data])
-        digests = pa.array([zlib.crc32(row.tobytes()) for row in filled], pa.int64())
-        return pa.table([pa.array(np.arange(rows) + shard * shard_sequences), pa.array([shard] * rows, pa.int64()), pa.array(np.arange(rows) * stride * dtype.itemsize), pa.array(used), pa.array(owners.tolist(), owner_type), digests], ["slot", "shard", "byte_offset", "n_tokens", "first_doc_id", "ids_crc32"])
+    names = ["slot", "shard", "byte_offset", "n_tokens", "first_doc_id", "ids_crc32"]
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Shards come one after another, each in several rows; one is held at a time."""
+        unpress, shard, filled, used, owners = zstandard.ZstdDecompressor(), None, None, None, None
+
+        def finished() -> pa.RecordBatch:
+            corpus_files.write_file(f"{folder}/{shard_name(shard)}", [filled.data])
+            rows = len(filled)
+            digests = pa.array([zlib.crc32(row.tobytes()) for row in filled], pa.int64())
+            columns = [pa.array(np.arange(rows) + shard * shard_sequences), pa.array([shard] * rows, pa.int64()), pa.array(np.arange(rows) * stride * dtype.itemsize), pa.array(used), pa.array(owners.tolist(), owner_type), digests]
+            return pa.RecordBatch.from_arrays(columns, names)
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                number, places, n, own, run = (batch.column(c)[k].as_py() for c in range(5))
+                if number != shard:
+                    if shard is not None:
+                        yield finished()
+                    shard, rows = number, min(shard_sequences, total - number * shard_sequences)
+                    filled, used, owners = np.full((rows, stride), end, dtype), np.zeros(rows, np.int64), np.empty(rows, object)
+                places = np.array(places)
+                filled[places] = np.frombuffer(unpress.decompress(run), dtype).reshape(len(places), stride)
+                used[places], owners[places] = n, own
+        if shard is not None:
+            yield finished()
 
     dealt = runs.mapInArrow(deal, f"shard bigint, places array<bigint>, used array<bigint>, owners array<{kind}>, run binary")
-    written = dealt.groupBy("shard").applyInArrow(write, f"slot bigint, shard bigint, byte_offset bigint, n_tokens bigint, first_doc_id {kind}, ids_crc32 bigint")
-    return materialize(written, "order-index")
+    shards = -(-total // shard_sequences)
+    parts = max(1, min(shards, PARTITIONS))
+    ranged = dealt.repartitionById(parts, F.expr(f"cast(shard * {parts} div {max(1, shards)} as int)")).sortWithinPartitions("shard")
+    written = ranged.mapInArrow(write, f"slot bigint, shard bigint, byte_offset bigint, n_tokens bigint, first_doc_id {kind}, ids_crc32 bigint")
+    index = materialize(written, "order-index")
+    facts = {"sequences": total, "stride": stride, "shard_sequences": shard_sequences, "dtype": dtype.str, "key": key, "end": end, "vocabulary": path}
+    corpus_files.write_file(f"{folder}/{MANIFEST}", [json.dumps(facts).encode()])
+    return index
+
+
+def shard_name(shard: int) -> str:
+    return f"shard-{shard:08d}.bin"
+
+
+def read_manifest(folder: str) -> dict:
+    """What a reader must know: sequences, stride, shard_sequences, dtype, key, end, vocabulary."""
+    return json.loads(corpus_files.read_file(f"{folder}/{MANIFEST}"))
 
 
-def read_sequences(folder: str, total: int, slot: int = 0, stride: int = STRIDE, shard_sequences: int = SHARD_SEQUENCES, at_a_time: int = 256) -> Iterator[np.ndarray]:
+def read_sequences(folder: str, slot: int = 0, at_a_time: int = 256) -> Iterator[np.ndarray]:
     """The sequences from ``slot`` on, in training order; reads forward through the shards."""
-    width = stride * 2
-    while slot < total:
-        shard, place = divmod(slot, shard_sequences)
-        count = min(at_a_time, shard_sequences - place, total - slot)
-        raw = corpus_files.read_range(f"{folder}/shard-{shard:08d}.bin", place * width, count * width)
-        yield from np.frombuffer(raw, "<u2").reshape(count, stride)
+    facts = read_manifest(folder)
+    dtype, stride, per_shard = np.dtype(facts["dtype"]), facts["stride"], facts["shard_sequences"]
+    width = stride * dtype.itemsize
+    while slot < facts["sequences"]:
+        shard, place = divmod(slot, per_shard)
+        count = min(at_a_time, per_shard - place, facts["sequences"] - slot)
+        raw = corpus_files.read_range(f"{folder}/{shard_name(shard)}", place * width, count * width)
+        yield from np.frombuffer(raw, dtype).reshape(count, stride)
         slot += count
 
 
