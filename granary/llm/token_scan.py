@@ -1,6 +1,6 @@
 """Token counts by a separator scan over flat, unindexed token files.
 
-A token file is nothing but token ids, two little-endian bytes each, documents after one another, each followed
+A token file is nothing but token ids, little-endian integers of two bytes (four for vocabularies of more than 65,536 entries), documents after one another, each followed
 by the end-of-document id. Files are cut into blocks of ``BLOCK_TOKENS``; each task reads one block at a time and finds the separators
 in it with one array comparison. A document may span blocks: each block reports how many tokens precede its first separator,
 how many follow its last one, and how many separators it has. A prefix scan over these small block records, file by
@@ -8,7 +8,8 @@ file, gives each block the number of documents before it and the tokens that the
 the blocks' inner counts then need no more than that.
 
 Edge cases: an empty document is a separator alone and counts zero tokens. Tokens after the last separator of a file are a last document
-without an end, and are counted. Empty files and an empty folder have no documents. A file of an odd number of bytes is refused.
+without an end, and are counted. Empty files and an empty folder have no documents. A file that ends within an id is refused, and so is
+a separator that doesn't fit the vocabulary's ids. Null texts count as empty; null and repeated ids keep their rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text
     """
     ship_package(docs.sparkSession)
     path = vocabulary or bpe.default_vocabulary()
+    if separator > np.iinfo(bpe.id_type(path)).max:
+        raise ValueError(f"the separator {separator} doesn't fit the vocabulary's ids")
     corpus_files.make_folder(folder)
     id_type = docs.schema[id_col].dataType.simpleString()
 
@@ -122,4 +125,5 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     folder = scratch_path(spark, "token-files")
     manifest = write_token_files(docs, folder, id_col, text_col, vocabulary=vocabulary)
-    return manifest.join(scan_token_files(spark, folder), ["file", "ordinal"]).select("doc_id", "n_tokens")
+    scanned = scan_token_files(spark, folder, dtype=bpe.id_type(vocabulary or bpe.default_vocabulary()).str)
+    return manifest.join(scanned, ["file", "ordinal"]).select("doc_id", "n_tokens")
