@@ -2,51 +2,19 @@
 
 from __future__ import annotations
 
-import re
 import shutil
 import tempfile
-import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from granary.sources.scratch import materialize, scratch_path, shared_dir  # noqa: F401
+
 #: White space of the word rules, as a Java and RE2 character class.
 SPACES = r"[\x20\x09-\x0D]+"
 
 
-_own_dirs: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, in local mode a folder of this application; a cluster without it is an error."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        own = spark.sparkContext.applicationId
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        if own not in _own_dirs:
-            _own_dirs[own] = "file://" + tempfile.mkdtemp(prefix="granary-")
-        path = _own_dirs[own]
-    return path.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing has used yet."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
-
-    Cuts the lineage, so that a lost executor costs a re-read instead of a recomputation, and pins
-    whatever the plan derives from partition numbers.
-    """
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 #: Rows in an Arrow batch: texts are long, and a worker holds a batch at a time.
 BATCH_ROWS = 1_000
 _shipped: set[str] = set()

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.llm.common import BROADCAST_ROWS, materialize, packed, ship_package, text_digest, unpacked, with_maybe, without
+from granary.llm.common import BROADCAST_ROWS, broadcast_small, materialize, packed, ship_package, text_digest, unpacked, with_maybe, without
 from granary.llm.components import connected_components
 
 BITS, SEGMENTS, RADIUS = 64, 16, 2
@@ -367,7 +367,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     settled = linked.where("root IS NOT NULL OR rows > 1").join(reach, F.col("root") == F.col("r"), "left").select(F.col("digest").alias("k"), F.coalesce("stays", order).alias("stays"))
     settled = materialize(settled, "near-settled")
     own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")
-    gone = known.select("doc_id", "digest").join(settled, F.col("digest") == F.col("k")).where(own != F.col("stays"))
+    gone = known.select("doc_id", "digest").join(broadcast_small(settled), F.col("digest") == F.col("k")).where(own != F.col("stays"))
     gone = materialize(gone.select(F.col("doc_id").alias("gone_id"), F.col("digest").alias("gone_digest")).distinct(), "near-gone")
     kept = without(packed(docs, id_col, text_col), gone)
     return unpacked(one_of_each(kept, known) if repeated else kept)

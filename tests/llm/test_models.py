@@ -156,6 +156,36 @@ def test_op10_query_is_right_on_held_out_documents(spark, sf_dir, documents):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_op10_equals_plain_votes(spark, documents, texts):
+    """Each document's votes counted one by one, with the machines fitted on the same sample."""
+    held = langid.fold(F.col("doc_id"), 4) == 2
+    sample = langid.training_sample(documents.select("doc_id", "text", "lang", held.alias("held_out")), langid.PER_LANGUAGE).collect()
+    x, langs = np.array([np.frombuffer(r["x"], np.float32) for r in sample]), np.array([r["lang"] for r in sample], object)
+    order = sorted(range(len(langs)), key=lambda i: (langs[i], x[i].tobytes()))
+    model = langid.LanguageModel(x[order], langs[order])
+
+    def votes(machines, v):
+        won, sums = Counter(), Counter()
+        for (a, b), w, bias in zip(machines.pairs, machines.weights, machines.bias, strict=True):
+            margin = float(v @ w + bias)
+            won[a if margin >= 0 else b] += 1
+            sums[a] += margin
+            sums[b] -= margin
+        return min(range(len(machines.classes)), key=lambda c: (-won[c], -sums[c], machines.classes[c]))
+
+    for r in langid.identify(documents).collect():
+        v = langid.vector(texts[r["doc_id"]] or "")
+        machines = model.within[votes(model.families, v)]
+        assert r["lang_pred"] == machines.classes[votes(machines, v)]
+
+
+def test_op10_learns_rare_languages_and_repeated_ids(spark):
+    texts = ["the cat and the dog"] * 700 + ["der hund und die katze"] * 3
+    docs = docs_of(spark, texts, [*range(700), 3, 3, 3], lang=["en"] * 700 + ["de"] * 3)
+    learnt = langid.training_sample(docs.select("doc_id", "text", "lang", F.lit(False).alias("held_out")), 20).groupBy("lang").count().collect()
+    assert {r["lang"]: r["count"] for r in learnt} == {"en": 20, "de": 1}
+
+
 def test_op10_on_odd_rows(spark, documents):
     some = documents.limit(120).collect()
     texts, ids, lang = [r["text"] for r in some], [r["doc_id"] for r in some], [r["lang"] for r in some]

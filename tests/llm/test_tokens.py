@@ -117,9 +117,9 @@ def test_op7_round_trip_and_resume(spark, documents, texts, tmp_path, codec):
     index = training_order.materialise_order(documents.repartition(3), folder, stride=128, shard_sequences=500).orderBy("slot").collect()
     total = len(index)
     assert [r["slot"] for r in index] == list(range(total))
-    read = list(training_order.read_sequences(folder, total, 0, 128, 500))
+    read = list(training_order.read_sequences(folder))
     assert [zlib.crc32(s.tobytes()) for s in read] == [r["ids_crc32"] for r in index]
-    later = list(training_order.read_sequences(folder, total, 777, 128, 500))
+    later = list(training_order.read_sequences(folder, 777))
     assert all((a == b).all() for a, b in zip(later, read[777:], strict=True))
     back = np.argsort(training_order.Permutation(total).numbers(np.arange(total)))
     flat = np.concatenate([read[i][: index[i]["n_tokens"]] for i in back])
@@ -138,3 +138,27 @@ def test_op7_on_odd_rows(spark, tmp_path):
     rows = training_order.materialise_order(docs_of(spark, [*ODD, "a"], [*range(len(ODD)), None]), f"file://{tmp_path}/a", stride=16, shard_sequences=100).collect()
     assert len({r["slot"] for r in rows}) == len(rows) > 100
     assert training_order.materialise_order(docs_of(spark, []), f"file://{tmp_path}/b").count() == 0
+
+
+def test_op7_index_tells_whose_tokens_each_sequence_begins_with(spark, tmp_path):
+    """first_doc_id and n_tokens against sequences cut one after another, in the places that the permutation gives; the manifest tells the rest."""
+    texts = [None, "", "short", "word " * 300, *(f"text {k} " * (k % 40) for k in range(80))]
+    folder = f"file://{tmp_path}/order"
+    rows = training_order.materialise_order(docs_of(spark, texts).coalesce(1), folder, stride=16, shard_sequences=20).collect()
+    own = bpe.quick_codec(bpe.default_vocabulary())
+    flat, owner = [], []
+    for k, text in enumerate(texts):
+        ids = [*own.encode(text or "", specials=False).tolist(), training_order.END]
+        flat += ids
+        owner += [k] * len(ids)
+    n = -(-len(flat) // 16)
+    slots = training_order.Permutation(n).slots(np.arange(n)).tolist()
+    assert {(r["slot"], r["first_doc_id"], r["n_tokens"]) for r in rows} == {(slots[k], owner[16 * k], len(flat[16 * k : 16 * k + 16])) for k in range(n)}
+    assert all((r["shard"], r["byte_offset"]) == (r["slot"] // 20, r["slot"] % 20 * 32) for r in rows)
+    facts = training_order.read_manifest(folder)
+    assert (facts["sequences"], facts["stride"], facts["dtype"]) == (n, 16, "<u2")
+    assert [x.tolist()[: r["n_tokens"]] for x, r in zip(training_order.read_sequences(folder), sorted(rows, key=lambda r: r["slot"]), strict=True)] == [
+        flat[16 * k : 16 * k + 16] for k in training_order.Permutation(n).numbers(np.arange(n)).tolist()
+    ]
+    with pytest.raises(ValueError):
+        training_order.materialise_order(docs_of(spark, ["a"]), f"file://{tmp_path}/c", end=70_000)
