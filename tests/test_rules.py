@@ -84,6 +84,44 @@ def test_paths(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "j")).count() == 2
 
 
+def test_missing_paths_are_python_errors(spark, tmp_path):
+    for read in (retail.read_raw_csv, retail.read_parquet):
+        with pytest.raises(FileNotFoundError):
+            read(spark, str(tmp_path / "none"))
+    retail.write_parquet(spark.range(5), f"{tmp_path}/long-name", files=1)
+    assert not retail.path_exists(spark, f"{tmp_path}/long")
+    assert retail.path_exists(spark, f"{tmp_path}/long-name")
+    assert retail.is_folder(spark, f"{tmp_path}/long-name")
+    assert not retail.is_folder(spark, f"{tmp_path}/none")
+    assert sum(r["rows"] for r in retail.partitions(retail.read_parquet(spark, f"{tmp_path}/long-name")).collect()) == 5
+    assert [tuple(r) for r in retail.described(spark.range(1)).collect()] == [(0, "id", "bigint", False)]
+    retail.delete(f"file://{tmp_path}/long-name")
+    assert not retail.path_exists(spark, f"{tmp_path}/long-name")
+    with pytest.raises(FileNotFoundError):
+        retail.delete(f"file://{tmp_path}/long-name")
+    assert retail.raw_uri("hdfs://host:9000/", "/data/raw/", "a.csv") == "hdfs://host:9000/data/raw/a.csv"
+
+
+def test_overlap_report_counts_what_is_left(spark):
+    a = [row(str(i), at=DAY.format(i)) for i in (1, 2, 3, 3, 4)]
+    b = [row(str(i), at=DAY.format(i)) for i in (3, 4, 4, 5)]
+    rows, _ = retail.sheets_union({"one": raw(spark, a), "two": raw(spark, b)})
+    found = {r["metric"]: r["value"] for r in reconcile.overlap_report(rows, "one", "two").collect()}
+    assert (found.pop("since"), found.pop("until")) == (DAY.format(3), DAY.format(4))
+    assert {k: int(v) for k, v in found.items()} == {
+        "first_rows": 5, "second_rows": 4, "first_within": 3, "second_within": 3, "within_both": 2, "within_first_only": 1, "within_second_only": 1, "first_excess": 1, "second_excess": 1, "excess_without_first_within": 1,
+    }
+
+
+def test_the_number_of_clusters_must_be_chosen():
+    from granary.operators.clustering import selected_k
+
+    assert selected_k(4) == 4
+    for k in (None, 1):
+        with pytest.raises(ValueError):
+            selected_k(k)
+
+
 def test_sheets_overlap(spark):
     a = [row(str(i), at=DAY.format(i)) for i in (1, 2, 3, 3)]
     b = [row(str(i), at=DAY.format(i)) for i in (3, 4)]
