@@ -144,7 +144,7 @@ def rfm_events(spark, sf_dir):
 
 
 def rfm_clean(spark, sf_dir):
-    return rfm.rfm(clean(spark, sf_dir))
+    return rfm.rfm(materialize(clean(spark, sf_dir), "clean"))
 
 
 def rfm_sql_difference(spark, sf_dir):
