@@ -102,14 +102,18 @@ def without(rows: DataFrame, gone: DataFrame, broadcast_rows: int = BROADCAST_RO
     return tested.where("NOT maybe").drop("maybe").unionByName(tested.where("maybe").drop("maybe").join(gone, same, "left_anti"))
 
 
-def marked(rows: DataFrame, keys: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``rows`` (doc_id, digest, ...) with the columns of ``keys`` (key_id, key_digest, ...) where they agree, else nulls; ``keys`` should be cheap to read.
+#: Estimated bytes up to which keys with lists of longs are broadcast.
+BROADCAST_BYTES = 16 << 20
 
-    As with :func:`without`, only rows that a filter lets through shuffle if the table is too large for a broadcast.
+
+def marked(rows: DataFrame, keys: DataFrame, listed: str, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``rows`` (doc_id, digest, ...) with the column ``listed`` of ``keys`` (key_id, key_digest, listed), a list of longs, where they agree, else nulls.
+
+    ``keys`` should be cheap to read. As with :func:`without`, only rows that a filter lets through shuffle if the table is too large for a broadcast.
     """
     same = F.col("doc_id").eqNullSafe(F.col("key_id")) & (F.col("digest") == F.col("key_digest"))
-    n = keys.count()
-    if n <= broadcast_rows:
+    n, longs = keys.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(listed)), F.lit(0))).first()
+    if 64 * n + 8 * longs <= broadcast_bytes:
         return rows.join(F.broadcast(keys), same, "left").drop("key_id", "key_digest")
     tested = with_maybe(rows, F.xxhash64("doc_id", "digest"), keys, F.xxhash64("key_id", "key_digest"), n)
     met = tested.where("maybe").join(keys, same, "left").drop("maybe", "key_id", "key_digest")

@@ -101,7 +101,7 @@ def redundant_pieces(rows: DataFrame) -> DataFrame:
     maybe = pieces.join(broadcast_small(hashes), F.col("hash") == F.col("shared"), "left_semi")
     maybe = materialize(maybe.groupBy(F.col("id").alias("key_id"), F.col("digest").alias("key_digest")).agg(F.collect_set("code").alias("codes")), "line-maybe")
 
-    found = marked(rows.where("text IS NOT NULL").select("doc_id", "digest", "text"), maybe).where("codes IS NOT NULL").withColumn("lines", lines_of(F.col("text")))
+    found = marked(rows.where("text IS NOT NULL").select("doc_id", "digest", "text"), maybe, "codes").where("codes IS NOT NULL").withColumn("lines", lines_of(F.col("text")))
     spelt = F.transform("codes", lambda c: F.struct(c.alias("code"), F.array_join(F.slice("lines", place_of(c)[0] + 1, place_of(c)[1]), "\n").alias("piece")))
     spelt = found.withColumn("spelt", spelt).select(F.col("doc_id").alias("id"), "digest", F.inline_outer("spelt"))
     at, lines = place_of(F.col("code"))
@@ -119,7 +119,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with the repeated pieces taken out of their texts; with ``removed_col``, also how many lines each row lost."""
     text = F.col(f"`{text_col}`")
     gone = materialize(redundant_pieces(docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_digest(text).alias("digest"), text.alias("text"))), "line-gone")
-    rows = marked(packed(docs, id_col, text_col), gone)
+    rows = marked(packed(docs, id_col, text_col), gone, "gone")
     changed = rows.withColumn("lines", F.when(F.col("gone").isNotNull(), lines_of(F.col("row").getField(text_col))))
     covered = F.flatten(F.transform("gone", lambda c: F.sequence(place_of(c)[0], place_of(c)[0] + place_of(c)[1] - 1)))
     changed = changed.withColumn("kept", F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), covered))

@@ -90,7 +90,7 @@ def test_op5_removes_passages_of_few_lines(spark):
 
 def test_op5_gives_the_same_by_filter(spark, documents, monkeypatch):
     expected = rows_of(lines.line_dedup(documents), "doc_id", "text")
-    monkeypatch.setattr(lines, "marked", lambda rows, keys: marked(rows, keys, broadcast_rows=-1))
+    monkeypatch.setattr(lines, "marked", lambda rows, keys, listed: marked(rows, keys, listed, broadcast_bytes=-1))
     monkeypatch.setattr(lines, "broadcast_small", lambda df: df)
     assert rows_of(lines.line_dedup(documents), "doc_id", "text") == expected
 
