@@ -1,33 +1,30 @@
 """Language-model scoring with a weighted backoff automaton.
 
-The model is a trigram model with absolute discounting, learnt from the training documents:
+The model is a trigram model of all n-grams of the training documents, without a cut: it grows with the corpus. With ``c`` for counts,
 
-* unigrams keep every word of the training texts, and one class for all unknown words;
-* bigrams and trigrams are kept if they make up at least ``SHARE`` of the training tokens. At most 1 / SHARE
-  n-grams of an order can do so, at any size of the corpus, which bounds the automaton that is broadcast.
+    p(w) = (c(w) + 0.5) / (N + 0.5 (V + 1))        p(w | h) = (c(h w) + PRIOR p(w | h')) / (c(h) + PRIOR)
 
-The kept n-grams form a weighted automaton: a state for each history that has kept continuations, an arc
-for each of these with its log10 probability, and a failure arc with the backoff weight to the state of the
-history without its first word. Scoring is one left-to-right traversal. Words too rare to be in any kept
-n-gram lead to the root; their unigram counts, which grow with the corpus, are not broadcast: each
-document's rare words are joined with the table of counts.
+where ``h'`` is the history without its first word; over the known words and one class of all unknown ones it adds up to one. The
+n-grams form a weighted automaton: a state for each history, an arc for each n-gram, and a failure arc, which weighs
+PRIOR / (c(h) + PRIOR), to the state of ``h'``. Scoring is one left-to-right traversal that carries the state.
 
-Which n-grams may reach the share is found without counting all of them across the cluster: each chunk of the corpus reports
-the n-grams with half that share in it, with their counts. What goes unreported of an n-gram is less than half the share of the
-corpus, so only those with the other half reported can reach it. There are at most 2 / SHARE of an order, whatever the size of the corpus,
-and one more pass counts them exactly.
+No task holds the model. The texts are written once as chunks of token ids. Each chunk sends the hashes of its different n-grams, sorted and as
+differences, to the tasks that count a range of hashes; these answer with the counts that differ from the chunk's own, by position. With them each
+chunk builds the part of the automaton that its own texts can reach, and traverses it. So what a task holds is bounded by the size of a chunk or of a range, and
+as each chunk sends an n-gram once, no n-gram is hot.
+
+Words are told apart by 64 bits of hash. The hashes of bigrams and trigrams have ``SPARE_BITS`` bits more than it takes to number the tokens, so that at any size
+an n-gram shares its hash with another in fewer than one of a million cases.
 
 Edge cases: a null or empty text is one end token. Null ids count as the empty text for the fold. Repeated
-rows are scored and counted each. With no training document every probability is one. Other columns are
-ignored. Very long texts are only ever held one at a time.
+rows are scored and counted each. With no training document every probability is one. An empty table gives an empty result. Other columns are
+ignored. A text that is longer than a chunk is a chunk of its own, held whole by one task.
 """
 
 from __future__ import annotations
 
-import math
-from collections import Counter
+import re
 from collections.abc import Iterator
-from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -37,209 +34,282 @@ from pyspark.sql import functions as F
 
 from granary.llm.common import fold, materialize, ship_package
 
-#: Share of the training tokens from which an n-gram is kept; its inverse bounds the n-grams of an order.
-SHARE = 1e-6
-#: Discount of bigram and trigram counts.
-DISCOUNT = 0.75
-#: Tokens of a chunk of the counting passes, at least; twice that at most. Only the chunk of a task with less text is smaller.
-CHUNK_TOKENS = 2_500_000
-
-
-def words_of(text: str) -> list[bytes]:
-    """The words of a text, with A-Z in lower case."""
-    return text.encode().lower().split()
-
-
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter[bytes] = Counter()
-
-    def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
-
-    for batch in batches:
-        for text in batch.column(0):
-            counts.update(words_of(text.as_py()))
-            if len(counts) > 1_000_000:
-                yield out()
-                counts.clear()
-    yield out()
+#: Weight of the shorter history's distribution, in occurrences.
+PRIOR = 20.0
+#: Tokens from which a chunk is closed, and tokens for each range of hashes.
+CHUNK_TOKENS, RANGE_TOKENS = 2_500_000, 4_000_000
+#: Bits of an n-gram's hash beyond those that number the tokens.
+SPARE_BITS = 20
+#: Tokens that a lane of the traversal goes through; longer texts take several lanes.
+LANE = 512
+#: Bytes of text that are hashed at a time, at least.
+BLOCK = 1 << 20
+
+_WHITE = re.compile(rb"[\x20\x09-\x0D]")
+_BASE = 0x9E3779B97F4A7C15 | 1  # odd, so that it has an inverse modulo 2 ** 64
+_UNBASE = pow(_BASE, -1, 1 << 64)
+_ODD = np.uint64(0xD6E8FEB86659FD93)
+_powers: dict[int, np.ndarray] = {}
+
+
+def _power(base: int, n: int) -> np.ndarray:
+    """base ** 0, ..., base ** (n - 1) modulo 2 ** 64."""
+    known = _powers.get(base)
+    if known is None or len(known) < n:
+        steps = np.full(max(n, 2 * BLOCK), base, np.uint64)
+        steps[0] = 1
+        known = _powers[base] = np.cumprod(steps)
+    return known[:n]
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """Each bit of the result depends on all bits of ``h``."""
+    for _ in range(2):
+        h = (h ^ (h >> np.uint64(32))) * _ODD
+    return h ^ (h >> np.uint64(32))
+
+
+#: Hashes of the end and the start of a text.
+END, START = _mixed(np.array([1, 2], np.uint64))
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, first byte) of each word of ``data``, by differences of one polynomial hash of all bytes."""
+    hashes, firsts, at = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], 0
+    while at < len(data):
+        space = _WHITE.search(data, min(at + BLOCK, len(data)))
+        until = space.start() if space else len(data)
+        block = np.frombuffer(data, np.uint8, until - at, at)
+        inside = np.zeros(len(block) + 2, np.int8)
+        inside[1:-1] = (block != 32) & ((block < 9) | (block > 13))
+        edge = np.diff(inside)
+        first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        sums = np.zeros(len(block) + 1, np.uint64)
+        np.cumsum((block.astype(np.uint64) + np.uint64(1)) * _power(_BASE, len(block)), out=sums[1:])
+        own = (sums[last] - sums[first]) * _power(_UNBASE, len(block) + 1)[first]
+        hashes.append(_mixed(own + (last - first).astype(np.uint64)))
+        firsts.append(first + at)
+        at = until + 1
+    return np.concatenate(hashes), np.concatenate(firsts)
+
+
+def pack(values: np.ndarray) -> bytes:
+    """Unsigned integers as compressed byte planes, the lowest first, as many as the largest needs."""
+    values = values.astype(np.uint64)
+    width = (int(values.max()).bit_length() + 7) // 8 if len(values) else 0
+    planes = values.view(np.uint8).reshape(-1, 8)[:, :width].T
+    return bytes([width]) + pa.Codec("zstd", 1).compress(planes.tobytes(), asbytes=True)
+
+
+def unpack(data: bytes, n: int) -> np.ndarray:
+    width, values = data[0], np.zeros((n, 8), np.uint8)
+    if width:
+        planes = pa.Codec("zstd", 1).decompress(data[1:], n * width, asbytes=True)
+        values[:, :width] = np.frombuffer(planes, np.uint8).reshape(width, n).T
+    return values.view(np.uint64).reshape(-1)
+
+
+def encoded_chunks(source: DataFrame, id_type: str, chunk_tokens: int) -> DataFrame:
+    """One row for each chunk of texts: ids and folds of its documents, their numbers of words, hashes of its different words, the words as places among these."""
+    names = ["chunk", "doc_ids", "held", "lengths", "hashes", "words", "n_tokens"]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = TaskContext.get().partitionId() << 32
+        ids: list[pa.Array] = []
+        held: list[pa.Array] = []
+        found: list[np.ndarray] = []
+        lengths: list[np.ndarray] = []
+        tokens = 0
+
+        def out() -> pa.RecordBatch:
+            hashes, place, count = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
+            order = np.argsort(-count, kind="stable")  # frequent words have small numbers, which compress well
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            row = [chunk, pa.concat_arrays(ids), pa.concat_arrays(held), np.concatenate(lengths), hashes[order].tobytes(), pack(rank[place.reshape(-1)]), tokens]
+            types = [pa.int64(), pa.list_(ids[0].type), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.int64()]
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v)) if pa.types.is_list(t) else pa.array([v], t) for v, t in zip(row, types, strict=True)]
+            return pa.RecordBatch.from_arrays(lists, names)
 
-class Vocabulary:
-    """Ids of the words that may be in a kept n-gram; then the end and the start of a text."""
-
-    def __init__(self, words: list[bytes]):
-        self.ids = {w: i for i, w in enumerate(words)}
-        self.end, self.start = len(words), len(words) + 1
-        self.size = len(words) + 2
-
-    def encode(self, words: list[bytes]) -> list[int]:
-        get = self.ids.get
-        return [get(w, -1) for w in words]
-
-
-def encoded_documents(source: DataFrame, vocabulary, id_type: str) -> DataFrame:
-    """(rid, doc_id, held_out, ids, rare): each text's word ids with the end (-1: rare), and its rare words with their counts.
-
-    Written once, as three passes read the ids; ``rid`` numbers the rows.
+        for batch in batches:
+            at = 0
+            while at < batch.num_rows:
+                texts, size, first = [], 0, at
+                while at < batch.num_rows and size < BLOCK:
+                    texts.append(batch.column(1)[at].as_py().encode().lower())
+                    size += len(texts[-1]) + 1
+                    at += 1
+                begins = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
+                hashes, places = word_hashes(b"\n".join(texts))
+                found.append(hashes)
+                lengths.append(np.bincount(np.searchsorted(begins, places, "right") - 1, minlength=len(texts)))
+                ids.append(batch.column(0).slice(first, at - first))
+                held.append(batch.column(2).slice(first, at - first))
+                tokens += len(hashes) + len(texts)
+                if tokens >= chunk_tokens:
+                    yield out()
+                    chunk, tokens = chunk + 1, 0
+                    for part in (ids, held, found, lengths):
+                        part.clear()
+        if tokens:
+            yield out()
+
+    schema = f"chunk bigint, doc_ids array<{id_type}>, held array<boolean>, lengths array<bigint>, hashes binary, words binary, n_tokens bigint"
+    return materialize(source.mapInArrow(run, schema), "lm-chunks")
+
+
+class Chunk:
+    """The texts of a chunk with start and end, and for n from 1 to 3 the different n-grams: ``keys``, ``hashes`` and ``counts`` in its training texts.
+
+    Words are numbers below ``size``, the last two are the end and the start. A bigram's key is first * size + second, a trigram's the place of its first two among the bigrams * size + third.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, row = vocabulary.value, TaskContext.get().partitionId() << 40
-        for batch in batches:
-            ids, rare, ends = [], [], [0]
-            for text in batch.column(1):
-                words = words_of(text.as_py())
-                found = np.array([*own.encode(words), own.end], np.int32)
-                ids.append(found.tobytes())
-                rare += Counter(compress(words, (found < 0).tolist())).items()
-                ends.append(len(rare))
-            structs = pa.StructArray.from_arrays([pa.array([w for w, _ in rare], pa.binary()), pa.array([n for _, n in rare], pa.int64())], ["word", "tf"])
-            columns = [pa.array(np.arange(row, row + batch.num_rows)), batch.column(0), batch.column(2), pa.array(ids, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), structs)]
-            row += batch.num_rows
-            yield pa.RecordBatch.from_arrays(columns, ["rid", "doc_id", "held_out", "ids", "rare"])
-
-    return materialize(source.mapInArrow(run, f"rid bigint, doc_id {id_type}, held_out boolean, ids binary, rare array<struct<word: binary, tf: bigint>>"), "lm-encoded")
-
-
-def _ids(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-    for batch in batches:
-        for raw in batch.column(0):
-            yield np.frombuffer(raw.as_buffer(), np.int32)
-
-
-def _grams(vocabulary: Vocabulary, texts: Iterator[np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Tokens, bigram keys and trigram keys of chunks of encoded texts; n-grams with a rare word are left out."""
-    size, chunk, tokens, cut = vocabulary.size, [], 0, None
-    opening = np.array([-1, vocabulary.start], np.int32)
-
-    def keyed(parts: list[np.ndarray]) -> tuple[int, np.ndarray, np.ndarray]:
-        flat = np.concatenate(parts).astype(np.int64)
-        two = (flat[:-1] >= 0) & (flat[1:] >= 0)
-        three = two[:-1] & two[1:]
-        pairs = flat[:-1] * size + flat[1:]
-        return sum(map(len, parts[1::2])), pairs[two], (pairs[:-1] * size + flat[2:])[three]
-
-    for ids in texts:
-        chunk += [opening, ids]
-        tokens += len(ids)
-        if cut is None and tokens >= CHUNK_TOKENS:
-            cut = len(chunk)
-        if tokens >= 2 * CHUNK_TOKENS:  # what is left must make a chunk, too
-            yield keyed(chunk[:cut])
-            chunk, cut = chunk[cut:], None
-            tokens = sum(map(len, chunk[1::2]))
-    if chunk:
-        yield keyed(chunk)
-
-
-def offered_grams(train: DataFrame, vocabulary, share: float, least: float) -> DataFrame:
-    """(n, key): bigrams (n = 2) and trigrams that may occur ``least`` times, the share of all tokens."""
+    def __init__(self, row: dict, bits: int):
+        words = np.frombuffer(row["hashes"], np.uint64)
+        self.size = size = len(words) + 2
+        self.end, self.start = size - 2, size - 1
+        lengths = np.array(row["lengths"], np.int64)
+        self.held = np.array(row["held"], bool)
+        self.last = np.cumsum(lengths + 2) - 1  # where each text's end is
+        self.first = self.last - lengths - 1
+        self.tokens = np.full(len(self.held) * 2 + int(lengths.sum()), -1, np.int64)
+        self.tokens[self.first], self.tokens[self.last] = self.start, self.end
+        self.tokens[self.tokens < 0] = unpack(row["words"], int(lengths.sum())).astype(np.int64)
+
+        learnt = np.repeat(~self.held, lengths + 2)
+        second = self.tokens != self.start
+        pair = np.flatnonzero(second)
+        triple = pair[second[pair - 1]]
+        two, at = np.unique(self.tokens[pair - 1] * size + self.tokens[pair], return_inverse=True)
+        place = np.zeros(len(self.tokens), np.int64)
+        place[pair] = at
+        three, at3 = np.unique(place[triple - 1] * size + self.tokens[triple], return_inverse=True)
+        count = lambda at, keep, n: np.bincount(at[keep], minlength=n)
+        self.keys = {1: np.arange(size), 2: two, 3: three}
+        self.counts = {1: count(self.tokens, learnt, size), 2: count(at, learnt[pair], len(two)), 3: count(at3, learnt[triple], len(three))}
+
+        own = np.concatenate([words, [END, START]])
+        shift = np.uint64(64 - bits)
+        pairs = _mixed(own[two // size] * _ODD + own[two % size])
+        self.hashes = {1: own, 2: pairs >> shift, 3: _mixed(pairs[three // size] * _ODD + own[three % size]) >> shift}
+
+    def ranges(self, n: int, bits: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+        """The order of the n-grams by hash, and where in it each range begins, with the end."""
+        order = np.argsort(self.hashes[n], kind="stable")
+        width = 64 if n == 1 else bits
+        bounds = np.array([(i << width) // parts for i in range(1, parts)], np.uint64)
+        return order, np.concatenate([[0], np.searchsorted(self.hashes[n][order], bounds), [len(order)]])
+
+
+def sent_grams(chunks: DataFrame, bits: int, parts: int) -> DataFrame:
+    """(n, part, chunk, size, keys, counts): each chunk's n-grams within each range of hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for tokens, *keyed in _grams(vocabulary.value, _ids(batches)):
-            for n, keys in zip((2, 3), keyed, strict=True):
-                key, count = np.unique(keys, return_counts=True)
-                often = count >= share / 2 * tokens
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(int(often.sum()), n, np.int32)), pa.array(key[often]), pa.array(count[often])], ["n", "key", "count"])
-
-    reported = train.mapInArrow(run, "n int, key bigint, count bigint").groupBy("n", "key").agg(F.sum("count").alias("count"))
-    return reported.where(F.col("count") >= least / 2).select("n", "key")
-
+        for batch in batches:
+            for row in batch.to_pylist():
+                chunk = Chunk(row, bits)
+                for n in (1, 2, 3):
+                    order, cuts = chunk.ranges(n, bits, parts)
+                    hashes, counts = chunk.hashes[n][order], chunk.counts[n][order]
+                    rows = [(n, p, row["chunk"], b - a, pack(np.diff(hashes[a:b], prepend=np.uint64(0))), pack(counts[a:b])) for p, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if b > a]
+                    types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+                    if not rows:  # texts of one word have no trigram
+                        continue
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["n", "part", "chunk", "size", "keys", "counts"])
+
+    return chunks.mapInArrow(run, "n int, part int, chunk bigint, size bigint, keys binary, counts binary")
+
+
+def _answer(sent: pa.Table) -> pa.Table:
+    """For each chunk's n-grams of one range: which counts differ from its own, and those counts; and on one row the numbers of n-grams and of their occurrences."""
+    sizes = sent["size"].to_pylist()
+    keys = np.concatenate([np.cumsum(unpack(k, s), dtype=np.uint64) for k, s in zip(sent["keys"].to_pylist(), sizes, strict=True)])
+    counts = np.concatenate([unpack(c, s) for c, s in zip(sent["counts"].to_pylist(), sizes, strict=True)]).astype(np.int64)
+    order = np.argsort(keys, kind="stable")
+    begins = np.flatnonzero(np.diff(keys[order], prepend=~keys[order[:1]]))
+    sums = np.add.reduceat(counts[order], begins)
+    totals = np.empty_like(counts)
+    totals[order] = np.repeat(sums, np.diff([*begins, len(order)]))
+    changed, ends = totals != counts, np.cumsum(sizes)
+    spans = list(zip((ends - sizes).tolist(), ends.tolist(), strict=True))
+    types, tokens = [0] * len(sizes), [0] * len(sizes)
+    types[0], tokens[0] = int((sums > 0).sum()), int(sums.sum())
+    return pa.table({
+        "n": sent["n"].cast(pa.int32()), "part": sent["part"], "chunk": sent["chunk"], "changed": pa.array([np.packbits(changed[a:b]).tobytes() for a, b in spans], pa.binary()),
+        "counts": pa.array([pack(totals[a:b][changed[a:b]]) for a, b in spans], pa.binary()), "types": pa.array(types, pa.int64()), "tokens": pa.array(tokens, pa.int64()),
+    })
 
-def counted_grams(train: DataFrame, vocabulary, offered, least: float) -> DataFrame:
-    """(n, key, count) of the offered n-grams that occur at least ``least`` times."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = offered.value
-        totals = {n: np.zeros(len(k), np.int64) for n, k in known.items()}
-        for _, *keyed in _grams(vocabulary.value, _ids(batches)):
-            for n, keys in zip((2, 3), keyed, strict=True):
-                if len(known[n]):
-                    at = np.searchsorted(known[n], keys)
-                    at = at[known[n][np.minimum(at, len(known[n]) - 1)] == keys]
-                    totals[n] += np.bincount(at, minlength=len(known[n]))
-        for n, total in totals.items():
-            seen = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(seen), n, np.int32)), pa.array(known[n][seen]), pa.array(total[seen])], ["n", "key", "count"])
-
-    counted = train.mapInArrow(run, "n int, key bigint, count bigint").groupBy("n", "key").agg(F.sum("count").alias("count"))
-    return counted.where(F.col("count") >= least)
+class BackoffAutomaton:
+    """States, arcs and failure arcs of the n-grams of a chunk, with the counts of the whole corpus.
 
+    State 0 is the root, 1 + w that of a word, 1 + size + i that of the i-th bigram; those that no training text has are not entered.
+    """
 
-class BackoffAutomaton:
-    """States, arcs and failure arcs of the kept n-grams over a :class:`Vocabulary`."""
-
-    def __init__(self, vocabulary: Vocabulary, unigrams: np.ndarray, histories: np.ndarray, grams: dict[int, dict[int, int]], discount: float = DISCOUNT):
-        """unigrams: log10 probabilities by id; histories: count of each id as a history; grams: counts by key, for 2 and 3."""
-        size = vocabulary.size
-        after: dict[tuple[int, ...], list[tuple[int, int]]] = {}
-        for key, count in grams[2].items():
-            after.setdefault((key // size,), []).append((key % size, count))
-        for key, count in grams[3].items():
-            after.setdefault(divmod(key // size, size), []).append((key % size, count))
-        states = {(): 0} | {h: i + 1 for i, h in enumerate(sorted(after, key=lambda h: (len(h), h)))}
-        self.root, self.unigrams = 0, unigrams.tolist()
-        self.fail = [0] * len(states)
-        self.backoff = [0.0] * len(states)
-        self.arcs: list[dict[int, tuple[float, int]]] = [{} for _ in states]
-        self.word_state = [states.get((i,), 0) for i in range(size)]
-        self.initial = self.word_state[vocabulary.start]
-        for history, state in states.items():
-            if not history:
-                continue
-            total = int(histories[history[0]]) if len(history) == 1 else grams[2][history[0] * size + history[1]]
-            left = 1.0 - sum(c - discount for _, c in after[history]) / total
-            shorter = states.get(history[1:], 0)
-            self.fail[state], self.backoff[state] = shorter, math.log10(left)
-            for word, count in after[history]:
-                target = states.get((history[-1], word)) or self.word_state[word]
-                p = (count - discount) / total + left * 10.0 ** self.log_p(shorter, word)
-                self.arcs[state][word] = (math.log10(p), target)
-
-    def log_p(self, state: int, word: int) -> float:
-        """log10 probability of a word after a state; for a rare word (-1) without its unigram's part."""
-        lost = 0.0
-        while state:
-            arc = self.arcs[state].get(word)
-            if arc is not None:
-                return lost + arc[0]
-            lost += self.backoff[state]
-            state = self.fail[state]
-        return lost + (self.unigrams[word] if word >= 0 else 0.0)
-
-    def score(self, ids: list[int]) -> float:
-        """One traversal: the sum of :meth:`log_p` along the states that the words lead to."""
-        arcs, fail, backoff, unigrams, word_state = self.arcs, self.fail, self.backoff, self.unigrams, self.word_state
-        state, total = self.initial, 0.0
-        for word in ids:
-            while state:
-                arc = arcs[state].get(word)
-                if arc is not None:
-                    total += arc[0]
-                    state = arc[1]
-                    break
-                total += backoff[state]
-                state = fail[state]
-            else:
-                if word >= 0:
-                    total += unigrams[word]
-                    state = word_state[word]
-        return total
-
-
-def unigram_discount(n1: int, n2: int) -> float:
-    """Absolute discount from the numbers of words seen once and twice, within 0.1 and 0.9."""
-    return min(0.9, max(0.1, n1 / (n1 + 2 * n2))) if n1 else 0.5
-
-
-def _columns(df: DataFrame) -> dict[str, np.ndarray]:
-    """A bounded table on the driver, as one array for each column."""
-    table = df.toArrow()
-    return {c: table.column(c).to_numpy() for c in table.column_names}
-
-
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = SHARE, folds: int = 5, held_fold: int = 1) -> DataFrame:
+    def __init__(self, chunk: Chunk, unigrams: np.ndarray, prior: float = PRIOR):
+        """unigrams: probability of each word; chunk: with its counts made those of the corpus, the start's being the number of texts."""
+        size, one, two, three = chunk.size, *(chunk.counts[n].astype(np.float64) for n in (1, 2, 3))
+        pairs, triples = chunk.keys[2], chunk.keys[3]
+        p2 = (two + prior * unigrams[pairs % size]) / (one[pairs // size] + prior)
+        have2, have3 = np.flatnonzero(two), np.flatnonzero(three)
+        history, word = triples[have3] // size, triples[have3] % size
+        shorter = np.searchsorted(pairs, pairs[history] % size * size + word)
+        p3 = (three[have3] + prior * p2[shorter]) / (two[history] + prior)
+        self.size, self.unigrams = size, np.log10(unigrams)
+        self.arcs = np.concatenate([pairs[have2] + size, triples[have3] + (1 + size) * size, [np.iinfo(np.int64).max]])  # state * size + word, sorted; the last one is never met
+        self.weight = np.log10(np.concatenate([p2[have2], p3, [1.0]]))
+        self.target = np.concatenate([1 + size + have2, 1 + size + shorter, [0]])
+        self.fail = np.concatenate([np.zeros(1 + size, np.int64), 1 + pairs % size])
+        self.backoff = np.log10(prior / (np.concatenate([[0.0], one, two]) + prior))
+        self.word_state = np.where(one > 0, 1 + np.arange(size), 0)
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states that words lead to from states, and the log10 probabilities on the way."""
+        after, gained = np.empty_like(state), np.zeros(len(state))
+        at, now = np.arange(len(state)), state
+        while len(at):
+            root = now == 0
+            out = at[root]
+            gained[out] += self.unigrams[word[out]]
+            after[out] = self.word_state[word[out]]
+            at, now = at[~root], now[~root]
+            key = now * self.size + word[at]
+            arc = np.searchsorted(self.arcs, key)
+            hit = self.arcs[arc] == key
+            gained[at[hit]] += self.weight[arc[hit]]
+            after[at[hit]] = self.target[arc[hit]]
+            at, now = at[~hit], now[~hit]
+            gained[at] += self.backoff[now]
+            now = self.fail[now]
+        return after, gained
+
+    def scores(self, tokens: np.ndarray, first: np.ndarray, last: np.ndarray, lane: int = LANE) -> np.ndarray:
+        """One left-to-right traversal of each text, from the token after its start (``first``) to its end (``last``), many texts side by side.
+
+        A long text takes several lanes. All but its first go over the two tokens before them without counting these, which brings the automaton to the same state.
+        """
+        lanes = -(-(last - first) // lane)
+        text = np.repeat(np.arange(len(first)), lanes)
+        nth = np.arange(len(text)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
+        begin = first[text] + 1 + nth * lane
+        warm = np.where(nth > 0, 2, 0)
+        length = np.minimum(last[text] + 1 - begin, lane) + warm
+        begin = begin - warm
+        order = np.argsort(-length, kind="stable")
+        begin, warm, length = begin[order], warm[order], length[order]
+        state = np.where(warm == 0, self.word_state[-1], 0)
+        total = np.zeros(len(order))
+        running = np.searchsorted(-length, -np.arange(length[0] if len(length) else 0), "left")  # lanes longer than t
+        for t, n in enumerate(running.tolist()):
+            state[:n], gained = self.step(state[:n], tokens[begin[:n] + t])
+            total[:n] += np.where(warm[:n] <= t, gained, 0.0)
+        return np.bincount(text[order], weights=total, minlength=len(first))
+
+
+def score_documents(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_fold: int = 1, prior: float = PRIOR,
+    chunk_tokens: int = CHUNK_TOKENS, range_tokens: int = RANGE_TOKENS,
+) -> DataFrame:
     """One row for each document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     ``base_score`` is the sum of log10 of smoothed unigram shares, ``score`` the model's log10 probability of the text with its end.
@@ -247,68 +317,37 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark: SparkSession = docs.sparkSession
     ship_package(spark)
     source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), (fold(F.col(id_col), folds) == held_fold).alias("held_out"))
-    train = source.where("NOT held_out").select("text")
-
-    counts = train.mapInArrow(_count_words, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("c"))
-    counts = materialize(counts, "lm-words")
-    facts = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2")).first()
-    texts = train.count()
-    tokens, types = facts["n"] + texts, facts["v"] + (texts > 0)
-    least = share * tokens
-    frequent = _columns(counts.where(F.col("c") >= least))
-    order = np.argsort(frequent["word"].astype(object), kind="stable") if len(frequent["word"]) else []
-    words = Vocabulary([frequent["word"][i] for i in order])
-    seen = np.array([*frequent["c"][order], texts, texts] if len(order) else [texts, texts], np.float64)
-
     id_type = docs.schema[id_col].dataType.simpleString()
-    vocabulary = spark.sparkContext.broadcast(words)
-    encoded = encoded_documents(source, vocabulary, id_type)
-    train_ids = encoded.where("NOT held_out").select("ids")
-    grams: dict[int, dict[int, int]] = {2: {}, 3: {}}
-    if texts:
-        own = _columns(offered_grams(train_ids, vocabulary, share, least))
-        known = spark.sparkContext.broadcast({n: np.sort(own["key"][own["n"] == n]) for n in (2, 3)})
-        kept = _columns(counted_grams(train_ids, vocabulary, known, least))
-        for n in (2, 3):
-            of = kept["n"] == n
-            grams[n].update(zip(kept["key"][of].tolist(), kept["count"][of].tolist(), strict=True))
-        known.unpersist()
-
-    discount = unigram_discount(facts["n1"], facts["n2"])
-    unknown = math.log10(discount * types / tokens) if tokens else 0.0
-    base = np.log10((seen + 0.5) / (tokens + 0.5 * (types + 1)))
-    unigrams = np.log10(np.maximum(seen - discount, 1e-300) / tokens) if tokens else np.zeros(len(seen))
-    if not texts:  # no training: the end is as unknown as any word
-        unigrams[:] = unknown
-    model = spark.sparkContext.broadcast((base, BackoffAutomaton(words, unigrams, seen, grams)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, automaton = model.value
-        for batch in batches:
-            counts, known, bases, scores = [], [], [], []
-            for raw in batch.column(3):
-                ids = np.frombuffer(raw.as_buffer(), np.int32)
-                usual = ids[ids >= 0]
-                counts.append(len(ids))
-                known.append(len(usual) - (not texts))  # the end is the last; without training texts it is unknown
-                bases.append(float(base[usual].sum()))
-                scores.append(automaton.score(ids.tolist()))
-            columns = [*batch.columns[:3], pa.array(counts, pa.int64()), pa.array(known, pa.int64()), pa.array(bases, pa.float64()), pa.array(scores, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, ["rid", "doc_id", "held_out", "n_tokens", "known", "base", "score"])
-
-    scored = encoded.select("rid", "doc_id", "held_out", "ids").mapInArrow(run, f"rid bigint, doc_id {id_type}, held_out boolean, n_tokens bigint, known bigint, base double, score double")
-
-    # Rare words: their counts come by a shuffled join, as the table of counts grows with the corpus.
-    rare = encoded.select("rid", F.inline("rare")).join(counts.where(F.col("c") < least).hint("shuffle_hash"), "word", "left")
-    c, denominator = F.coalesce("c", F.lit(0)), float(tokens + 0.5 * (types + 1))
-    own = F.when(F.col("c").isNull(), F.lit(unknown)).otherwise(F.log10((c - discount) / float(max(tokens, 1))))
-    parts = rare.groupBy("rid").agg(
-        F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("rare_known"),
-        F.sum(F.col("tf") * F.log10((c + 0.5) / denominator)).alias("rare_base"),
-        F.sum(F.col("tf") * own).alias("rare_score"),
-    )
-    added = [F.coalesce(x, F.lit(0)) for x in ("rare_known", "rare_base", "rare_score")]
-    return scored.join(parts, "rid", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + added[0]).cast("long").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + added[1]).alias("base_score"), (F.col("score") + added[2]).alias("score"),
-    )
+    chunks = encoded_chunks(source, id_type, chunk_tokens)
+    offered, texts = chunks.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum(F.size(F.filter("held", lambda held: ~held))), F.lit(0))).first()
+    bits, parts = min(64, SPARE_BITS + offered.bit_length()), -(-offered // range_tokens) or 1
+
+    answers = sent_grams(chunks, bits, parts).groupBy("n", "part").applyInArrow(_answer, "n int, part int, chunk bigint, changed binary, counts binary, types bigint, tokens bigint")
+    answers = materialize(answers, "lm-counts")
+    types, tokens = answers.where("n = 1").agg(F.coalesce(F.sum("types"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
+    types, tokens = types - (texts > 0), tokens - texts  # without the start
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        row = left.to_pylist()[0]
+        chunk = Chunk(row, bits)
+        of: dict[int, list[dict]] = {1: [], 2: [], 3: []}
+        for answer in right.to_pylist():
+            of[answer["n"]].append(answer)
+        for n, answered in of.items():
+            order, cuts = chunk.ranges(n, bits, parts)
+            for answer in answered:
+                span = order[cuts[answer["part"]] : cuts[answer["part"] + 1]]
+                changed = np.unpackbits(np.frombuffer(answer["changed"], np.uint8), count=len(span)).astype(bool)
+                chunk.counts[n][span[changed]] = unpack(answer["counts"], int(changed.sum())).astype(np.int64)
+        unigrams = (chunk.counts[1] + 0.5) / (tokens + 0.5 * (types + 1))
+        counted = chunk.tokens != chunk.start
+        per_text = lambda values: np.add.reduceat(np.where(counted, values[chunk.tokens], 0), chunk.first)
+        score = BackoffAutomaton(chunk, unigrams, prior).scores(chunk.tokens, chunk.first, chunk.last)
+        return pa.table({
+            "doc_id": left["doc_ids"].combine_chunks().flatten(), "held_out": chunk.held, "n_tokens": chunk.last - chunk.first, "n_known": per_text((chunk.counts[1] > 0).astype(np.int64)),
+            "train_tokens": np.full(len(chunk.held), tokens, np.int64), "base_score": per_text(np.log10(unigrams)), "score": score,
+        })
+
+    schema = f"doc_id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+    own = answers.select("chunk", "n", "part", "changed", "counts")
+    return chunks.groupBy("chunk").cogroup(own.groupBy("chunk")).applyInArrow(run, schema)

@@ -3,7 +3,7 @@
 import math
 import re
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -93,9 +93,9 @@ def test_best_cut():
     assert importance.best_cut(np.array([]), np.array([], bool)) == 0.0
 
 
-@pytest.mark.parametrize("share", [1e-6, 1e-4])
-def test_op8_equals_the_plain_model(spark, documents, texts, share):
-    rows = {r["doc_id"]: r for r in lm_score.score_documents(documents, share=share).collect()}
+@pytest.mark.parametrize("chunk, part", [(lm_score.CHUNK_TOKENS, lm_score.RANGE_TOKENS), (900, 5_000)])
+def test_op8_equals_the_plain_model(spark, documents, texts, chunk, part):
+    rows = {r["doc_id"]: r for r in lm_score.score_documents(documents, chunk_tokens=chunk, range_tokens=part).collect()}
     train = {i for i in texts if zlib.crc32(str(i).encode()) % 5 != 1}
     count, pairs, triples = Counter(), Counter(), Counter()
     for i in train:
@@ -105,40 +105,57 @@ def test_op8_equals_the_plain_model(spark, documents, texts, share):
         triples.update(zip(s, s[1:], s[2:], strict=False))
     tokens = sum(count.values()) - count["start"]
     types = len(count) - 1
-    least, usual = share * tokens, lambda g: all(count[w] >= least or w in ("start", "end") for w in g)
-    pairs = {g: n for g, n in pairs.items() if n >= least and usual(g)}
-    triples = {g: n for g, n in triples.items() if n >= least and usual(g)}
-    once, twice = (sum(n == k for w, n in count.items() if w not in ("start", "end")) for k in (1, 2))
-    d1, d = lm_score.unigram_discount(once, twice), lm_score.DISCOUNT
-    left2, left3 = defaultdict(float), defaultdict(float)
-    for g, n in pairs.items():
-        left2[g[0]] += n - d
-    for g, n in triples.items():
-        left3[g[:2]] += n - d
+    base = lambda w: (count[w] + 0.5) / (tokens + 0.5 * (types + 1))
 
     def p(history, w):
-        if len(history) == 2 and history in left3:
-            return max(0, triples.get((*history, w), 0) - d) / pairs[history] + (1 - left3[history] / pairs[history]) * p(history[1:], w)
+        if not history:
+            return base(w)
+        shorter, k = p(history[1:], w), lm_score.PRIOR
         if len(history) == 2:
-            return p(history[1:], w)
-        if history and history[0] in left2:
-            return max(0, pairs.get((history[0], w), 0) - d) / count[history[0]] + (1 - left2[history[0]] / count[history[0]]) * p((), w)
-        return ((count[w] - d1) if count[w] else d1 * types) / tokens
+            return (triples[(*history, w)] + k * shorter) / (pairs[history] + k)
+        return (pairs[(*history, w)] + k * shorter) / (count[history[0]] + k)
 
     for i, text in texts.items():
         s, r = ["start", *words(text), "end"], rows[i]
         assert (r["held_out"], r["n_tokens"], r["train_tokens"]) == (i not in train, len(s) - 1, tokens)
         assert r["n_known"] == sum(count[w] > 0 for w in s[1:])
-        assert r["base_score"] == pytest.approx(sum(math.log10((count[w] + 0.5) / (tokens + 0.5 * (types + 1))) for w in s[1:]))
+        assert r["base_score"] == pytest.approx(sum(math.log10(base(w)) for w in s[1:]))
         assert r["score"] == pytest.approx(sum(math.log10(p(tuple(s[max(0, k - 2) : k]), s[k])) for k in range(1, len(s))))
     held = [r for r in rows.values() if r["held_out"]]
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
-    seen = {w for w, n in count.items() if w != "start"}
-    for history in [(), ("start",), *list(left2)[:3], *list(left3)[:3]]:
-        history = history if isinstance(history, tuple) else (history,)
+    seen = {w for w in count if w != "start"}
+    for history in [(), ("start",), *[g[:1] for g in list(pairs)[1:4]], *[g[:2] for g in list(triples)[:4]]]:
         assert sum(p(history, w) for w in seen) + p(history, "never seen") == pytest.approx(1)
 
 
+def test_op8_lanes_and_blocks_change_nothing(monkeypatch):
+    """Texts cut into lanes, and bytes hashed in blocks, give what whole ones give."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(list("abcdefg"), n)) for n in (0, 1, 2, 3, 7, 40, 41, 400)]
+    data = "\n".join([*texts, "\t a\x0bb\x0c\r c  \u00e9\u2003x ", "x" * 300, " "]).encode()
+    hashes, firsts = lm_score.word_hashes(data)
+    split = data.split()
+    assert len(hashes) == len(split) and len(set(hashes.tolist())) == len(set(split)) == len(set(zip(hashes.tolist(), split, strict=True)))
+    assert [data[f : f + len(w)] for f, w in zip(firsts.tolist(), split, strict=True)] == split
+    monkeypatch.setattr(lm_score, "BLOCK", 16)
+    again = lm_score.word_hashes(data)
+    assert np.array_equal(hashes, again[0]) and np.array_equal(firsts, again[1])
+
+    found = [lm_score.word_hashes(t.encode())[0] for t in texts]
+    own, place = np.unique(np.concatenate(found), return_inverse=True)
+    row = {"hashes": own.tobytes(), "words": lm_score.pack(place), "lengths": [len(f) for f in found], "held": [i % 2 == 1 for i in range(len(texts))]}
+    chunk = lm_score.Chunk(row, 64)
+    automaton = lm_score.BackoffAutomaton(chunk, (chunk.counts[1] + 0.5) / 1000)
+    whole = automaton.scores(chunk.tokens, chunk.first, chunk.last)
+    for lane in (2, 3, 7, 40):
+        assert automaton.scores(chunk.tokens, chunk.first, chunk.last, lane) == pytest.approx(whole)
+
+
+def test_op8_packs_what_it_unpacks():
+    for values in ([], [0], [0, 0], [1, 255, 256], [2**64 - 1, 0]):
+        assert lm_score.unpack(lm_score.pack(np.array(values, np.uint64)), len(values)).tolist() == values
+
+
 def test_op8_on_odd_rows(spark):
     rows = lm_score.score_documents(docs_of(spark, [*ODD, "b b", "b b"], [*range(len(ODD)), None, None])).collect()
     assert len(rows) == len(ODD) + 2
