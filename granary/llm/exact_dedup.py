@@ -7,8 +7,8 @@ tests each row against that table. A row whose two counters are not both at leas
 anywhere and passes straight through; the others, the possibly repeated ones, shuffle as
 (id, digest) pairs, never with their texts. The texts are read once.
 
-The filter is broadcast when its counted rows stay within ``BROADCAST_ROWS``; beyond that the same test
-runs as a shuffled join, which Spark splits where it is skewed; there every row shuffles, those that pass straight through too.
+The filter is broadcast when its counted rows stay within ``BROADCAST_ROWS``. Beyond that a bitmap of the blocks that it holds, of 32 MB
+at most, is broadcast in its place: rows in other blocks pass straight through, and the rest shuffle to meet the filter's own rows.
 
 Texts are equal when they agree after each run of white space is replaced by one space; equality is
 decided by the SHA-256 of that form.
@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import SPACES, materialize
+from granary.llm.common import SPACES, materialize, with_maybe
 
 #: Rows of the filter (a long and two small integers each) up to which it is broadcast: 16 MB at most.
 BROADCAST_ROWS = 500_000
@@ -53,15 +53,25 @@ def repeated_blocks(rows: DataFrame) -> DataFrame:
     return rows.groupBy("block").agg(*raised).select("block", hit.alias("hit")).where("hit > 0")
 
 
+def with_hits(rows: DataFrame, bloom: DataFrame, broadcast_rows: int) -> DataFrame:
+    """Add ``hit``, the repeated counters of each row's block; null if it has none. ``bloom`` should be cheap to read."""
+    bloom, n = bloom.withColumnRenamed("block", "bloom_block"), bloom.count()
+    same = F.col("block") == F.col("bloom_block")
+    if n <= broadcast_rows:
+        return rows.join(F.broadcast(bloom), same, "left")
+    sifted = with_maybe(rows, F.xxhash64("block"), bloom, F.xxhash64("bloom_block"), n)
+    met = sifted.where("maybe").drop("maybe").join(bloom, same, "left")
+    return met.unionByName(sifted.where("NOT maybe").drop("maybe"), allowMissingColumns=True)
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One row for each input row: doc_id, keep_id, group_size, kept, text_sha256."""
     rows = materialize(fingerprints(docs, id_col, text_col), "exact-rows")
     blocks = max(1, BLOCKS_PER_ROW * rows.count())
     rows = with_slots(rows, blocks)
-    bloom = materialize(repeated_blocks(rows), "exact-bloom").withColumnRenamed("block", "bloom_block")
-    test = F.broadcast(bloom) if bloom.count() <= broadcast_rows else bloom
+    bloom = materialize(repeated_blocks(rows), "exact-bloom")
     bits = F.expr("shiftleft(1, slot_a) | shiftleft(1, slot_b)")
-    tested = rows.join(test, rows["block"] == F.col("bloom_block"), "left").withColumn("maybe", F.coalesce(F.col("hit").bitwiseAND(bits) == bits, F.lit(False)))
+    tested = with_hits(rows, bloom, broadcast_rows).withColumn("maybe", F.coalesce(F.col("hit").bitwiseAND(bits) == bits, F.lit(False)))
     alone = tested.where(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
 
     # Copies under one id collapse before they shuffle; explode gives each its row back.

@@ -48,6 +48,16 @@ def test_op3_filter_misses_no_repeat(spark):
     assert exact_dedup.with_slots(rows, 100).where("slot_a = slot_b").count() == 0
 
 
+def test_op3_sifts_rows_before_they_shuffle(spark):
+    rows = exact_dedup.fingerprints(docs_of(spark, [str(i % 2950) for i in range(3000)]), "doc_id", "text")
+    slots = exact_dedup.with_slots(rows, 60_000)
+    bloom = exact_dedup.repeated_blocks(slots)
+    hits = [rows_of(exact_dedup.with_hits(slots, bloom, bound), "doc_id", "hit") for bound in (0, 10**6)]
+    assert hits[0] == hits[1] and len(hits[0]) == 3000
+    sifted = with_maybe(slots, F.xxhash64("block"), bloom, F.xxhash64("block"), bloom.count()).where("maybe").count()
+    assert 100 <= sifted < 700  # the copies, and rows that share a block or a bit with one
+
+
 def test_op5_equals_the_plain_version(spark, documents, texts):
     found = dict(rows_of(lines.line_dedup(documents), "doc_id", "text"))
     assert found == line_dedup(list(texts.items()))
