@@ -229,7 +229,7 @@ def _answer(sent: pa.Table) -> pa.Table:
     begins = np.flatnonzero(np.diff(keys[order], prepend=~keys[order[:1]]))
     sums = np.add.reduceat(counts[order], begins)
     totals = np.empty_like(counts)
-    totals[order] = np.repeat(sums, np.diff([*begins, len(order)]))
+    totals[order] = np.repeat(sums, np.diff(begins, append=len(order)))
     changed, ends = totals != counts, np.cumsum(sizes)
     spans = list(zip((ends - sizes).tolist(), ends.tolist(), strict=True))
     types, tokens = [0] * len(sizes), [0] * len(sizes)
