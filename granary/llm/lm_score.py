@@ -37,7 +37,7 @@ from granary.llm.common import fold, materialize, ship_package
 #: Weight of the shorter history's distribution, in occurrences.
 PRIOR = 20.0
 #: Tokens from which a chunk is closed, and tokens for each range of hashes.
-CHUNK_TOKENS, RANGE_TOKENS = 2_500_000, 4_000_000
+CHUNK_TOKENS, RANGE_TOKENS = 1_500_000, 4_000_000
 #: Bits of an n-gram's hash beyond those that number the tokens.
 SPARE_BITS = 20
 #: Tokens that a lane of the traversal goes through; longer texts take several lanes.
