@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.functions import ranks
 from granary.functions.typed import blank, price, quantity, timestamp
 from granary.sources.retail import RAW_COLUMNS
 
@@ -58,11 +59,12 @@ def cardinality(df: DataFrame) -> DataFrame:
 
 
 def numeric_stats(df: DataFrame) -> DataFrame:
-    """(column, min, max, mean, quantiles) of quantity and price."""
+    """(column, min, max, mean, exact quantiles) of quantity and price."""
     parsed = df.select(quantity(raw("Quantity")).alias("q"), price(raw("Price")).alias("p"))
     tall = parsed.select(F.expr("stack(2, 'Quantity', CAST(q AS DOUBLE), 'Price', CAST(p AS DOUBLE)) AS (column, value)"))
-    stats = tall.groupBy("column").agg(F.min("value").alias("min"), F.max("value").alias("max"), F.round(F.avg("value"), 4).alias("mean"), F.percentile_approx("value", list(POINTS.values()), 1_000_000).alias("q"))
-    return stats.select("column", "min", "max", "mean", *[F.col("q")[i].alias(name) for i, name in enumerate(POINTS)])
+    stats = tall.groupBy("column").agg(F.min("value").alias("min"), F.max("value").alias("max"), F.round(F.avg("value"), 4).alias("mean"))
+    points = ranks.quantiles(tall, ["column"], F.col("value"), POINTS)  # a row for each column
+    return stats.join(F.broadcast(points), "column", "left").select("column", "min", "max", "mean", *POINTS)
 
 
 def date_range(df: DataFrame) -> DataFrame:

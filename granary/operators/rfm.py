@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.functions.select import kth_largest
+from granary.functions import ranks
+from granary.sources.scratch import materialize
 
 OFFSET_DAYS = 1
 FEATURES = ["Recency", "Frequency", "Monetary"]
@@ -18,16 +19,29 @@ def analysis_date(tx: DataFrame, fixed: str | None = None, offset: int = OFFSET_
     return tx.agg(day.alias("AnalysisDate"))
 
 
-def rfm(tx: DataFrame, fixed: str | None = None, offset: int = OFFSET_DAYS) -> DataFrame:
-    """(CustomerID, Recency, Frequency, Monetary) from CustomerID, InvoiceNo, InvoiceDate, Amount.
+def customers(tx: DataFrame) -> DataFrame:
+    """(CustomerID, first, last, Frequency, Amount): one row for each customer, written, so that what is made from it reads the transactions no second time.
 
     Two levels of aggregation count distinct invoices without a copy of each row for it.
     """
-    invoices = tx.groupBy("CustomerID", "InvoiceNo").agg(F.max("InvoiceDate").alias("last"), F.sum("Amount").alias("amount"))
-    customers = invoices.groupBy("CustomerID").agg(F.max("last").alias("last"), F.count("InvoiceNo").alias("Frequency"), F.sum("amount").cast("decimal(28,2)").alias("Monetary"))
-    latest = invoices.select(F.col("last").alias("InvoiceDate"))  # the same latest day, from the aggregation that is there anyway
-    dated = customers.crossJoin(F.broadcast(analysis_date(latest, fixed, offset)))  # one row
-    return dated.select("CustomerID", F.date_diff("AnalysisDate", F.to_date("last")).cast("int").alias("Recency"), "Frequency", F.col("Monetary").cast("double").alias("Monetary"))
+    invoices = tx.groupBy("CustomerID", "InvoiceNo").agg(F.min("InvoiceDate").alias("first"), F.max("InvoiceDate").alias("last"), F.sum("Amount").alias("amount"))
+    own = invoices.groupBy("CustomerID").agg(
+        F.min("first").alias("first"), F.max("last").alias("last"), F.count("InvoiceNo").alias("Frequency"), F.sum("amount").cast("decimal(28,2)").alias("Amount")
+    )
+    return materialize(own, "customers")
+
+
+def rfm(tx: DataFrame, fixed: str | None = None, offset: int = OFFSET_DAYS, tenure: bool = False) -> DataFrame:
+    """(CustomerID, Recency, Frequency, Monetary) from CustomerID, InvoiceNo, InvoiceDate, Amount; with ``tenure`` also Tenure, the days since the first transaction.
+
+    The latest day comes from the customers' last ones, so the transactions are read once.
+    """
+    own = customers(tx)
+    date = analysis_date(own.select(F.col("last").alias("InvoiceDate")), fixed, offset)
+    dated = own.crossJoin(F.broadcast(date))  # one row
+    days = lambda c: F.date_diff("AnalysisDate", F.to_date(c)).cast("int")
+    more = [days("first").alias("Tenure")] if tenure else []
+    return dated.select("CustomerID", days("last").alias("Recency"), "Frequency", F.col("Amount").cast("double").alias("Monetary"), *more)
 
 
 def unpivoted(table: DataFrame, features: list[str] = FEATURES) -> DataFrame:
@@ -36,21 +50,23 @@ def unpivoted(table: DataFrame, features: list[str] = FEATURES) -> DataFrame:
 
 
 def describe(table: DataFrame, digits: int = 4) -> DataFrame:
-    """Minimum, maximum, mean, sample deviation, population skewness and quantiles of each feature, in one aggregation."""
+    """Minimum, maximum, mean, sample deviation, population skewness of each feature by one aggregation, and exact quantiles."""
     value, own = F.col("value"), lambda c: F.round(c, digits)
-    stats = unpivoted(table).groupBy("feature").agg(
+    tall = unpivoted(table)
+    stats = tall.groupBy("feature").agg(
         F.count("value").alias("n"), own(F.min(value)).alias("min"), own(F.max(value)).alias("max"), own(F.avg(value)).alias("mean"),
-        own(F.stddev_samp(value)).alias("std"), own(F.skewness(value)).alias("skew"), F.percentile_approx("value", list(QUANTILES.values()), 1_000_000).alias("q"),
+        own(F.stddev_samp(value)).alias("std"), own(F.skewness(value)).alias("skew"),
     )
-    return stats.select("feature", "n", "min", "max", "mean", "std", "skew", *[own(F.col("q")[i]).alias(name) for i, name in enumerate(QUANTILES)])
+    points = ranks.quantiles(tall, ["feature"], value, QUANTILES)  # a row for each feature
+    return stats.join(F.broadcast(points), "feature", "left").select("feature", "n", "min", "max", "mean", "std", "skew", *[own(name).alias(name) for name in QUANTILES])
 
 
 def iqr_outliers(table: DataFrame, factor: float = 1.5) -> DataFrame:
     """Fences of each feature and how many customers lie strictly beyond them; none is removed."""
     tall = unpivoted(table)
-    fences = tall.groupBy("feature").agg(F.percentile_approx("value", [0.25, 0.75], 1_000_000).alias("q"))
-    iqr = F.col("q")[1] - F.col("q")[0]
-    fences = fences.select("feature", (F.col("q")[0] - factor * iqr).alias("lower"), (F.col("q")[1] + factor * iqr).alias("upper"))
+    quartiles = ranks.quantiles(tall, ["feature"], F.col("value"), {"low": 0.25, "high": 0.75})
+    reach = factor * (F.col("high") - F.col("low"))
+    fences = quartiles.select("feature", (F.col("low") - reach).alias("lower"), (F.col("high") + reach).alias("upper"))
     counted = tall.join(F.broadcast(fences), "feature").groupBy("feature", "lower", "upper")
     return counted.agg(F.count_if(F.col("value") < F.col("lower")).alias("below"), F.count_if(F.col("value") > F.col("upper")).alias("above")).select(
         "feature", F.round("lower", 4).alias("lower"), F.round("upper", 4).alias("upper"), "below", "above"
@@ -71,16 +87,19 @@ def top_share(table: DataFrame, share: float = 0.01) -> DataFrame:
 
     The least spend among them is found by counting, so that no task ranks all customers; of equal ones any will do.
     """
-    money = F.col("Monetary").cast("decimal(28,2)")
-    n = table.count()
-    k = max(1, int(n * share + 0.5))
-    least = kth_largest(table, "Monetary", k)
+    money, count = F.col("Monetary").cast("decimal(28,2)"), [0, 0]
+
+    def least_of(n: int) -> dict[str, int]:
+        count[:] = n, min(n, max(1, int(n * share + 0.5)))
+        return {"least": n - count[1] + 1}
+
+    least = ranks.at_ranks(table, [], F.col("Monetary"), least_of).get((), {}).get("least")
     if least is None:
         return table.agg(F.lit(0).cast("long").alias("n_top"), *[F.lit(None).cast("double").alias(c) for c in ("top_amount", "total_amount", "top_pct")])
     above = F.sum(F.when(F.col("Monetary") > least, money)), F.count_if(F.col("Monetary") > least)
-    top = F.coalesce(above[0], F.lit(0)) + (F.lit(min(k, n)) - above[1]) * F.lit(least).cast("decimal(28,2)")
+    top = F.coalesce(above[0], F.lit(0)) + (F.lit(count[1]) - above[1]) * F.lit(least).cast("decimal(28,2)")
     sums = table.agg(top.cast("double").alias("top_amount"), F.sum(money).cast("double").alias("total_amount"))
-    return sums.select(F.lit(min(k, n)).cast("long").alias("n_top"), "top_amount", "total_amount", F.round(100 * F.try_divide("top_amount", "total_amount"), 2).alias("top_pct"))
+    return sums.select(F.lit(count[1]).cast("long").alias("n_top"), "top_amount", "total_amount", F.round(100 * F.try_divide("top_amount", "total_amount"), 2).alias("top_pct"))
 
 
 def top_customers(table: DataFrame, n: int = 5) -> DataFrame:

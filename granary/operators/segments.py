@@ -5,41 +5,59 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from granary.functions import ranks
 from granary.operators.rfm import analysis_date
+from granary.sources.scratch import materialize
 
 MEASURES = ["Recency", "Frequency", "Monetary", "Tenure"]
 
 
 def with_tenure(customers: DataFrame, tx: DataFrame, fixed: str | None = None, offset: int = 1) -> DataFrame:
-    """Add ``Tenure``: days from the first transaction to the analysis date; null for customers without one."""
-    first = tx.groupBy("CustomerID").agg(F.to_date(F.min("InvoiceDate")).alias("first"))
-    dated = first.crossJoin(F.broadcast(analysis_date(tx, fixed, offset)))  # one row
-    return customers.join(dated.select("CustomerID", F.date_diff("AnalysisDate", "first").cast("int").alias("Tenure")), "CustomerID", "left")
+    """Add ``Tenure``: days from the first transaction to the analysis date; null for customers without one. The transactions are read once."""
+    own = materialize(tx.groupBy("CustomerID").agg(F.min("InvoiceDate").alias("first"), F.max("InvoiceDate").alias("last")), "first-dates")
+    dated = own.crossJoin(F.broadcast(analysis_date(own.select(F.col("last").alias("InvoiceDate")), fixed, offset)))  # one row
+    return customers.join(dated.select("CustomerID", F.date_diff("AnalysisDate", F.to_date("first")).cast("int").alias("Tenure")), "CustomerID", "left")
+
+
+def measured(customers: DataFrame, *labels: str, measures: list[str] = MEASURES) -> DataFrame:
+    """(labels..., measure, value): one row for each customer and measure that it has."""
+    own = [m for m in measures if m in customers.columns]
+    return customers.select(*labels, F.expr("stack({}, {}) AS (measure, value)".format(len(own), ", ".join(f"'{m}', CAST({m} AS DOUBLE)" for m in own))))
 
 
 def rule_segments(rfm: DataFrame, label: str = "Cluster") -> DataFrame:
     """Four segments by whether recency and spend lie below or above their median: a clustering that SQL can repeat."""
-    medians = rfm.agg(F.percentile_approx("Recency", 0.5, 1_000_000).alias("r"), F.percentile_approx("Monetary", 0.5, 1_000_000).alias("m"))
+    medians = ranks.quantiles(measured(rfm, measures=["Recency", "Monetary"]), ["measure"], F.col("value"), {"median": 0.5})
+    own = medians.agg(F.max(F.when(F.col("measure") == "Recency", F.col("median"))).alias("r"), F.max(F.when(F.col("measure") == "Monetary", F.col("median"))).alias("m"))
     number = (F.when(F.col("Recency") > F.col("r"), 2).otherwise(0) + F.when(F.col("Monetary") > F.col("m"), 1).otherwise(0)).cast("int")
-    return rfm.crossJoin(F.broadcast(medians)).select(*rfm.columns, number.alias(label))
+    return rfm.crossJoin(F.broadcast(own)).select(*rfm.columns, number.alias(label))
 
 
 def profile(customers: DataFrame, label: str = "Cluster") -> DataFrame:
-    """One row for each segment: size, means and medians, spend, shares of all, and ratios of its means to all customers' medians."""
-    number = {m: F.col(m).cast("double") for m in MEASURES}
+    """One row for each segment: size, means and medians, spend, shares of all, and ratios of its medians to all customers' medians.
+
+    What all customers have is summed from the segments' rows; medians of every segment and of all come from one search.
+    """
     money = F.col("Monetary").cast("decimal(28,2)")
-    medians = {m: F.percentile_approx(number[m], 0.5, 1_000_000) for m in MEASURES}
-    overall = customers.agg(F.count(F.lit(1)).alias("all_n"), F.sum(money).cast("double").alias("all_money"), *[medians[m].alias(f"all_{m}") for m in MEASURES[:3]])
     own = customers.groupBy(label).agg(
-        F.count(F.lit(1)).alias("CustomerCount"), *[F.avg(number[m]).alias(f"Avg{m}") for m in MEASURES], *[medians[m].alias(f"Median{m}") for m in MEASURES],
-        F.sum(money).cast("double").alias("TotalMonetary"), F.count_if(F.col("Frequency") == 1).alias("once"),
+        F.count(F.lit(1)).alias("CustomerCount"), *[F.avg(F.col(m).cast("double")).alias(f"Avg{m}") for m in MEASURES],
+        F.sum(money).alias("money"), F.count_if(F.col("Frequency") == 1).alias("once"),
     )
+    own = materialize(own, "segments")  # a row for each segment
+    all_of = own.agg(F.sum("CustomerCount").alias("all_n"), F.sum("money").cast("double").alias("all_money"))
+    scope = F.explode(F.array(F.col(label).cast("string"), F.lit(None).cast("string"))).alias("scope")  # null: all customers
+    tall = measured(customers, label).select(scope, "measure", "value")
+    found = ranks.quantiles(tall, ["scope", "measure"], F.col("value"), {"median": 0.5})
+    wide = found.groupBy("scope").agg(*[F.max(F.when(F.col("measure") == m, F.col("median"))).alias(f"Median{m}") for m in MEASURES])
+    overall = wide.where("scope IS NULL").select(*[F.col(f"Median{m}").alias(f"all_{m}") for m in MEASURES[:3]])
     pct = lambda a, b: F.round(100 * F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), 2)
-    joined = own.crossJoin(F.broadcast(overall))  # one row
+    medians = wide.where("scope IS NOT NULL")
+    joined = own.withColumn("TotalMonetary", F.col("money").cast("double")).join(F.broadcast(medians), F.col(label).cast("string") == F.col("scope"), "left")
+    joined = joined.crossJoin(F.broadcast(all_of)).crossJoin(F.broadcast(overall))  # one row each
     return joined.select(
         label, "CustomerCount", *[F.round(f"Avg{m}", 2).alias(f"Avg{m}") for m in MEASURES], *[f"Median{m}" for m in MEASURES], "TotalMonetary",
         pct("once", "CustomerCount").alias("OneTimeBuyerPct"), pct("CustomerCount", "all_n").alias("CustomerPct"), pct("TotalMonetary", "all_money").alias("MonetaryPct"),
-        *[F.round(F.try_divide(f"Avg{m}", f"all_{m}"), 2).alias(f"{m}VsOverall") for m in MEASURES[:3]],
+        *[F.round(F.try_divide(f"Median{m}", f"all_{m}"), 2).alias(f"{m}VsOverall") for m in MEASURES[:3]],
     )
 
 

@@ -331,11 +331,12 @@ def raw_schema(spark, sf_dir):
 
 
 def _segments(spark, sf_dir):
-    return segments.with_tenure(segments.rule_segments(order_rfm(spark, sf_dir)), order_lines(spark, sf_dir))
+    return segments.rule_segments(rfm.rfm(order_lines(spark, sf_dir), tenure=True))
 
 
 def tenure(spark, sf_dir):
-    return segments.with_tenure(order_rfm(spark, sf_dir).select("CustomerID"), order_lines(spark, sf_dir))
+    lines = order_lines(spark, sf_dir)
+    return segments.with_tenure(lines.select("CustomerID").distinct(), lines)
 
 
 def cluster_profile(spark, sf_dir):

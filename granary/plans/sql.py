@@ -132,7 +132,7 @@ prof AS (SELECT Cluster, count(*) AS CustomerCount, {", ".join(f"avg(CAST({m} AS
   CAST(sum(CAST(Monetary AS DECIMAL(28,2))) AS DOUBLE) AS TotalMonetary, count(*) FILTER (WHERE Frequency = 1) AS once FROM st GROUP BY Cluster),
 profile AS (SELECT Cluster, CustomerCount, {", ".join(f"{near_big(f'a{m}', 2)} AS Avg{m}" for m in _M)}, {", ".join(f"Median{m}" for m in _M)}, TotalMonetary,
   {near("100.0 * once / CustomerCount", 2)} AS OneTimeBuyerPct, {near("100.0 * CustomerCount / n", 2)} AS CustomerPct, {near("100.0 * TotalMonetary / money", 2)} AS MonetaryPct,
-  {", ".join(f"{near(f'a{m} / al.{m}', 2)} AS {m}VsOverall" for m in _M[:3])} FROM prof, al)"""
+  {", ".join(f"{near(f'Median{m} / al.{m}', 2)} AS {m}VsOverall" for m in _M[:3])} FROM prof, al)"""
 
 CELLS = """WITH cell AS (SELECT vec_id, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
 cen AS (SELECT label, i, avg(CAST(x AS DOUBLE)) AS c FROM cell GROUP BY label, i), cnorm AS (SELECT label, sum(c * c) AS cc FROM cen GROUP BY label),

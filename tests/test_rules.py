@@ -3,7 +3,6 @@
 import pytest
 from pyspark.sql import functions as F
 
-from granary.functions.select import kth_largest
 from granary.operators import reconcile, rfm, rules, segments
 from granary.operators.clustering import scaled, silhouette
 from granary.sources import retail
@@ -157,9 +156,12 @@ def test_points_alone_score_zero(spark):
     assert silhouette(points, "v", "label").first()["silhouette"] == pytest.approx(2 / 3, abs=0.01)
 
 
-def test_kth_largest(spark):
-    df = spark.createDataFrame([(float(x % 37),) for x in range(500)] + [(None,)], "x double")
-    values = sorted((float(x % 37) for x in range(500)), reverse=True)
-    for k in (1, 13, 14, 250, 500, 900):
-        assert kth_largest(df, "x", k) == values[min(k, 500) - 1]
-    assert kth_largest(df.where("false"), "x", 3) is None
+def test_ratios_are_of_medians(spark):
+    """A skewed segment: its mean is far from its median."""
+    rows = [(f"a{i}", 10, 1, float(m), 20, 0) for i, m in enumerate((1, 2, 3, 4, 990))] + [(f"b{i}", 30, 2, 10.0, 40, 1) for i in range(6)]
+    customers = spark.createDataFrame(rows, "CustomerID string, Recency int, Frequency long, Monetary double, Tenure int, Cluster int")
+    found = {r["Cluster"]: r for r in segments.profile(customers).collect()}
+    assert (found[0]["AvgMonetary"], found[0]["MedianMonetary"]) == (200.0, 3.0)
+    assert [(found[k]["RecencyVsOverall"], found[k]["FrequencyVsOverall"], found[k]["MonetaryVsOverall"]) for k in (0, 1)] == [(0.33, 0.5, 0.3), (1.0, 1.0, 1.0)]
+    assert {r["Cluster"]: r["Name"] for r in segments.labels(segments.profile(customers)).collect()} == {0: "active, low value", 1: "active, low value"}
+    assert segments.profile(customers.where("false")).count() == 0
