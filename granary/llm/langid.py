@@ -6,12 +6,13 @@ trigrams' shares. Between families there is a machine for each pair of families;
 of its languages. Each machine votes; ties go to the larger sum of margins, then to the name.
 
 The machines are fitted on a bounded sample, ``PER_LANGUAGE`` training documents of each language at most, chosen by a hash
-of their ids; every document is predicted.
+of their ids and texts; every document is predicted.
 
 Edge cases: a null text and a text without a letter are ``und`` with score 0, as is everything if no training document
 has a language. With one language in training, all other texts get it, with score 1. A language that is in no
 known family is a family of its own. Null ids count as the empty text for the fold and are not learnt from; repeated rows each get
-their row. Other columns are ignored. Long texts are read in slices.
+their row. Learning takes each different (id, text, language) once: copies of a row weigh no more than one, and leave the others' places alone; rows that share
+an id but not a text count as different documents. Other columns are ignored. Long texts are read in slices.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.llm.common import broadcast_small, fold, materialize, ship_package
+from granary.llm.common import broadcast_small, fold, materialize, ship_package, text_digest
 
 #: Families of languages, by ISO 639-1 code.
 FAMILIES = {
@@ -129,16 +130,21 @@ class LanguageModel:
 def training_sample(source: DataFrame, per_language: int) -> DataFrame:
     """(lang, x): the hashed trigrams of at most ``per_language`` training documents of each language.
 
-    Only the documents whose hash is low enough to be among them, some ``SPARE`` times as many, are ranked, so no language gathers in one task.
+    Rows are made distinct by id and text first. Only the documents whose hash is low enough to be among them, some ``SPARE`` times as many, are ranked, so no
+    language gathers in one task.
     """
-    narrow = source.where("NOT held_out AND lang IS NOT NULL AND doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang")
-    ids = materialize(narrow.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("ids")), "langid-languages").withColumnRenamed("lang", "l")
-    lot = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(1 << 53))
+    learnt = source.where("NOT held_out AND lang IS NOT NULL AND doc_id IS NOT NULL AND text IS NOT NULL").withColumn("digest", text_digest("text"))
+    narrow = learnt.select("doc_id", "lang", "digest").withColumn("h", F.xxhash64("doc_id", "digest"))
+    ids = materialize(narrow.groupBy("lang").agg(F.approx_count_distinct("h").alias("ids")), "langid-languages").withColumnRenamed("lang", "l")
+    lot = F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53))
     likely = narrow.withColumn("lot", lot).join(broadcast_small(ids), F.col("lang") == F.col("l")).where(F.col("lot") * F.col("ids") <= SPARE * per_language)
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("lot", "doc_id"))
-    chosen = likely.withColumn("place", place).where(F.col("place") <= per_language).select(F.col("doc_id").alias("chosen"), F.col("lang").alias("chosen_lang"))
-    chosen = F.broadcast(materialize(chosen.distinct(), "langid-sample"))
-    rows = source.join(chosen, (F.col("doc_id") == F.col("chosen")) & (F.col("lang") == F.col("chosen_lang"))).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    different = likely.select("doc_id", "lang", "digest", "lot").distinct()
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("lot", "doc_id", "digest"))
+    chosen = different.withColumn("place", place).where(F.col("place") <= per_language)
+    chosen = chosen.select(F.col("doc_id").alias("chosen"), F.col("lang").alias("chosen_lang"), F.col("digest").alias("chosen_digest"))
+    chosen = F.broadcast(materialize(chosen, "langid-sample"))  # ``per_language`` rows for each language at most
+    same = (F.col("doc_id") == F.col("chosen")) & (F.col("lang") == F.col("chosen_lang")) & (F.col("digest") == F.col("chosen_digest"))
+    rows = learnt.join(chosen, same).groupBy("doc_id", "lang", "digest").agg(F.any_value("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

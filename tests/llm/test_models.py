@@ -203,6 +203,18 @@ def test_op10_learns_rare_languages_and_repeated_ids(spark):
     assert {r["lang"]: r["count"] for r in learnt} == {"en": 20, "de": 1}
 
 
+def test_op10_repeated_ids_take_no_places(spark):
+    """One id 600 times, once with one text and once with many, beside 700 other documents."""
+    name = lambda i: "".join("abcdefghij"[int(c)] for c in str(i))
+    others = [f"the cat {name(i)} and the dog" for i in range(700)]
+    for repeated in (["one text of a hot id"] * 600, [f"text {name(i)} of a hot id" for i in range(600)]):
+        docs = docs_of(spark, others + repeated, [*range(700), *[5000] * 600], lang=["en"] * 1300)
+        sample = langid.training_sample(docs.select("doc_id", "text", "lang", F.lit(False).alias("held_out")), 400)
+        assert sample.count() == 400
+        if len(set(repeated)) == 1:
+            assert sample.distinct().count() == 400
+
+
 def test_op10_on_odd_rows(spark, documents):
     some = documents.limit(120).collect()
     texts, ids, lang = [r["text"] for r in some], [r["doc_id"] for r in some], [r["lang"] for r in some]
