@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from granary.functions import ranks
 from granary.functions.typed import blank, price, quantity, timestamp
+from granary.operators import bags
 from granary.sources.retail import RAW_COLUMNS
 
 #: Texts that stand for a missing value.
@@ -37,7 +38,7 @@ def unparseable(df: DataFrame) -> DataFrame:
 
 
 def copies(df: DataFrame) -> DataFrame:
-    return df.groupBy(*[raw(c) for c in RAW_COLUMNS]).agg(F.count(F.lit(1)).alias("n"))
+    return bags.counted(df, RAW_COLUMNS, {"n": F.lit(1)})
 
 
 def duplicates(df: DataFrame) -> DataFrame:

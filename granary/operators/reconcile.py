@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from granary.operators import bags
 from granary.sources.retail import RAW_COLUMNS
 
 
 def bag_counts(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows of each side, in both (with multiplicity), only in one, and copies within each; nulls are equal."""
-    a, b = (df.select(*[F.col(f"`{c}`") for c in RAW_COLUMNS]) for df in (a, b))
-    sides = a.withColumn("left", F.lit(1)).unionByName(b.withColumn("left", F.lit(0)))
-    rows = sides.groupBy(*[F.col(f"`{c}`") for c in RAW_COLUMNS]).agg(F.sum("left").alias("l"), F.sum(1 - F.col("left")).alias("r"))
+    return _bag_facts(bags.sided(a, b, RAW_COLUMNS))
+
+
+def _bag_facts(rows: DataFrame) -> DataFrame:
     least, more = F.least("l", "r"), lambda c: F.greatest(F.col(c) - 1, F.lit(0))
     total = lambda c: F.coalesce(F.sum(c), F.lit(0))
     return rows.agg(
@@ -21,24 +23,28 @@ def bag_counts(a: DataFrame, b: DataFrame) -> DataFrame:
     )
 
 
+def by_sheet(rows: DataFrame, first: str, second: str, sheet: str, at: str) -> DataFrame:
+    """Different rows of two sheets: how often each has them (l, r), whether they lie ``inside`` the time that both cover, and its ends (since, until).
+
+    A row's time is part of it, so all of this is found on the different rows.
+    """
+    here = lambda name: F.when(F.col(sheet) == name, 1).otherwise(0)
+    counted = bags.counted(rows, RAW_COLUMNS, {"l": here(first), "r": here(second)})
+    bounds = counted.agg(F.max(F.when(F.col("l") > 0, F.col(at))).alias("until"), F.min(F.when(F.col("r") > 0, F.col(at))).alias("since"))
+    inside = F.coalesce(F.col(at).between(F.col("since"), F.col("until")), F.lit(False))
+    return counted.crossJoin(F.broadcast(bounds)).select("l", "r", inside.alias("inside"), "since", "until")  # one row
+
+
 def sheet_overlap(rows: DataFrame, first: str, second: str, sheet: str = "sheet", at: str = "InvoiceDate") -> DataFrame:
     """Bag counts of two sheets within the time that both cover: from the second's first row to the first's last one."""
-    bounds = rows.agg(F.max(F.when(F.col(sheet) == first, F.col(at))).alias("until"), F.min(F.when(F.col(sheet) == second, F.col(at))).alias("since"))
-    inside = rows.crossJoin(F.broadcast(bounds)).where(F.col(at).between(F.col("since"), F.col("until")))  # one row
-    return bag_counts(inside.where(F.col(sheet) == first), inside.where(F.col(sheet) == second))
+    return _bag_facts(by_sheet(rows, first, second, sheet, at).where("inside"))
 
 
 def overlap_report(rows: DataFrame, first: str, second: str, sheet: str = "sheet", at: str = "InvoiceDate") -> DataFrame:
-    """What two sheets have in common, as (metric, value): row counts, and how they agree within the time that both cover.
-
-    Every metric is a sum over different rows of how often each sheet has them, so one aggregation by row gives all; a row's time is part of it.
-    """
-    bounds = rows.agg(F.max(F.when(F.col(sheet) == first, F.col(at))).alias("until"), F.min(F.when(F.col(sheet) == second, F.col(at))).alias("since"))
-    counted = rows.groupBy(*[F.col(f"`{c}`") for c in RAW_COLUMNS]).agg(F.count_if(F.col(sheet) == first).alias("a"), F.count_if(F.col(sheet) == second).alias("b"))
-    inside = F.coalesce(F.col(at).between(F.col("since"), F.col("until")), F.lit(False))
-    own = counted.crossJoin(F.broadcast(bounds)).select("a", "b", inside.alias("inside"), "since", "until")  # one row
+    """What two sheets have in common, as (metric, value): row counts, and how they agree within the time that both cover."""
+    own = by_sheet(rows, first, second, sheet, at)
     within, excess = lambda c: F.when(F.col("inside"), c).otherwise(0), lambda c: F.greatest(c - 1, F.lit(0))
-    a, b, both = F.col("a"), F.col("b"), F.least("a", "b")
+    a, b, both = F.col("l"), F.col("r"), F.least("l", "r")
     sums = {
         "first_rows": a, "second_rows": b, "first_within": within(a), "second_within": within(b), "within_both": within(both), "within_first_only": within(a - both),
         "within_second_only": within(b - both), "first_excess": excess(a), "second_excess": excess(b), "excess_without_first_within": excess(a - within(a) + b),

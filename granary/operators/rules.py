@@ -1,20 +1,21 @@
 """Declarative cleaning rules: each removed row is attributed to the first rule that it breaks, in one pass.
 
-Equal raw rows are first folded into one with a count of copies; as all row-local rules see nothing but the raw columns, this
-gives the same as removing copies after the first rules. Then come the cancellations, matched to purchases, and the
+Equal raw rows are first folded into one with a count of copies, by digests; as all row-local rules see nothing but the raw columns, this
+gives the same as removing copies after the first rules. Then come the cancellations, carried back in time to the purchases of their key, and the
 remaining rules as one CASE. The audit is one aggregation over what each folded row contributes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions.typed import blank, typed, violated
+from granary.operators import bags
 from granary.sources.retail import RAW_COLUMNS
+from granary.sources.scratch import materialize
 
 #: Six digits; a cancellation has the prefix before them.
 INVOICE_PATTERN, CANCEL_PREFIX = r"^\d{6}$", "C"
@@ -70,36 +71,47 @@ def first_broken(rules: list[Rule]) -> Column:
 
 def folded(raw: DataFrame) -> DataFrame:
     """One typed row for each distinct raw row (nulls are equal), with ``copies``."""
-    counted = raw.groupBy(*[F.col(f"`{c}`") for c in RAW_COLUMNS]).agg(F.count(F.lit(1)).alias("copies"))
-    return typed(counted, "copies")
+    return typed(bags.counted(raw, RAW_COLUMNS, {"copies": F.lit(1)}), "copies")
 
 
-def match_cancellations(rows: DataFrame) -> DataFrame:
+#: Keys with a cancellation up to which the others' rows are told by a broadcast of their digests, 8 bytes each.
+BROADCAST_KEYS = 1_000_000
+
+
+def match_cancellations(rows: DataFrame, broadcast_keys: int | None = None) -> DataFrame:
     """Add ``cancels`` and ``last_cancel`` of a row's key, and ``matched``: purchases that a cancellation takes back.
 
-    The key is customer, stock code, absolute quantity and price; a null in it matches nothing. Of a key's purchases no later than
-    its last cancellation, as many as it has cancellations are matched, the latest first. Ties go by invoice, description, country.
-    Only keys with cancellations meet in one place; all other rows keep to a key of their own in the window.
-    """
-    key = ["CustomerID", "StockCode", "AbsQuantity", "UnitPrice"]
-    keyed = rows.withColumn("AbsQuantity", F.abs("Quantity"))
-    counts = keyed.where(is_cancel() & F.col("CustomerID").isNotNull()).groupBy(*key).agg(F.count(F.lit(1)).alias("cancels"), F.max("InvoiceDate").alias("last_cancel"))
-    joined = keyed.join(counts, key, "left")
-    eligible = violated(~is_cancel() & (F.col("Quantity") > 0) & (F.col("InvoiceDate") <= F.col("last_cancel")))
-    spread = F.when(F.col("eligible"), F.lit(0).cast("long")).otherwise(F.xxhash64("InvoiceNo", "InvoiceDate", "Description", "StockCode", "Quantity"))
-    latest = [F.col(c).desc_nulls_last() for c in ("InvoiceDate", "InvoiceNo", "Description", "Country")]
-    place = F.row_number().over(Window.partitionBy(*key, "eligible", "spread").orderBy(*latest))
-    ranked = joined.withColumn("eligible", eligible).withColumn("spread", spread).withColumn("place", place)
-    matched = F.col("eligible") & (F.col("place") <= F.col("cancels"))
-    return ranked.withColumn("matched", violated(matched)).drop("AbsQuantity", "eligible", "spread", "place")
-
-
-def attributed(raw: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
-    """Every distinct raw row with ``copies``, ``removed_by`` (null: it stays) and ``matched``.
-
-    The folded rows are read several times: ``keep`` may write them and give them back from there.
+    The key is customer, stock code, absolute quantity and price; without a customer nothing matches. Purchases and cancellations of a key lie on one
+    time line, read backwards: the latest cancellation opens it, and from there on each purchase closes one of the key's cancellations, until none is open.
+    Ties go by invoice, description, country. So there is no join: one shuffle, one sort, and running counts.
+
+    Only rows of keys with a cancellation take part. Digests of these keys tell them from the others, which don't move; with more than ``broadcast_keys``
+    of them all purchases with a customer take part, with the same result.
     """
-    rows = keep(folded(raw).withColumn("early", first_broken(parsing_rules())))
+    bound = BROADCAST_KEYS if broadcast_keys is None else broadcast_keys
+    key = [F.col("CustomerID"), F.col("StockCode"), F.abs("Quantity"), F.col("UnitPrice")]
+    cancel = is_cancel() & F.col("CustomerID").isNotNull()
+    digest = F.xxhash64(*key)
+    opened = materialize(rows.where(cancel).select(digest.alias("opened")).distinct(), "cancelled-keys")
+    takes_part = violated(F.col("CustomerID").isNotNull() & (is_cancel() | (F.col("Quantity") > 0)))
+    if opened.count() <= bound:
+        marked = rows.join(F.broadcast(opened), digest == F.col("opened"), "left")
+        takes_part = takes_part & F.col("opened").isNotNull()
+    else:
+        marked = rows.withColumn("opened", F.lit(None).cast("long"))
+    backwards = Window.partitionBy(*key).orderBy(*[F.col(c).desc_nulls_last() for c in ("InvoiceDate", "InvoiceNo", "Description", "Country")])
+    whole, so_far = (backwards.rowsBetween(Window.unboundedPreceding, end) for end in (Window.unboundedFollowing, Window.currentRow))
+    line = marked.where(takes_part).drop("opened").withColumns({"cancels": F.count_if(cancel).over(whole), "last_cancel": F.max(F.when(cancel, F.col("InvoiceDate"))).over(whole)})
+    closes = violated(~cancel & (F.col("InvoiceDate") <= F.col("last_cancel")))
+    closed = F.count_if("closes").over(so_far)
+    told = line.withColumn("closes", closes).withColumn("matched", F.col("closes") & (closed <= F.col("cancels"))).drop("closes").withColumn("cancels", F.nullif("cancels", F.lit(0)))
+    others = marked.where(~takes_part).drop("opened").withColumns({"cancels": F.lit(None).cast("long"), "last_cancel": F.lit(None).cast("timestamp_ntz"), "matched": F.lit(False)})
+    return told.unionByName(others)
+
+
+def attributed(raw: DataFrame) -> DataFrame:
+    """Every distinct raw row with ``copies``, ``removed_by`` (null: it stays) and ``matched``."""
+    rows = folded(raw).withColumn("early", first_broken(parsing_rules()))
     sound = match_cancellations(rows.where("early IS NULL"))
     late = F.coalesce(F.when(is_cancel() | F.col("matched"), F.lit(CANCELLED)), first_broken(sale_rules()))
     broken = rows.where("early IS NOT NULL").withColumns({"cancels": F.lit(None).cast("long"), "last_cancel": F.lit(None).cast("timestamp_ntz"), "matched": F.lit(False), "removed_by": F.col("early")})

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.functions.typed import typed
-from granary.operators import clustering, profiling, reconcile, rfm, rules, segments
+from granary.operators import bags, clustering, profiling, reconcile, rfm, rules, segments
 from granary.sources import retail
 from granary.sources.scratch import materialize, scratch_path
 
@@ -24,7 +24,7 @@ def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def attributed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.attributed(raw(spark, sf_dir), lambda rows: materialize(rows, "folded"))
+    return rules.attributed(raw(spark, sf_dir))
 
 
 def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +72,7 @@ def dedup_rows(spark, sf_dir):
 
 
 def _sound(spark, sf_dir):
-    return materialize(rules.folded(raw(spark, sf_dir)).where(rules.first_broken(rules.parsing_rules()).isNull()), "sound")
+    return rules.folded(raw(spark, sf_dir)).where(rules.first_broken(rules.parsing_rules()).isNull())
 
 
 def cancel_keys(spark, sf_dir):
@@ -166,14 +166,20 @@ def _halves(spark, sf_dir):
     return rows.where("InvoiceDate <= '1998-12-31'"), rows.where("InvoiceDate >= '1998-01-01'")
 
 
+def _sheets(spark, sf_dir):
+    """Both halves as sheets of one relation, from one pass: rows of the last year are on both."""
+    first, second = F.when(F.col("InvoiceDate") <= "1998-12-31", "first"), F.when(F.col("InvoiceDate") >= "1998-01-01", "second")
+    return raw(spark, sf_dir).withColumn("sheet", F.explode(F.array_compact(F.array(first, second))))
+
+
 def overlap_intersect_all(spark, sf_dir):
-    a, b = _halves(spark, sf_dir)
-    return a.intersectAll(b)
+    rows = _sheets(spark, sf_dir)
+    return bags.intersect_all(rows.where("sheet = 'first'"), rows.where("sheet = 'second'"), retail.RAW_COLUMNS)
 
 
 def overlap_except_all(spark, sf_dir):
-    a, b = _halves(spark, sf_dir)
-    return a.exceptAll(b)
+    rows = _sheets(spark, sf_dir)
+    return bags.except_all(rows.where("sheet = 'first'"), rows.where("sheet = 'second'"), retail.RAW_COLUMNS)
 
 
 def union_by_name(spark, sf_dir):
@@ -183,16 +189,12 @@ def union_by_name(spark, sf_dir):
 
 
 def sheet_overlap(spark, sf_dir):
-    a, b = _halves(spark, sf_dir)
-    rows, _ = retail.sheets_union({"first": a, "second": b})
-    return reconcile.sheet_overlap(rows, "first", "second")
+    return reconcile.sheet_overlap(_sheets(spark, sf_dir), "first", "second")
 
 
 def overlap_report(spark, sf_dir):
     """All that two overlapping sheets have in common, as (metric, value)."""
-    a, b = _halves(spark, sf_dir)
-    rows, _ = retail.sheets_union({"first": a, "second": b})
-    return reconcile.overlap_report(rows, "first", "second")
+    return reconcile.overlap_report(_sheets(spark, sf_dir), "first", "second")
 
 
 # Scaling and clustering
