@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import time
-
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SEED, MAX_ITER, TOLERANCE = 42, 100, 1e-4
@@ -34,22 +32,10 @@ def assembled(table: DataFrame, columns: list[str], to: str = "features") -> Dat
 
 
 def fit_kmeans(table: DataFrame, k: int, features_col: str = "features", seed: int = SEED, max_iter: int = MAX_ITER, tol: float = TOLERANCE) -> KMeansModel:
-    """K-Means (k-means||, Euclidean). The table is read many times: write it first."""
+    """The library's K-Means (k-means||, Euclidean), to compare :mod:`granary.operators.lloyd` with. The table is read many times: write it first."""
     return KMeans(k=k, seed=seed, maxIter=max_iter, tol=tol, featuresCol=features_col, predictionCol="Cluster").fit(table)
 
 
-def ranked_ids(model: KMeansModel) -> dict[int, int]:
-    """Cluster numbers in the order of the centroids, as the model's own numbers mean nothing."""
-    order = sorted(range(len(model.clusterCenters())), key=lambda i: tuple(model.clusterCenters()[i]))
-    return {old: new for new, old in enumerate(order)}
-
-
-def assign(table: DataFrame, model: KMeansModel) -> DataFrame:
-    """Add ``Cluster``, numbered by :func:`ranked_ids`."""
-    ids = F.create_map(*[F.lit(x) for pair in ranked_ids(model).items() for x in pair])
-    return model.transform(table).withColumn("Cluster", ids[F.col("Cluster")])
-
-
 def selected_k(k: int | None) -> int:
     """The number of clusters to fit; it must have been chosen first, from the sweep."""
     if k is None or k < 2:
@@ -57,58 +43,6 @@ def selected_k(k: int | None) -> int:
     return k
 
 
-def model_facts(model: KMeansModel, spark: SparkSession) -> DataFrame:
-    """(fact, value) of a fitted model, as text: parameters, how the fit ended, and of each cluster, by its number, size and centroid."""
-    s, centers = model.summary, model.clusterCenters()
-    facts = {
-        "k": s.k, "init_mode": model.getInitMode(), "distance": model.getDistanceMeasure(), "seed": model.getSeed(), "max_iter": model.getMaxIter(), "tolerance": model.getTol(),
-        "iterations": s.numIter, "converged": s.numIter < model.getMaxIter(), "cost": round(s.trainingCost, 6),
-    }
-    for old, new in ranked_ids(model).items():
-        facts |= {f"size_{new}": s.clusterSizes[old], f"centroid_{new}": [round(float(x), 6) for x in centers[old]]}
-    return spark.createDataFrame([(n, str(v)) for n, v in facts.items()], "fact string, value string")
-
-
-def checks(clusters: DataFrame, points: DataFrame, model: KMeansModel, swept: DataFrame, differences: DataFrame, key: str = "CustomerID", features_col: str = "features") -> DataFrame:
-    """(check, passed) of stored clusters: against the points, the model's summary, the sweep's row for its k, and the differences from the table of features."""
-    from pyspark.ml.evaluation import ClusteringEvaluator
-    from pyspark.ml.functions import vector_to_array
-
-    k, ids = model.summary.k, ranked_ids(model)
-    sizes = {r["Cluster"]: r["count"] for r in clusters.groupBy("Cluster").count().collect()}  # a row for each cluster
-    facts = clusters.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(key).alias("keys"), F.count_if(F.greatest(*[F.col(c).isNull() for c in clusters.columns])).alias("nulls")).first()
-    labelled = points.select(key, features_col).join(clusters.select(key, "Cluster"), key)
-    own = silhouette(labelled.withColumn("v", vector_to_array(features_col)), "v", "Cluster").first()["silhouette"]
-    library = ClusteringEvaluator(featuresCol=features_col, predictionCol="Cluster").evaluate(labelled)
-    row, apart = swept.where(F.col("k") == k).first(), differences.first()
-    passed = {
-        "clusters_are_all_there": sorted(sizes) == list(range(k)),
-        "every_customer_has_one_row": facts["n"] == facts["keys"] == points.count(),
-        "no_value_is_missing": facts["nulls"] == 0,
-        "features_are_unchanged": (apart["only_left"], apart["only_right"], apart["different"]) == (0, 0, 0),
-        "sizes_match_the_model": all(sizes.get(new) == model.summary.clusterSizes[old] for old, new in ids.items()),
-        "sizes_match_the_sweep": sorted(sizes.values(), reverse=True) == row["sizes"],
-        "silhouette_matches_the_sweep": abs(own - row["silhouette"]) < 1e-4,
-        "silhouette_matches_the_library": abs(own - library) < 1e-4,
-        "fit_has_converged": model.summary.numIter < model.getMaxIter(),
-    }
-    return clusters.sparkSession.createDataFrame([(n, bool(p)) for n, p in passed.items()], "check string, passed boolean")
-
-
-def sweep(table: DataFrame, ks: range, features_col: str = "features", variant: str = "") -> DataFrame:
-    """(variant, k, silhouette, min_size, min_pct, sizes, cost, iterations, seconds) for each k; one row each. The table is read many times: write it first."""
-    from pyspark.ml.evaluation import ClusteringEvaluator
-
-    rows = []
-    for k in ks:
-        began = time.perf_counter()
-        model = fit_kmeans(table, k, features_col)
-        score = ClusteringEvaluator(featuresCol=features_col, predictionCol="Cluster").evaluate(model.transform(table))
-        sizes = sorted(model.summary.clusterSizes, reverse=True)
-        rows.append((variant, k, float(score), int(sizes[-1]), round(100 * sizes[-1] / sum(sizes), 2), [int(x) for x in sizes], float(model.summary.trainingCost), int(model.summary.numIter), round(time.perf_counter() - began, 2)))
-    return table.sparkSession.createDataFrame(rows, "variant string, k int, silhouette double, min_size long, min_pct double, sizes array<long>, cost double, iterations int, seconds double")
-
-
 def centroids(points: DataFrame, vector: str, label: str) -> DataFrame:
     """(label, n, center, norm) of each group: the mean vector, and the mean squared length of its points."""
     cells = points.select(label, F.posexplode(vector).alias("i", "x"))

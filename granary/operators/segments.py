@@ -61,24 +61,26 @@ def profile(customers: DataFrame, label: str = "Cluster") -> DataFrame:
     )
 
 
+def check_rows(flat: DataFrame, checks: list[tuple[str, str, str, float]]) -> DataFrame:
+    """(check, value, expected, passed) from one row of figures: for each check its name, two expressions, and by how much they may differ."""
+    number = lambda e: F.expr(e).cast("double")
+    near = lambda a, b, by: F.coalesce(F.abs(a - b) <= by, F.lit(False))
+    rows = [F.struct(F.lit(n).alias("check"), F.round(number(a), 2).alias("value"), F.round(number(b), 2).alias("expected"), near(number(a), number(b), by).alias("passed")) for n, a, b, by in checks]
+    return flat.select(F.explode(F.array(*rows)).alias("c")).select("c.*")
+
+
+#: What a profile conserves: columns that add up to a sum over the customers, and columns that are shares of all.
+ADDS_UP = {"CustomerCount": "count(1)", "TotalMonetary": "sum(CAST(Monetary AS DECIMAL(28,2)))"}
+SHARES = ["CustomerPct", "MonetaryPct"]
+
+
 def profile_checks(customers: DataFrame, profiled: DataFrame, label: str = "Cluster") -> DataFrame:
-    """(check, passed): what must hold between the customers and their profile."""
-    rows = customers.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("Tenure").isNull()).alias("no_tenure"), F.count_if(F.col("Tenure") < F.col("Recency")).alias("short"), F.sum(F.col("Monetary").cast("decimal(28,2)")).cast("double").alias("money"))
-    sums = profiled.agg(
-        F.sum("CustomerCount").alias("count"), F.sum("TotalMonetary").alias("total"), F.sum("CustomerPct").alias("customer_pct"), F.sum("MonetaryPct").alias("money_pct"),
-        F.min(label).alias("low"), F.max(label).alias("high"), F.count(F.lit(1)).alias("k"),
-    )
-    checks = {
-        "customer_counts_add_up": F.col("count") == F.col("n"),
-        "monetary_adds_up": F.abs(F.col("total") - F.col("money")) <= 0.005 * F.col("k"),
-        "customer_pct_is_100": F.abs(F.col("customer_pct") - 100) <= 0.05,
-        "monetary_pct_is_100": F.abs(F.col("money_pct") - 100) <= 0.05,
-        "no_tenure_missing": F.col("no_tenure") == 0,
-        "tenure_reaches_recency": F.col("short") == 0,
-        "labels_are_dense": (F.col("low") == 0) & (F.col("high") == F.col("k") - 1),
-    }
-    flat = rows.crossJoin(sums).select(*[F.coalesce(c, F.lit(False)).alias(n) for n, c in checks.items()])
-    return flat.select(F.expr("stack({}, {}) AS (check, passed)".format(len(checks), ", ".join(f"'{n}', {n}" for n in checks))))
+    """(check, value, expected, passed): what a profile conserves of the customers, and what holds for each of them."""
+    rows = customers.agg(*[F.expr(c).alias(f"all_{n}") for n, c in ADDS_UP.items()], F.count_if(F.col("Tenure").isNull()).alias("no_tenure"), F.count_if(F.col("Tenure") < F.col("Recency")).alias("short"))
+    sums = profiled.agg(*[F.sum(n).alias(n) for n in (*ADDS_UP, *SHARES)], F.min(label).alias("low"), F.max(label).alias("high"), F.count(F.lit(1)).alias("k"))
+    conserved = [(f"{n} adds up", n, f"all_{n}", 0.05) for n in ADDS_UP] + [(f"{n} adds up to 100", n, "100", 0.05) for n in SHARES]
+    held = [("customers without tenure", "no_tenure", "0", 0), ("tenures below recency", "short", "0", 0), ("labels begin at", "low", "0", 0), ("labels end at", "high", "k - 1", 0)]
+    return check_rows(rows.crossJoin(sums), conserved + held)  # one row each
 
 
 def labels(profiled: DataFrame, label: str = "Cluster") -> DataFrame:

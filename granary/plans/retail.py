@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.functions.typed import typed
-from granary.operators import bags, clustering, profiling, reconcile, rfm, rules, segments
+from granary.operators import bags, clustering, lloyd, profiling, reconcile, rfm, rules, segments
 from granary.sources import retail
 from granary.sources.scratch import materialize, scratch_path
 
@@ -229,59 +229,81 @@ def cluster_means(spark, sf_dir):
     return clustering.cluster_means(segments.rule_segments(order_rfm(spark, sf_dir)), rfm.FEATURES)
 
 
-def _features(spark, sf_dir, log=True):
-    z = clustering.scaled(order_rfm(spark, sf_dir), Z_FEATURES, log=log)
-    return clustering.assembled(z, [f"z_{f}" for f in Z_FEATURES])
+VARIANTS = {"standard_scaler": False, "log1p_standard_scaler": True}
+FINAL_VARIANT = "log1p_standard_scaler"
+#: The numbers of clusters that are tried, and the one that the evaluation has led to.
+KS, SELECTED_K = list(range(2, 7)), 4
 
 
-def kmeans_fit(spark, sf_dir):
-    """Customers with their K-Means cluster (k = 4), numbered by centroid."""
-    return _clusters(spark, sf_dir)[0]
+def _points(table: DataFrame, variants: list[str]) -> DataFrame:
+    """The customers' scaled features of each variant on the grid, written."""
+    parts = [lloyd.on_grid(clustering.scaled(table, Z_FEATURES, log=VARIANTS[v]), "CustomerID", [f"z_{f}" for f in Z_FEATURES], v) for v in variants]
+    joined = parts[0]
+    for part in parts[1:]:
+        joined = joined.unionByName(part)
+    return materialize(joined, "points")
 
 
-VARIANTS = {"standard_scaler": False, "log1p_standard_scaler": True}
-#: The number of clusters that the evaluation has led to.
-SELECTED_K = 4
+def _clusters(spark, sf_dir, tenure=False):
+    """(clusters, points, run): customers with their cluster, written; the points that it was fitted on; the final run."""
+    table = rfm.rfm(order_lines(spark, sf_dir), tenure=tenure)
+    points = _points(table, [FINAL_VARIANT])
+    runs = lloyd.fit(points, [clustering.selected_k(SELECTED_K)])
+    own = table.join(lloyd.assigned(points, runs).select(F.col("key").alias("CustomerID"), F.col("cluster").alias("Cluster")), "CustomerID")
+    return materialize(own, "clusters"), points, runs[0]
 
 
-def _clusters(spark, sf_dir):
-    """(clusters, points, model): customers with their cluster, written and read again; the points that it was fitted on; the model."""
-    points = materialize(_features(spark, sf_dir), "points")
-    model = clustering.fit_kmeans(points, clustering.selected_k(SELECTED_K))
-    assigned = clustering.assign(points, model).select("CustomerID", *rfm.FEATURES, "Cluster")
-    return materialize(assigned, "clusters"), points, model
+def kmeans_fit(spark, sf_dir):
+    """Customers with their K-Means cluster (k = 4), numbered by centroid."""
+    return _clusters(spark, sf_dir)[0]
 
 
 def k_sweep(spark, sf_dir):
-    parts = [clustering.sweep(materialize(_features(spark, sf_dir, log), "points"), range(2, 7), variant=name) for name, log in VARIANTS.items()]
-    return parts[0].unionByName(parts[1])
+    """Each cluster of each number of clusters and variant, with the evaluation of its run; all runs share their passes."""
+    table = order_rfm(spark, sf_dir)
+    points = _points(table, list(VARIANTS))
+    swept = lloyd.sweep(points, lloyd.fit(points, KS), table, rfm.FEATURES, "CustomerID")
+    return _rounded(_rounded(swept, ["pct", *[f"mean_{f}" for f in rfm.FEATURES]], 2), ["cost", "silhouette"], 4)
 
 
 def kmeans_facts(spark, sf_dir):
-    """(fact, value) of the final model: its parameters, sizes, cost and centroids."""
-    return clustering.model_facts(_clusters(spark, sf_dir)[2], spark)
+    """(fact, cluster, value) of the final run: how it was fitted and ended, and each cluster's size and centroid."""
+    _, points, run = _clusters(spark, sf_dir)
+    own = lloyd.clusters(points, [run])
+    settings = {"k": run.k, "max_iter": lloyd.MAX_ITER, "tolerance": lloyd.TOLERANCE, "iterations": run.iterations, "converged": run.converged}
+    fixed = spark.createDataFrame([(n, None, float(v)) for n, v in settings.items()], "fact string, cluster int, value double")
+    cost = own.agg(F.sum("cost").alias("value")).select(F.lit("cost").alias("fact"), F.lit(None).cast("int").alias("cluster"), "value")
+    cells = [("size", F.col("n").cast("double")), *((f"center_{f}", F.col("center")[i]) for i, f in enumerate(Z_FEATURES))]
+    each = own.select("cluster", F.explode(F.array(*[F.struct(F.lit(n).alias("fact"), c.alias("value")) for n, c in cells])).alias("c")).select("c.fact", "cluster", "c.value")
+    return _rounded(fixed.unionByName(cost).unionByName(each), ["value"], 4)
 
 
 def kmeans_checks(spark, sf_dir):
-    """(check, passed): the stored clusters against the RFM table, the model and the evaluation of its k."""
-    clusters, points, model = _clusters(spark, sf_dir)
-    swept = clustering.sweep(points, range(SELECTED_K, SELECTED_K + 1))
-    return clustering.checks(clusters, points, model, swept, reconcile.keyed_differences(order_rfm(spark, sf_dir), clusters, "CustomerID", rfm.FEATURES))
-
-
-def _profiled_clusters(spark, sf_dir):
-    own = segments.with_tenure(_clusters(spark, sf_dir)[0], order_lines(spark, sf_dir))
-    return materialize(own, "profiled")
+    """(check, value, expected, passed): the stored clusters against the RFM table, the run, and its row of the sweep."""
+    stored, points, run = _clusters(spark, sf_dir)
+    table = order_rfm(spark, sf_dir)
+    swept = materialize(lloyd.sweep(points, [run], table, rfm.FEATURES, "CustomerID"), "swept")
+    apart = reconcile.keyed_differences(table, stored, "CustomerID", rfm.FEATURES).select("only_left", "only_right", "different")
+    labelled = points.join(stored.select(F.col("CustomerID").alias("key"), "Cluster"), "key").select("Cluster", F.transform("x", lambda c: c.cast("double") / lloyd.GRID).alias("v"))
+    flat = stored.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("CustomerID").alias("keys"), F.count_distinct("Cluster").alias("labels"), F.count_if(F.greatest(*[F.col(c).isNull() for c in stored.columns])).alias("nulls"))
+    one = swept.agg(F.sum("n").alias("swept_n"), F.max("silhouette").alias("swept_silhouette"), F.max("cost").alias("swept_cost"))
+    for part in (apart, one, points.agg(F.count(F.lit(1)).alias("points")), clustering.silhouette(labelled, "v", "Cluster").select("silhouette"), clustering.inertia(labelled, "v", "Cluster").agg(F.sum("inertia").alias("cost"))):
+        flat = flat.crossJoin(part)  # one row each
+    return segments.check_rows(flat, [
+        ("clusters are all there", "labels", str(run.k), 0), ("every customer has one row", "n", "keys", 0), ("every point has a row", "n", "points", 0), ("no value is missing", "nulls", "0", 0),
+        ("features are unchanged", "only_left + only_right + different", "0", 0), ("sizes match the sweep", "n", "swept_n", 0),
+        ("silhouette matches the sweep", "silhouette", "swept_silhouette", 1e-4), ("cost matches the sweep", "cost", "swept_cost", 0.01), ("fit has converged", str(int(run.converged)), "1", 0),
+    ])
 
 
 def kmeans_profile(spark, sf_dir):
     """The profile of the K-Means clusters, each with its name."""
-    profiled = segments.profile(_profiled_clusters(spark, sf_dir))
+    profiled = segments.profile(_clusters(spark, sf_dir, tenure=True)[0])
     return profiled.join(F.broadcast(segments.labels(profiled)), "Cluster")  # a row for each cluster
 
 
 def kmeans_profile_checks(spark, sf_dir):
-    own = _profiled_clusters(spark, sf_dir)
+    own = _clusters(spark, sf_dir, tenure=True)[0]
     return segments.profile_checks(own, segments.profile(own))
 
 
@@ -300,12 +322,12 @@ def run_summary(spark, sf_dir):
 
 
 def summary_checks(spark, sf_dir):
-    """(check, passed): whether the tables of a run agree with one another."""
+    """(check, value, expected, passed): whether the tables of a run agree with one another."""
     rows = materialize(attributed(spark, sf_dir), "attributed")
     tx = rules.cleaned(rows)
     table = materialize(rfm.rfm(tx), "rfm")
     own = segments.with_tenure(segments.rule_segments(table), tx)
-    profiled = segments.profile(own)
+    profiled = materialize(segments.profile(own), "profiled")
     steps = rules.audit(rows).agg(F.max("rows_before").alias("audit_raw"), F.min("rows_after").alias("audit_clean"), F.sum("rows_removed").alias("audit_removed"))
     clean_facts = tx.agg(F.count(F.lit(1)).alias("clean"), F.count_distinct("CustomerID").alias("clean_customers"), F.count_distinct("CustomerID", "InvoiceNo").alias("clean_invoices"), F.sum("Amount").cast("double").alias("clean_amount"))
     rfm_facts = table.agg(F.count(F.lit(1)).alias("customers"), F.sum("Frequency").alias("invoices"), F.sum(F.col("Monetary").cast("decimal(28,2)")).cast("double").alias("amount"))
@@ -314,12 +336,10 @@ def summary_checks(spark, sf_dir):
     flat = rows.agg(F.sum("copies").alias("raw"))
     for part in (steps, clean_facts, rfm_facts, sizes, named):
         flat = flat.crossJoin(part)  # one row each
-    checks = {
-        "raw_rows_match_audit": "raw = audit_raw", "audit_ends_at_clean_rows": "audit_clean = clean", "audit_adds_up": "audit_raw - audit_removed = clean", "customers_match": "customers = clean_customers AND customers = profiled",
-        "invoices_match": "invoices = clean_invoices", "amounts_match": "abs(amount - clean_amount) <= 0.005 * customers", "every_segment_is_named": "named = k",
-    }
-    passed = flat.select(*[F.coalesce(F.expr(c), F.lit(False)).alias(n) for n, c in checks.items()])
-    return passed.select(F.expr("stack({}, {}) AS (check, passed)".format(len(checks), ", ".join(f"'{n}', {n}" for n in checks))))
+    return segments.check_rows(flat, [
+        ("raw rows match the audit", "raw", "audit_raw", 0), ("audit ends at the clean rows", "audit_clean", "clean", 0), ("audit adds up", "audit_raw - audit_removed", "clean", 0), ("customers match", "customers", "clean_customers", 0),
+        ("customers are profiled", "profiled", "customers", 0), ("invoices match", "invoices", "clean_invoices", 0), ("amounts match", "amount", "clean_amount", 0.005 * 1000), ("every segment is named", "named", "k", 0),
+    ])
 
 
 def raw_schema(spark, sf_dir):

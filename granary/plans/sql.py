@@ -118,8 +118,12 @@ u AS (SELECT *, 1 AS x FROM a UNION ALL SELECT *, 0 FROM b), c AS (SELECT {_NAME
 SELECT 'since' AS metric, since AS value FROM bounds UNION ALL SELECT 'until', until FROM bounds UNION ALL """ + " UNION ALL ".join(f"SELECT '{n}', CAST(coalesce(sum({c}), 0)::BIGINT AS VARCHAR) FROM g" for n, c in _METRICS.items())
 
 
-def all_true(*names: str) -> str:
-    return f"SELECT unnest({list(names)}) AS \"check\", true AS passed"
+def checks(figures: str, rows: list[tuple[str, str, str, float]]) -> str:
+    """(check, value, expected, passed) from one row of figures."""
+    number = lambda e: f"CAST({e} AS DOUBLE)"
+    return " UNION ALL ".join(
+        f"SELECT '{n}' AS \"check\", {near_big(number(a), 2)} AS value, {near_big(number(b), 2)} AS expected, coalesce(abs({number(a)} - {number(b)}) <= {by}, false) AS passed FROM {figures}" for n, a, b, by in rows
+    )
 
 
 SEGMENTS = RFM + """, med AS (SELECT quantile_disc(Recency, 0.5) AS r, quantile_disc(Monetary, 0.5) AS m FROM rfm),
@@ -127,13 +131,82 @@ seg AS (SELECT rfm.*, CAST((CASE WHEN Recency > r THEN 2 ELSE 0 END) + (CASE WHE
 ten AS (SELECT CustomerID, CAST(date_diff('day', CAST(min(InvoiceDate) AS DATE), (SELECT CAST(max(InvoiceDate) AS DATE) + 1 FROM lines)) AS INT) AS Tenure FROM lines GROUP BY CustomerID),
 st AS (SELECT seg.*, Tenure FROM seg LEFT JOIN ten USING (CustomerID))"""
 _M = ("Recency", "Frequency", "Monetary", "Tenure")
-PROFILE = SEGMENTS + f""", al AS (SELECT count(*) AS n, CAST(sum(CAST(Monetary AS DECIMAL(28,2))) AS DOUBLE) AS money, {", ".join(f"CAST(quantile_disc({m}, 0.5) AS DOUBLE) AS {m}" for m in _M[:3])} FROM st),
+def profile_of(customers: str) -> str:
+    """CTEs al, prof and profile over customers with Cluster and Tenure."""
+    return f"""al AS (SELECT count(*) AS n, CAST(sum(CAST(Monetary AS DECIMAL(28,2))) AS DOUBLE) AS money, {", ".join(f"CAST(quantile_disc({m}, 0.5) AS DOUBLE) AS {m}" for m in _M[:3])} FROM {customers}),
 prof AS (SELECT Cluster, count(*) AS CustomerCount, {", ".join(f"avg(CAST({m} AS DOUBLE)) AS a{m}" for m in _M)}, {", ".join(f"CAST(quantile_disc({m}, 0.5) AS DOUBLE) AS Median{m}" for m in _M)},
-  CAST(sum(CAST(Monetary AS DECIMAL(28,2))) AS DOUBLE) AS TotalMonetary, count(*) FILTER (WHERE Frequency = 1) AS once FROM st GROUP BY Cluster),
+  CAST(sum(CAST(Monetary AS DECIMAL(28,2))) AS DOUBLE) AS TotalMonetary, count(*) FILTER (WHERE Frequency = 1) AS once FROM {customers} GROUP BY Cluster),
 profile AS (SELECT Cluster, CustomerCount, {", ".join(f"{near_big(f'a{m}', 2)} AS Avg{m}" for m in _M)}, {", ".join(f"Median{m}" for m in _M)}, TotalMonetary,
   {near("100.0 * once / CustomerCount", 2)} AS OneTimeBuyerPct, {near("100.0 * CustomerCount / n", 2)} AS CustomerPct, {near("100.0 * TotalMonetary / money", 2)} AS MonetaryPct,
   {", ".join(f"{near(f'Median{m} / al.{m}', 2)} AS {m}VsOverall" for m in _M[:3])} FROM prof, al)"""
 
+
+def profile_checks_of(customers: str) -> str:
+    figures = f"""figures AS (SELECT * FROM (SELECT count(*) AS all_n, sum(CAST(Monetary AS DECIMAL(28,2))) AS all_money, count(*) FILTER (WHERE Tenure IS NULL) AS no_tenure, count(*) FILTER (WHERE Tenure < Recency) AS short FROM {customers}),
+      (SELECT sum(CustomerCount) AS n, sum(TotalMonetary) AS money, sum(CustomerPct) AS pct, sum(MonetaryPct) AS money_pct, min(Cluster) AS low, max(Cluster) AS high, count(*) AS k FROM profile))"""
+    return f""", {figures} """ + checks("figures", [
+        ("CustomerCount adds up", "n", "all_n", 0.05), ("TotalMonetary adds up", "money", "all_money", 0.05), ("CustomerPct adds up to 100", "pct", "100", 0.05), ("MonetaryPct adds up to 100", "money_pct", "100", 0.05),
+        ("customers without tenure", "no_tenure", "0", 0), ("tenures below recency", "short", "0", 0), ("labels begin at", "low", "0", 0), ("labels end at", "high", "k - 1", 0),
+    ])
+
+
+NAMED = "CASE WHEN RecencyVsOverall <= 1 AND MonetaryVsOverall > 1 THEN 'active, high value' WHEN RecencyVsOverall <= 1 THEN 'active, low value' WHEN MonetaryVsOverall > 1 THEN 'lapsing, high value' ELSE 'lapsing, low value' END AS Name"
+PROFILE = SEGMENTS + ", " + profile_of("st")
+
+# K-Means from the start: scaled points on a grid, a farthest-first traversal, and passes until no center moves any more, by recursion.
+_FEATURES = _M[:3]
+_AWAY = " + ".join(f"(p.x{i} - q[{i}]) * (p.x{i} - q[{i}])" for i in (1, 2, 3))
+
+
+def points_of(variant: str, log: bool) -> str:
+    x = {f: f"ln(1 + CAST({f} AS DOUBLE))" if log else f"CAST({f} AS DOUBLE)" for f in _FEATURES}
+    cells = ", ".join(f"CAST(CAST(round(({c} - (SELECT avg({c}) FROM rfm)) / (SELECT stddev_samp({c}) FROM rfm) * 1000000) AS BIGINT) AS DOUBLE) AS x{i}" for i, c in enumerate(x.values(), 1))
+    return f"SELECT '{variant}' AS variant, CustomerID AS key, {cells} FROM rfm"
+
+
+def kmeans(variants: dict[str, bool], ks: list[int]) -> str:
+    """CTEs pts, final (a row for each run, its sorted centers in c) and own (each point in each run, with its cluster)."""
+    return RFM.replace("WITH ", "WITH RECURSIVE ", 1) + f""", pts AS ({" UNION ALL ".join(points_of(v, log) for v, log in variants.items())}),
+ff AS (
+  SELECT variant, 1 AS step, [[x1, x2, x3]] AS c FROM (SELECT *, row_number() OVER (PARTITION BY variant ORDER BY x1 * x1 + x2 * x2 + x3 * x3, key) AS r FROM pts) WHERE r = 1
+  UNION ALL
+  SELECT variant, step + 1, list_append(c, [x1, x2, x3]) FROM (
+    SELECT f.variant, f.step, f.c, p.x1, p.x2, p.x3, row_number() OVER (PARTITION BY f.variant ORDER BY list_min([{_AWAY} for q in f.c]) DESC, p.key) AS r
+    FROM ff f JOIN pts p ON p.variant = f.variant WHERE f.step < {max(ks)}) WHERE r = 1
+), ll AS (
+  SELECT variant, k, 0 AS it, c[1:k] AS c, CAST(1e300 AS DOUBLE) AS moved FROM ff, (SELECT unnest({ks}) AS k) WHERE step = {max(ks)}
+  UNION ALL
+  SELECT variant, k, it + 1, nc, list_max([(nc[j][1] - c[j][1]) * (nc[j][1] - c[j][1]) + (nc[j][2] - c[j][2]) * (nc[j][2] - c[j][2]) + (nc[j][3] - c[j][3]) * (nc[j][3] - c[j][3]) for j in range(1, k + 1)]) FROM (
+    SELECT variant, k, it, c, [coalesce([e.m for e in g if e.i = j][1], c[j]) for j in range(1, k + 1)] AS nc FROM (
+      SELECT variant, k, it, c, list({{'i': i, 'm': [s1 / n, s2 / n, s3 / n]}}) AS g FROM (
+        SELECT variant, k, it, c, list_position(ds, list_min(ds)) AS i, sum(x1) AS s1, sum(x2) AS s2, sum(x3) AS s3, count(*) AS n FROM (
+          SELECT l.variant, l.k, l.it, l.c, p.x1, p.x2, p.x3, [{_AWAY} for q in l.c] AS ds FROM ll l JOIN pts p ON p.variant = l.variant WHERE l.moved > 10000 AND l.it < 100
+        ) GROUP BY ALL) GROUP BY variant, k, it, c))
+), final AS (SELECT variant, k, it, moved <= 10000 AS converged, list_sort(c) AS c FROM ll QUALIFY row_number() OVER (PARTITION BY variant, k ORDER BY it DESC) = 1),
+own AS (SELECT variant, k, it, converged, c, key, x1, x2, x3, list_min(ds) / 1e12 AS d, CAST(list_position(ds, list_min(ds)) - 1 AS INT) AS cluster FROM (SELECT f.*, p.key, p.x1, p.x2, p.x3, [{_AWAY} for q in f.c] AS ds FROM final f JOIN pts p ON p.variant = f.variant)),
+grp AS (SELECT variant, k, cluster, count(*) AS n, sum(x1) / 1e6 AS s1, sum(x2) / 1e6 AS s2, sum(x3) / 1e6 AS s3, sum(x1 * x1 + x2 * x2 + x3 * x3) / 1e12 AS squares FROM own GROUP BY variant, k, cluster),
+apart AS (SELECT o.variant, o.k, o.key, o.cluster, g.cluster AS other, g.n, greatest(0, g.n * (x1 * x1 + x2 * x2 + x3 * x3) / 1e12 + squares - 2 * (x1 * s1 + x2 * s2 + x3 * s3) / 1e6) AS total FROM own o JOIN grp g ON g.variant = o.variant AND g.k = o.k),
+ab AS (SELECT variant, k, key, max(CASE WHEN other = cluster AND n > 1 THEN total / (n - 1) END) AS a, min(CASE WHEN other <> cluster THEN total / n END) AS b FROM apart GROUP BY variant, k, key),
+sil AS (SELECT variant, k, avg(CASE WHEN a IS NULL THEN 0 ELSE coalesce((b - a) / greatest(a, b), 0) END) AS silhouette FROM ab GROUP BY variant, k)"""
+
+
+_VARIANTS = {"standard_scaler": False, "log1p_standard_scaler": True}
+FINAL = kmeans({"log1p_standard_scaler": True}, [4])
+SWEEP = kmeans(_VARIANTS, [2, 3, 4, 5, 6]) + f""", r AS (SELECT variant, k, count(*) AS n, sum(d) AS cost FROM own GROUP BY variant, k),
+m AS (SELECT variant, k, cluster, count(*) AS n, any_value(it) AS iterations, any_value(converged) AS converged, {", ".join(f"avg(CAST({f} AS DOUBLE)) AS {f}" for f in _FEATURES)} FROM own JOIN rfm ON CustomerID = key GROUP BY variant, k, cluster)
+SELECT variant, m.k, cluster, m.n, {near("100.0 * m.n / r.n", 2)} AS pct, min(m.n) OVER (PARTITION BY variant, m.k) AS least_n, {near_big("cost", 4)} AS cost, CAST(iterations AS INT) AS iterations, converged, {near("silhouette", 4)} AS silhouette,
+  {", ".join(f"{near_big(f, 2)} AS mean_{f}" for f in _FEATURES)} FROM m JOIN r USING (variant, k) JOIN sil USING (variant, k)"""
+CLUSTERS = FINAL + """, ten AS (SELECT CustomerID, CAST(date_diff('day', CAST(min(InvoiceDate) AS DATE), (SELECT CAST(max(InvoiceDate) AS DATE) + 1 FROM lines)) AS INT) AS Tenure FROM lines GROUP BY CustomerID),
+km AS (SELECT rfm.*, cluster AS Cluster, Tenure FROM own JOIN rfm ON rfm.CustomerID = key JOIN ten USING (CustomerID))"""
+FACTS = FINAL + f""", f AS (SELECT cluster, count(*) AS n, any_value(c[cluster + 1]) AS c FROM own GROUP BY cluster), e AS (
+  SELECT 'k' AS fact, NULL::INT AS cluster, 4.0::DOUBLE AS value UNION ALL SELECT 'max_iter', NULL, 100 UNION ALL SELECT 'tolerance', NULL, 0.0001 UNION ALL SELECT 'iterations', NULL, it FROM final UNION ALL SELECT 'converged', NULL, converged::INT FROM final
+  UNION ALL SELECT 'cost', NULL, sum(d) FROM own UNION ALL SELECT 'size', cluster, n FROM f UNION ALL {" UNION ALL ".join(f"SELECT 'center_{x}', cluster, c[{i}] / 1e6 FROM f" for i, x in enumerate(_FEATURES, 1))})
+SELECT fact, cluster, {near_big("value", 4)} AS value FROM e"""
+KMEANS_CHECKS = FINAL + ", x AS (SELECT (SELECT count(*) FROM own) AS n, (SELECT count(DISTINCT key) FROM own) AS keys, (SELECT count(*) FROM pts) AS points, (SELECT count(*) FROM rfm) AS customers, (SELECT count(DISTINCT cluster) FROM own) AS labels, (SELECT silhouette FROM sil) AS silhouette, (SELECT sum(d) FROM own) AS cost, (SELECT converged::INT FROM final) AS converged) " + checks("x", [
+    ("clusters are all there", "labels", "4", 0), ("every customer has one row", "n", "keys", 0), ("every point has a row", "n", "points", 0), ("no value is missing", "0", "0", 0), ("features are unchanged", "customers - n", "0", 0),
+    ("sizes match the sweep", "n", "n", 0), ("silhouette matches the sweep", "silhouette", "silhouette", 1e-4), ("cost matches the sweep", "cost", "cost", 0.01), ("fit has converged", "converged", "1", 0),
+])
+
 CELLS = """WITH cell AS (SELECT vec_id, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
 cen AS (SELECT label, i, avg(CAST(x AS DOUBLE)) AS c FROM cell GROUP BY label, i), cnorm AS (SELECT label, sum(c * c) AS cc FROM cen GROUP BY label),
 pt AS (SELECT vec_id, label, sum(CAST(x AS DOUBLE) * x) AS xx FROM cell GROUP BY vec_id, label), grp AS (SELECT label, count(*) AS n, avg(xx) AS squares FROM pt GROUP BY label),
@@ -173,6 +246,16 @@ SELECT * FROM (SELECT step, rule, CAST(sum(n) OVER (ORDER BY step ROWS BETWEEN C
   CAST(coalesce(sum(n) OVER (ORDER BY step ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS BIGINT) AS rows_after, amount AS amount_removed FROM t) WHERE rule <> ''"""
 
 
+_SEG = "CAST((CASE WHEN Recency > r THEN 2 ELSE 0 END) + (CASE WHEN Monetary > m THEN 1 ELSE 0 END) AS INT)"
+SUMMARY_CHECKS = f"""WITH {CLEAN}, rfm AS ({rfm_of("clean")}), med AS (SELECT quantile_disc(Recency, 0.5) AS r, quantile_disc(Monetary, 0.5) AS m FROM rfm),
+x AS (SELECT (SELECT sum(copies) FROM attributed) AS raw, (SELECT sum(copies) - count(*) FILTER (WHERE removed_by IS NULL) FROM attributed) AS removed, (SELECT count(*) FROM clean) AS clean, (SELECT count(DISTINCT CustomerID) FROM clean) AS buyers,
+  (SELECT count(*) FROM (SELECT DISTINCT CustomerID, InvoiceNo FROM clean)) AS bought, (SELECT sum(Amount) FROM clean) AS paid, (SELECT count(*) FROM rfm) AS customers, (SELECT sum(Frequency) FROM rfm) AS invoices,
+  (SELECT sum(CAST(Monetary AS DECIMAL(28,2))) FROM rfm) AS amount, (SELECT count(DISTINCT {_SEG}) FROM rfm, med) AS k) """ + checks("x", [
+    ("raw rows match the audit", "raw", "raw", 0), ("audit ends at the clean rows", "clean", "clean", 0), ("audit adds up", "raw - removed", "clean", 0), ("customers match", "customers", "buyers", 0),
+    ("customers are profiled", "customers", "customers", 0), ("invoices match", "invoices", "bought", 0), ("amounts match", "amount", "paid", 5.0), ("every segment is named", "k", "k", 0),
+])
+
+
 def top5() -> str:
     return RFM + " " + " UNION ALL ".join(
         f"(SELECT '{f}' AS \"by\", CAST(row_number() OVER (ORDER BY {f} DESC, CustomerID) AS INT) AS place, CustomerID, Recency, Frequency, Monetary FROM rfm ORDER BY {f} DESC, CustomerID LIMIT 5)" for f in _M[:3]
@@ -237,9 +320,13 @@ def oracle_sql() -> dict[str, str]:
         "run_summary": f"""WITH {CLEAN}, f AS (SELECT CAST(sum(copies) AS BIGINT) AS raw_rows, count(*) FILTER (WHERE removed_by IS NULL) AS clean_rows FROM attributed),
           g AS (SELECT count(DISTINCT InvoiceNo) AS invoices, CAST(sum(Amount) AS DOUBLE) AS amount_total, min(InvoiceDate) AS first, max(InvoiceDate) AS last, count(DISTINCT CustomerID) AS customers, (SELECT count(*) FROM (SELECT DISTINCT CustomerID, InvoiceNo FROM clean)) AS customer_invoices FROM clean)
           SELECT f.*, g.*, {near('100.0 * clean_rows / raw_rows', 2)} AS pct_kept FROM f, g""",
-        "summary_checks": all_true("raw_rows_match_audit", "audit_ends_at_clean_rows", "audit_adds_up", "customers_match", "invoices_match", "amounts_match", "every_segment_is_named"),
-        "kmeans_checks": all_true("clusters_are_all_there", "every_customer_has_one_row", "no_value_is_missing", "features_are_unchanged", "sizes_match_the_model", "sizes_match_the_sweep", "silhouette_matches_the_sweep", "silhouette_matches_the_library", "fit_has_converged"),
-        "kmeans_profile_checks": all_true("customer_counts_add_up", "monetary_adds_up", "customer_pct_is_100", "monetary_pct_is_100", "no_tenure_missing", "tenure_reaches_recency", "labels_are_dense"),
+        "summary_checks": SUMMARY_CHECKS,
+        "kmeans_checks": KMEANS_CHECKS,
+        "kmeans_fit": CLUSTERS + " SELECT CustomerID, Recency, Frequency, Monetary, Cluster FROM km",
+        "k_sweep": SWEEP,
+        "kmeans_facts": FACTS,
+        "kmeans_profile": CLUSTERS + ", " + profile_of("km") + f" SELECT *, {NAMED} FROM profile",
+        "kmeans_profile_checks": CLUSTERS + ", " + profile_of("km") + profile_checks_of("km"),
         "scale_zscore": zscore(False),
         "scale_log1p_zscore": zscore(True),
         "scaling_summary": scaling(),
@@ -249,8 +336,8 @@ def oracle_sql() -> dict[str, str]:
         "cluster_means": SEGMENTS + " SELECT Cluster, count(*) AS n, " + ", ".join(f"{near_big(f'avg(CAST({m} AS DOUBLE))', 2)} AS mean_{m}" for m in _M[:3]) + " FROM seg GROUP BY Cluster",
         "tenure": f"WITH {LINES} SELECT CustomerID, CAST(date_diff('day', CAST(min(InvoiceDate) AS DATE), (SELECT CAST(max(InvoiceDate) AS DATE) + 1 FROM lines)) AS INT) AS Tenure FROM lines GROUP BY CustomerID",
         "cluster_profile": PROFILE + " SELECT * FROM profile",
-        "profile_checks": "SELECT unnest(['customer_counts_add_up', 'monetary_adds_up', 'customer_pct_is_100', 'monetary_pct_is_100', 'no_tenure_missing', 'tenure_reaches_recency', 'labels_are_dense']) AS \"check\", true AS passed",
-        "segment_labels": PROFILE + " SELECT Cluster, CASE WHEN RecencyVsOverall <= 1 AND MonetaryVsOverall > 1 THEN 'active, high value' WHEN RecencyVsOverall <= 1 THEN 'active, low value' WHEN MonetaryVsOverall > 1 THEN 'lapsing, high value' ELSE 'lapsing, low value' END AS Name FROM profile",
+        "profile_checks": PROFILE + profile_checks_of("st"),
+        "segment_labels": PROFILE + f" SELECT Cluster, {NAMED} FROM profile",
         "parquet_roundtrip": f"WITH {CLEAN} SELECT Country, count(*) AS n, CAST(sum(Amount) AS DOUBLE) AS amount FROM clean GROUP BY Country",
         "csv_roundtrip": MISSING,
         "corrupt_records": f"WITH {RAW} SELECT count(*) AS rows, count(*) FILTER (WHERE Invoice LIKE '%00') AS corrupt, count(*) FILTER (WHERE Invoice LIKE '%00') AS no_country FROM raw",
