@@ -14,9 +14,11 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from granary.functions.small import small_table
 from granary.sources.scratch import materialize
 
 #: Parts that a range is cut into; entries of a sketch; values that a task may sort.
@@ -52,9 +54,10 @@ def _part(splits: Column, value: Column) -> Column:
 def _with_splits(values: DataFrame, by: list[str], cells: dict[tuple, list[Open]], inner: bool) -> tuple[DataFrame, dict[tuple, list[float]]]:
     """The values in open ranges with their ``part`` (both null for other values), by each group's splitters: the ranges' bounds, and with ``inner`` their cuts."""
     splits = {g: sorted({b for o in opens for b in (o.low, o.high, *(o.cuts if inner else ())) if b is not None}) for g, opens in cells.items()}
-    schema = ", ".join([*(f"g{i} {values.schema[c].dataType.simpleString()}" for i, c in enumerate(by)), "splits array<double>", "spans array<struct<low:double,high:double>>"])
-    rows = [(*g, splits[g], [(o.low, o.high) for o in cells[g]]) for g in cells]
-    table = F.broadcast(values.sparkSession.createDataFrame(rows, schema))  # a row for each group
+    spans = pa.list_(pa.struct([("low", pa.float64()), ("high", pa.float64())]))
+    columns = {f"g{i}": values.schema[c].dataType.simpleString() for i, c in enumerate(by)} | {"splits": pa.list_(pa.float64()), "spans": spans}
+    rows = [(*g, splits[g], [{"low": o.low, "high": o.high} for o in cells[g]]) for g in cells]
+    table = F.broadcast(small_table(values.sparkSession, columns, rows))  # a row for each group
     same = F.lit(True)
     for i, c in enumerate(by):
         same = same & F.col(c).eqNullSafe(F.col(f"g{i}"))
@@ -117,13 +120,13 @@ def _read_off(values: DataFrame, by: list[str], cells: dict[tuple, list[Open]],
     """The ranks in ranges of few values: each range is sorted in one task, and only the wanted values leave it."""
     within, splits = _with_splits(values, by, cells, inner=False)
     gathered = within.groupBy(*by, "part").agg(F.array_sort(F.collect_list("value")).alias("sorted"))  # ``small`` values at most
-    schema = ", ".join([*(f"g{i} {values.schema[c].dataType.simpleString()}" for i, c in enumerate(by)), "at int", "name string", "place int"])
+    columns = {f"g{i}": values.schema[c].dataType.simpleString() for i, c in enumerate(by)} | {"at": "int", "name": "string", "place": "int"}
     rows = []
     for g, opens in cells.items():
         for o in opens:
             part = 0 if o.low is None else 2 * (splits[g].index(o.low) + 1)
             rows += [(*g, part, name, k - o.below) for name, k in o.ranks.items()]
-    asked = F.broadcast(values.sparkSession.createDataFrame(rows, schema))
+    asked = F.broadcast(small_table(values.sparkSession, columns, rows))
     same = F.col("part") == F.col("at")
     for i, c in enumerate(by):
         same = same & F.col(c).eqNullSafe(F.col(f"g{i}"))
@@ -134,5 +137,5 @@ def _read_off(values: DataFrame, by: list[str], cells: dict[tuple, list[Open]],
 def quantiles(table: DataFrame, by: list[str], value: Column, points: dict[str, float], small: int = SMALL, sketch: int = SKETCH) -> DataFrame:
     """(by..., names of ``points``...): exact quantiles of each group, each a value that occurs; one row for each group."""
     found = at_ranks(table, by, value, lambda n: {name: rank_of(p, n) for name, p in points.items()}, small, sketch)
-    schema = ", ".join([*(f"`{c}` {table.schema[c].dataType.simpleString()}" for c in by), *(f"`{p}` double" for p in points)])
-    return table.sparkSession.createDataFrame([(*g, *(own[p] for p in points)) for g, own in found.items()], schema)
+    columns = {c: table.schema[c].dataType.simpleString() for c in by} | dict.fromkeys(points, "double")
+    return small_table(table.sparkSession, columns, [(*g, *(own[p] for p in points)) for g, own in found.items()])

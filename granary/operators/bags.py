@@ -1,8 +1,8 @@
 """Bags of rows, compared by digests first.
 
-Rows are written once, with a 64-bit digest of their columns. Only the digests shuffle, to find those that occur again; a row whose digest occurs once equals
+Rows get a 64-bit digest of their columns. Only the digests shuffle, to find those that occur again; a row whose digest occurs once equals
 no other row and passes straight through. Rows whose digests meet are fetched and compared in full, so a digest that two different rows
-share costs time and changes nothing. Nulls are equal.
+share costs time and changes nothing. Nulls are equal. Rows are read three times: give stored ones, or such as follow from stored ones row by row.
 
 The digests that occur again are broadcast up to ``BROADCAST_DIGESTS`` of them; beyond that all rows are grouped in full.
 """
@@ -28,15 +28,14 @@ def counted(rows: DataFrame, columns: list[str], counts: dict[str, Column], broa
     """One row for each different row of ``columns``, with the sums of ``counts`` (named, whole numbers)."""
     bound = BROADCAST_DIGESTS if broadcast_digests is None else broadcast_digests
     own = quoted(columns)
-    digest = F.xxhash64(*[x for c in own for x in (c, c.isNull())]).alias("digest")
-    kept = materialize(rows.select(F.struct(*own).alias("row"), digest, F.struct(*[c.cast("long").alias(n) for n, c in counts.items()]).alias("counts")), "bag")
-    again = materialize(kept.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest"), "met")
-    sums = [F.sum(f"counts.{n}").alias(n) for n in counts]
+    digest = F.xxhash64(*own).alias("digest")
+    again = materialize(rows.select(digest).groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest"), "met")
+    kept = rows.select(*own, digest, *[c.cast("long").alias(n) for n, c in counts.items()])
+    sums = [F.sum(n).alias(n) for n in counts]
     if again.count() > bound:
-        return materialize(kept.groupBy("row").agg(*sums).select("row.*", *counts), "different")
+        return kept.groupBy(*own).agg(*sums)
     marked = kept.join(F.broadcast(again.withColumn("met", F.lit(True))), "digest", "left")
-    alone = marked.where("met IS NULL").select("row.*", "counts.*")
-    return alone.unionByName(marked.where("met").groupBy("row").agg(*sums).select("row.*", *counts))
+    return marked.where("met IS NULL").select(*own, *counts).unionByName(marked.where("met").groupBy(*own).agg(*sums))
 
 
 def sided(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:

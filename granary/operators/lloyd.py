@@ -13,9 +13,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from granary.functions.small import small_table
 from granary.operators.clustering import squared
 from granary.sources.scratch import materialize
 
@@ -59,7 +61,8 @@ def farthest_first(points: DataFrame, k: int) -> dict[str, list[tuple[float, ...
 
 def _broadcast(spark: SparkSession, runs: list[tuple]) -> DataFrame:
     """(run, k, centers): a row for each run."""
-    return F.broadcast(spark.createDataFrame([(v, k, [list(c) for c in centers]) for v, k, centers in runs], "run string, k int, centers array<array<double>>"))
+    columns = {"run": "string", "k": "int", "centers": pa.list_(pa.list_(pa.float64()))}
+    return F.broadcast(small_table(spark, columns, [(v, k, [list(c) for c in centers]) for v, k, centers in runs]))
 
 
 def assigned(points: DataFrame, runs: list[Run]) -> DataFrame:

@@ -85,7 +85,7 @@ def match_cancellations(rows: DataFrame, broadcast_keys: int | None = None) -> D
     time line, read backwards: the latest cancellation opens it, and from there on each purchase closes one of the key's cancellations, until none is open.
     Ties go by invoice, description, country. So there is no join: one shuffle, one sort, and running counts.
 
-    Only rows of keys with a cancellation take part. Digests of these keys tell them from the others, which don't move; with more than ``broadcast_keys``
+    Rows are read three times: give stored ones. Only rows of keys with a cancellation take part. Digests of these keys tell them from the others, which don't move; with more than ``broadcast_keys``
     of them all purchases with a customer take part, with the same result.
     """
     bound = BROADCAST_KEYS if broadcast_keys is None else broadcast_keys
@@ -111,7 +111,7 @@ def match_cancellations(rows: DataFrame, broadcast_keys: int | None = None) -> D
 
 def attributed(raw: DataFrame) -> DataFrame:
     """Every distinct raw row with ``copies``, ``removed_by`` (null: it stays) and ``matched``."""
-    rows = folded(raw).withColumn("early", first_broken(parsing_rules()))
+    rows = materialize(folded(raw).withColumn("early", first_broken(parsing_rules())), "folded")
     sound = match_cancellations(rows.where("early IS NULL"))
     late = F.coalesce(F.when(is_cancel() | F.col("matched"), F.lit(CANCELLED)), first_broken(sale_rules()))
     broken = rows.where("early IS NOT NULL").withColumns({"cancels": F.lit(None).cast("long"), "last_cancel": F.lit(None).cast("timestamp_ntz"), "matched": F.lit(False), "removed_by": F.col("early")})

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from granary.functions.typed import typed
 from granary.operators import bags, clustering, lloyd, profiling, reconcile, rfm, rules, segments
 from granary.sources import retail
-from granary.sources.scratch import materialize, scratch_path
+from granary.sources.scratch import materialize, scratch_path, stored
 
 Z_FEATURES = rfm.FEATURES
 
@@ -20,7 +20,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retail.dirty_retail(spark, sf_dir)
+    """The raw transactions as a stored table, made from the given ones once in a session, as long as these are the same files."""
+    return stored(spark, f"raw {sf_dir}", retail.fingerprint(spark, [f"{sf_dir}/{n}.parquet" for n in retail.DIRTY_SOURCES]), lambda: retail.dirty_retail(spark, sf_dir))
 
 
 def attributed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +73,7 @@ def dedup_rows(spark, sf_dir):
 
 
 def _sound(spark, sf_dir):
-    return rules.folded(raw(spark, sf_dir)).where(rules.first_broken(rules.parsing_rules()).isNull())
+    return materialize(rules.folded(raw(spark, sf_dir)).where(rules.first_broken(rules.parsing_rules()).isNull()), "sound")
 
 
 def cancel_keys(spark, sf_dir):
@@ -393,6 +394,24 @@ def retail_scratch(spark: SparkSession) -> str:
     return scratch_path(spark, "retail")
 
 
+def sheets_by_row(spark, sf_dir):
+    """Two sheets in one set of files, told apart by row number: the first half of the rows, in the order of all columns, is the first sheet."""
+    path = retail_scratch(spark)
+    retail.write_csv(raw(spark, sf_dir).orderBy(*[F.col(f"`{c}`") for c in retail.RAW_COLUMNS]), path)
+    rows = retail.numbered(retail.read_raw_csv(spark, path))
+    half = rows.agg(F.expr("count(1) div 2").alias("half"))
+    told = rows.crossJoin(F.broadcast(half)).withColumn("sheet", F.when(F.col("row") <= F.col("half"), "first").otherwise("second"))  # one row
+    return told.groupBy("sheet").agg(F.count(F.lit(1)).alias("rows"), F.min("row").alias("from_row"), F.max("row").alias("to_row"), F.min("Invoice").alias("first_invoice"), F.max("Invoice").alias("last_invoice"), F.count_distinct("Invoice").alias("invoices"))
+
+
+def sheet_files(spark, sf_dir):
+    """Both halves as files of their own, opened as sheets of one relation: (sheet, rows, first, last)."""
+    paths = {name: retail_scratch(spark) for name in ("first", "second")}
+    for path, half in zip(paths.values(), _halves(spark, sf_dir), strict=True):
+        retail.write_csv(half, path)
+    return retail.open_sheets(spark, paths)[1]
+
+
 def corrupt_records(spark, sf_dir):
     """A CSV copy in which the invoices that end in 00 lost their last field: how many lines were caught."""
     path = retail_scratch(spark)
@@ -413,7 +432,7 @@ def queries() -> dict:
         "kmeans_assign_fixed": kmeans_assign_fixed, "silhouette": silhouette, "inertia": inertia, "cluster_means": cluster_means, "kmeans_fit": kmeans_fit, "k_sweep": k_sweep,
         "kmeans_facts": kmeans_facts, "kmeans_checks": kmeans_checks, "kmeans_profile": kmeans_profile, "kmeans_profile_checks": kmeans_profile_checks,
         "tenure": tenure, "cluster_profile": cluster_profile, "profile_checks": profile_checks, "segment_labels": segment_labels,
-        "parquet_roundtrip": parquet_roundtrip, "csv_roundtrip": csv_roundtrip, "corrupt_records": corrupt_records,
+        "parquet_roundtrip": parquet_roundtrip, "csv_roundtrip": csv_roundtrip, "corrupt_records": corrupt_records, "sheets_by_row": sheets_by_row, "sheet_files": sheet_files,
     }
     profiles = {
         "profile_size": profiling.size, "missingness": profiling.missingness, "unparseable": profiling.unparseable, "duplicate_profile": profiling.duplicates, "duplicate_by_month": profiling.duplicates_by_month,

@@ -313,6 +313,9 @@ def oracle_sql() -> dict[str, str]:
         "overlap_intersect_all": HALVES + " SELECT * FROM a INTERSECT ALL SELECT * FROM b",
         "overlap_except_all": HALVES + " SELECT * FROM a EXCEPT ALL SELECT * FROM b",
         "union_by_name": HALVES + ", u AS (SELECT *, 'first' AS sheet FROM a UNION ALL BY NAME SELECT *, 'second' AS sheet FROM b) SELECT sheet, count(*) AS rows, min(InvoiceDate) AS first, max(InvoiceDate) AS last FROM u GROUP BY sheet",
+        "sheets_by_row": f"""WITH {RAW}, n AS (SELECT *, row_number() OVER (ORDER BY {_FIRST}) AS row, count(*) OVER () // 2 AS half FROM raw)
+          SELECT CASE WHEN row <= half THEN 'first' ELSE 'second' END AS sheet, count(*) AS rows, min(row) AS from_row, max(row) AS to_row, min(Invoice) AS first_invoice, max(Invoice) AS last_invoice, count(DISTINCT Invoice) AS invoices FROM n GROUP BY 1""",
+        "sheet_files": HALVES + ", u AS (SELECT *, 'first' AS sheet FROM a UNION ALL BY NAME SELECT *, 'second' AS sheet FROM b) SELECT sheet, count(*) AS rows, min(InvoiceDate) AS first, max(InvoiceDate) AS last FROM u GROUP BY sheet",
         "sheet_overlap": bags(True),
         "overlap_report": OVERLAP,
         "customer_issues": CUSTOMER_ISSUES,

@@ -7,10 +7,12 @@ from contextlib import contextmanager
 
 from pyarrow import fs
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from granary.sources.scratch import materialize
+
 #: Columns of a raw transaction file, in order; all are text.
 RAW_COLUMNS = ["Invoice", "StockCode", "Description", "Quantity", "InvoiceDate", "Price", "Customer ID", "Country"]
 CORRUPT = "_corrupt_record"
@@ -37,21 +39,51 @@ def raw_uri(base: str, folder: str, name: str) -> str:
     return "/".join([base.rstrip("/"), folder.strip("/"), name])
 
 
-def read_raw_csv(spark: SparkSession, path: str, with_corrupt: bool = False, header: bool = True) -> DataFrame:
+def read_raw_csv(spark: SparkSession, path: str, with_corrupt: bool = False, header: bool = True, every_header: bool = False) -> DataFrame:
     """A raw CSV file (RFC 4180 quoting, UTF-8) with the fixed schema; a header that differs is an error, and so is a missing path.
 
-    With ``with_corrupt``, rows of another number of fields keep their text in ``_corrupt_record``. Without ``header`` the files have none.
+    The header of the first file is looked at, with ``every_header`` that of each one when it is read. With ``with_corrupt``, rows of another number of fields keep their text in ``_corrupt_record``. Without ``header`` the files have none.
     """
     options = {"header": str(header).lower(), "encoding": "UTF-8", "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
     with _existing(path):
         found = spark.read.options(**options).csv(path).columns
     if header and found != RAW_COLUMNS:
         raise ValueError(f"unexpected header: {found}")
+    if every_header:
+        options |= {"enforceSchema": "false"}
     if with_corrupt:  # a pruned scan would not look at all fields
         options |= {"columnNameOfCorruptRecord": CORRUPT, "columnPruning": "false"}
     return spark.read.schema(raw_schema(with_corrupt)).options(**options).csv(path)
 
 
+#: Blocks of files up to which their offsets are broadcast.
+BROADCAST_BLOCKS = 100_000
+
+
+def numbered(rows: DataFrame, number: str = "row", in_file: str = "row_in_file") -> DataFrame:
+    """Rows of a table of files with their place in their file and in all files by path, both from 1, in the order in which they stand there.
+
+    A task reads a block from its beginning, so within a block ids that rise with each row give the place. Blocks are counted, and two prefix sums, over the blocks of
+    each file and over files, give what lies before each. Windows see a row for each block and each file, never the rows.
+    """
+    own = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
+    kept = materialize(own, "numbered")  # pins the ids
+    blocks = kept.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("n"), F.min("_id").alias("first"))
+    files = blocks.groupBy("_file").agg(F.sum("n").alias("n"))
+    before_file = F.coalesce(F.sum("n").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each file
+    before_block = F.coalesce(F.sum("n").over(Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = blocks.withColumn("in_file", before_block).join(files.select("_file", before_file.alias("in_all")), "_file")
+    offsets = materialize(offsets.select("_file", "_block", "first", "in_file", "in_all"), "offsets")
+    offsets = F.broadcast(offsets) if offsets.count() <= BROADCAST_BLOCKS else offsets
+    at = F.col("_id") - F.col("first") + F.col("in_file") + 1
+    return kept.join(offsets, ["_file", "_block"]).select(*[F.col(f"`{c}`") for c in rows.columns], at.alias(in_file), (at + F.col("in_all")).alias(number))
+
+
+def open_sheets(spark: SparkSession, paths: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+    """Files of sheets as one relation, with a ``sheet`` column, and (sheet, rows, first, last) of each; the header of every file is checked."""
+    return sheets_union({name: read_raw_csv(spark, path, every_header=True) for name, path in paths.items()})
+
+
 def path_exists(spark: SparkSession, uri: str) -> bool:
     """Whether the path is there, as a file or as a folder, which may be empty."""
     try:
@@ -124,12 +156,22 @@ def sheets_union(sheets: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
     return joined, facts
 
 
+#: Tables that the dirty relation is made from.
+DIRTY_SOURCES = ["lineitem", "orders", "customer", "nation", "part"]
+
+
+def fingerprint(spark: SparkSession, uris: list[str]) -> str:
+    """Changes with the files below the paths: their names, lengths and times. No file is read."""
+    files = spark.read.format("binaryFile").load(uris).select("path", "length", "modificationTime")
+    return str(files.agg(F.count(F.lit(1)), F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(20,0)"))).first())
+
+
 def dirty_retail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw transactions made from lineitem, orders, customer, nation and part: text columns, with every fault the rules look for.
 
     All rows; exact copies of some; cancellations of some, on the next day. Which row gets which fault follows from its keys.
     """
-    t = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("lineitem", "orders", "customer", "nation", "part")}
+    t = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in DIRTY_SOURCES}
     joined = (
         t["lineitem"]
         .join(t["orders"], F.col("l_orderkey") == F.col("o_orderkey"))

@@ -5,10 +5,13 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dirs: dict[str, str] = {}
+_stored: dict[tuple[str, str], tuple[str, DataFrame]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,3 +41,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stored(spark: SparkSession, name: str, version: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table ``name``, written when it is first asked for in this application, and again if its ``version`` has changed or its files are gone."""
+    key = (spark.sparkContext.applicationId, name)
+    if key in _stored and _stored[key][0] == version:
+        df = _stored[key][1]
+        try:
+            return spark.read.schema(df.schema).parquet(*{f.rsplit("/", 1)[0] for f in df.inputFiles()[:1]})
+        except AnalysisException:
+            pass
+    _stored[key] = version, materialize(make(), re.sub(r"\W+", "-", name))
+    return _stored[key][1]
