@@ -99,12 +99,13 @@ def match_cancellations(rows: DataFrame, broadcast_keys: int | None = None) -> D
         takes_part = takes_part & F.col("opened").isNotNull()
     else:
         marked = rows.withColumn("opened", F.lit(None).cast("long"))
-    backwards = Window.partitionBy(*key).orderBy(*[F.col(c).desc_nulls_last() for c in ("InvoiceDate", "InvoiceNo", "Description", "Country")])
+    size = F.col("_size")  # a column, not an expression, so that both windows see one partitioning
+    backwards = Window.partitionBy("CustomerID", "StockCode", size, "UnitPrice").orderBy(*[F.col(c).desc_nulls_last() for c in ("InvoiceDate", "InvoiceNo", "Description", "Country")])
     whole, so_far = (backwards.rowsBetween(Window.unboundedPreceding, end) for end in (Window.unboundedFollowing, Window.currentRow))
-    line = marked.where(takes_part).drop("opened").withColumns({"cancels": F.count_if(cancel).over(whole), "last_cancel": F.max(F.when(cancel, F.col("InvoiceDate"))).over(whole)})
+    line = marked.where(takes_part).drop("opened").withColumn("_size", F.abs("Quantity")).withColumns({"cancels": F.count_if(cancel).over(whole), "last_cancel": F.max(F.when(cancel, F.col("InvoiceDate"))).over(whole)})
     closes = violated(~cancel & (F.col("InvoiceDate") <= F.col("last_cancel")))
     closed = F.count_if("closes").over(so_far)
-    told = line.withColumn("closes", closes).withColumn("matched", F.col("closes") & (closed <= F.col("cancels"))).drop("closes").withColumn("cancels", F.nullif("cancels", F.lit(0)))
+    told = line.withColumn("closes", closes).withColumn("matched", F.col("closes") & (closed <= F.col("cancels"))).drop("closes", "_size").withColumn("cancels", F.nullif("cancels", F.lit(0)))
     others = marked.where(~takes_part).drop("opened").withColumns({"cancels": F.lit(None).cast("long"), "last_cancel": F.lit(None).cast("timestamp_ntz"), "matched": F.lit(False)})
     return told.unionByName(others)
 
