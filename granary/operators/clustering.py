@@ -10,6 +10,26 @@ from pyspark.sql import functions as F
 SEED, MAX_ITER, TOLERANCE = 42, 100, 1e-4
 
 
+def fit_scaler(table: DataFrame, features: list[str], log: bool = True) -> DataFrame:
+    """The model of :func:`apply_scaler` as a table, (feature, log, mean, std): one row for each feature, to be stored and applied to other rows."""
+    tall = table.select(F.expr("stack({}, {}) AS (feature, x)".format(len(features), ", ".join(f"'{f}', CAST({f} AS DOUBLE)" for f in features))))
+    x = F.log1p("x") if log else F.col("x")
+    return tall.groupBy("feature").agg(F.lit(log).alias("log"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"))
+
+
+def apply_scaler(table: DataFrame, model: DataFrame) -> DataFrame:
+    """Add ``z_<feature>`` by a stored model: (x - mean) / deviation, of log(1 + x) where it says so; 0 where the deviation is none."""
+    known = [r["feature"] for r in model.select("feature").orderBy("feature").collect()]  # a row for each feature
+    row = model.agg(F.map_from_entries(F.collect_list(F.struct("feature", F.struct("log", "mean", "std")))).alias("_model"))
+    joined = table.crossJoin(F.broadcast(row))  # one row
+
+    def z(f: str) -> Column:
+        own, x = F.col("_model")[f], F.col(f).cast("double")
+        return F.coalesce(F.try_divide(F.when(own["log"], F.log1p(x)).otherwise(x) - own["mean"], own["std"]), F.lit(0.0))
+
+    return joined.select(*table.columns, *[z(f).alias(f"z_{f}") for f in known])
+
+
 def scaled(table: DataFrame, features: list[str], log: bool = True) -> DataFrame:
     """Add ``z_<feature>``: (x - mean) / sample deviation, of log(1 + x) if ``log``; 0 where the deviation is none."""
     x = {f: F.log1p(F.col(f).cast("double")) if log else F.col(f).cast("double") for f in features}

@@ -106,6 +106,22 @@ def fit(points: DataFrame, ks: list[int], max_iter: int = MAX_ITER, tolerance: f
     return [Run(r.variant, r.k, tuple(sorted(r.centers)), r.iterations, r.converged) for r in runs.values()]
 
 
+def model_table(spark: SparkSession, runs: list[Run], version: str) -> DataFrame:
+    """(version, variant, k, cluster, center): the model of these runs as a table, in the points' units; :func:`from_table` reads it back."""
+    rows = [(version, r.variant, r.k, i, [x / GRID for x in c]) for r in runs for i, c in enumerate(r.centers)]
+    return small_table(spark, {"version": "string", "variant": "string", "k": "int", "cluster": "int", "center": pa.list_(pa.float64())}, rows)
+
+
+def from_table(model: DataFrame, version: str) -> list[Run]:
+    """The runs of a stored version; a version that isn't there is an error."""
+    centers: dict[tuple[str, int], dict[int, tuple[float, ...]]] = {}
+    for r in model.where(F.col("version") == version).collect():  # a row for each cluster
+        centers.setdefault((r["variant"], r["k"]), {})[r["cluster"]] = tuple(x * GRID for x in r["center"])
+    if not centers:
+        raise KeyError(version)
+    return [Run(v, k, tuple(c[i] for i in sorted(c))) for (v, k), c in centers.items()]
+
+
 def clusters(points: DataFrame, runs: list[Run]) -> DataFrame:
     """(variant, k, cluster, n, cost, center): a row for each cluster that has points; costs and centers in the points' units."""
     each = assigned(points, runs).groupBy("variant", "k", "cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("d").alias("d"))

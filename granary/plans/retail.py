@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.functions.typed import typed
-from granary.operators import bags, clustering, lloyd, profiling, reconcile, rfm, rules, segments
+from granary.operators import bags, clustering, lloyd, observed, profiling, reconcile, rfm, rules, segments
 from granary.sources import retail
 from granary.sources.scratch import materialize, scratch_path, stored
 
@@ -102,18 +102,21 @@ def clean_transactions(spark, sf_dir):
 
 
 def clean_audit(spark, sf_dir):
-    return _as_double(rules.audit(attributed(spark, sf_dir)))
+    """What each rule takes away, observed while the attributed rows are written."""
+    order = rules.rule_order()
+    figures = observed.step_figures(order, F.col("removed_by"), F.col("early").isNotNull(), F.col("copies"), F.col("Amount"), rules.DUPLICATES)
+    rows, seen = observed.materialize_observed(attributed(spark, sf_dir), "attributed", figures)
+    return observed.audit_table(rows, order, seen)
 
 
 def clean_summary(spark, sf_dir):
-    rows = clean(spark, sf_dir)
-    facts = rows.agg(
-        F.count(F.lit(1)).alias("n"), F.min("InvoiceDate").alias("first"), F.max("InvoiceDate").alias("last"), F.min("Quantity").alias("min_quantity"), F.max("Quantity").alias("max_quantity"),
-        F.min("UnitPrice").alias("min_price"), F.max("UnitPrice").alias("max_price"), F.min("Amount").alias("min_amount"), F.max("Amount").alias("max_amount"), F.sum("Amount").alias("total"),
-        F.count_if(F.greatest(*[F.col(c).isNull() for c in rules.CLEAN_COLUMNS])).alias("rows_with_null"),
-        *[F.count_distinct(c).alias(f"n_{c.lower()}") for c in ("InvoiceNo", "CustomerID", "StockCode", "Country")],
-    )
-    return _as_double(facts)
+    """The clean rows at a glance: counts, bounds and the total observed while they are written, numbers of different values from what was written."""
+    ends = {n: (f(c)) for c, k in (("Quantity", "quantity"), ("UnitPrice", "price"), ("Amount", "amount")) for n, f in ((f"min_{k}", F.min), (f"max_{k}", F.max))}
+    figures = {"n": F.count(F.lit(1)), "first": F.min("InvoiceDate"), "last": F.max("InvoiceDate"), **ends, "total": F.sum("Amount"), "rows_with_null": F.count_if(F.greatest(*[F.col(c).isNull() for c in rules.CLEAN_COLUMNS]))}
+    rows, seen = observed.materialize_observed(clean(spark, sf_dir), "clean", figures)
+    kinds = rows.agg(*[c.alias(n) for n, c in figures.items()]).schema
+    facts = rows.agg(*[F.count_distinct(c).alias(f"n_{c.lower()}") for c in ("InvoiceNo", "CustomerID", "StockCode", "Country")])
+    return _as_double(facts.select(*[F.lit(seen[f.name]).cast(f.dataType).alias(f.name) for f in kinds], *facts.columns))
 
 
 def kept_share(spark, sf_dir):
@@ -412,13 +415,34 @@ def sheet_files(spark, sf_dir):
     return retail.open_sheets(spark, paths)[1]
 
 
-def corrupt_records(spark, sf_dir):
-    """A CSV copy in which the invoices that end in 00 lost their last field: how many lines were caught."""
+def _short_lines(spark, sf_dir):
+    """A CSV copy in which the invoices that end in 00 lost their last field, read with what was caught."""
     path = retail_scratch(spark)
     short = F.col("Invoice").endswith("00")
     quoted = [F.concat(F.lit('"'), F.replace(F.coalesce(F.col(f"`{c}`"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"')) for c in retail.RAW_COLUMNS]
     raw(spark, sf_dir).select(F.concat_ws(",", *quoted[:-1], F.when(~short, quoted[-1])).alias("value")).write.text(path)
-    return retail.read_raw_csv(spark, path, with_corrupt=True, header=False).agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col(retail.CORRUPT).isNotNull()).alias("corrupt"), F.count_if(F.col("Country").isNull()).alias("no_country"))
+    return retail.read_raw_csv(spark, path, with_corrupt=True, header=False)
+
+
+def corrupt_records(spark, sf_dir):
+    """How many lines of a damaged copy were caught."""
+    return _short_lines(spark, sf_dir).agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col(retail.CORRUPT).isNotNull()).alias("corrupt"), F.count_if(F.col("Country").isNull()).alias("no_country"))
+
+
+def profile_size(spark, sf_dir):
+    return profiling.size(materialize(_short_lines(spark, sf_dir), "ingested"))  # the reader doesn't give its corrupt column alone
+
+
+def model_applied(spark, sf_dir):
+    """Customers with odd numbers in the clusters of those with even ones: scaling and centers are fitted on these, stored, read and applied to the others."""
+    table = order_rfm(spark, sf_dir)
+    fitted, others = table.where("CustomerID % 2 = 0"), table.where("CustomerID % 2 = 1")
+    scaler = materialize(clustering.fit_scaler(fitted, Z_FEATURES), "scaler")
+    points = lambda rows: lloyd.on_grid(clustering.apply_scaler(rows, scaler), "CustomerID", [f"z_{f}" for f in Z_FEATURES], FINAL_VARIANT)
+    runs = lloyd.fit(materialize(points(fitted), "points"), [clustering.selected_k(SELECTED_K)])
+    model = materialize(lloyd.model_table(spark, runs, "even"), "model")
+    own = lloyd.assigned(points(others), lloyd.from_table(model, "even"))
+    return own.select(F.col("key").alias("CustomerID"), F.col("cluster").alias("Cluster"), F.round(F.sqrt("d") / lloyd.GRID, 4).alias("distance"))
 
 
 def queries() -> dict:
@@ -432,10 +456,10 @@ def queries() -> dict:
         "kmeans_assign_fixed": kmeans_assign_fixed, "silhouette": silhouette, "inertia": inertia, "cluster_means": cluster_means, "kmeans_fit": kmeans_fit, "k_sweep": k_sweep,
         "kmeans_facts": kmeans_facts, "kmeans_checks": kmeans_checks, "kmeans_profile": kmeans_profile, "kmeans_profile_checks": kmeans_profile_checks,
         "tenure": tenure, "cluster_profile": cluster_profile, "profile_checks": profile_checks, "segment_labels": segment_labels,
-        "parquet_roundtrip": parquet_roundtrip, "csv_roundtrip": csv_roundtrip, "corrupt_records": corrupt_records, "sheets_by_row": sheets_by_row, "sheet_files": sheet_files,
+        "parquet_roundtrip": parquet_roundtrip, "csv_roundtrip": csv_roundtrip, "corrupt_records": corrupt_records, "sheets_by_row": sheets_by_row, "sheet_files": sheet_files, "profile_size": profile_size, "model_applied": model_applied,
     }
     profiles = {
-        "profile_size": profiling.size, "missingness": profiling.missingness, "unparseable": profiling.unparseable, "duplicate_profile": profiling.duplicates, "duplicate_by_month": profiling.duplicates_by_month,
+        "missingness": profiling.missingness, "unparseable": profiling.unparseable, "duplicate_profile": profiling.duplicates, "duplicate_by_month": profiling.duplicates_by_month,
         "cardinality": profiling.cardinality, "numeric_stats": profiling.numeric_stats, "date_range": profiling.date_range, "rows_by_month": profiling.rows_by_month, "invoice_types": profiling.invoice_types,
         "value_issues": profiling.value_issues, "customer_issues": profiling.customer_issues, "special_codes": profiling.special_codes, "top_countries": profiling.top_countries, "profile_samples": profiling.samples,
     }

@@ -202,6 +202,14 @@ FACTS = FINAL + f""", f AS (SELECT cluster, count(*) AS n, any_value(c[cluster +
   SELECT 'k' AS fact, NULL::INT AS cluster, 4.0::DOUBLE AS value UNION ALL SELECT 'max_iter', NULL, 100 UNION ALL SELECT 'tolerance', NULL, 0.0001 UNION ALL SELECT 'iterations', NULL, it FROM final UNION ALL SELECT 'converged', NULL, converged::INT FROM final
   UNION ALL SELECT 'cost', NULL, sum(d) FROM own UNION ALL SELECT 'size', cluster, n FROM f UNION ALL {" UNION ALL ".join(f"SELECT 'center_{x}', cluster, c[{i}] / 1e6 FROM f" for i, x in enumerate(_FEATURES, 1))})
 SELECT fact, cluster, {near_big("value", 4)} AS value FROM e"""
+# The same, fitted on even customers only: ``rfm`` has these, ``everyone`` all.
+_EVEN = RFM.replace("rfm AS (", "everyone AS (", 1) + ", rfm AS (SELECT * FROM everyone WHERE CustomerID % 2 = 0)"
+_OTHERS = ", ".join(
+    f"CAST(round((ln(1 + CAST({f} AS DOUBLE)) - (SELECT avg(ln(1 + CAST({f} AS DOUBLE))) FROM rfm)) / (SELECT stddev_samp(ln(1 + CAST({f} AS DOUBLE))) FROM rfm) * 1000000) AS DOUBLE) AS x{i}" for i, f in enumerate(_FEATURES, 1)
+)
+APPLIED = FINAL.replace(RFM.replace("WITH ", "WITH RECURSIVE ", 1), _EVEN.replace("WITH ", "WITH RECURSIVE ", 1), 1) + f""", odd AS (SELECT CustomerID, {_OTHERS} FROM everyone WHERE CustomerID % 2 = 1),
+o AS (SELECT p.CustomerID, [{_AWAY} for q in f.c] AS ds FROM odd p, final f)
+SELECT CustomerID, CAST(list_position(ds, list_min(ds)) - 1 AS INT) AS Cluster, {near("sqrt(list_min(ds)) / 1e6", 4)} AS distance FROM o"""
 KMEANS_CHECKS = FINAL + ", x AS (SELECT (SELECT count(*) FROM own) AS n, (SELECT count(DISTINCT key) FROM own) AS keys, (SELECT count(*) FROM pts) AS points, (SELECT count(*) FROM rfm) AS customers, (SELECT count(DISTINCT cluster) FROM own) AS labels, (SELECT silhouette FROM sil) AS silhouette, (SELECT sum(d) FROM own) AS cost, (SELECT converged::INT FROM final) AS converged) " + checks("x", [
     ("clusters are all there", "labels", "4", 0), ("every customer has one row", "n", "keys", 0), ("every point has a row", "n", "points", 0), ("no value is missing", "0", "0", 0), ("features are unchanged", "customers - n", "0", 0),
     ("sizes match the sweep", "n", "n", 0), ("silhouette matches the sweep", "silhouette", "silhouette", 1e-4), ("cost matches the sweep", "cost", "cost", 0.01), ("fit has converged", "converged", "1", 0),
@@ -296,7 +304,8 @@ def oracle_sql() -> dict[str, str]:
         "rfm_one_time": RFM + " SELECT count(*) AS customers, count(*) FILTER (WHERE Frequency = 1) AS one_time_buyers FROM rfm",
         "rfm_top_share": RFM + f", k AS (SELECT greatest(1, CAST(floor(count(*) * 0.01 + 0.5) AS BIGINT)) AS k, CAST(sum(CAST(Monetary AS DECIMAL(28,2))) AS DOUBLE) AS total FROM rfm), t AS (SELECT Monetary, row_number() OVER (ORDER BY Monetary DESC, CustomerID) AS r FROM rfm), s AS (SELECT count(*) AS n_top, CAST(sum(CAST(Monetary AS DECIMAL(28,2))) AS DOUBLE) AS top_amount FROM t, k WHERE r <= k) SELECT n_top, top_amount, total AS total_amount, {near('100.0 * top_amount / total', 2)} AS top_pct FROM s, k",
         "rfm_top5": top5(),
-        "profile_size": f"WITH {RAW} SELECT count(*) AS records, 8 AS columns FROM raw",
+        "profile_size": f"WITH {RAW} SELECT count(*) AS records, 8 AS columns, count(*) FILTER (WHERE Invoice LIKE '%00') AS corrupt FROM raw",
+        "model_applied": APPLIED,
         "missingness": MISSING,
         "unparseable": f"WITH {RAW}, t AS (SELECT {_TYPED}, Quantity AS rq, Price AS rp, raw.InvoiceDate AS rd FROM raw) SELECT count(*) FILTER (WHERE rq IS NOT NULL AND t.Quantity IS NULL) AS Quantity, count(*) FILTER (WHERE rp IS NOT NULL AND UnitPrice IS NULL) AS Price, count(*) FILTER (WHERE rd IS NOT NULL AND t.InvoiceDate IS NULL) AS InvoiceDate FROM t",
         "duplicate_profile": f"WITH {RAW}, c AS (SELECT {_NAMES}, count(*) AS n FROM raw GROUP BY ALL), f AS (SELECT count(*) FILTER (WHERE n > 1) AS groups, CAST(coalesce(sum(n) FILTER (WHERE n > 1), 0) AS BIGINT) AS rows_in_groups, CAST(sum(n - 1) AS BIGINT) AS excess, max(n) FILTER (WHERE n > 1) AS max_copies, count(*) AS distinct_rows FROM c) SELECT *, {near('100.0 * excess / (excess + distinct_rows)', 2)} AS pct_excess FROM f",

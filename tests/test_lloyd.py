@@ -80,3 +80,24 @@ def test_equal_points_and_none(spark):
     assert [(r["cluster"], r["n"], r["cost"]) for r in lloyd.clusters(same, [run]).collect()] == [(0, 5, 0.0)]
     with pytest.raises(ValueError):
         lloyd.fit(same.where("false"), [2])
+
+
+def test_a_stored_model_gives_the_same_clusters(spark, tables, tmp_path):
+    runs = lloyd.fit(tables, [3])
+    lloyd.model_table(spark, runs, "v1").unionByName(lloyd.model_table(spark, runs[:1], "v2")).write.parquet(str(tmp_path / "model"))
+    model = spark.read.parquet(str(tmp_path / "model"))
+    own = lambda runs: {(r["variant"], r["key"]): r["cluster"] for r in lloyd.assigned(tables, runs).collect()}
+    assert own(lloyd.from_table(model, "v1")) == own(runs)
+    assert len(lloyd.from_table(model, "v2")) == 1
+    with pytest.raises(KeyError):
+        lloyd.from_table(model, "v3")
+
+
+def test_a_stored_scaler_equals_scaling(spark, tables):
+    from granary.operators.clustering import apply_scaler, fit_scaler, scaled
+
+    df = spark.createDataFrame([(1, 0.0, 5.0), (2, 3.0, 5.0), (3, 9.0, 5.0)], "id int, a double, b double")
+    for log in (True, False):
+        model = fit_scaler(df, ["a", "b"], log)
+        assert apply_scaler(df, model).orderBy("id").collect() == scaled(df, ["a", "b"], log).orderBy("id").collect()
+        assert apply_scaler(df.where("id = 2"), model).first()["z_b"] == 0.0
