@@ -131,16 +131,16 @@ def partitions(df: DataFrame) -> DataFrame:
 
 
 def write_parquet(df: DataFrame, uri: str, files: int | None = None) -> None:
-    """Overwrite ``uri``; ``files`` bounds their number for small results."""
-    (df.coalesce(files) if files else df).write.mode("overwrite").parquet(uri)
+    """Overwrite ``uri``; ``files`` bounds their number for small results, which shuffle for it, so that what makes them keeps all its tasks."""
+    (df.repartition(files) if files else df).write.mode("overwrite").parquet(uri)
 
 
 def write_csv(df: DataFrame, uri: str, files: int | None = None) -> None:
-    (df.coalesce(files) if files else df).write.mode("overwrite").options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(uri)
+    (df.repartition(files) if files else df).write.mode("overwrite").options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(uri)
 
 
 def write_json(df: DataFrame, uri: str, files: int | None = None) -> None:
-    (df.coalesce(files) if files else df).write.mode("overwrite").json(uri)
+    (df.repartition(files) if files else df).write.mode("overwrite").json(uri)
 
 
 def sheets_union(sheets: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
