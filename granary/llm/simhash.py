@@ -6,10 +6,11 @@ l * R / SEGMENTS, for every l. So candidates share the run of segments whose bud
 64 bits, in one of 16 rotations), and must keep each longer chain within its budget before all 64 bits are
 compared. Only distinct fingerprints are compared, so copies cost nothing.
 
-A run of bits that many fingerprints share is not compared pair by pair: fingerprints in such a bucket emit
-themselves and their one-bit neighbours in the rest of the ring. Two of them meet in a value exactly if
-they differ in at most two bits, and each value gathers at most one fingerprint for each bit. All are linked
-to the least one there, so the work is linear and no link between groups is lost.
+No bucket is compared pair by pair. Beyond the run the next chain, 60 of 64 bits, may hold one bit, so each
+rotation's chain of 60 bits is indexed once, and looked up by itself and by its neighbours with one zero beyond
+the run turned into a one: of two chains a bit apart, one has such a zero. At most 16 fingerprints have one
+chain and at most 33 chains meet it, so the work is linear in the fingerprints, however crowded a run is, and
+every pair within the radius is met. Runs that one fingerprint alone has are left out first.
 
 Edge cases: a null or empty text, or one of white space, has fingerprint zero, linked like any other; a text
 with fewer words than a shingle is one shingle. Rows with repeated ids each get their row; a null id is
@@ -34,8 +35,6 @@ from granary.llm.components import connected_components
 
 BITS, SEGMENTS, RADIUS = 64, 16, 2
 SEED = 42
-#: Fingerprints in a bucket up to which its pairs are compared; larger buckets link by one-bit neighbours.
-PAIRED = 24
 #: Of near-dedup: rows from which frequent shingles are guessed, frequent shingles at most, tokens by which a node looks for a leader, and
 #: members of a block of a shingle's pairs.
 SAMPLED, FREQUENT, LED, BLOCK = 4_000, 200_000, 8, 1_000
@@ -87,40 +86,32 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return source.mapInArrow(run, f"doc_id {id_type}, fp bigint, fingerprint string")
 
 
-def pigeonring_links(fps: DataFrame, radius: int = RADIUS, paired: int = PAIRED) -> DataFrame:
-    """Links (a, b) that connect all distinct ``fp`` within ``radius`` bits (two at most) of each other.
-
-    Every link is between fingerprints within the radius; together they connect whatever is.
-    """
+def pigeonring_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Links (a, b): all pairs of distinct ``fp`` within ``radius`` bits (two at most) of each other, a being the lesser."""
     if radius != 2:
         raise ValueError("the radius is two bits")
     width = BITS // SEGMENTS
     # Per budget, the longest chain that it holds for: run with 0, then chains with 1, 2, ... bits.
     longest = {length * radius // SEGMENTS: length * width for length in range(1, SEGMENTS + 1)}
-    run_bits = longest[0]
-    rest = BITS - run_bits
+    run_bits, chain_bits = longest[0], longest[1]
     turned = F.expr(f"shiftleft(fp, i * {width}) | IF(i = 0, 0, shiftrightunsigned(fp, {BITS} - i * {width}))")
     turns = (
         fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS - 1))).alias("i"))
         .select("fp", "i", turned.alias("r"))
-        .withColumn("run", F.shiftrightunsigned("r", rest))
+        .withColumn("run", F.shiftrightunsigned("r", BITS - run_bits))
     )
-    sizes = turns.groupBy("i", "run").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    shared = materialize(turns.join(sizes, ["i", "run"]), "ring")
+    sizes = turns.groupBy("i", "run").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("i", "run")
+    shared = materialize(turns.join(sizes, ["i", "run"]), "ring").select("i", "fp", "r", F.shiftrightunsigned("r", BITS - chain_bits).alias("chain"))
 
-    small = shared.where(F.col("members") <= paired)
-    a, b = (small.select("i", "run", F.col("fp").alias(x), F.col("r").alias(f"r{x}")) for x in "ab")
+    zeros = f"filter(sequence(0, {chain_bits - run_bits - 1}), k -> (chain & shiftleft(1L, k)) = 0)"
+    probes = F.expr(f"concat(array(chain), transform({zeros}, k -> chain | shiftleft(1L, k)))")
+    asked = shared.select("i", F.col("fp").alias("a"), F.col("r").alias("ra"), F.col("chain").alias("own"), F.explode(probes).alias("chain"))
+    index = shared.select("i", F.col("fp").alias("b"), F.col("r").alias("rb"), "chain")
     differ = F.col("ra").bitwiseXOR(F.col("rb"))
-    pairs = a.join(b, ["i", "run"]).where("a < b")
-    for budget, bits in sorted(longest.items())[1:]:
+    pairs = asked.join(index, ["i", "chain"]).where("own != chain OR a < b")
+    for budget, bits in sorted(longest.items()):
         pairs = pairs.where(F.bit_count(F.shiftrightunsigned(differ, BITS - bits)) <= budget)
-    pairs = pairs.where(F.bit_count(differ) <= radius).select("a", "b")
-
-    crowded = shared.where(F.col("members") > paired)
-    flips = F.expr(f"concat(array(r), transform(sequence(0, {rest - 1}), k -> r ^ shiftleft(1L, k)))")
-    met = crowded.select("i", "fp", F.explode(flips).alias("near")).groupBy("i", "near").agg(F.collect_set("fp").alias("fps")).where("size(fps) > 1")
-    stars = met.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a != b")
-    return pairs.unionByName(stars).distinct()
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:

@@ -142,10 +142,9 @@ def edited(rng, text, edits):
     return " ".join(w)
 
 
-@pytest.mark.parametrize(("paired", "block", "rows"), [(2, 1000, 100_000), (24, 5, 0)])
-def test_near_dedup_finds_what_all_pairs_find(spark, monkeypatch, paired, block, rows):
+@pytest.mark.parametrize(("block", "rows"), [(1000, 100_000), (5, 0)])
+def test_near_dedup_finds_what_all_pairs_find(spark, monkeypatch, block, rows):
     """Copies with few and with many edits, groups small and large, and a line that all documents share; with small blocks, without broadcasts."""
-    monkeypatch.setattr(near, "PAIRED", paired)
     monkeypatch.setattr(near, "BLOCK", block)
     monkeypatch.setattr(near, "BROADCAST_ROWS", rows)
     rng = random.Random(7)
@@ -220,9 +219,17 @@ def test_near_dedup_blocks_meet_every_pair(spark, monkeypatch):
     assert sorted(tuple(sorted((r["a"], r["b"]))) for r in found) == [(a, b) for a in range(20) for b in range(a + 1, 20)]
 
 
-@pytest.mark.parametrize("paired", [2, 24])
-def test_pigeonring_links_connect_all_within_two_bits(spark, paired):
-    rng = random.Random(paired)
+def signed_longs(prints):
+    return sorted(x - (1 << 64) if x >> 63 else x for x in prints)
+
+
+def bits_apart(a, b):
+    return ((a ^ b) & (1 << 64) - 1).bit_count()
+
+
+def test_pigeonring_links_are_all_pairs_within_two_bits(spark):
+    """Random fingerprints, edited ones, and 500 that share one run of bits, among which no bucket is small."""
+    rng = random.Random(2)
     base = [rng.getrandbits(64) for _ in range(120)]
     prints = set(base)
     for b in base[:40]:
@@ -232,12 +239,18 @@ def test_pigeonring_links_connect_all_within_two_bits(spark, paired):
                 x ^= 1 << rng.randrange(64)
             prints.add(x)
     prints |= {base[0] ^ 1 << i for i in range(64)}
-    signed = sorted(x - (1 << 64) if x >> 63 else x for x in prints)
-    links = near.pigeonring_links(spark.createDataFrame([(x,) for x in signed], "fp long"), paired=paired)
-    apart = lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count()
-    assert all(apart(r["a"], r["b"]) <= 2 for r in links.collect())
-    roots = {r["node"]: r["root"] for r in connected_components(links).collect()}
-    assert {x: roots.get(x, x) for x in signed} == components(signed, lambda a, b: apart(a, b) <= 2)
+    run = base[1] >> 36 << 36
+    crowd = [run | rng.getrandbits(36) for _ in range(150)]
+    prints |= {x ^ 1 << rng.randrange(36) ^ 1 << rng.randrange(36) for x in crowd} | set(crowd) | {crowd[0] ^ i for i in range(200)}
+    signed = signed_longs(prints | {0, 1, (1 << 64) - 1, (1 << 63) - 1, 1 << 63})
+    links = [(r["a"], r["b"]) for r in near.pigeonring_links(spark.createDataFrame([(x,) for x in signed], "fp long")).collect()]
+    assert len(links) == len(set(links))
+    assert set(links) == {(a, b) for i, a in enumerate(signed) for b in signed[i + 1 :] if bits_apart(a, b) <= 2}
+
+
+def test_pigeonring_links_of_one_or_no_fingerprint(spark):
+    for prints in ([], [7]):
+        assert near.pigeonring_links(spark.createDataFrame([(x,) for x in prints], "fp long")).count() == 0
 
 
 def test_components_of_long_chains_and_hubs(spark):
