@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.operators import bags
 from granary.sources.retail import RAW_COLUMNS
+from granary.sources.scratch import materialize
+
+#: Buckets of keys whose digests are compared.
+BUCKETS = 1 << 16
 
 
 def bag_counts(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -54,14 +58,54 @@ def overlap_report(rows: DataFrame, first: str, second: str, sheet: str = "sheet
     return totals.select(F.expr("stack({}, {}) AS (metric, value)".format(len(names), ", ".join(f"'{n}', {n}" for n in names))))
 
 
-def keyed_differences(a: DataFrame, b: DataFrame, key: str, columns: list[str], tolerance: float = 0.0) -> DataFrame:
-    """(rows, only_left, only_right, different) of two tables with one row for each key; nulls are equal."""
-    x, y = a.select(F.col(key).alias("k"), *[F.col(c).alias(f"l_{c}") for c in columns], F.lit(1).alias("l")), b.select(F.col(key).alias("k2"), *[F.col(c).alias(f"r_{c}") for c in columns], F.lit(1).alias("r"))
-    joined = x.join(y, F.col("k").eqNullSafe(F.col("k2")), "full_outer")
+def bucket_digests(table: DataFrame, key: str, columns: list[str], buckets: int) -> DataFrame:
+    """(bucket, n, total, parity): of the rows in each bucket of keys their number and an order-free digest, twice 64 bits; each task hands on a bucket once."""
+    cells = [F.col(f"`{c}`") for c in (key, *columns)]
+    one, two = F.xxhash64(*cells), F.xxhash64(F.lit(1), *cells)
+    own = table.select(bucket_of(F.col(f"`{key}`"), buckets), one.cast("decimal(20,0)").alias("one"), two.alias("two"))
+    return own.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("one").alias("total"), F.bit_xor("two").alias("parity"))
+
+
+def bucket_of(key: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("bucket")
+
+
+def aligned(a: DataFrame, b: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Both tables with ``columns`` only, in the types that a union of them has, so that equal values have equal digests."""
+    own = [df.select(*[F.col(f"`{c}`") for c in columns]) for df in (a, b)]
+    kinds = own[0].union(own[1]).schema
+    one, two = (df.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in kinds]) for df in own)
+    return one, two
+
+
+def keyed_changes(a: DataFrame, b: DataFrame, key: str, columns: list[str], tolerance: float = 0.0, buckets: int = BUCKETS) -> tuple[DataFrame, DataFrame]:
+    """What two tables with one row for each key don't agree in: ``(changes, same)``; nulls are equal.
+
+    ``changes`` has a row for each key in a bucket that differs, and what it is: ``none``, ``only_left``, ``only_right`` or ``different`` (by more than ``tolerance``). ``same`` is one row with ``rows``, the number of rows
+    in buckets that agree. Rows are put in buckets by their keys, and only digests of buckets are compared at first; rows of buckets whose digests agree move no further, so
+    what shuffles grows with the differences, not with the tables. Both tables are read twice: give stored ones.
+    A bucket that differs passes for equal only if its number of rows and 128 bits of hashes agree.
+    """
+    a, b = aligned(a, b, [key, *columns])
+    x, y = (bucket_digests(df, key, columns, buckets).select("bucket", F.struct("n", "total", "parity").alias(side)) for df, side in ((a, "l"), (b, "r")))
+    agree = F.coalesce(F.col("l").eqNullSafe(F.col("r")), F.lit(False))
+    compared = materialize(x.join(y, "bucket", "full_outer").select("bucket", agree.alias("agree"), F.col("l.n").alias("n")), "buckets")
+    apart = F.broadcast(compared.where("NOT agree").select("bucket"))  # an integer for each bucket at most
+    named = lambda df, s: df.join(apart, bucket_of(F.col(f"`{key}`"), buckets) == F.col("bucket"), "left_semi").select(*[F.col(f"`{c}`").alias(f"{s}{i}") for i, c in enumerate((key, *columns))], F.lit(1).alias(s))
+    joined = named(a, "l").join(named(b, "r"), F.col("l0").eqNullSafe(F.col("r0")), "full_outer")
     differ = F.lit(False)
-    for c in columns:
-        le, ri = F.col(f"l_{c}"), F.col(f"r_{c}")
+    for i in range(1, len(columns) + 1):
+        le, ri = F.col(f"l{i}"), F.col(f"r{i}")
         near = F.abs(le.cast("double") - ri.cast("double")) <= tolerance if tolerance else F.lit(False)
         differ = differ | ~(le.eqNullSafe(ri) | F.coalesce(near, F.lit(False)))
-    both = F.col("l").isNotNull() & F.col("r").isNotNull()
-    return joined.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("r").isNull()).alias("only_left"), F.count_if(F.col("l").isNull()).alias("only_right"), F.count_if(both & differ).alias("different"))
+    change = F.when(F.col("r").isNull(), "only_left").when(F.col("l").isNull(), "only_right").when(differ, "different").otherwise("none")
+    told = joined.select(F.when(F.col("l").isNull(), F.col("r0")).otherwise(F.col("l0")).alias(key), change.alias("change"))
+    return told, compared.agg(F.coalesce(F.sum(F.when(F.col("agree"), F.col("n"))), F.lit(0)).alias("rows"))
+
+
+def keyed_differences(a: DataFrame, b: DataFrame, key: str, columns: list[str], tolerance: float = 0.0, buckets: int = BUCKETS) -> DataFrame:
+    """(rows, only_left, only_right, different) of two tables with one row for each key; as :func:`keyed_changes`, of which it is the count."""
+    told, same = keyed_changes(a, b, key, columns, tolerance, buckets)
+    kinds = ("only_left", "only_right", "different")
+    counts = told.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("change") == k).alias(k) for k in kinds])
+    return counts.crossJoin(F.broadcast(same)).select((F.col("n") + F.col("rows")).alias("rows"), *kinds)  # one row each

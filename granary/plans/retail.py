@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.functions.typed import typed
-from granary.operators import bags, clustering, lloyd, observed, profiling, reconcile, rfm, rules, segments
+from granary.operators import bags, clustering, distinct, lloyd, observed, profiling, reconcile, rfm, rules, segments
 from granary.sources import retail
 from granary.sources.scratch import materialize, scratch_path, stored
 
@@ -159,7 +159,40 @@ def rfm_sql_difference(spark, sf_dir):
         count(DISTINCT InvoiceNo) AS Frequency, CAST(CAST(sum(Amount) AS DECIMAL(28,2)) AS DOUBLE) AS Monetary FROM {tx} GROUP BY CustomerID""",
         tx=tx,
     )
-    return reconcile.keyed_differences(rfm.rfm(tx), sql, "CustomerID", rfm.FEATURES, 0.005)
+    return reconcile.keyed_differences(rfm.rfm(tx), materialize(sql, "rfm-sql"), "CustomerID", rfm.FEATURES, 0.005)
+
+
+#: The day from which on orders are new to ``rfm_changes``.
+SINCE = "1998-07-01"
+
+
+def rfm_changes(spark, sf_dir):
+    """(CustomerID, change): customers whose orders or spend the orders since a day have changed, or who are new by them."""
+    lines = order_lines(spark, sf_dir)
+    told, _ = reconcile.keyed_changes(rfm.rfm(lines), rfm.rfm(lines.where(F.col("InvoiceDate") < SINCE)), "CustomerID", ["Frequency", "Monetary"], 0.005)
+    return told.where("change <> 'none'")
+
+
+# Different values by sketches
+
+COUNTED = {"customers": "CustomerID", "invoices": "InvoiceNo", "stock_codes": "StockCode"}
+
+
+def _monthly(spark, sf_dir):
+    rows, month = typed(raw(spark, sf_dir)), F.date_format("InvoiceDate", "yyyy-MM")
+    return rows, month, materialize(distinct.sketches(rows, month, COUNTED), "sketches")
+
+
+def distinct_by_month(spark, sf_dir):
+    """(part, what, n, within): different values of each month, exact, and whether the month's sketch has them within its bound."""
+    rows, month, stored = _monthly(spark, sf_dir)
+    return distinct.held_to_bound(distinct.merged(stored, F.col("part")), distinct.exact(rows, month, COUNTED))
+
+
+def distinct_by_year(spark, sf_dir):
+    """The same for years, whose estimates come from the stored sketches of their months alone."""
+    rows, _, stored = _monthly(spark, sf_dir)
+    return distinct.held_to_bound(distinct.merged(stored, F.substring("part", 1, 4)), distinct.exact(rows, F.date_format("InvoiceDate", "yyyy"), COUNTED))
 
 
 # Set operations
@@ -387,6 +420,16 @@ def parquet_roundtrip(spark, sf_dir):
     return _as_double(retail.read_parquet(spark, path).groupBy("Country").agg(F.count(F.lit(1)).alias("n"), F.sum("Amount").alias("amount")))
 
 
+def sized_files(spark, sf_dir):
+    """(rows, in_range): all raw rows in files of half a megabyte; whether each file's length is between half and twice of that, unless there is one only."""
+    path, size = retail_scratch(spark), 1 << 19
+    retail.write_sized(raw(spark, sf_dir), path, size)
+    lengths = retail.list_files(spark, path).where("path LIKE '%.parquet'").agg(F.count(F.lit(1)).alias("files"), F.min("length").alias("least"), F.max("length").alias("most"))
+    rows = retail.read_parquet(spark, path).agg(F.count(F.lit(1)).alias("rows"))
+    fits = (F.col("most") <= 2 * size) & ((F.col("files") == 1) | (2 * F.col("least") >= size))
+    return rows.crossJoin(F.broadcast(lengths)).select("rows", fits.alias("in_range"))  # one row each
+
+
 def csv_roundtrip(spark, sf_dir):
     path = retail_scratch(spark)
     retail.write_csv(raw(spark, sf_dir), path)
@@ -449,7 +492,8 @@ def queries() -> dict:
     own = {
         "prepare_typed": prepare_typed, "rule_flags": rule_flags, "dedup_rows": dedup_rows, "cancel_keys": cancel_keys, "cancel_matched": cancel_matched, "cancel_detail": cancel_detail,
         "clean_transactions": clean_transactions, "clean_audit": clean_audit, "clean_summary": clean_summary, "kept_share": kept_share,
-        "rfm_orders": rfm_orders, "rfm_events": rfm_events, "rfm_clean": rfm_clean, "rfm_sql_difference": rfm_sql_difference,
+        "rfm_orders": rfm_orders, "rfm_events": rfm_events, "rfm_clean": rfm_clean, "rfm_sql_difference": rfm_sql_difference, "rfm_changes": rfm_changes,
+        "distinct_by_month": distinct_by_month, "distinct_by_year": distinct_by_year, "sized_files": sized_files,
         "overlap_intersect_all": overlap_intersect_all, "overlap_except_all": overlap_except_all, "union_by_name": union_by_name, "sheet_overlap": sheet_overlap,
         "overlap_report": overlap_report, "run_summary": run_summary, "summary_checks": summary_checks, "raw_schema": raw_schema,
         "scale_zscore": partial(scale_zscore, False), "scale_log1p_zscore": partial(scale_zscore, True), "scaling_summary": scaling_summary,

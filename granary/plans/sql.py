@@ -264,6 +264,12 @@ x AS (SELECT (SELECT sum(copies) FROM attributed) AS raw, (SELECT sum(copies) -
 ])
 
 
+def distinct_by(form: str) -> str:
+    return f"WITH {TYPED} " + " UNION ALL ".join(
+        f"SELECT strftime(InvoiceDate, '{form}') AS part, '{n}' AS what, count(DISTINCT {c}) AS n, true AS within FROM typed GROUP BY 1" for n, c in (("customers", "CustomerID"), ("invoices", "InvoiceNo"), ("stock_codes", "StockCode"))
+    )
+
+
 def top5() -> str:
     return RFM + " " + " UNION ALL ".join(
         f"(SELECT '{f}' AS \"by\", CAST(row_number() OVER (ORDER BY {f} DESC, CustomerID) AS INT) AS place, CustomerID, Recency, Frequency, Monetary FROM rfm ORDER BY {f} DESC, CustomerID LIMIT 5)" for f in _M[:3]
@@ -306,6 +312,12 @@ def oracle_sql() -> dict[str, str]:
         "rfm_top5": top5(),
         "profile_size": f"WITH {RAW} SELECT count(*) AS records, 8 AS columns, count(*) FILTER (WHERE Invoice LIKE '%00') AS corrupt FROM raw",
         "model_applied": APPLIED,
+        "rfm_changes": f"WITH {LINES}, early AS (SELECT * FROM lines WHERE InvoiceDate < '1998-07-01'), a AS ({rfm_of('lines')}), b AS ({rfm_of('early')}) "
+        "SELECT CustomerID, CASE WHEN b.Frequency IS NULL THEN 'only_left' ELSE 'different' END AS change FROM a LEFT JOIN b USING (CustomerID) "
+        "WHERE b.Frequency IS NULL OR a.Frequency <> b.Frequency OR abs(a.Monetary - b.Monetary) > 0.005",
+        "distinct_by_month": distinct_by("%Y-%m"),
+        "distinct_by_year": distinct_by("%Y"),
+        "sized_files": f"WITH {RAW} SELECT count(*) AS rows, true AS in_range FROM raw",
         "missingness": MISSING,
         "unparseable": f"WITH {RAW}, t AS (SELECT {_TYPED}, Quantity AS rq, Price AS rp, raw.InvoiceDate AS rd FROM raw) SELECT count(*) FILTER (WHERE rq IS NOT NULL AND t.Quantity IS NULL) AS Quantity, count(*) FILTER (WHERE rp IS NOT NULL AND UnitPrice IS NULL) AS Price, count(*) FILTER (WHERE rd IS NOT NULL AND t.InvoiceDate IS NULL) AS InvoiceDate FROM t",
         "duplicate_profile": f"WITH {RAW}, c AS (SELECT {_NAMES}, count(*) AS n FROM raw GROUP BY ALL), f AS (SELECT count(*) FILTER (WHERE n > 1) AS groups, CAST(coalesce(sum(n) FILTER (WHERE n > 1), 0) AS BIGINT) AS rows_in_groups, CAST(sum(n - 1) AS BIGINT) AS excess, max(n) FILTER (WHERE n > 1) AS max_copies, count(*) AS distinct_rows FROM c) SELECT *, {near('100.0 * excess / (excess + distinct_rows)', 2)} AS pct_excess FROM f",

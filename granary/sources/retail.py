@@ -135,6 +135,29 @@ def write_parquet(df: DataFrame, uri: str, files: int | None = None) -> None:
     (df.repartition(files) if files else df).write.mode("overwrite").parquet(uri)
 
 
+#: Bytes of a file that :func:`write_sized` aims at.
+FILE_BYTES = 128 << 20
+
+
+def write_sized(df: DataFrame, uri: str, file_bytes: int = FILE_BYTES) -> int:
+    """Overwrite ``uri`` with Parquet files of some ``file_bytes`` each, between half and twice of it unless the whole is less; gives the number of files asked for.
+
+    Rows are written once as they come, so what makes them keeps all its tasks, and these files are measured. Then they are read and dealt evenly over as many files as their
+    bytes ask for: compressed sizes can't be told from rows or from what a shuffle carries. Dealt rows compress differently, so files that miss the range are dealt once more.
+    """
+    spark = df.sparkSession
+    draft = materialize(df, "draft")
+    size = lambda path: list_files(spark, path).where("path LIKE '%.parquet'").agg(F.coalesce(F.sum("length"), F.lit(0)), F.max("length"), F.min("length")).first()
+    total = sum(size(path)[0] for path in {f.rsplit("/", 1)[0] for f in draft.inputFiles()})
+    for _ in range(2):
+        files = max(1, round(total / file_bytes))
+        draft.repartition(files).write.mode("overwrite").parquet(uri)
+        total, most, least = size(uri)
+        if most <= 2 * file_bytes and (files == 1 or 2 * least >= file_bytes):
+            break
+    return files
+
+
 def write_csv(df: DataFrame, uri: str, files: int | None = None) -> None:
     (df.repartition(files) if files else df).write.mode("overwrite").options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(uri)
 
