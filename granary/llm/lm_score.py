@@ -13,6 +13,9 @@ differences, to the tasks that count a range of hashes; these answer with the co
 chunk builds the part of the automaton that its own texts can reach, and traverses it. So what a task holds is bounded by the size of a chunk or of a range, and
 as each chunk sends an n-gram once, no n-gram is hot.
 
+A chunk cuts its n-grams into at most ``FAN`` ranges. Where more are needed they are divided in rounds: teams of chunks first add up their n-grams of a wide range, and
+send the sums on to the narrower ones within it; answers come back the same way. So the rows sent are a constant number for each chunk and round.
+
 Words are told apart by 64 bits of hash. The hashes of bigrams and trigrams have ``SPARE_BITS`` bits more than it takes to number the tokens, so that at any size
 an n-gram shares its hash with another in fewer than one of a million cases.
 
@@ -38,6 +41,8 @@ from granary.llm.common import fold, materialize, ship_package
 PRIOR = 20.0
 #: Tokens from which a chunk is closed, and tokens for each range of hashes.
 CHUNK_TOKENS, RANGE_TOKENS = 1_500_000, 4_000_000
+#: Ranges into which a range of hashes is divided at most, so that a chunk or team sends and reads no more rows.
+FAN = 128
 #: Bits of an n-gram's hash beyond those that number the tokens.
 SPARE_BITS = 20
 #: Tokens that a lane of the traversal goes through; longer texts take several lanes.
@@ -201,8 +206,25 @@ class Chunk:
         return order, np.concatenate([[0], np.searchsorted(self.hashes[n][order], bounds), [len(order)]])
 
 
+#: Rows in which n-grams travel: of ``n`` words, within the range ``part`` of hashes, of the chunk or team ``unit``; ``size`` different ones.
+SENT = "n int, part int, unit bigint, size bigint, keys binary, counts binary"
+#: Answers to them: which counts differ, and those; on one row of each range the numbers of its n-grams and of their occurrences.
+ANSWER = "n int, part int, unit bigint, changed binary, counts binary, types bigint, tokens bigint"
+
+
+def _sent(rows: list[tuple]) -> pa.RecordBatch:
+    types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["n", "part", "unit", "size", "keys", "counts"])
+
+
+def _cut(n: int, first: int, unit: int, hashes: np.ndarray, counts: np.ndarray, cuts: np.ndarray) -> list[tuple]:
+    """Sorted hashes and their counts as rows, one for each range that isn't empty, numbered from ``first``."""
+    spans = enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True), first)
+    return [(n, p, unit, b - a, pack(np.diff(hashes[a:b], prepend=np.uint64(0))), pack(counts[a:b])) for p, (a, b) in spans if b > a]
+
+
 def sent_grams(chunks: DataFrame, bits: int, parts: int) -> DataFrame:
-    """(n, part, chunk, size, keys, counts): each chunk's n-grams within each range of hashes."""
+    """(n, part, unit, size, keys, counts): each chunk's n-grams within each range of hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,34 +232,103 @@ def sent_grams(chunks: DataFrame, bits: int, parts: int) -> DataFrame:
                 chunk = Chunk(row, bits)
                 for n in (1, 2, 3):
                     order, cuts = chunk.ranges(n, bits, parts)
-                    hashes, counts = chunk.hashes[n][order], chunk.counts[n][order]
-                    rows = [(n, p, row["chunk"], b - a, pack(np.diff(hashes[a:b], prepend=np.uint64(0))), pack(counts[a:b])) for p, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if b > a]
-                    types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-                    if not rows:  # texts of one word have no trigram
-                        continue
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["n", "part", "chunk", "size", "keys", "counts"])
+                    rows = _cut(n, 0, row["chunk"], chunk.hashes[n][order], chunk.counts[n][order], cuts)
+                    if rows:  # texts of one word have no trigram
+                        yield _sent(rows)
+
+    return chunks.mapInArrow(run, SENT)
+
+
+class Pool:
+    """The n-grams that several units have in one range: their keys and counts one after the other, and the sum of each different one's counts."""
+
+    def __init__(self, sent: pa.Table):
+        self.n, self.part, self.units = sent["n"][0].as_py(), sent["part"][0].as_py(), sent["unit"].to_pylist()
+        self.sizes = sent["size"].to_pylist()
+        self.keys = np.concatenate([np.cumsum(unpack(k, s), dtype=np.uint64) for k, s in zip(sent["keys"].to_pylist(), self.sizes, strict=True)])
+        self.counts = np.concatenate([unpack(c, s) for c, s in zip(sent["counts"].to_pylist(), self.sizes, strict=True)]).astype(np.int64)
+        self.order = np.argsort(self.keys, kind="stable")
+        self.begins = np.flatnonzero(np.diff(self.keys[self.order], prepend=~self.keys[self.order[:1]]))
+        self.sums = np.add.reduceat(self.counts[self.order], self.begins)
+
+    def narrower(self, bits: int, parts: int, fan: int) -> tuple[np.ndarray, np.ndarray]:
+        """The different keys, and where in them each of the ``fan`` ranges begins into which this one of ``parts`` is divided, with the end."""
+        own, width = self.keys[self.order[self.begins]], 64 if self.n == 1 else bits
+        bounds = np.array([((self.part * fan + i) << width) // (parts * fan) for i in range(1, fan)], np.uint64)
+        return own, np.concatenate([[0], np.searchsorted(own, bounds), [len(own)]])
+
+    def answers(self, sums: np.ndarray, types: int, tokens: int) -> pa.Table:
+        """To each unit: which of its counts differ from ``sums``, and those sums."""
+        totals = np.empty_like(self.counts)
+        totals[self.order] = np.repeat(sums, np.diff(self.begins, append=len(self.order)))
+        changed, ends = totals != self.counts, np.cumsum(self.sizes)
+        spans = list(zip((ends - self.sizes).tolist(), ends.tolist(), strict=True))
+        rest = [0] * (len(spans) - 1)
+        return pa.table({
+            "n": pa.array([self.n] * len(spans), pa.int32()), "part": pa.array([self.part] * len(spans), pa.int32()), "unit": pa.array(self.units, pa.int64()),
+            "changed": pa.array([np.packbits(changed[a:b]).tobytes() for a, b in spans], pa.binary()), "counts": pa.array([pack(totals[a:b][changed[a:b]]) for a, b in spans], pa.binary()),
+            "types": pa.array([types, *rest], pa.int64()), "tokens": pa.array([tokens, *rest], pa.int64()),
+        })
 
-    return chunks.mapInArrow(run, "n int, part int, chunk bigint, size bigint, keys binary, counts binary")
+
+def _corrected(counts: np.ndarray, answer: dict) -> np.ndarray:
+    """Counts that were sent, with those in their place that the answer has."""
+    changed = np.unpackbits(np.frombuffer(answer["changed"], np.uint8), count=len(counts)).astype(bool)
+    counts = counts.copy()
+    counts[changed] = unpack(answer["counts"], int(changed.sum())).astype(np.int64)
+    return counts
 
 
 def _answer(sent: pa.Table) -> pa.Table:
-    """For each chunk's n-grams of one range: which counts differ from its own, and those counts; and on one row the numbers of n-grams and of their occurrences."""
-    sizes = sent["size"].to_pylist()
-    keys = np.concatenate([np.cumsum(unpack(k, s), dtype=np.uint64) for k, s in zip(sent["keys"].to_pylist(), sizes, strict=True)])
-    counts = np.concatenate([unpack(c, s) for c, s in zip(sent["counts"].to_pylist(), sizes, strict=True)]).astype(np.int64)
-    order = np.argsort(keys, kind="stable")
-    begins = np.flatnonzero(np.diff(keys[order], prepend=~keys[order[:1]]))
-    sums = np.add.reduceat(counts[order], begins)
-    totals = np.empty_like(counts)
-    totals[order] = np.repeat(sums, np.diff(begins, append=len(order)))
-    changed, ends = totals != counts, np.cumsum(sizes)
-    spans = list(zip((ends - sizes).tolist(), ends.tolist(), strict=True))
-    types, tokens = [0] * len(sizes), [0] * len(sizes)
-    types[0], tokens[0] = int((sums > 0).sum()), int(sums.sum())
-    return pa.table({
-        "n": sent["n"].cast(pa.int32()), "part": sent["part"], "chunk": sent["chunk"], "changed": pa.array([np.packbits(changed[a:b]).tobytes() for a, b in spans], pa.binary()),
-        "counts": pa.array([pack(totals[a:b][changed[a:b]]) for a, b in spans], pa.binary()), "types": pa.array(types, pa.int64()), "tokens": pa.array(tokens, pa.int64()),
-    })
+    """Answers of a range that isn't divided any more: the sums over all units."""
+    pool = Pool(sent)
+    return pool.answers(pool.sums, int((pool.sums > 0).sum()), int(pool.sums.sum()))
+
+
+def rounds_of(parts: int, most: int) -> tuple[int, int]:
+    """(rounds, fan): the fewest rounds in which ranges are divided by at most ``most``, and by how many so that there are ``parts`` of them or more."""
+    rounds = 1
+    while most**rounds < parts:
+        rounds += 1
+    fan = 1
+    while fan**rounds < parts:
+        fan += 1
+    return rounds, fan
+
+
+def pooled(sent: DataFrame, bits: int, parts: int, fan: int) -> DataFrame:
+    """The rows ``sent`` (with ``team``) of each range and team as one set of n-grams, cut into the ``fan`` ranges within; their unit is the team."""
+
+    def run(table: pa.Table) -> pa.Table:
+        pool = Pool(table)
+        own, cuts = pool.narrower(bits, parts, fan)
+        return pa.Table.from_batches([_sent(_cut(pool.n, pool.part * fan, table["team"][0].as_py(), own, pool.sums, cuts))])
+
+    return sent.groupBy("n", "part", "team").applyInArrow(run, SENT)
+
+
+def counted(sent: DataFrame, units: int, bits: int, parts: int, fan: int, rounds: int) -> DataFrame:
+    """Answers to all rows ``sent`` of ``units`` chunks or teams in ``parts`` ranges, after ``rounds`` - 1 more divisions of the ranges.
+
+    In each round some ``fan`` units form a team. One task adds up a team's n-grams of one range, as many as one chunk has, and sends these on to the
+    ranges within it, of which it gets ``fan`` answers back. So each round has ``fan`` rows for each chunk, and the rounds grow with the logarithm of the corpus.
+    """
+    if rounds == 1:
+        return sent.groupBy("n", "part").applyInArrow(_answer, ANSWER)
+    teams = -(-units // fan) or 1
+    sent = materialize(sent.withColumn("team", F.pmod(F.xxhash64("unit", F.lit(rounds)), F.lit(teams))), "lm-sent")
+    below = counted(pooled(sent, bits, parts, fan), teams, bits, parts * fan, fan, rounds - 1)
+    below = below.withColumn("within", F.expr(f"cast(part div {fan} as int)"))
+
+    def run(table: pa.Table, answers: pa.Table) -> pa.Table:
+        pool = Pool(table)
+        cuts, sums = pool.narrower(bits, parts, fan)[1], pool.sums.copy()
+        for answer in answers.to_pylist():
+            i = answer["part"] - pool.part * fan
+            sums[cuts[i] : cuts[i + 1]] = _corrected(sums[cuts[i] : cuts[i + 1]], answer)
+        return pool.answers(sums, sum(answers["types"].to_pylist()), sum(answers["tokens"].to_pylist()))
+
+    return sent.groupBy("n", "part", "team").cogroup(below.groupBy("n", "within", "unit")).applyInArrow(run, ANSWER)
 
 
 class BackoffAutomaton:
@@ -308,7 +399,7 @@ class BackoffAutomaton:
 
 def score_documents(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_fold: int = 1, prior: float = PRIOR,
-    chunk_tokens: int = CHUNK_TOKENS, range_tokens: int = RANGE_TOKENS,
+    chunk_tokens: int = CHUNK_TOKENS, range_tokens: int = RANGE_TOKENS, most: int = FAN,
 ) -> DataFrame:
     """One row for each document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -319,11 +410,13 @@ def score_documents(
     source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), (fold(F.col(id_col), folds) == held_fold).alias("held_out"))
     id_type = docs.schema[id_col].dataType.simpleString()
     chunks = encoded_chunks(source, id_type, chunk_tokens)
-    offered, texts = chunks.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum(F.size(F.filter("held", lambda held: ~held))), F.lit(0))).first()
-    bits, parts = min(64, SPARE_BITS + offered.bit_length()), -(-offered // range_tokens) or 1
+    learnt = F.size(F.filter("held", lambda held: ~held))
+    units, offered, texts = chunks.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum(learnt), F.lit(0))).first()
+    bits = min(64, SPARE_BITS + offered.bit_length())
+    rounds, parts = rounds_of(-(-offered // range_tokens) or 1, most)
 
-    answers = sent_grams(chunks, bits, parts).groupBy("n", "part").applyInArrow(_answer, "n int, part int, chunk bigint, changed binary, counts binary, types bigint, tokens bigint")
-    answers = materialize(answers, "lm-counts")
+    answers = counted(sent_grams(chunks, bits, parts), units, bits, parts, parts, rounds)
+    answers = materialize(answers.withColumnRenamed("unit", "chunk"), "lm-counts")
     types, tokens = answers.where("n = 1").agg(F.coalesce(F.sum("types"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
     types, tokens = types - (texts > 0), tokens - texts  # without the start
 
@@ -337,8 +430,7 @@ def score_documents(
             order, cuts = chunk.ranges(n, bits, parts)
             for answer in answered:
                 span = order[cuts[answer["part"]] : cuts[answer["part"] + 1]]
-                changed = np.unpackbits(np.frombuffer(answer["changed"], np.uint8), count=len(span)).astype(bool)
-                chunk.counts[n][span[changed]] = unpack(answer["counts"], int(changed.sum())).astype(np.int64)
+                chunk.counts[n][span] = _corrected(chunk.counts[n][span], answer)
         unigrams = (chunk.counts[1] + 0.5) / (tokens + 0.5 * (types + 1))
         counted = chunk.tokens != chunk.start
         per_text = lambda values: np.add.reduceat(np.where(counted, values[chunk.tokens], 0), chunk.first)

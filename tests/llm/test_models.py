@@ -93,9 +93,10 @@ def test_best_cut():
     assert importance.best_cut(np.array([]), np.array([], bool)) == 0.0
 
 
-@pytest.mark.parametrize("chunk, part", [(lm_score.CHUNK_TOKENS, lm_score.RANGE_TOKENS), (900, 5_000)])
-def test_op8_equals_the_plain_model(spark, documents, texts, chunk, part):
-    rows = {r["doc_id"]: r for r in lm_score.score_documents(documents, chunk_tokens=chunk, range_tokens=part).collect()}
+@pytest.mark.parametrize("chunk, part, most", [(lm_score.CHUNK_TOKENS, lm_score.RANGE_TOKENS, lm_score.FAN), (900, 5_000, lm_score.FAN), (900, 5_000, 3)])
+def test_op8_equals_the_plain_model(spark, documents, texts, chunk, part, most):
+    """Also with many chunks and ranges, counted in one round or in several."""
+    rows = {r["doc_id"]: r for r in lm_score.score_documents(documents, chunk_tokens=chunk, range_tokens=part, most=most).collect()}
     train = {i for i in texts if zlib.crc32(str(i).encode()) % 5 != 1}
     count, pairs, triples = Counter(), Counter(), Counter()
     for i in train:
@@ -128,6 +129,32 @@ def test_op8_equals_the_plain_model(spark, documents, texts, chunk, part):
         assert sum(p(history, w) for w in seen) + p(history, "never seen") == pytest.approx(1)
 
 
+def test_op8_rounds():
+    for parts in (1, 2, 7, 8, 9, 64, 65, 1000):
+        rounds, fan = lm_score.rounds_of(parts, 8)
+        assert fan <= 8 and fan**rounds >= parts and (rounds == 1 or 8 ** (rounds - 1) < parts)
+
+
+def test_op8_rows_sent_do_not_grow_with_the_square(spark, monkeypatch):
+    """Each round sends some ``fan`` rows of each n for a chunk. Sent straight to as many ranges as there are chunks, they would be three for each pair of both."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(3000, 300).astype(str)) for _ in range(120)]
+    write, pool = lm_score.materialize, lm_score.pooled
+    for n in (60, 120):
+        seen = {}
+        monkeypatch.setattr(lm_score, "materialize", lambda df, name, seen=seen: seen.setdefault(name, write(df, name)))
+        monkeypatch.setattr(lm_score, "pooled", lambda *args, seen=seen: seen.setdefault("pooled", pool(*args)))
+        docs = docs_of(spark, texts[:n]).repartition(n, "doc_id")  # a chunk for each partition that isn't empty
+        assert lm_score.score_documents(docs, range_tokens=301, most=16).count() == n
+        chunks, sent = seen["lm-chunks"].count(), [seen[name].count() for name in ("lm-sent", "pooled", "lm-counts")]
+        fan = lm_score.rounds_of(n, 16)[1]
+        teams = -(-chunks // fan)
+        assert chunks > n / 2
+        assert sent[0] == sent[2] <= 3 * fan * chunks
+        assert sent[1] <= 3 * fan * fan * teams
+        assert sum(sent[:2]) < 3 * n * chunks
+
+
 def test_op8_lanes_and_blocks_change_nothing(monkeypatch):
     """Texts cut into lanes, and bytes hashed in blocks, give what whole ones give."""
     rng = np.random.default_rng(3)
