@@ -8,7 +8,7 @@ the log weights and taking the k largest draws k documents without replacement,
 Weights are products over hundreds of n-grams, so most documents are far from even chances; those near zero are drawn by lot.
 
 The constant is the mean weight that best tells good from bad labels in a half of the labelled sample that the target model has not seen, and
-``k`` the number of documents whose log weight is zero or more. The noise is drawn from a hash of id and text, so a run can be repeated. The k-th
+``k``, where it is not given, the number of documents whose log weight is zero or more. The noise is drawn from a hash of id and text, so a run can be repeated. The k-th
 largest key is found by counting keys in ever finer ranges, never by sorting all documents in one task.
 
 Toxic documents are not drawn from. They may be good by all other n-grams, so they have a ratio of models of their own, of words in documents labelled toxic
@@ -181,10 +181,10 @@ def gumbel_key(log_weight: Column, seed: Column, temperature: float) -> Column:
     return log_weight - F.lit(temperature) * F.log(-F.log(uniform))
 
 
-def importance(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", labelled_rows: int = LABELLED_ROWS, temperature: float = TEMPERATURE, buckets: int = BUCKETS, seed: int = SEED) -> DataFrame:
+def importance(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", labelled_rows: int = LABELLED_ROWS, temperature: float = TEMPERATURE, buckets: int = BUCKETS, seed: int = SEED, k: int | None = None) -> DataFrame:
     """One row for each document: doc_id, log_weight, n_features, toxicity, gumbel_key, selected (and a digest of its text).
 
-    ``labels`` has doc_id, quality and toxic. ``gumbel_key`` is null for documents rejected as toxic.
+    ``labels`` has doc_id, quality and toxic. ``gumbel_key`` is null for documents rejected as toxic. ``k`` documents are drawn, all that aren't toxic if these are fewer.
     """
     spark = docs.sparkSession
     ship_package(spark)
@@ -222,7 +222,8 @@ def importance(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
 
     scored = source.mapInArrow(run, f"doc_id {id_type}, digest binary, total double, n_features bigint, toxicity double")
     scored = materialize(scored.withColumn("mean", F.col("total") / (F.col("n_features") + PRIOR)), "importance")
-    unseen = labelled(scored, "NOT fit").select("mean", "toxicity", "good", "toxic").limit(labelled_rows).toArrow()
+    unseen = labelled(scored, "NOT fit").orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id", "digest").limit(labelled_rows)  # ids may be repeated
+    unseen = unseen.select("mean", "toxicity", "good", "toxic").toArrow()
     mean, toxicity = (unseen.column(c).to_numpy() for c in ("mean", "toxicity"))
     good, toxic = (unseen.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("good", "toxic"))
     cut = best_cut(mean[~toxic], good[~toxic])
@@ -231,8 +232,9 @@ def importance(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     weighed = scored.withColumn("log_weight", F.col("total") - F.lit(cut) * (F.col("n_features") + PRIOR))
     drawn = gumbel_key(F.col("log_weight"), F.xxhash64(F.col("doc_id"), F.col("digest"), F.lit(seed)), temperature)
     keyed = weighed.withColumn("key", F.when(F.col("toxicity") < F.lit(float(limit)), drawn))
-    k = keyed.where("key IS NOT NULL AND log_weight >= 0").count()
-    threshold = kth_largest(keyed, "key", k) if k else None
+    able = keyed.where("key IS NOT NULL")
+    drawn_rows = able.where("log_weight >= 0").count() if k is None else min(k, able.count())
+    threshold = kth_largest(keyed, "key", drawn_rows) if drawn_rows else None
     selected = F.lit(False) if threshold is None else F.coalesce(F.col("key") >= F.lit(threshold), F.lit(False))
     return keyed.select("doc_id", "log_weight", "n_features", "toxicity", F.col("key").alias("gumbel_key"), selected.alias("selected"), "digest")
 

@@ -79,6 +79,16 @@ def test_op6_draws_in_proportion_to_the_weights(spark):
         assert share[k] == pytest.approx(w / 31, abs=0.025)
 
 
+@pytest.mark.parametrize("k", [0, 1, 37, 10**6])
+def test_op6_draws_as_many_as_asked(spark, sf_dir, documents, k):
+    """A number of documents far from the cut: the largest keys of those that aren't toxic, with ties at the last place."""
+    rows = importance.importance(documents, spark.read.parquet(f"{sf_dir}/labels.parquet"), k=k).collect()
+    keys = sorted((r["gumbel_key"] for r in rows if r["gumbel_key"] is not None), reverse=True)
+    last = keys[min(k, len(keys)) - 1] if k else math.inf
+    assert all(r["selected"] == (r["gumbel_key"] is not None and r["gumbel_key"] >= last) for r in rows)
+    assert min(k, len(keys)) <= sum(r["selected"] for r in rows) < max(1, k + 20)
+
+
 def test_op6_on_odd_rows(spark):
     docs = docs_of(spark, [*ODD, "a", "a"], [*range(len(ODD)), None, 4])
     labels = spark.createDataFrame([(4, 1, 0), (5, 0, 0), (5, 0, None), (6, None, 1), (None, 1, 0), (99, 1, 1)], LABELS)
