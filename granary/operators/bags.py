@@ -4,7 +4,8 @@ Rows get a 64-bit digest of their columns. Only the digests shuffle, to find tho
 no other row and passes straight through. Rows whose digests meet are fetched and compared in full, so a digest that two different rows
 share costs time and changes nothing. Nulls are equal. Rows are read three times: give stored ones, or such as follow from stored ones row by row.
 
-The digests that occur again are broadcast up to ``BROADCAST_DIGESTS`` of them; beyond that all rows are grouped in full.
+The digests that occur again are broadcast up to ``BROADCAST_DIGESTS`` of them; beyond that a filter of them is, of 32 MB at most, and the rows that it
+lets through are grouped in full: those with such a digest and a few others, which come out as they are.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from granary.functions.sift import with_maybe
 from granary.sources.scratch import materialize
 
 #: Digests (8 bytes each) up to which they are broadcast.
@@ -32,10 +34,12 @@ def counted(rows: DataFrame, columns: list[str], counts: dict[str, Column], broa
     again = materialize(rows.select(digest).groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest"), "met")
     kept = rows.select(*own, digest, *[c.cast("long").alias(n) for n, c in counts.items()])
     sums = [F.sum(n).alias(n) for n in counts]
-    if again.count() > bound:
-        return kept.groupBy(*own).agg(*sums)
-    marked = kept.join(F.broadcast(again.withColumn("met", F.lit(True))), "digest", "left")
-    return marked.where("met IS NULL").select(*own, *counts).unionByName(marked.where("met").groupBy(*own).agg(*sums))
+    n = again.count()
+    if n > bound:
+        marked = with_maybe(kept, F.col("digest"), again, F.col("digest"), n).withColumnRenamed("maybe", "met")
+    else:
+        marked = kept.join(F.broadcast(again.withColumn("met", F.lit(True))), "digest", "left").withColumn("met", F.coalesce("met", F.lit(False)))
+    return marked.where("NOT met").select(*own, *counts).unionByName(marked.where("met").groupBy(*own).agg(*sums))
 
 
 def sided(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:

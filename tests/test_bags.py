@@ -72,6 +72,14 @@ def test_only_rows_of_cancelled_keys_shuffle(spark, tmp_path):
     assert [r["InvoiceNo"] for r in found.where("matched").collect()] == ["500007"]
 
 
+def test_beyond_the_bound_few_other_rows_shuffle(spark, tmp_path):
+    raw(spark, [row(str(i)) for i in range(500)] + [row("1")]).write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    df = bags.counted(rows, RAW_COLUMNS, {"n": F.lit(1)}, broadcast_digests=0)
+    assert 2 <= sum(shuffled_rows(df)) < 25  # not all 501
+    assert Counter(r["n"] for r in df.collect()) == {1: 499, 2: 1}
+
+
 def test_repeated_rows_come_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(bags, "COPIES", 3)
     df = spark.createDataFrame([("a", 7), ("b", 3), ("c", 0), ("d", -1), ("e", 1)], "x string, n int")
