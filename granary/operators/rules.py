@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.functions.sift import with_maybe
 from granary.functions.typed import blank, typed, violated
 from granary.operators import bags
 from granary.sources.retail import RAW_COLUMNS
@@ -86,7 +87,7 @@ def match_cancellations(rows: DataFrame, broadcast_keys: int | None = None) -> D
     Ties go by invoice, description, country. So there is no join: one shuffle, one sort, and running counts.
 
     Rows are read three times: give stored ones. Only rows of keys with a cancellation take part. Digests of these keys tell them from the others, which don't move; with more than ``broadcast_keys``
-    of them all purchases with a customer take part, with the same result.
+    of them a filter of 32 MB at most does, and the few rows of other keys that it lets through take part, with the same result.
     """
     bound = BROADCAST_KEYS if broadcast_keys is None else broadcast_keys
     key = [F.col("CustomerID"), F.col("StockCode"), F.abs("Quantity"), F.col("UnitPrice")]
@@ -94,19 +95,20 @@ def match_cancellations(rows: DataFrame, broadcast_keys: int | None = None) -> D
     digest = F.xxhash64(*key)
     opened = materialize(rows.where(cancel).select(digest.alias("opened")).distinct(), "cancelled-keys")
     takes_part = violated(F.col("CustomerID").isNotNull() & (is_cancel() | (F.col("Quantity") > 0)))
-    if opened.count() <= bound:
-        marked = rows.join(F.broadcast(opened), digest == F.col("opened"), "left")
-        takes_part = takes_part & F.col("opened").isNotNull()
+    n = opened.count()
+    if n <= bound:
+        marked = rows.join(F.broadcast(opened), digest == F.col("opened"), "left").withColumn("maybe", F.col("opened").isNotNull()).drop("opened")
     else:
-        marked = rows.withColumn("opened", F.lit(None).cast("long"))
+        marked = with_maybe(rows, digest, opened, F.col("opened"), n)
+    takes_part = takes_part & F.col("maybe")
     size = F.col("_size")  # a column, not an expression, so that both windows see one partitioning
     backwards = Window.partitionBy("CustomerID", "StockCode", size, "UnitPrice").orderBy(*[F.col(c).desc_nulls_last() for c in ("InvoiceDate", "InvoiceNo", "Description", "Country")])
     whole, so_far = (backwards.rowsBetween(Window.unboundedPreceding, end) for end in (Window.unboundedFollowing, Window.currentRow))
-    line = marked.where(takes_part).drop("opened").withColumn("_size", F.abs("Quantity")).withColumns({"cancels": F.count_if(cancel).over(whole), "last_cancel": F.max(F.when(cancel, F.col("InvoiceDate"))).over(whole)})
+    line = marked.where(takes_part).drop("maybe").withColumn("_size", F.abs("Quantity")).withColumns({"cancels": F.count_if(cancel).over(whole), "last_cancel": F.max(F.when(cancel, F.col("InvoiceDate"))).over(whole)})
     closes = violated(~cancel & (F.col("InvoiceDate") <= F.col("last_cancel")))
     closed = F.count_if("closes").over(so_far)
     told = line.withColumn("closes", closes).withColumn("matched", F.col("closes") & (closed <= F.col("cancels"))).drop("closes", "_size").withColumn("cancels", F.nullif("cancels", F.lit(0)))
-    others = marked.where(~takes_part).drop("opened").withColumns({"cancels": F.lit(None).cast("long"), "last_cancel": F.lit(None).cast("timestamp_ntz"), "matched": F.lit(False)})
+    others = marked.where(~takes_part).drop("maybe").withColumns({"cancels": F.lit(None).cast("long"), "last_cancel": F.lit(None).cast("timestamp_ntz"), "matched": F.lit(False)})
     return told.unionByName(others)
 
 

@@ -80,6 +80,15 @@ def test_beyond_the_bound_few_other_rows_shuffle(spark, tmp_path):
     assert Counter(r["n"] for r in df.collect()) == {1: 499, 2: 1}
 
 
+def test_beyond_the_bound_few_rows_of_other_keys_shuffle(spark, tmp_path):
+    rows = [row(str(500000 + i), code=f"2{i:04d}") for i in range(400)] + [row("C600000", code="20007", quantity="-5", at=DAY.format(3))]
+    rules.folded(raw(spark, rows)).write.parquet(str(tmp_path / "rows"))
+    found = rules.match_cancellations(spark.read.parquet(str(tmp_path / "rows")), broadcast_keys=0)
+    assert 2 <= sum(shuffled_rows(found)) < 25  # not all 401
+    assert [r["InvoiceNo"] for r in found.where("matched").collect()] == ["500007"]
+    assert found.count() == 401
+
+
 def test_repeated_rows_come_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(bags, "COPIES", 3)
     df = spark.createDataFrame([("a", 7), ("b", 3), ("c", 0), ("d", -1), ("e", 1)], "x string, n int")
