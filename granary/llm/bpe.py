@@ -17,7 +17,8 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import ahocorasick
@@ -60,6 +61,17 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+class Remembered(dict):
+    """Words with their ids; a word that isn't there is asked for."""
+
+    def __init__(self, ask: Callable[[str], bytes]):
+        super().__init__()
+        self._ask = ask
+
+    def __missing__(self, word: str) -> bytes:
+        return self._ask(word)
+
+
 class BytePairCodec:
     """Encoder and decoder for one vocabulary file in the tokenizers library's JSON format."""
 
@@ -75,6 +87,7 @@ class BytePairCodec:
         for token, i in special.items():
             spelled[i] = token.encode()
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self._code = "H" if self.dtype.itemsize == 2 else "I"  # as an array of Python's, made faster from a few ids
         self.special, self.spelled = special, spelled
         self._special_split = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self._all_words, self._latin_words = regex.compile(_SPLIT).findall, re.compile(_SPLIT_LATIN).findall
@@ -98,8 +111,7 @@ class BytePairCodec:
         for b, i in known.items():
             self._shorter[i] = next((known[b[:n]] for n in range(len(b) - 1, 0, -1) if b[:n] in known), -1)
         self._fits: dict[tuple[int, int], bool] = {}
-        self._cache: dict[str, bytes] = {}
-        self._older: dict[str, bytes] = {}
+        self._cache, self._older = Remembered(self._miss), Remembered(self._miss)
         self._bytes = OffsetTable(spelled)
         self._decimal = OffsetTable([b"%d," % i for i in range(size)])
 
@@ -166,10 +178,10 @@ class BytePairCodec:
     def _miss(self, word: str) -> bytes:
         ids = self._older.get(word)
         if ids is None:
-            ids = np.array(self.encode_word(word), self.dtype).tobytes()
+            ids = array(self._code, self.encode_word(word)).tobytes()
         if len(word) <= CACHED_WORD_CHARS:
             if len(self._cache) >= CACHED_WORDS // 2:
-                self._cache, self._older = {}, self._cache
+                self._cache, self._older = Remembered(self._miss), self._cache
             self._cache[word] = ids
         return ids
 
@@ -189,8 +201,7 @@ class BytePairCodec:
             if len(pieces) > 1 and piece in self.special:
                 found.append(np.array([self.special[piece]], self.dtype).tobytes())
                 continue
-            for word in self._words(piece):
-                found.append(self._cache.get(word) or self._miss(word))
+            found += map(self._cache.__getitem__, self._words(piece))
         return np.frombuffer(b"".join(found), self.dtype)
 
     def decode_bytes(self, ids: np.ndarray) -> bytes:

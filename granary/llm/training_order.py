@@ -32,6 +32,8 @@ from granary.llm.common import materialize, scratch_path, ship_package
 
 #: Ids in a sequence, sequences in a shard (32 MB), and sequences in a compressed run.
 STRIDE, SHARD_SEQUENCES, RUN_SEQUENCES = 1024, 1 << 14, 1024
+#: Level of the runs' compression: 7 makes them 3 % smaller and takes half as long again.
+LEVEL = 5
 #: Partitions that shards are written from at most.
 PARTITIONS = 10_000
 MANIFEST = "manifest.json"
@@ -87,7 +89,7 @@ def encoded_runs(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, s
     id_arrow = {"bigint": pa.int64(), "int": pa.int32()}.get(id_type.simpleString(), pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, press = bpe.quick_codec(vocabulary), zstandard.ZstdCompressor(level=7)
+        own, press = bpe.quick_codec(vocabulary), zstandard.ZstdCompressor(level=LEVEL)
         part, first, room = TaskContext.get().partitionId(), 0, stride * RUN_SEQUENCES
         closing = np.array([end], own.dtype)
         held: list[np.ndarray] = []
@@ -148,7 +150,7 @@ def materialise_order(docs: DataFrame, folder: str, id_col: str = "doc_id", text
     moved_schema = pa.schema([("shard", pa.int64()), ("places", pa.list_(pa.int64())), ("used", pa.list_(pa.int64())), ("owners", pa.list_(owner_type)), ("run", pa.binary())])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press, unpress = zstandard.ZstdCompressor(level=7), zstandard.ZstdDecompressor()
+        press, unpress = zstandard.ZstdCompressor(level=LEVEL), zstandard.ZstdDecompressor()
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]

@@ -162,3 +162,14 @@ def test_op7_index_tells_whose_tokens_each_sequence_begins_with(spark, tmp_path)
     ]
     with pytest.raises(ValueError):
         training_order.materialise_order(docs_of(spark, ["a"]), f"file://{tmp_path}/c", end=70_000)
+
+
+def test_words_are_asked_for_once_and_kept_when_the_older_half_goes(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHED_WORDS", 8)
+    own = bpe.BytePairCodec(bpe.default_vocabulary())
+    text = " ".join(f"word{i % 7} naïve{i % 3}" for i in range(50))
+    assert own.encode(text).tolist() == [i for w in own._words(text) for i in own.encode_word(w)]
+    asked = []
+    known = bpe.Remembered(lambda w: (asked.append(w), known.setdefault(w, b"x"))[1])
+    assert b"".join(map(known.__getitem__, ["a", "b", "a", "b", "a"])) == b"xxxxx"
+    assert asked == ["a", "b"]
