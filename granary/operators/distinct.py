@@ -26,9 +26,13 @@ def values(rows: DataFrame, group: Column, columns: dict[str, str]) -> DataFrame
 
 
 def sketches(rows: DataFrame, group: Column, columns: dict[str, str], lg_k: int = LG_K) -> DataFrame:
-    """(part, what, sketch): a sketch for each group and named column. Store it to use it."""
-    hashed = values(rows, group, columns).select("part", "what", F.when(F.col("value").isNotNull(), F.xxhash64("value")).alias("value"))
-    return hashed.groupBy("part", "what").agg(F.hll_sketch_agg("value", lg_k).alias("sketch"))
+    """(part, what, sketch): a sketch for each group and named column. Store it to use it.
+
+    A row goes into all of its group's sketches at once: with a key for each column there would be more keys than the built-in aggregation holds before it sorts all rows.
+    """
+    hashed = lambda c: F.when(F.col(c).isNotNull(), F.xxhash64(F.col(c).cast("string")))
+    wide = rows.select(group.alias("part"), *[hashed(c).alias(n) for n, c in columns.items()]).groupBy("part").agg(*[F.hll_sketch_agg(n, lg_k).alias(n) for n in columns])
+    return wide.select("part", F.explode(F.array(*[F.struct(F.lit(n).alias("what"), F.col(n).alias("sketch")) for n in columns])).alias("s")).select("part", "s.*")
 
 
 def merged(stored: DataFrame, group: Column) -> DataFrame:

@@ -81,6 +81,14 @@ def test_sketches_of_nulls_empty_texts_and_no_rows(spark):
     assert distinct.merged(distinct.sketches(rows.limit(0), F.col("part"), {"v": "v"}), F.col("part")).count() == 0
 
 
+def test_a_group_has_one_row_for_all_its_sketches_until_they_are_told_apart(spark):
+    rows = spark.range(0, 300, 1, 2).select((F.col("id") % 3).alias("part"), F.col("id").alias("v"), (F.col("id") % 7).alias("w"))
+    stored = distinct.sketches(rows, F.col("part"), {"v": "v", "w": "w"})
+    assert shuffled_rows(stored) == [6]  # three of each task, not a row for each group and column
+    assert {(r["part"], r["what"]) for r in stored.collect()} == {(p, c) for p in range(3) for c in "vw"}
+    assert all(abs(r["estimate"] - {"v": 100, "w": 7}[r["what"]]) <= 1 for r in distinct.merged(stored, F.col("part")).collect())
+
+
 @pytest.mark.parametrize("tasks", [1, 40])
 def test_files_are_of_the_size_asked_for(spark, tmp_path, tasks):
     rows = spark.range(0, 300_000, 1, tasks).select("id", F.sha2(F.col("id").cast("string"), 256).alias("text"))
