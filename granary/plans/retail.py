@@ -444,7 +444,7 @@ def sheets_by_row(spark, sf_dir):
     """Two sheets in one set of files, told apart by row number: the first half of the rows, in the order of all columns, is the first sheet."""
     path = retail_scratch(spark)
     retail.write_csv(raw(spark, sf_dir).orderBy(*[F.col(f"`{c}`") for c in retail.RAW_COLUMNS]), path)
-    rows = retail.numbered(retail.read_raw_csv(spark, path))
+    rows = retail.numbered(retail.read_raw_csv(spark, path).select("Invoice"))  # numbered rows are written
     half = rows.agg(F.expr("count(1) div 2").alias("half"))
     told = rows.crossJoin(F.broadcast(half)).withColumn("sheet", F.when(F.col("row") <= F.col("half"), "first").otherwise("second"))  # one row
     return told.groupBy("sheet").agg(F.count(F.lit(1)).alias("rows"), F.min("row").alias("from_row"), F.max("row").alias("to_row"), F.min("Invoice").alias("first_invoice"), F.max("Invoice").alias("last_invoice"), F.count_distinct("Invoice").alias("invoices"))
