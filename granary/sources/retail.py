@@ -205,7 +205,7 @@ def dirty_retail(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = F.expr("7 * l_orderkey + 13 * l_partkey + 31 * l_suppkey + 3 * l_linenumber + cast(l_quantity AS bigint)")
     every = lambda n: F.col("h") % n == 0
     amount = F.col("l_quantity").cast("int").cast("string")
-    day = lambda offset, time: F.concat(F.date_format(F.date_add(F.to_date("o_orderdate"), offset), "yyyy-MM-dd"), F.lit(time))
+    day = lambda offset, time: F.concat(F.date_add(F.to_date("o_orderdate"), offset).cast("string"), F.lit(time))
     dirty = joined.withColumn("h", h).select(
         "h",
         F.concat(F.when(every(97), "A").otherwise(""), (100000 + F.col("l_orderkey")).cast("string")).alias("Invoice"),
