@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import shutil
-import tempfile
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from granary.functions.ship import ship_code
 from granary.functions.sift import with_maybe  # noqa: F401
 from granary.sources.scratch import materialize, scratch_path, shared_dir  # noqa: F401
 
@@ -18,23 +15,13 @@ SPACES = r"[\x20\x09-\x0D]+"
 
 #: Rows in an Arrow batch: texts are long, and a worker holds a batch at a time.
 BATCH_ROWS = 1_000
-_shipped: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package's code to the executors, once for each application, as they may not have it.
-
-    Also bounds the session's Arrow batches, whose default of ten thousand rows is meant for short ones.
-    """
+    """Send this package's code to the executors; also bounds the session's Arrow batches, whose default of ten thousand rows is meant for short ones."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    context = spark.sparkContext
-    if context.applicationId not in _shipped:
-        root = Path(__file__).resolve().parents[2]
-        if (root / "granary").is_dir():  # else it came as an archive, which the executors have too
-            archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='granary-')}/granary-code", "zip", root, "granary")
-            context.addPyFile(archive)
-        _shipped.add(context.applicationId)
+    ship_code(spark)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,19 +6,25 @@ all runs. Runs start from a farthest-first traversal, which is the same for all
 Coordinates lie on a grid of ``GRID`` steps to the unit and are whole numbers there, so sums are exact, centers don't depend on the order of rows or on
 partitions, and a run can be repeated anywhere. Distances are in the points' own units in all results. Clusters are numbered by their centers.
 
-The driver holds the centers: runs x clusters x dimensions. Points are read once a pass and never gathered.
+The driver holds the centers: runs x clusters x dimensions. Points are read once a pass and never gathered; distances are taken in Arrow batches, and a task hands
+on a row for each cluster of each run.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from decimal import Decimal
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from granary.functions.ship import ship_code
 from granary.functions.small import small_table
-from granary.operators.clustering import squared
 from granary.sources.scratch import materialize
 
 GRID = 1_000_000
@@ -42,44 +48,122 @@ def on_grid(table: DataFrame, key: str, columns: list[str], variant: str = "") -
     return table.select(F.lit(variant).alias("variant"), F.col(key).alias("key"), F.array(*steps).alias("x"))
 
 
-def _distance(x: Column, center: Column) -> Column:
-    return F.aggregate(F.zip_with(x, center, lambda a, c: a.cast("double") - c), F.lit(0.0), lambda s, d: s + d * d)
+#: Points that are summed at once: so few that sums of 32-bit halves are exact as doubles.
+SLICE = 1 << 16
+
+
+def _by_variant(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.RecordBatch, np.ndarray]]:
+    """(variant, its rows, their coordinates as dimensions x points) of each batch. A missing coordinate is an error."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, SLICE):
+            batch = whole.slice(at, SLICE)
+            for variant in pc.unique(batch.column("variant")).to_pylist():
+                own = batch.filter(pc.equal(batch.column("variant"), variant))
+                x = own.column("x")
+                cells = x.flatten()
+                if x.null_count or cells.null_count:
+                    raise ValueError("a point lacks coordinates")
+                yield variant, own, np.ascontiguousarray(cells.to_numpy(zero_copy_only=False).reshape(own.num_rows, -1).T)
+
+
+def _distances(x: np.ndarray, centers: tuple[tuple[float, ...], ...]) -> np.ndarray:
+    """Squared distances, centers x points, added up dimension by dimension."""
+    own = x.astype(np.float64)
+    out = np.zeros((len(centers), own.shape[1]))
+    for d, center in zip(out, centers, strict=True):
+        for v, c in zip(own, center, strict=True):
+            away = v - c
+            d += away * away
+    return out
+
+
+def _least(points: DataFrame, score: Callable[[str, np.ndarray], np.ndarray]) -> dict[str, tuple[float, ...]]:
+    """{variant: point} with the least score, of equal ones the one with the least key. A batch hands on its points with the least score only."""
+    ship_code(points.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for variant, own, x in _by_variant(batches):
+            d = score(variant, x)
+            best = own.filter(pa.array(d == d.min()))
+            yield pa.RecordBatch.from_arrays([best.column("variant"), pa.array(np.full(best.num_rows, d.min())), best.column("key"), best.column("x")], names=["variant", "d", "key", "x"])
+
+    kinds = points.schema
+    schema = T.StructType([kinds["variant"], T.StructField("d", T.DoubleType()), kinds["key"], kinds["x"]])
+    found = points.select("variant", "key", "x").mapInArrow(run, schema).groupBy("variant").agg(F.min(F.struct("d", "key", "x")).alias("s"))
+    return {r["variant"]: tuple(map(float, r["s"]["x"])) for r in found.collect()}  # a row for each variant
 
 
 def farthest_first(points: DataFrame, k: int) -> dict[str, list[tuple[float, ...]]]:
     """{variant: k points}: the point nearest the origin, then always the one farthest from those taken; ties go to the lesser key. A pass for each."""
-    near = F.min(F.struct(squared(F.transform("x", lambda v: v.cast("double"))).alias("d"), "key", "x"))
-    taken = {r["variant"]: [tuple(map(float, r["s"]["x"]))] for r in points.groupBy("variant").agg(near.alias("s")).collect()}  # a row for each variant
+    taken = {v: [x] for v, x in _least(points, lambda _, x: _distances(x, ((0.0,) * len(x),))[0]).items()}
     for _ in range(k - 1):
-        known = _broadcast(points.sparkSession, [(v, 0, c) for v, c in taken.items()])
-        away = F.array_min(F.transform("centers", lambda c: _distance(F.col("x"), c)))
-        far = F.min(F.struct((-away).alias("d"), "key", "x"))
-        for r in points.join(known, points["variant"] == known["run"]).groupBy("variant").agg(far.alias("s")).collect():
-            taken[r["variant"]].append(tuple(map(float, r["s"]["x"])))
+        for v, x in _least(points, lambda v, x: -_distances(x, taken[v]).min(axis=0)).items():
+            taken[v].append(x)
     return taken
 
 
-def _broadcast(spark: SparkSession, runs: list[tuple]) -> DataFrame:
-    """(run, k, centers): a row for each run."""
-    columns = {"run": "string", "k": "int", "centers": pa.list_(pa.list_(pa.float64()))}
-    return F.broadcast(small_table(spark, columns, [(v, k, [list(c) for c in centers]) for v, k, centers in runs]))
-
-
 def assigned(points: DataFrame, runs: list[Run]) -> DataFrame:
-    """(variant, k, key, x, cluster, d): each point in each run, with its nearest center (the first of equal ones) and the squared distance on the grid."""
-    table = _broadcast(points.sparkSession, [(r.variant, r.k, r.centers) for r in runs])
-    all_d = F.transform("centers", lambda c: _distance(F.col("x"), c))
-    near = points.join(table, points["variant"] == table["run"]).select("variant", "k", "key", "x", all_d.alias("ds"))
-    return near.select("variant", "k", "key", "x", (F.array_position("ds", F.array_min("ds")) - 1).cast("int").alias("cluster"), F.array_min("ds").alias("d"))
+    """(variant, k, key, x, cluster, d, ...): each point in each run, with its nearest center (the first of equal ones), the squared distance on the grid, and other columns as they are."""
+    ship_code(points.sparkSession)
+    more = [c for c in points.columns if c not in ("variant", "key", "x")]
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for variant, own, x in _by_variant(batches):
+            for r in runs:
+                if r.variant == variant:
+                    ds = _distances(x, r.centers)
+                    columns = {
+                        "variant": own.column("variant"), "k": pa.array(np.full(own.num_rows, r.k, np.int32)), "key": own.column("key"), "x": own.column("x"),
+                        "cluster": pa.array(ds.argmin(axis=0).astype(np.int32)), "d": pa.array(ds.min(axis=0)),
+                    } | {c: own.column(c) for c in more}
+                    yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    kinds = points.schema
+    made = [T.StructField("k", T.IntegerType()), T.StructField("cluster", T.IntegerType()), T.StructField("d", T.DoubleType())]
+    schema = T.StructType([kinds["variant"], made[0], kinds["key"], kinds["x"], *made[1:], *[kinds[c] for c in more]])
+    return points.mapInArrow(nearest, schema)
+
+
+@dataclass
+class Facts:
+    """What a run's cluster holds: points, sums of their coordinates (exact), their squared lengths and squared distances to the center, on the grid."""
+
+    n: int
+    sums: list[int]
+    squares: float
+    d: float
+
+
+def _sums(points: DataFrame, runs: list[Run]) -> dict[tuple[str, int], dict[int, Facts]]:
+    """One pass for all runs: {(variant, k): {cluster: facts}}. A task adds up its points and hands on a row for each cluster of each run."""
+    ship_code(points.sparkSession)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple[int, int], Facts] = {}
+        for variant, _, x in _by_variant(batches):
+            halves, squares = [((v >> 32).astype(np.float64), (v & 0xFFFFFFFF).astype(np.float64)) for v in x], _distances(x, ((0.0,) * len(x),))[0]
+            for i, r in enumerate(runs):
+                if r.variant != variant:
+                    continue
+                ds = _distances(x, r.centers)
+                cluster, most = ds.argmin(axis=0), len(r.centers)
+                of = lambda w, c=cluster, m=most: np.bincount(c, weights=w, minlength=m)
+                n, sq, d, sums = np.bincount(cluster, minlength=most), of(squares), of(ds.min(axis=0)), [(of(high), of(low)) for high, low in halves]
+                for c in np.flatnonzero(n):
+                    own = found.setdefault((i, int(c)), Facts(0, [0] * len(x), 0.0, 0.0))
+                    own.n, own.squares, own.d = own.n + int(n[c]), own.squares + float(sq[c]), own.d + float(d[c])
+                    own.sums = [s + (int(high[c]) << 32) + int(low[c]) for s, (high, low) in zip(own.sums, sums, strict=True)]
+        rows = [{"run": i, "cluster": c, "n": f.n, "squares": f.squares, "d": f.d, **{f"s{j}": Decimal(s) for j, s in enumerate(f.sums)}} for (i, c), f in found.items()]
+        yield pa.RecordBatch.from_pylist(rows, pa.schema(kinds))
 
-
-def _sums(points: DataFrame, runs: list[Run]) -> dict[tuple[str, int], dict[int, tuple[int, list[int]]]]:
-    """One pass for all runs: {(variant, k): {cluster: (size, sums of coordinates)}}."""
     width = len(runs[0].centers[0])
-    sums = [F.sum(F.col("x")[i].cast("decimal(38,0)")).alias(f"s{i}") for i in range(width)]
-    out: dict[tuple[str, int], dict[int, tuple[int, list[int]]]] = {}
-    for r in assigned(points, runs).groupBy("variant", "k", "cluster").agg(F.count(F.lit(1)).alias("n"), *sums).collect():  # a row for each cluster of each run
-        out.setdefault((r["variant"], r["k"]), {})[r["cluster"]] = (r["n"], [int(r[f"s{i}"]) for i in range(width)])
+    kinds = [("run", pa.int32()), ("cluster", pa.int32()), ("n", pa.int64()), ("squares", pa.float64()), ("d", pa.float64()), *[(f"s{j}", pa.decimal128(38, 0)) for j in range(width)]]
+    schema = "run int, cluster int, n bigint, squares double, d double, " + ", ".join(f"s{j} decimal(38,0)" for j in range(width))
+    parts = points.select("variant", "x").mapInArrow(add, schema).groupBy("run", "cluster")
+    out: dict[tuple[str, int], dict[int, Facts]] = {}
+    for r in parts.agg(*[F.sum(c).alias(c) for c in ("n", "squares", "d", *[f"s{j}" for j in range(width)])]).collect():  # a row for each cluster of each run
+        run = runs[r["run"]]
+        out.setdefault((run.variant, run.k), {})[r["cluster"]] = Facts(r["n"], [int(r[f"s{j}"]) for j in range(width)], r["squares"], r["d"])
     return out
 
 
@@ -100,7 +184,7 @@ def fit(points: DataFrame, ks: list[int], max_iter: int = MAX_ITER, tolerance: f
         sums = _sums(points, moving)
         for r in moving:
             own = sums[r.variant, r.k]
-            centers = tuple(tuple(s / own[i][0] for s in own[i][1]) if i in own else c for i, c in enumerate(r.centers))
+            centers = tuple(tuple(s / own[i].n for s in own[i].sums) if i in own else c for i, c in enumerate(r.centers))
             moved = max(sum((a - b) ** 2 for a, b in zip(x, y, strict=True)) for x, y in zip(centers, r.centers, strict=True))
             runs[r.variant, r.k] = Run(r.variant, r.k, centers, r.iterations + 1, moved <= limit)
     return [Run(r.variant, r.k, tuple(sorted(r.centers)), r.iterations, r.converged) for r in runs.values()]
@@ -122,35 +206,52 @@ def from_table(model: DataFrame, version: str) -> list[Run]:
     return [Run(v, k, tuple(c[i] for i in sorted(c))) for (v, k), c in centers.items()]
 
 
-def clusters(points: DataFrame, runs: list[Run]) -> DataFrame:
-    """(variant, k, cluster, n, cost, center): a row for each cluster that has points; costs and centers in the points' units."""
-    each = assigned(points, runs).groupBy("variant", "k", "cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("d").alias("d"))
-    centers = [(r.variant, r.k, i, [x / GRID for x in c]) for r in runs for i, c in enumerate(r.centers)]
-    table = points.sparkSession.createDataFrame(centers, "variant string, k int, cluster int, center array<double>")
-    return each.select("variant", "k", "cluster", "n", (F.col("d") / float(GRID) ** 2).alias("cost")).join(F.broadcast(table), ["variant", "k", "cluster"])
-
-
-def silhouettes(points: DataFrame, runs: list[Run]) -> DataFrame:
+def clusters(points: DataFrame, runs: list[Run], known: dict[tuple[str, int], dict[int, Facts]] | None = None) -> DataFrame:
+    """(variant, k, cluster, n, cost, center): a row for each cluster that has points; costs and centers in the points' units. ``known``: the runs' facts, if there already."""
+    found = _sums(points, runs) if known is None else known
+    rows = [(r.variant, r.k, i, f.n, f.d / float(GRID) ** 2, [x / GRID for x in r.centers[i]]) for r in runs for i, f in sorted(found.get((r.variant, r.k), {}).items())]
+    return small_table(points.sparkSession, {"variant": "string", "k": "int", "cluster": "int", "n": "long", "cost": "double", "center": pa.list_(pa.float64())}, rows)
+
+
+def _scores(x: np.ndarray, centers: tuple[tuple[float, ...], ...], facts: dict[int, Facts]) -> np.ndarray:
+    """The silhouette of each point of a run, from the facts of its clusters."""
+    own, p = _distances(x, centers).argmin(axis=0), x / GRID
+    squares = np.zeros(p.shape[1])
+    for v in p:
+        squares += v * v
+    a, b = np.zeros(len(squares)), np.full(len(squares), np.inf)
+    for i, f in facts.items():
+        mixed = np.zeros(len(squares))
+        for v, s in zip(p, f.sums, strict=True):
+            mixed += v * (s / GRID)
+        total = np.maximum(f.n * squares + f.squares / float(GRID) ** 2 - 2 * mixed, 0.0)
+        mine = own == i
+        a[mine] = total[mine] / (f.n - 1) if f.n > 1 else np.inf  # alone: no score
+        b = np.where(mine, b, np.minimum(b, total / f.n))
+    most = np.maximum(a, b)
+    return np.where(np.isfinite(most) & (most > 0), (b - a) / np.where(np.isfinite(most) & (most > 0), most, 1.0), 0.0)
+
+
+def silhouettes(points: DataFrame, runs: list[Run], known: dict[tuple[str, int], dict[int, Facts]] | None = None) -> DataFrame:
     """(variant, k, silhouette): the mean over all points, with squared Euclidean distances; a point alone in its cluster scores 0.
 
-    Means of squared distances to a cluster follow from its size, its sums and its sum of squares, so this takes two passes for all runs.
+    Means of squared distances to a cluster follow from its size, its sums and its sum of squares, so this takes two passes for all runs, one if their facts are ``known``.
     """
-    as_double = lambda v: F.transform(v, lambda c: c.cast("double") / GRID)
-    own = assigned(points, runs).withColumn("p", as_double("x"))
-    width = len(runs[0].centers[0])
-    facts = own.groupBy("variant", "k", "cluster").agg(
-        F.count(F.lit(1)).alias("n"), F.array(*[F.sum(F.col("x")[i].cast("decimal(38,0)")).cast("double") / GRID for i in range(width)]).alias("sums"), F.sum(squared(F.col("p"))).alias("squares")
-    )
-    gathered = facts.groupBy(F.col("variant").alias("v2"), F.col("k").alias("k2")).agg(F.collect_list(F.struct("cluster", "n", "sums", "squares")).alias("all"))  # k entries
-    joined = own.join(F.broadcast(gathered), (F.col("variant") == F.col("v2")) & (F.col("k") == F.col("k2")))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    apart = F.transform("all", lambda g: F.struct(g["cluster"].alias("cluster"), g["n"].alias("n"), (g["n"] * squared(F.col("p")) + g["squares"] - 2 * dot(F.col("p"), g["sums"])).alias("total")))
-    mine = F.filter("apart", lambda g: g["cluster"] == F.col("cluster"))[0]
-    a = F.when(mine["n"] > 1, F.greatest(mine["total"], F.lit(0.0)) / F.greatest(mine["n"] - 1, F.lit(1)))
-    b = F.array_min(F.transform(F.filter("apart", lambda g: g["cluster"] != F.col("cluster")), lambda g: F.greatest(g["total"], F.lit(0.0)) / g["n"]))
-    scored = joined.withColumn("apart", apart).select("variant", "k", a.alias("a"), b.alias("b"))
-    s = F.when(F.col("a").isNull(), F.lit(0.0)).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
-    return scored.groupBy("variant", "k").agg(F.avg(s).alias("silhouette"))
+    found = _sums(points, runs) if known is None else known
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, list] = {}
+        for variant, _, x in _by_variant(batches):
+            for i, r in enumerate(runs):
+                if r.variant == variant:
+                    with np.errstate(invalid="ignore"):
+                        s = _scores(x, r.centers, found[r.variant, r.k])
+                    own = sums.setdefault(i, [0, 0.0])
+                    own[0], own[1] = own[0] + len(s), own[1] + float(s.sum())
+        yield pa.RecordBatch.from_arrays([pa.array([runs[i].variant for i in sums], pa.string()), pa.array([runs[i].k for i in sums], pa.int32()), pa.array([n for n, _ in sums.values()], pa.int64()), pa.array([s for _, s in sums.values()], pa.float64())], names=["variant", "k", "n", "s"])
+
+    parts = points.select("variant", "x").mapInArrow(score, "variant string, k int, n bigint, s double")
+    return parts.groupBy("variant", "k").agg((F.sum("s") / F.sum("n")).alias("silhouette"))
 
 
 def sweep(points: DataFrame, runs: list[Run], features: DataFrame, names: list[str], key: str) -> DataFrame:
@@ -158,12 +259,13 @@ def sweep(points: DataFrame, runs: list[Run], features: DataFrame, names: list[s
 
     Run's figures (the size of its smallest cluster, cost, iterations, silhouette) are the same in all of its rows.
     """
-    sizes = materialize(clusters(points, runs), "sizes")
-    scores = materialize(silhouettes(points, runs), "scores")
-    means = assigned(points, runs).select("variant", "k", "cluster", "key").join(features.select(F.col(key).alias("key"), *names), "key")
-    means = means.groupBy("variant", "k", "cluster").agg(*[F.avg(F.col(n).cast("double")).alias(f"mean_{n}") for n in names])
+    known = _sums(points, runs)
+    sizes = clusters(points, runs, known)
+    scores = materialize(silhouettes(points, runs, known), "scores")
+    measured = points.join(features.select(F.col(key).alias("key"), *names), "key")  # before each point becomes a row for each run
+    means = assigned(measured, runs).groupBy("variant", "k", "cluster").agg(*[F.avg(F.col(n).cast("double")).alias(f"mean_{n}") for n in names])
     totals = sizes.groupBy("variant", "k").agg(F.sum("n").alias("all"), F.min("n").alias("least_n"), F.sum("cost").alias("total_cost"))  # a row for each run
-    ended = points.sparkSession.createDataFrame([(r.variant, r.k, r.iterations, r.converged) for r in runs], "variant string, k int, iterations int, converged boolean")
+    ended = small_table(points.sparkSession, {"variant": "string", "k": "int", "iterations": "int", "converged": "boolean"}, [(r.variant, r.k, r.iterations, r.converged) for r in runs])
     joined = sizes.drop("center", "cost").join(means, ["variant", "k", "cluster"])
     for part in (totals, scores, ended):
         joined = joined.join(F.broadcast(part), ["variant", "k"])

@@ -101,3 +101,27 @@ def test_a_stored_scaler_equals_scaling(spark, tables):
         model = fit_scaler(df, ["a", "b"], log)
         assert apply_scaler(df, model).orderBy("id").collect() == scaled(df, ["a", "b"], log).orderBy("id").collect()
         assert apply_scaler(df.where("id = 2"), model).first()["z_b"] == 0.0
+
+
+def test_facts_are_exact_and_taken_once(spark, tables, monkeypatch):
+    rng = random.Random(5)
+    rows = [("one", i, [rng.randrange(-(1 << 60), 1 << 60), rng.randrange(-9, 9)]) for i in range(500)]
+    points = spark.createDataFrame(rows, "variant string, key int, x array<bigint>")
+    run = lloyd.Run("one", 2, ((-1e18, 0.0), (1e18, 0.0)))
+    own = {c: [x for _, _, x in rows if (distance(x, run.centers[0]) > distance(x, run.centers[1])) == bool(c)] for c in (0, 1)}
+    found = lloyd._sums(points, [run])["one", 2]
+    assert {c: (f.n, f.sums) for c, f in found.items()} == {c: (len(g), [sum(s) for s in zip(*g, strict=True)]) for c, g in own.items()}
+    passes, sums = [], lloyd._sums
+    monkeypatch.setattr(lloyd, "_sums", lambda *a: (passes.append(1), sums(*a))[1])
+    features = tables.select("key", F.col("x")[0].alias("a")).groupBy("key").agg(F.max("a").alias("a"))
+    runs = [lloyd.Run(v, 2, ((0.0, 0.0), (3e6, 2e6))) for v in ("one", "two")]
+    swept = lloyd.sweep(tables, runs, features, ["a"], "key").collect()
+    assert len(swept) == 4 and len(passes) == 1  # sizes, costs and silhouettes from the same facts
+    kept = lloyd.assigned(tables.withColumn("more", F.col("key") + 1), runs).where("more = key + 1")
+    assert kept.count() == 480
+
+
+def test_points_without_coordinates_are_an_error(spark):
+    points = spark.createDataFrame([("one", 1, [1, None])], "variant string, key int, x array<bigint>")
+    with pytest.raises(Exception, match="lacks coordinates"):
+        lloyd.farthest_first(points, 2)
