@@ -1,9 +1,9 @@
 """Exact order statistics of many groups at once, by counting.
 
-All ranks that are wanted, of all groups, are narrowed together. Each round is one aggregation: it counts the values of each group between the splitters of
-its open ranges, and sketches each part (a few hundred entries) for the splitters of the next round. A range that holds a wanted rank is cut into some
-thirty parts a round, so ranges shrink by that factor whatever the values are like; a splitter is a part of its own, so a value that a third of all rows
-have ends the search at once. Parts of ``SMALL`` values or fewer are sorted, each in one task, and the value is read off.
+Equal values are counted first, so all else sees each different value of a group once. All ranks that are wanted, of all groups, are narrowed together. Each round
+is one aggregation: it counts the values of each group between the splitters of its open ranges, and sketches each part (a few hundred entries) for the splitters
+of the next round. A range that holds a wanted rank is cut into some thirty parts of about as many different values a round, so ranges shrink by that factor whatever
+the values are like. Parts of ``SMALL`` different values or fewer are sorted, each in one task, and the value is read off; groups that have no more need no round.
 
 Nothing is ranked in a window, no group is gathered, and the driver sees a few numbers for each open range. Groups are few: features, clusters, months.
 """
@@ -15,13 +15,13 @@ from dataclasses import dataclass, field
 from fractions import Fraction
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions.small import small_table
 from granary.sources.scratch import materialize
 
-#: Parts that a range is cut into; entries of a sketch; values that a task may sort.
+#: Parts that a range is cut into; entries of a sketch; different values that a task may sort.
 PARTS, SKETCH, SMALL = 32, 500, 10_000
 
 
@@ -32,7 +32,7 @@ def rank_of(share: float, n: int) -> int:
 
 @dataclass
 class Open:
-    """A range that holds wanted ranks: exclusive bounds (None: none), how many values lie below it, how many in it, and where to cut it."""
+    """A range that holds wanted ranks: exclusive bounds (None: none), how many values lie below it, how many different ones in it, and where to cut it."""
 
     low: float | None
     high: float | None
@@ -64,23 +64,24 @@ def _with_splits(values: DataFrame, by: list[str], cells: dict[tuple, list[Open]
     v = F.col("value")
     within = F.exists("spans", lambda s: (s["low"].isNull() | (s["low"] < v)) & (s["high"].isNull() | (v < s["high"])))
     part = F.when(within, _part(F.col("splits"), v)).alias("part")  # values in no open range stay as nulls: a filter would be pushed below the join, where it can't be evaluated
-    return values.join(table, same).select(*by, part, F.when(within, v).alias("value")), splits
+    return values.join(table, same).select(*by, part, F.when(within, v).alias("value"), "copies"), splits
 
 
-def at_ranks(table: DataFrame, by: list[str], value: Column, wanted: Callable[[int], dict[str, int]], small: int = SMALL, sketch: int = SKETCH) -> dict[tuple, dict[str, float | None]]:
+def at_ranks(table: DataFrame, by: list[str], value: Column, wanted: Callable[[int], dict[str, int]], small: int = SMALL, sketch: int = SKETCH, copies: Column | None = None) -> dict[tuple, dict[str, float | None]]:
     """{group: {name: value}} at the ranks (from 1, by rising value) that ``wanted`` names for a group of n values; nulls are left out.
 
-    A rank beyond n gives the greatest value, one below 1 the least. ``table`` is read once. Groups without a value are not in the result.
+    A rank beyond n gives the greatest value, one below 1 the least. ``table`` is read once; ``copies`` says how often a row's value counts (once).
     """
-    values = materialize(table.select(*by, value.cast("double").alias("value")).where("value IS NOT NULL"), "values")
+    tall = table.select(*by, value.cast("double").alias("value"), (F.lit(1) if copies is None else copies).cast("long").alias("copies")).where("value IS NOT NULL")
+    values = materialize(tall.groupBy(*by, "value").agg(F.sum("copies").alias("copies")), "values")
     groups = values.groupBy(*by) if by else values.groupBy()
-    first = groups.agg(F.count(F.lit(1)).alias("n"), _sketch(F.col("value"), sketch).alias("cuts")).collect()  # a row for each group
+    first = groups.agg(F.count(F.lit(1)).alias("n"), F.sum("copies").alias("copies"), _sketch(F.col("value"), sketch).alias("cuts")).collect()  # a row for each group
     known: dict[tuple, dict[str, float | None]] = {}
     cells: dict[tuple, list[Open]] = {}
     for r in first:
         if r["n"]:
             g = tuple(r[c] for c in by)
-            ranks = {name: min(max(1, k), r["n"]) for name, k in wanted(r["n"]).items()}
+            ranks = {name: min(max(1, k), r["copies"]) for name, k in wanted(r["copies"]).items()}
             known[g] = dict.fromkeys(ranks)
             cells[g] = [Open(None, None, 0, r["n"], r["cuts"], ranks)]
     while any(o.n > small for opens in cells.values() for o in opens):
@@ -94,7 +95,7 @@ def _narrowed(values: DataFrame, by: list[str], cells: dict[tuple, list[Open]],
     """One round: every open range by its parts. Ranks that fall on a splitter, or in a part of one value, are known."""
     within, splits = _with_splits(values, by, cells, inner=True)
     v = F.col("value")
-    parts = within.groupBy(*by, "part").agg(F.count(F.lit(1)).alias("n"), F.min(v).alias("low"), F.max(v).alias("high"), _sketch(v, sketch).alias("cuts"))
+    parts = within.groupBy(*by, "part").agg(F.count(F.lit(1)).alias("n"), F.sum("copies").alias("copies"), F.min(v).alias("low"), F.max(v).alias("high"), _sketch(v, sketch).alias("cuts"))
     found: dict[tuple, list] = {}
     for r in parts.collect():  # at most 2 * PARTS for each open range
         if r["part"] is not None:
@@ -106,36 +107,37 @@ def _narrowed(values: DataFrame, by: list[str], cells: dict[tuple, list[Open]],
             begin, end = (-1 if o.low is None else 2 * s.index(o.low) + 1), (2 * len(s) + 1 if o.high is None else 2 * s.index(o.high) + 1)
             below, ranks = o.below, dict(o.ranks)
             for r in sorted((r for r in found.get(g, []) if begin < r["part"] < end), key=lambda r: r["part"]):
-                own = {name: k for name, k in ranks.items() if below < k <= below + r["n"]}
+                own = {name: k for name, k in ranks.items() if below < k <= below + r["copies"]}
                 if own and r["low"] == r["high"]:
                     known[g].update(dict.fromkeys(own, r["low"]))
                 elif own:
                     i = r["part"] // 2
                     left.setdefault(g, []).append(Open(s[i - 1] if i else None, s[i] if i < len(s) else None, below, r["n"], r["cuts"], own))
-                below += r["n"]
+                below += r["copies"]
     return left
 
 
 def _read_off(values: DataFrame, by: list[str], cells: dict[tuple, list[Open]], known: dict) -> None:
     """The ranks in ranges of few values: each range is sorted in one task, and only the wanted values leave it."""
     within, splits = _with_splits(values, by, cells, inner=False)
-    gathered = within.groupBy(*by, "part").agg(F.array_sort(F.collect_list("value")).alias("sorted"))  # ``small`` values at most
-    columns = {f"g{i}": values.schema[c].dataType.simpleString() for i, c in enumerate(by)} | {"at": "int", "name": "string", "place": "int"}
+    upwards = Window.partitionBy(*by, "part").orderBy("value")  # ``small`` values at most
+    placed = within.where("part IS NOT NULL").withColumn("until", F.sum("copies").over(upwards))
+    columns = {f"g{i}": values.schema[c].dataType.simpleString() for i, c in enumerate(by)} | {"at": "int", "name": "string", "place": "long"}
     rows = []
     for g, opens in cells.items():
         for o in opens:
             part = 0 if o.low is None else 2 * (splits[g].index(o.low) + 1)
             rows += [(*g, part, name, k - o.below) for name, k in o.ranks.items()]
     asked = F.broadcast(small_table(values.sparkSession, columns, rows))
-    same = F.col("part") == F.col("at")
+    same = (F.col("part") == F.col("at")) & (F.col("place") > F.col("until") - F.col("copies")) & (F.col("place") <= F.col("until"))
     for i, c in enumerate(by):
         same = same & F.col(c).eqNullSafe(F.col(f"g{i}"))
-    for r in gathered.join(asked, same).select(*by, "name", F.element_at("sorted", F.col("place")).alias("v")).collect():  # a row for each rank
-        known[tuple(r[c] for c in by)][r["name"]] = r["v"]
+    for r in placed.join(asked, same).select(*by, "name", "value").collect():  # a row for each rank
+        known[tuple(r[c] for c in by)][r["name"]] = r["value"]
 
 
-def quantiles(table: DataFrame, by: list[str], value: Column, points: dict[str, float], small: int = SMALL, sketch: int = SKETCH) -> DataFrame:
+def quantiles(table: DataFrame, by: list[str], value: Column, points: dict[str, float], small: int = SMALL, sketch: int = SKETCH, copies: Column | None = None) -> DataFrame:
     """(by..., names of ``points``...): exact quantiles of each group, each a value that occurs; one row for each group."""
-    found = at_ranks(table, by, value, lambda n: {name: rank_of(p, n) for name, p in points.items()}, small, sketch)
+    found = at_ranks(table, by, value, lambda n: {name: rank_of(p, n) for name, p in points.items()}, small, sketch, copies)
     columns = {c: table.schema[c].dataType.simpleString() for c in by} | dict.fromkeys(points, "double")
     return small_table(table.sparkSession, columns, [(*g, *(own[p] for p in points)) for g, own in found.items()])

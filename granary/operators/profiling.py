@@ -9,6 +9,7 @@ from granary.functions import ranks
 from granary.functions.typed import blank, price, quantity, timestamp
 from granary.operators import bags
 from granary.sources.retail import CORRUPT, RAW_COLUMNS
+from granary.sources.scratch import materialize
 
 #: Texts that stand for a missing value.
 PLACEHOLDERS = ["nan", "NaN", "None", "NULL", "null", "N/A"]
@@ -65,8 +66,10 @@ def numeric_stats(df: DataFrame) -> DataFrame:
     """(column, min, max, mean, exact quantiles) of quantity and price."""
     parsed = df.select(quantity(raw("Quantity")).alias("q"), price(raw("Price")).alias("p"))
     tall = parsed.select(F.expr("stack(2, 'Quantity', CAST(q AS DOUBLE), 'Price', CAST(p AS DOUBLE)) AS (column, value)"))
-    stats = tall.groupBy("column").agg(F.min("value").alias("min"), F.max("value").alias("max"), F.round(F.avg("value"), 4).alias("mean"))
-    points = ranks.quantiles(tall, ["column"], F.col("value"), POINTS)  # a row for each column
+    few = materialize(tall.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")), "numeric-values")  # each different value once: the rows are read and parsed once
+    known = F.sum(F.when(F.col("value").isNotNull(), F.col("n")))
+    stats = few.groupBy("column").agg(F.min("value").alias("min"), F.max("value").alias("max"), F.round(F.try_divide(F.sum(F.col("value") * F.col("n")), known), 4).alias("mean"))
+    points = ranks.quantiles(few, ["column"], F.col("value"), POINTS, copies=F.col("n"))  # a row for each column
     return stats.join(F.broadcast(points), "column", "left").select("column", "min", "max", "mean", *POINTS)
 
 

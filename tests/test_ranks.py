@@ -53,3 +53,22 @@ def test_rounds_are_few(spark, monkeypatch):
     values = sorted(r["x"] for r in df.collect())
     assert found == {"a": values[20_000 // 3 - 1], "b": values[9_999]}
     assert len(rounds) <= 3
+
+
+def test_equal_values_are_counted_first(spark, monkeypatch):
+    """Many rows of few different values are no reason for a round, and a row may stand for several."""
+    monkeypatch.setattr(ranks, "_narrowed", lambda *_: pytest.fail("a round"))
+    df = spark.range(30_000).select((F.col("id") % 7).cast("double").alias("x"), F.lit("g").alias("g"))
+    wanted = {"a": 0.1, "b": 0.5, "c": 1.0}
+    assert ranks.quantiles(df, ["g"], F.col("x"), wanted).first()[1:] == (0.0, 3.0, 6.0)
+    few = spark.createDataFrame([("g", 1.0, 5), ("g", 2.0, 1), ("g", 1.0, 2), ("g", None, 90), ("h", 3.0, 1)], "g string, x double, n long")
+    found = {r["g"]: r[1:] for r in ranks.quantiles(few, ["g"], F.col("x"), {"low": 0.87, "high": 0.88}, copies=F.col("n")).collect()}
+    assert found == {"g": (1.0, 2.0), "h": (3.0, 3.0)}
+
+
+@pytest.mark.parametrize("values, expected", [(["3", "x", "1", "3"], (1.0, 3.0, 2.3333, 3.0)), (["x"], (None, None, None, None))])
+def test_numeric_profile_with_values_that_do_not_parse(spark, values, expected):
+    from granary.operators.profiling import numeric_stats
+
+    df = spark.createDataFrame([(v, v) for v in values], "Quantity string, Price string")
+    assert {r["column"]: (r["min"], r["max"], r["mean"], r["p50"]) for r in numeric_stats(df).collect()} == {"Quantity": expected, "Price": expected}
