@@ -139,25 +139,65 @@ def write_parquet(df: DataFrame, uri: str, files: int | None = None) -> None:
 FILE_BYTES = 128 << 20
 
 
+#: Files that each task's share must fill at least for :func:`write_sized` to cut rows where they lie.
+CUT_FILES = 4
+
+
+def _lengths(spark: SparkSession, uri: str) -> DataFrame:
+    return list_files(spark, uri).where("path LIKE '%.parquet'").select("path", "length")
+
+
 def write_sized(df: DataFrame, uri: str, file_bytes: int = FILE_BYTES) -> int:
-    """Overwrite ``uri`` with Parquet files of some ``file_bytes`` each, between half and twice of it unless the whole is less; gives the number of files asked for.
+    """Overwrite ``uri`` with Parquet files of some ``file_bytes`` each, between half and twice of it unless the whole is less; gives the number of files.
 
-    Rows are written once as they come, so what makes them keeps all its tasks, and these files are measured. Then they are read and dealt evenly over as many files as their
-    bytes ask for: compressed sizes can't be told from rows or from what a shuffle carries. Dealt rows compress differently, so files that miss the range are dealt once more.
+    Rows are written once as they come, so what makes them keeps all its tasks, and these files are measured: compressed sizes can't be told from rows or from what a shuffle
+    carries. Where a task reads enough of them, it cuts its rows into files as they lie, and only what is left over at its end is dealt together with others' ends. Else, or if a
+    file misses the range, all rows are dealt evenly over as many files as their bytes ask for. Dealt rows compress differently, so files that miss the range are dealt once more.
     """
     spark = df.sparkSession
     draft = materialize(df, "draft")
-    size = lambda path: list_files(spark, path).where("path LIKE '%.parquet'").agg(F.coalesce(F.sum("length"), F.lit(0)), F.max("length"), F.min("length")).first()
+    facts = [F.coalesce(F.sum("length"), F.lit(0)), F.max("length"), F.min("length"), F.count(F.lit(1))]
+    size = lambda path: _lengths(spark, path).agg(*facts).first()
+    fits = lambda seen: seen[3] > 0 and seen[1] <= 2 * file_bytes and (seen[3] == 1 or 2 * seen[2] >= file_bytes)
     total = sum(size(path)[0] for path in {f.rsplit("/", 1)[0] for f in draft.inputFiles()})
+    shares, rows = partitions(draft).agg(F.count(F.lit(1)), F.sum("rows")).first()
+    if shares and total >= CUT_FILES * file_bytes * shares and _known_store(uri):
+        _write_cut(draft, uri, file_bytes, max(1, rows * file_bytes // total))
+        if fits(seen := size(uri)):
+            return seen[3]
     for _ in range(2):
         files = max(1, round(total / file_bytes))
         draft.repartition(files).write.mode("overwrite").parquet(uri)
-        total, most, least = size(uri)
-        if most <= 2 * file_bytes and (files == 1 or 2 * least >= file_bytes):
+        total, most, least, _ = seen = size(uri)
+        if fits(seen):
             break
     return files
 
 
+def _known_store(uri: str) -> bool:
+    """Whether single files can be deleted there, that is whether pyarrow knows the store."""
+    try:
+        fs.FileSystem.from_uri(uri)
+    except (ValueError, OSError, NotImplementedError):
+        return False
+    return True
+
+
+def _write_cut(draft: DataFrame, uri: str, file_bytes: int, file_rows: int) -> None:
+    """Overwrite ``uri`` with files of ``file_rows`` rows; files of less than half of ``file_bytes``, tasks' ends, are read again and dealt into files of their own."""
+    draft.write.mode("overwrite").option("maxRecordsPerFile", file_rows).parquet(uri)
+    found = _lengths(draft.sparkSession, uri)
+    ends = {r["path"]: r["length"] for r in found.where(2 * F.col("length") < file_bytes).collect()}  # one for each task at most, unless sizes vary much
+    if not ends:
+        return
+    if 2 * sum(ends.values()) < file_bytes:  # too little for a file: with the shortest of the others it is enough
+        ends |= {r["path"]: r["length"] for r in found.where(2 * F.col("length") >= file_bytes).orderBy("length", "path").limit(1).collect()}
+    files = max(1, round(sum(ends.values()) / file_bytes))
+    draft.sparkSession.read.schema(draft.schema).parquet(*ends).repartition(files).write.mode("append").parquet(uri)
+    for path in ends:
+        delete(f"{uri.rstrip('/')}/{path.rsplit('/', 1)[1]}")
+
+
 def write_csv(df: DataFrame, uri: str, files: int | None = None) -> None:
     (df.repartition(files) if files else df).write.mode("overwrite").options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(uri)
 
