@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions.sift import with_maybe
+from granary.functions.small import small_table
 from granary.functions.typed import blank, typed, violated
 from granary.operators import bags
 from granary.sources.retail import RAW_COLUMNS
@@ -129,15 +130,19 @@ def cleaned(attributed_rows: DataFrame) -> DataFrame:
 
 
 def audit(attributed_rows: DataFrame) -> DataFrame:
-    """(step, rule, rows_before, rows_removed, rows_after, amount_removed), one row for each rule, by one aggregation."""
+    """(step, rule, rows_before, rows_removed, rows_after, amount_removed), one row for each rule, by one aggregation to a row for each rule and kind."""
     order = rule_order()
-    part = lambda rule, n: F.struct(rule.alias("rule"), n.cast("long").alias("n"), (F.col("Amount") * n).cast("decimal(28,3)").alias("amount"))
+    amount = lambda n: F.sum((F.col("Amount") * n).cast("decimal(28,3)"))
     one, rest = F.lit(1), F.col("copies") - 1
-    whole = F.array(part(F.col("removed_by"), F.col("copies")))
-    split = F.array(part(F.lit(DUPLICATES), rest), part(F.coalesce("removed_by", F.lit("")), one))
-    parts = attributed_rows.select(F.explode(F.when(F.col("early").isNotNull(), whole).otherwise(split)).alias("x")).select("x.*")
+    few = attributed_rows.groupBy("removed_by", F.col("early").isNotNull().alias("whole")).agg(  # some dozen rows
+        F.count(F.lit(1)).alias("n"), F.sum("copies").alias("all"), amount(F.col("copies")).alias("all_amount"), amount(rest).alias("rest_amount"), amount(one).alias("one_amount")
+    )
+    part = lambda rule, n, amount: F.struct(rule.alias("rule"), n.alias("n"), F.col(amount).alias("amount"))
+    whole = F.array(part(F.col("removed_by"), F.col("all"), "all_amount"))
+    split = F.array(part(F.lit(DUPLICATES), F.col("all") - F.col("n"), "rest_amount"), part(F.coalesce("removed_by", F.lit("")), F.col("n"), "one_amount"))
+    parts = few.select(F.explode(F.when(F.col("whole"), whole).otherwise(split)).alias("x")).select("x.*")
     sums = parts.groupBy("rule").agg(F.sum("n").alias("n"), F.sum("amount").alias("amount"))
-    steps = attributed_rows.sparkSession.createDataFrame(list(enumerate([*order, ""], 1)), "step int, rule string")
+    steps = small_table(attributed_rows.sparkSession, {"step": "int", "rule": "string"}, list(enumerate([*order, ""], 1)))
     table = steps.join(sums, "rule", "left").select("step", "rule", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("amount", F.lit(0)).cast("decimal(28,3)").alias("amount"))
     after = Window.orderBy("step")  # ten rows
     left = F.coalesce(F.sum("n").over(after.rowsBetween(1, Window.unboundedFollowing)), F.lit(0))

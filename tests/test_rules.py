@@ -174,3 +174,17 @@ def test_kth_largest(spark):
     for k in (1, 13, 14, 250, 500, 900):
         assert kth_largest(df, "x", k) == values[min(k, 500) - 1]
     assert kth_largest(df.where("false"), "x", 3) is None
+
+
+def test_checks_of_a_run_copy_no_row(spark, rows):
+    """Rows are added up before they are split by rule, and what is distinct is counted without a copy of each row for it."""
+    from granary.plans.retail import _clean_facts
+
+    found = rules.attributed(raw(spark, rows))
+    text = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    plan = text(rules.audit(found))
+    assert "Aggregate" in plan[plan.index("Generate explode") :].split("Relation")[0]  # below the explosion
+    facts = _clean_facts(rules.cleaned(found))
+    assert "Expand" not in text(facts)
+    own = rules.cleaned(found).collect()
+    assert facts.first()[:3] == (len(own), len({r["CustomerID"] for r in own}), len({(r["CustomerID"], r["InvoiceNo"]) for r in own}))
