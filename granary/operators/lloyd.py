@@ -6,8 +6,8 @@ all runs. Runs start from a farthest-first traversal, which is the same for all
 Coordinates lie on a grid of ``GRID`` steps to the unit and are whole numbers there, so sums are exact, centers don't depend on the order of rows or on
 partitions, and a run can be repeated anywhere. Distances are in the points' own units in all results. Clusters are numbered by their centers.
 
-The driver holds the centers: runs x clusters x dimensions. Points are read once a pass and never gathered; distances are taken in Arrow batches, and a task hands
-on a row for each cluster of each run.
+The driver holds the centers: runs x clusters x dimensions. Points are read once into blocks of a few hundred, which are written; a pass reads these and never gathers
+them; distances are taken in Arrow batches, and a task hands on a row for each cluster of each run.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from decimal import Decimal
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -42,28 +43,57 @@ class Run:
     converged: bool = False
 
 
-def on_grid(table: DataFrame, key: str, columns: list[str], variant: str = "") -> DataFrame:
-    """(variant, key, x): the points' coordinates as whole numbers of grid steps."""
+def on_grid(table: DataFrame, key: str, columns: list[str], variant: str = "", more: list[str] | None = None) -> DataFrame:
+    """(variant, key, x, more...): the points' coordinates as whole numbers of grid steps, and columns that stay as they are."""
     steps = [F.round(F.col(c).cast("double") * GRID).cast("long") for c in columns]
-    return table.select(F.lit(variant).alias("variant"), F.col(key).alias("key"), F.array(*steps).alias("x"))
+    return table.select(F.lit(variant).alias("variant"), F.col(key).alias("key"), F.array(*steps).alias("x"), *(more or []))
 
 
-#: Points that are summed at once: so few that sums of 32-bit halves are exact as doubles.
-SLICE = 1 << 16
+#: Points that are summed at once: so few that sums of 32-bit halves, and of values below ``SHORT``, are exact as doubles.
+SLICE, SHORT = 1 << 16, 1 << 37
+#: Bytes of coordinates in a block of points: a batch of ten thousand blocks is still small beside a task's memory.
+BLOCK = 1 << 13
 
 
 def _by_variant(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.RecordBatch, np.ndarray]]:
-    """(variant, its rows, their coordinates as dimensions x points) of each batch. A missing coordinate is an error."""
+    """(variant, its rows, their points' coordinates as dimensions x points) of each batch; a row is a point, or a block of :func:`packed`. A missing coordinate is an error."""
     for whole in batches:
-        for at in range(0, whole.num_rows, SLICE):
-            batch = whole.slice(at, SLICE)
+        blocks = not hasattr(whole.schema.field("x").type, "value_type")
+        step = SLICE // (BLOCK // 8) if blocks else SLICE
+        for at in range(0, whole.num_rows, step):
+            batch = whole.slice(at, step)
             for variant in pc.unique(batch.column("variant")).to_pylist():
                 own = batch.filter(pc.equal(batch.column("variant"), variant))
                 x = own.column("x")
-                cells = x.flatten()
-                if x.null_count or cells.null_count:
-                    raise ValueError("a point lacks coordinates")
-                yield variant, own, np.ascontiguousarray(cells.to_numpy(zero_copy_only=False).reshape(own.num_rows, -1).T)
+                if blocks:
+                    points = np.frombuffer(b"".join(x.to_pylist()), np.int64).reshape(pc.sum(own.column("n")).as_py(), -1)
+                else:
+                    cells = x.flatten()
+                    if x.null_count or cells.null_count:
+                        raise ValueError("a point lacks coordinates")
+                    points = cells.to_numpy(zero_copy_only=False).reshape(own.num_rows, -1)
+                yield variant, own, np.ascontiguousarray(points.T)
+
+
+def _in_blocks(points: DataFrame) -> bool:
+    return isinstance(points.schema["x"].dataType, T.BinaryType)
+
+
+def packed(points: DataFrame) -> DataFrame:
+    """(variant, n, keys, x): the points in blocks, written: n keys, and the bytes of n times the coordinates. A pass over blocks costs little beside one over rows."""
+    ship_code(points.sparkSession)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for variant, own, x in _by_variant(batches):
+            size, rows = max(1, BLOCK // (8 * len(x))), np.ascontiguousarray(x.T, np.int64)
+            ends = [*range(0, own.num_rows, size), own.num_rows]
+            keys = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), own.column("key"))
+            columns = [pa.array([variant] * len(keys), pa.string()), pa.array(np.diff(ends).astype(np.int32)), keys, pa.array([rows[a:b].tobytes() for a, b in pairwise(ends)], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["variant", "n", "keys", "x"])
+
+    kinds = points.schema
+    schema = T.StructType([kinds["variant"], T.StructField("n", T.IntegerType()), T.StructField("keys", T.ArrayType(kinds["key"].dataType)), T.StructField("x", T.BinaryType())])
+    return materialize(points.select("variant", "key", "x").mapInArrow(pack, schema), "blocks")
 
 
 def _distances(x: np.ndarray, centers: tuple[tuple[float, ...], ...]) -> np.ndarray:
@@ -77,27 +107,29 @@ def _distances(x: np.ndarray, centers: tuple[tuple[float, ...], ...]) -> np.ndar
     return out
 
 
-def _least(points: DataFrame, score: Callable[[str, np.ndarray], np.ndarray]) -> dict[str, tuple[float, ...]]:
+def _least(blocks: DataFrame, score: Callable[[str, np.ndarray], np.ndarray]) -> dict[str, tuple[float, ...]]:
     """{variant: point} with the least score, of equal ones the one with the least key. A batch hands on its points with the least score only."""
-    ship_code(points.sparkSession)
+    ship_code(blocks.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for variant, own, x in _by_variant(batches):
             d = score(variant, x)
-            best = own.filter(pa.array(d == d.min()))
-            yield pa.RecordBatch.from_arrays([best.column("variant"), pa.array(np.full(best.num_rows, d.min())), best.column("key"), best.column("x")], names=["variant", "d", "key", "x"])
+            best = np.flatnonzero(d == d.min())
+            keys, cells = own.column("keys").flatten().take(pa.array(best)), pa.array(list(x[:, best].T), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([variant] * len(best), pa.string()), pa.array(d[best]), keys, cells], names=["variant", "d", "key", "x"])
 
-    kinds = points.schema
-    schema = T.StructType([kinds["variant"], T.StructField("d", T.DoubleType()), kinds["key"], kinds["x"]])
-    found = points.select("variant", "key", "x").mapInArrow(run, schema).groupBy("variant").agg(F.min(F.struct("d", "key", "x")).alias("s"))
+    kinds = blocks.schema
+    schema = T.StructType([kinds["variant"], T.StructField("d", T.DoubleType()), T.StructField("key", kinds["keys"].dataType.elementType), T.StructField("x", T.ArrayType(T.LongType()))])
+    found = blocks.mapInArrow(run, schema).groupBy("variant").agg(F.min(F.struct("d", "key", "x")).alias("s"))
     return {r["variant"]: tuple(map(float, r["s"]["x"])) for r in found.collect()}  # a row for each variant
 
 
 def farthest_first(points: DataFrame, k: int) -> dict[str, list[tuple[float, ...]]]:
     """{variant: k points}: the point nearest the origin, then always the one farthest from those taken; ties go to the lesser key. A pass for each."""
-    taken = {v: [x] for v, x in _least(points, lambda _, x: _distances(x, ((0.0,) * len(x),))[0]).items()}
+    blocks = points if _in_blocks(points) else packed(points)
+    taken = {v: [x] for v, x in _least(blocks, lambda _, x: _distances(x, ((0.0,) * len(x),))[0]).items()}
     for _ in range(k - 1):
-        for v, x in _least(points, lambda v, x: -_distances(x, taken[v]).min(axis=0)).items():
+        for v, x in _least(blocks, lambda v, x: -_distances(x, taken[v]).min(axis=0)).items():
             taken[v].append(x)
     return taken
 
@@ -135,31 +167,32 @@ class Facts:
 
 
 def _sums(points: DataFrame, runs: list[Run]) -> dict[tuple[str, int], dict[int, Facts]]:
-    """One pass for all runs: {(variant, k): {cluster: facts}}. A task adds up its points and hands on a row for each cluster of each run."""
+    """One pass over points or blocks for all runs: {(variant, k): {cluster: facts}}. A task adds up its points and hands on a row for each cluster of each run."""
     ship_code(points.sparkSession)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[tuple[int, int], Facts] = {}
         for variant, _, x in _by_variant(batches):
-            halves, squares = [((v >> 32).astype(np.float64), (v & 0xFFFFFFFF).astype(np.float64)) for v in x], _distances(x, ((0.0,) * len(x),))[0]
+            parts = [[(0, v)] if -SHORT < v.min() and v.max() < SHORT else [(32, v >> 32), (0, v & 0xFFFFFFFF)] for v in x]
+            parts, squares = [[(by, w.astype(np.float64)) for by, w in own] for own in parts], _distances(x, ((0.0,) * len(x),))[0]
             for i, r in enumerate(runs):
                 if r.variant != variant:
                     continue
                 ds = _distances(x, r.centers)
                 cluster, most = ds.argmin(axis=0), len(r.centers)
                 of = lambda w, c=cluster, m=most: np.bincount(c, weights=w, minlength=m)
-                n, sq, d, sums = np.bincount(cluster, minlength=most), of(squares), of(ds.min(axis=0)), [(of(high), of(low)) for high, low in halves]
+                n, sq, d, sums = np.bincount(cluster, minlength=most), of(squares), of(ds.min(axis=0)), [[(by, of(w)) for by, w in own] for own in parts]
                 for c in np.flatnonzero(n):
                     own = found.setdefault((i, int(c)), Facts(0, [0] * len(x), 0.0, 0.0))
                     own.n, own.squares, own.d = own.n + int(n[c]), own.squares + float(sq[c]), own.d + float(d[c])
-                    own.sums = [s + (int(high[c]) << 32) + int(low[c]) for s, (high, low) in zip(own.sums, sums, strict=True)]
+                    own.sums = [s + sum(int(w[c]) << by for by, w in one) for s, one in zip(own.sums, sums, strict=True)]
         rows = [{"run": i, "cluster": c, "n": f.n, "squares": f.squares, "d": f.d, **{f"s{j}": Decimal(s) for j, s in enumerate(f.sums)}} for (i, c), f in found.items()]
         yield pa.RecordBatch.from_pylist(rows, pa.schema(kinds))
 
     width = len(runs[0].centers[0])
     kinds = [("run", pa.int32()), ("cluster", pa.int32()), ("n", pa.int64()), ("squares", pa.float64()), ("d", pa.float64()), *[(f"s{j}", pa.decimal128(38, 0)) for j in range(width)]]
     schema = "run int, cluster int, n bigint, squares double, d double, " + ", ".join(f"s{j} decimal(38,0)" for j in range(width))
-    parts = points.select("variant", "x").mapInArrow(add, schema).groupBy("run", "cluster")
+    parts = points.select("variant", *(["n"] if _in_blocks(points) else []), "x").mapInArrow(add, schema).groupBy("run", "cluster")
     out: dict[tuple[str, int], dict[int, Facts]] = {}
     for r in parts.agg(*[F.sum(c).alias(c) for c in ("n", "squares", "d", *[f"s{j}" for j in range(width)])]).collect():  # a row for each cluster of each run
         run = runs[r["run"]]
@@ -168,11 +201,12 @@ def _sums(points: DataFrame, runs: list[Run]) -> dict[tuple[str, int], dict[int,
 
 
 def fit(points: DataFrame, ks: list[int], max_iter: int = MAX_ITER, tolerance: float = TOLERANCE) -> list[Run]:
-    """All runs of all variants, iterated until no center moves more than ``tolerance``. ``points`` are read once a pass: write them first.
+    """All runs of all variants, iterated until no center moves more than ``tolerance``. ``points`` are read once, into blocks; each pass reads these.
 
     A center without points stays where it is. Fewer points than centers give equal centers, of which the first takes all.
     """
-    starts = farthest_first(points, max(ks))
+    blocks = packed(points)
+    starts = farthest_first(blocks, max(ks))
     if not starts:
         raise ValueError("there are no points to cluster")
     runs = {(v, k): Run(v, k, tuple(c[:k])) for v, c in starts.items() for k in ks}
@@ -181,7 +215,7 @@ def fit(points: DataFrame, ks: list[int], max_iter: int = MAX_ITER, tolerance: f
         moving = [r for r in runs.values() if not r.converged]
         if not moving:
             break
-        sums = _sums(points, moving)
+        sums = _sums(blocks, moving)
         for r in moving:
             own = sums[r.variant, r.k]
             centers = tuple(tuple(s / own[i].n for s in own[i].sums) if i in own else c for i, c in enumerate(r.centers))

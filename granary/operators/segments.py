@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions import ranks
@@ -46,8 +46,8 @@ def profile(customers: DataFrame, label: str = "Cluster") -> DataFrame:
     own = materialize(own, "segments")  # a row for each segment
     all_of = own.agg(F.sum("CustomerCount").alias("all_n"), F.sum("money").cast("double").alias("all_money"))
     scope = F.explode(F.array(F.col(label).cast("string"), F.lit(None).cast("string"))).alias("scope")  # null: all customers
-    tall = measured(customers, label).select(scope, "measure", "value")
-    found = ranks.quantiles(tall, ["scope", "measure"], F.col("value"), {"median": 0.5})
+    counted = measured(customers, label).groupBy(label, "measure", "value").agg(F.count(F.lit(1)).alias("copies"))  # before each is in two scopes
+    found = ranks.quantiles(counted.select(scope, "measure", "value", "copies"), ["scope", "measure"], F.col("value"), {"median": 0.5}, copies=F.col("copies"))
     wide = found.groupBy("scope").agg(*[F.max(F.when(F.col("measure") == m, F.col("median"))).alias(f"Median{m}") for m in MEASURES])
     overall = wide.where("scope IS NULL").select(*[F.col(f"Median{m}").alias(f"all_{m}") for m in MEASURES[:3]])
     pct = lambda a, b: F.round(100 * F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), 2)
@@ -83,8 +83,12 @@ def profile_checks(customers: DataFrame, profiled: DataFrame, label: str = "Clus
     return check_rows(rows.crossJoin(sums), conserved + held)  # one row each
 
 
-def labels(profiled: DataFrame, label: str = "Cluster") -> DataFrame:
-    """(label, Name): named by how a segment compares with the others, never by its number."""
+def name() -> Column:
+    """A segment's name by how it compares with the others, never by its number."""
     recent, spends = F.col("RecencyVsOverall") <= 1, F.col("MonetaryVsOverall") > 1
-    name = F.when(recent & spends, "active, high value").when(recent, "active, low value").when(spends, "lapsing, high value").otherwise("lapsing, low value")
-    return profiled.select(label, name.alias("Name"))
+    return F.when(recent & spends, "active, high value").when(recent, "active, low value").when(spends, "lapsing, high value").otherwise("lapsing, low value")
+
+
+def labels(profiled: DataFrame, label: str = "Cluster") -> DataFrame:
+    """(label, Name) of each segment."""
+    return profiled.select(label, name().alias("Name"))

@@ -7,6 +7,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from granary.functions import exact
 from granary.functions.typed import typed
 from granary.operators import bags, clustering, distinct, lloyd, observed, profiling, reconcile, rfm, rules, segments
 from granary.sources import retail
@@ -32,11 +33,18 @@ def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.cleaned(attributed(spark, sf_dir))
 
 
-def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clean sales as they are: each order line with its exact amount."""
-    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    amount = F.col("l_extendedprice").cast("decimal(12,2)") * (1 - F.col("l_discount").cast("decimal(4,2)"))
-    return lines.select(F.col("o_custkey").alias("CustomerID"), F.col("o_orderkey").alias("InvoiceNo"), F.col("o_orderdate").alias("InvoiceDate"), amount.alias("Amount"))
+def order_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clean sales as they are: each order that has lines, with the exact amount of these. Lines are added up before they meet their order.
+
+    A price or discount that doesn't fit its decimal matters only in a line that meets an order; there it fails as a cast does (casts make null of what is no number).
+    """
+    price, discount = F.col("l_extendedprice"), F.col("l_discount")
+    cents, off = exact.hundredths(price, 12), exact.hundredths(discount, 4)
+    unfit = [F.max(F.when(steps.isNull() & (F.abs(x) < float("inf")), x)).alias(f"unfit_{n}") for n, steps, x in (("price", cents, price), ("discount", off, discount))]
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(*exact.sum_parts(cents * (100 - off), "amount"), *unfit)
+    joined = lines.join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    amount = F.coalesce(F.col("unfit_price").cast("decimal(12,2)"), F.col("unfit_discount").cast("decimal(4,2)"), exact.total("amount"))
+    return joined.select(F.col("o_custkey").alias("CustomerID"), F.col("o_orderkey").alias("InvoiceNo"), F.col("o_orderdate").alias("InvoiceDate"), amount.alias("Amount"))
 
 
 def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +53,7 @@ def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_rfm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rfm.rfm(order_lines(spark, sf_dir))
+    return rfm.rfm(order_totals(spark, sf_dir))
 
 
 def _as_double(df: DataFrame) -> DataFrame:
@@ -168,8 +176,8 @@ SINCE = "1998-07-01"
 
 def rfm_changes(spark, sf_dir):
     """(CustomerID, change): customers whose orders or spend the orders since a day have changed, or who are new by them."""
-    lines = order_lines(spark, sf_dir)
-    told, _ = reconcile.keyed_changes(rfm.rfm(lines), rfm.rfm(lines.where(F.col("InvoiceDate") < SINCE)), "CustomerID", ["Frequency", "Monetary"], 0.005)
+    orders = order_totals(spark, sf_dir)
+    told, _ = reconcile.keyed_changes(rfm.rfm(orders), rfm.rfm(orders.where(F.col("InvoiceDate") < SINCE)), "CustomerID", ["Frequency", "Monetary"], 0.005)
     return told.where("change <> 'none'")
 
 
@@ -272,9 +280,9 @@ FINAL_VARIANT = "log1p_standard_scaler"
 KS, SELECTED_K = list(range(2, 7)), 4
 
 
-def _points(table: DataFrame, variants: list[str]) -> DataFrame:
-    """The customers' scaled features of each variant on the grid, written."""
-    parts = [lloyd.on_grid(clustering.scaled(table, Z_FEATURES, log=VARIANTS[v]), "CustomerID", [f"z_{f}" for f in Z_FEATURES], v) for v in variants]
+def _points(table: DataFrame, variants: list[str], more: list[str] | None = None) -> DataFrame:
+    """The customers' scaled features of each variant on the grid, with ``more`` of their columns, written."""
+    parts = [lloyd.on_grid(clustering.scaled(table, Z_FEATURES, log=VARIANTS[v]), "CustomerID", [f"z_{f}" for f in Z_FEATURES], v, more) for v in variants]
     joined = parts[0]
     for part in parts[1:]:
         joined = joined.unionByName(part)
@@ -282,12 +290,17 @@ def _points(table: DataFrame, variants: list[str]) -> DataFrame:
 
 
 def _clusters(spark, sf_dir, tenure=False):
-    """(clusters, points, run): customers with their cluster, written; the points that it was fitted on; the final run."""
-    table = rfm.rfm(order_lines(spark, sf_dir), tenure=tenure)
-    points = _points(table, [FINAL_VARIANT])
+    """(clusters, points, run): customers with their cluster, written; the points that it was fitted on; the final run.
+
+    Points carry their customers' columns, so that these meet their clusters without a join.
+    """
+    table = rfm.rfm(order_totals(spark, sf_dir), tenure=tenure)
+    own = [c for c in table.columns if c != "CustomerID"]
+    carried = _points(table, [FINAL_VARIANT], own)
+    points = carried.select("variant", "key", "x")
     runs = lloyd.fit(points, [clustering.selected_k(SELECTED_K)])
-    own = table.join(lloyd.assigned(points, runs).select(F.col("key").alias("CustomerID"), F.col("cluster").alias("Cluster")), "CustomerID")
-    return materialize(own, "clusters"), points, runs[0]
+    told = lloyd.assigned(carried, runs).where("key IS NOT NULL").select(F.col("key").alias("CustomerID"), *own, F.col("cluster").alias("Cluster"))
+    return materialize(told, "clusters"), points, runs[0]
 
 
 def kmeans_fit(spark, sf_dir):
@@ -335,8 +348,7 @@ def kmeans_checks(spark, sf_dir):
 
 def kmeans_profile(spark, sf_dir):
     """The profile of the K-Means clusters, each with its name."""
-    profiled = segments.profile(_clusters(spark, sf_dir, tenure=True)[0])
-    return profiled.join(F.broadcast(segments.labels(profiled)), "Cluster")  # a row for each cluster
+    return segments.profile(_clusters(spark, sf_dir, tenure=True)[0]).withColumn("Name", segments.name())
 
 
 def kmeans_profile_checks(spark, sf_dir):
@@ -397,12 +409,12 @@ def raw_schema(spark, sf_dir):
 
 
 def _segments(spark, sf_dir):
-    return segments.rule_segments(rfm.rfm(order_lines(spark, sf_dir), tenure=True))
+    return segments.rule_segments(rfm.rfm(order_totals(spark, sf_dir), tenure=True))
 
 
 def tenure(spark, sf_dir):
-    lines = order_lines(spark, sf_dir)
-    return segments.with_tenure(lines.select("CustomerID").distinct(), lines)
+    orders = order_totals(spark, sf_dir)
+    return segments.with_tenure(orders.select("CustomerID").distinct(), orders)
 
 
 def cluster_profile(spark, sf_dir):

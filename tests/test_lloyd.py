@@ -121,6 +121,41 @@ def test_facts_are_exact_and_taken_once(spark, tables, monkeypatch):
     assert kept.count() == 480
 
 
+def test_passes_read_blocks_with_the_same_sums(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(v, i, [rng.randrange(-(1 << b), 1 << b) for b in (22, 60, 36)]) for v in ("one", "two") for i in range(3_000)] + [("one", None, [1, 2, 3])]
+    points = spark.createDataFrame(rows, "variant string, key int, x array<bigint>").repartition(3)
+    blocks = lloyd.packed(points)
+    assert blocks.count() <= 2 * 3 * (1 + 1_001 * 24 // lloyd.BLOCK) and blocks.agg(F.sum("n")).first()[0] == len(rows)
+    runs = [lloyd.Run(v, k, tuple((1e6 * i, 1e17 * i, 0.0) for i in range(k))) for v in ("one", "two") for k in (2, 3)]
+    plain, own = lloyd._sums(points, runs), lloyd._sums(blocks, runs)
+    facts = lambda found: {(run, c): (f.n, f.sums) for run, g in found.items() for c, f in g.items()}
+    assert facts(own) == facts(plain)
+    assert all(f.d == pytest.approx(plain[run][c].d) and f.squares == pytest.approx(plain[run][c].squares) for run, g in own.items() for c, f in g.items())
+    assert lloyd.farthest_first(blocks, 3) == lloyd.farthest_first(points, 3)
+    widths, sums = [], lloyd._sums
+    monkeypatch.setattr(lloyd, "_sums", lambda p, *a: (widths.append(p.schema["x"].dataType.simpleString()), sums(p, *a))[1])
+    lloyd.fit(points, [2], max_iter=2)
+    assert widths == ["binary"] * 2  # no pass reads a row for each point
+
+
+def test_ties_of_far_points_go_to_the_lesser_key(spark):
+    points = spark.createDataFrame([("v", 7, [-5, 0]), ("v", 3, [5, 0]), ("v", 5, [0, 5]), ("v", 9, [0, 0])], "variant string, key int, x array<bigint>").coalesce(1)
+    assert lloyd.farthest_first(points, 2) == {"v": [(0.0, 0.0), (5.0, 0.0)]}
+
+
+def test_clusters_carry_their_customers_without_a_join(spark, sf_dir, monkeypatch):
+    from granary.plans import retail
+
+    plans, written = {}, retail.materialize
+    monkeypatch.setattr(retail, "materialize", lambda df, name: (plans.__setitem__(name, df._jdf.queryExecution().executedPlan().toString()), written(df, name))[1])
+    own, points, run = retail._clusters(spark, sf_dir, tenure=True)
+    assert "Join" not in plans["clusters"] and "Exchange" not in plans["clusters"]
+    assert own.columns == ["CustomerID", "Recency", "Frequency", "Monetary", "Tenure", "Cluster"] and points.columns == ["variant", "key", "x"]
+    joined = retail.rfm.rfm(retail.order_totals(spark, sf_dir), tenure=True).join(lloyd.assigned(points, [run]).select(F.col("key").alias("CustomerID"), F.col("cluster").alias("Cluster")), "CustomerID")
+    assert sorted(own.collect()) == sorted(joined.collect())
+
+
 def test_points_without_coordinates_are_an_error(spark):
     points = spark.createDataFrame([("one", 1, [1, None])], "variant string, key int, x array<bigint>")
     with pytest.raises(Exception, match="lacks coordinates"):
